@@ -1,0 +1,63 @@
+"""Asking hash buckets about the distinct keys of a chunk, and reading the answers.
+
+A chunk's sorted 64-bit keys are dealt to buckets by their top bits, each part as one row. Numbers
+are stored byte plane by byte plane, so the shuffle's compression finds the planes that agree.
+A bucket sees each key at most once a chunk, however often the key occurs there.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from .common import CHUNK_BYTES, text_bytes
+
+
+def bucket_count(docs: DataFrame, bucket_bytes: int = CHUNK_BYTES) -> int:
+    return max(1, -(-text_bytes(docs) // bucket_bytes))
+
+
+def to_planes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def from_planes(b: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Ascending with the keys."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def bucket_rows(chunk: int, buckets: int, keys: np.ndarray, values: list[np.ndarray]) -> pa.Table:
+    """A row for each bucket that has keys of this chunk. keys: sorted and distinct."""
+    at = bucket_of(keys, buckets)
+    names, first = np.unique(at, return_index=True)
+    ends = [*first[1:], len(keys)]
+    body = [b"".join(to_planes(x[a:e]) for x in [keys, *values]) for a, e in zip(first, ends, strict=True)]
+    return pa.table({"chunk": pa.array([chunk] * len(names), pa.int64()), "bucket": pa.array(names, pa.int64()), "body": pa.array(body, pa.binary())})
+
+
+def regroup(table: pa.Table, kinds: list[type]) -> tuple[list[int], np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(chunks, keys of each, all keys, all values) of a bucket's rows."""
+    width = 8 + sum(np.dtype(k).itemsize for k in kinds)
+    keys, values, size = [], [[] for _ in kinds], []
+    for body in table["body"].to_pylist():
+        n = len(body) // width
+        size.append(n)
+        keys.append(from_planes(body[: 8 * n], np.uint64))
+        at = 8 * n
+        for out, k in zip(values, kinds, strict=True):
+            step = n * np.dtype(k).itemsize
+            out.append(from_planes(body[at : at + step], k))
+            at += step
+    return table["chunk"].to_pylist(), np.array(size, np.int64), np.concatenate(keys), [np.concatenate(v) for v in values]
+
+
+def join_planes(answers: pa.Table, kind: type) -> np.ndarray:
+    """The answers of all buckets in the order of the chunk's keys."""
+    rows = sorted(zip(answers["bucket"].to_pylist(), answers[answers.column_names[-1]].to_pylist(), strict=True))
+    return np.concatenate([from_planes(b, kind) for _, b in rows]) if rows else np.zeros(0, kind)
