@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
 from .common import fold_case, mix, plus, text_slices, word_bounds, word_hashes
-from .toxicity import labelled_sample
+from .toxicity import labelled_rows
 
 #: Byte classes whose shares are statistics.
 _CLASSES = {
@@ -45,7 +45,7 @@ class BoostParams:
     rate: float = 0.12
     l2: float = 2.0
     min_rows: int = 8
-    max_rows: int = 20_000
+    max_rows: int = 12_000
 
 
 @dataclass(frozen=True)
@@ -182,9 +182,18 @@ def fit_trees(x: np.ndarray, y: np.ndarray, p: BoostParams = BoostParams()) -> T
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, usable: Column, p: BoostParams = BoostParams()) -> Trees:
-    """Fit on at most ``max_rows`` labelled rows for which ``usable`` holds."""
-    texts, y = labelled_sample(docs, labels, label, usable, p.max_rows)
-    return fit_trees(statistics(pa.array(texts, pa.string())), y, p)
+    """Fit on at most ``max_rows`` labelled rows for which ``usable`` holds; only their statistics reach the driver."""
+
+    def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(list(statistics(b.column(0))), pa.list_(pa.float64())), b.column(1)], names=["x", "label"])
+
+    rows = labelled_rows(docs, labels, label, usable, p.max_rows).mapInArrow(measure, "x array<double>, label int").toArrow()
+    if not rows.num_rows:
+        return fit_trees(np.zeros((0, 1)), np.zeros(0), p)
+    x = rows["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
+    return fit_trees(x, rows["label"].to_numpy().astype(float), p)
 
 
 def score(docs: DataFrame, trees: Trees, name: str = "quality_score") -> DataFrame:

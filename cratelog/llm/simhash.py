@@ -25,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, text_slices
@@ -239,17 +239,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def cluster(docs: DataFrame, shingle: int = 3, bits: int = 2, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, fp, root (the component's smallest fingerprint) and component_id (its smallest doc_id)."""
     named = checkpoint(fingerprints(docs.select(*keep, "text"), shingle))
-    return clusters_of(named, bits)
+    return named.join(resolve(named, F.min("doc_id"), bits).withColumnRenamed("least", "component_id"), "fp")
 
 
-def clusters_of(named: DataFrame, bits: int) -> DataFrame:
-    nodes = checkpoint(named.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+def resolve(named: DataFrame, least: Column, bits: int) -> DataFrame:
+    """(fp, root, least): each distinct fingerprint with its component and the aggregate over all of that."""
+    nodes = checkpoint(named.groupBy("fp").agg(least.alias("rep")))
     linked = components(links(nodes.select("fp"), bits))
-    grouped = linked.join(nodes, linked["node"] == nodes["fp"])
-    ids = grouped.groupBy("root").agg(F.min("rep").alias("least"))
+    ids = linked.join(nodes, linked["node"] == nodes["fp"]).groupBy("root").agg(F.min("rep").alias("over"))
     resolved = nodes.join(linked, nodes["fp"] == linked["node"], "left").join(ids, "root", "left")
-    resolved = resolved.select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id"))
-    return named.join(resolved, "fp")
+    return resolved.select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("over")).alias("least"))
 
 
 def representatives(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFrame:
@@ -257,7 +256,7 @@ def representatives(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFra
     keyed = docs.withColumn("__text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
     own = checkpoint(fingerprints(keyed.select("doc_id", "__text_key", "text"), shingle))
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("__text_key").alias("k"))
-    first = clusters_of(own, bits).groupBy("root").agg(F.min(order).alias("x")).select("x.d", "x.k")
+    first = resolve(own, F.min(order), bits).select("root", "least.d", "least.k").distinct().drop("root")
     kept = keyed.join(first, keyed["doc_id"].eqNullSafe(first["d"]) & (keyed["__text_key"] == first["k"]), "left_semi")
     once = Window.partitionBy("doc_id", "__text_key").orderBy(F.lit(0))
     return kept.withColumn("__row", F.row_number().over(once)).where("__row = 1").select(*docs.columns)

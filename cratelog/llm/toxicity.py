@@ -41,7 +41,7 @@ class FtrlParams:
     l1: float = 1.0
     l2: float = 1.0
     epochs: int = 3
-    max_rows: int = 8_000
+    max_rows: int = 6_000
 
 
 @dataclass(frozen=True)
@@ -131,19 +131,24 @@ def train(docs: DataFrame, labels: DataFrame, label: str, usable: Column, p: Ftr
     return fit(texts, y, p)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, max_rows: int) -> tuple[list[str], np.ndarray]:
-    """Texts and 0/1 labels of a bounded sample; the sample is chosen among labels, before texts are read."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, usable: Column, max_rows: int) -> DataFrame:
+    """(text, label) of a bounded sample; the sample is chosen among labels, before texts are read."""
     chosen = (
         labels.where(usable & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
         .groupBy("doc_id").agg(F.max(label).alias("label"))
         .orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(max_rows)
     )
-    rows = (
+    return (
         docs.where(F.col("text").isNotNull()).select("doc_id", "text")
         .join(F.broadcast(chosen), "doc_id")
         .orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "text").limit(max_rows)
-        .select("text", F.col("label").cast("int")).collect()
+        .select("text", F.col("label").cast("int").alias("label"))
     )
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, max_rows: int) -> tuple[list[str], np.ndarray]:
+    """Texts and 0/1 labels of labelled_rows."""
+    rows = labelled_rows(docs, labels, label, usable, max_rows).collect()
     return [r["text"] for r in rows], np.array([r["label"] for r in rows], float)
 
 
