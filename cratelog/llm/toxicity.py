@@ -33,14 +33,14 @@ _BREAK[np.r_[48:58, 65:91, 97:123, 128:256]] = False
 
 @dataclass(frozen=True)
 class FtrlParams:
-    """``max_rows`` bounds the labelled sample that the fit reads; all else covers all data."""
+    """``max_rows`` bounds the labelled sample that the fit reads; it is passed at least three times, and a small one until ``steps`` updates are made."""
 
     bits: int = 20
-    alpha: float = 0.3
+    alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 1.0
-    l2: float = 1.0
-    epochs: int = 3
+    l1: float = 4.0
+    l2: float = 0.01
+    steps: int = 18_000
     max_rows: int = 6_000
 
 
@@ -109,7 +109,7 @@ def fit(texts: list[str], labels: np.ndarray, p: FtrlParams = FtrlParams()) -> L
         return np.where(np.abs(zx) <= free, 0.0, -(zx - np.sign(zx) * free) / ((p.beta + np.sqrt(n[x])) / p.alpha + p.l2))
 
     rng = np.random.default_rng(7)
-    for _ in range(p.epochs):
+    for _ in range(max(3, -(-p.steps // max(1, len(texts))))):
         for i in rng.permutation(len(texts)):
             x = sets[i]
             w = weights(x)
