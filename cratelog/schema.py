@@ -21,7 +21,14 @@ _DDL = {
     "manifests": f"id bigint, project_id bigint, {_STAMPS}",
     "manifest_rules": f"id bigint, manifest_id bigint, name string, required_tags_json string, target_count int, category string, {_STAMPS}",
 }
-TABLES: dict[str, T.StructType] = {k: T.StructType.fromDDL(v) for k, v in _DDL.items()}
+_KINDS = {"bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType(), "binary": T.BinaryType(), "timestamp_ntz": T.TimestampNTZType()}
+
+
+def _struct(ddl: str) -> T.StructType:
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in map(str.split, ddl.split(", "))])
+
+
+TABLES: dict[str, T.StructType] = {k: _struct(v) for k, v in _DDL.items()}
 DEFAULTS = {
     "recordings": {"status": "uploaded"},
     "samples": {"sample_type": "one_shot", "status": "pending"},
