@@ -44,13 +44,13 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
 
 
-def with_chunk(docs: DataFrame, *keep: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """``keep`` and text with the chunk that each row belongs to.
+def with_chunk(docs: DataFrame, *keep: str, size: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """``keep`` and text with the chunk that each row belongs to. size: bytes of all texts.
 
     Chunks are dealt by a hash of key and text, so a hot source or a group of copies is
     spread evenly, and a recomputed task deals rows out the same way again.
     """
-    chunks = max(1, -(-text_bytes(docs) // chunk_bytes))
+    chunks = max(1, -(-size // chunk_bytes))
     return docs.select(*keep, "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"))
 
 

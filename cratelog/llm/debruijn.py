@@ -22,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, powers, text_slices, with_chunk, word_bounds, word_hashes
-from .exchange import bucket_count, bucket_of, bucket_rows, regroup
+from .common import mix, powers, text_bytes, text_slices, with_chunk, word_bounds, word_hashes
+from .exchange import bucket_of, bucket_rows, regroup
 
+#: Bytes of text whose edges meet in one bucket.
+BUCKET_BYTES = 12 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -59,8 +61,9 @@ def paths(repeated: np.ndarray, at: np.ndarray, before: np.ndarray, window: int)
 def mark(docs: DataFrame, window: int = 35, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
     """keep, n_words, n_removed, kept_sha256 and repeated_spans (words, last exclusive); with_text adds kept_text."""
     own = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text"))
-    chunked = with_chunk(own, *keep)
-    buckets = bucket_count(own, 12 << 20)
+    size = text_bytes(own)
+    chunked = with_chunk(own, *keep, size=size)
+    buckets = max(1, -(-size // BUCKET_BYTES))
 
     def send(table: pa.Table) -> pa.Table:
         found = [(k, c) for *_, k, c, _ in _slice_edges(table["text"], window)]

@@ -9,13 +9,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-
-from .common import CHUNK_BYTES, text_bytes
-
-
-def bucket_count(docs: DataFrame, bucket_bytes: int = CHUNK_BYTES) -> int:
-    return max(1, -(-text_bytes(docs) // bucket_bytes))
 
 
 def to_planes(x: np.ndarray) -> bytes:
