@@ -10,6 +10,9 @@ fingerprints link if at most ``bits`` of their 64 bits differ. Only distinct fin
 3. Each trie returns a spanning star for each of its components, not all links, and alternating
    large-star and small-star rounds join these to components over all blocks.
 
+For similarity rather than a count of bits (``representatives``), several fingerprints of five-word
+runs make a signature; tries of bands of its bits propose pairs, and all its bits decide.
+
 A block's trie that holds more than ``trie_rows`` fingerprints is split by the next bits: pairs
 of subtrees within the budget become groups of their own, so that no task holds a hot trie.
 
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from itertools import combinations
+from math import acos, ceil, comb, log, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -28,25 +32,44 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, text_slices
+from .common import checkpoint, mix, text_slices
 
 SEED = 42
+#: 64-bit words of a signature for estimating similarity.
+WORDS = 4
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of every run of so many lower-cased words; of all words if they are fewer."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     k = min(shingle, len(words))
     begins = [0, *ends[: len(words) - k].tolist()]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a : e - 1], SEED) for a, e in zip(begins, ends[k - 1 :].tolist(), strict=True)], "<u8")
+    return np.array([digest(joined[a : e - 1], SEED) for a, e in zip(begins, ends[k - 1 :].tolist(), strict=True)], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half the hashes."""
+    if not len(hashes):
+        return 0
     ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    return majority(shingle_hashes(text, shingle))
+
+
+def signature(text: bytes, shingle: int = 5, words: int = WORDS) -> list[int]:
+    """Several fingerprints of the same shingles, each once, by other bits of theirs."""
+    h = np.unique(shingle_hashes(text, shingle))
+    return [majority(mix(h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64)))) for k in range(words)]
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, name: str = "fp") -> DataFrame:
     """docs' other columns and the fingerprint as a (signed) long; text is dropped. Map-only."""
     rest = [f for f in docs.schema if f.name != "text"]
@@ -81,11 +104,12 @@ class _Labels:
                 self.of = up
 
 
-def trie_join(group: np.ndarray, side: np.ndarray, prints: np.ndarray, bits: int, block: int = 1 << 18) -> np.ndarray:
+def trie_join(group: np.ndarray, side: np.ndarray, prints: np.ndarray, bits: int, block: int = 1 << 18, levels: int = 64, near=None) -> np.ndarray:
     """For each row, the first row of its component among links within its group.
 
     Rows are sorted by (group, side, print). Those of side 0 link with each other, those of side
-    1 with those of side 2 only.
+    1 with those of side 2 only. Only the first ``levels`` bits are compared; near(a, b) tells
+    which pairs of rows that they let through do link (all, if not given).
     """
     n = len(prints)
     labels = _Labels(n)
@@ -114,11 +138,17 @@ def trie_join(group: np.ndarray, side: np.ndarray, prints: np.ndarray, bits: int
         leaf = (hi1 - lo1 == 1) & (hi2 - lo2 == 1) & (lo1 != lo2)
         if leaf.any():
             a, b = lo1[leaf], lo2[leaf]
-            near = np.bitwise_count(prints[a] ^ prints[b]) <= bits
-            labels.add(a[near], b[near])
+            ok = np.bitwise_count((prints[a] ^ prints[b]) >> np.uint64(64 - levels)) <= bits
+            labels.add(*_kept(a[ok], b[ok], labels, near))
         pairs = pairs[~leaf & ((lo1 != lo2) | (hi1 - lo1 > 1))]
-        if depth == 64:  # equal prints on both sides, or repeats
-            labels.add(pairs[:, 0], pairs[:, 2])
+        if depth == levels:  # several rows that agree in all bits compared
+            for lo1, hi1, lo2, hi2 in pairs[:, :4].tolist():
+                both = np.r_[lo1:hi1, lo2:hi2]
+                labels.add(*_kept(np.full(len(both), lo1), both, labels, near))
+                rest = np.flatnonzero(labels.of[lo1:hi1] != labels.of[lo1]) + lo1  # the others are linked by their first
+                other = np.flatnonzero(labels.of[lo2:hi2] != labels.of[lo1]) + lo2
+                for x, span in [*((i, np.arange(lo2, hi2)) for i in rest), *((j, np.arange(lo1, hi1)) for j in other)]:
+                    labels.add(*_kept(np.full(len(span), x), span, labels, near))
             continue
         if not len(pairs):
             continue
@@ -137,6 +167,15 @@ def trie_join(group: np.ndarray, side: np.ndarray, prints: np.ndarray, bits: int
     return labels.of
 
 
+def _kept(a: np.ndarray, b: np.ndarray, labels: _Labels, near) -> tuple[np.ndarray, np.ndarray]:
+    if near is None or not len(a):
+        return a, b
+    new = labels.of[a] != labels.of[b]
+    a, b = a[new], b[new]
+    ok = near(a, b)
+    return a[ok], b[ok]
+
+
 def block_masks(bits: int) -> list[int]:
     """Masks of bits + 1 blocks that make up the 64 bits."""
     cuts = [round(64 * k / (bits + 1)) for k in range(bits + 2)]
@@ -251,12 +290,97 @@ def resolve(named: DataFrame, least: Column, bits: int) -> DataFrame:
     return resolved.select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("over")).alias("least"))
 
 
-def representatives(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id (null last), then of the smallest text hash."""
+def flip_share(similarity: float) -> float:
+    """The expected share of differing bits at a Jaccard similarity of two sets of like size."""
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
+def similar_links(nodes: DataFrame, count: int, similarity: float = 0.8, recall: float = 0.95, errors: int = 3) -> DataFrame:
+    """(a, b): spanning links of the ids of signatures whose estimated similarity is high enough.
+
+    nodes: id and sig (array of WORDS longs). Bands of bits are drawn from the signature. Two that
+    differ in at most ``errors`` bits of a band agree in one of its blocks, where the band's trie
+    is joined; all bits then decide, with 1.5 standard deviations of grace. Blocks widen with the
+    count, so tries stay small, and so many bands are drawn that ``recall`` of the pairs at the
+    similarity itself share one.
+    """
+    bits, flip = 64 * WORDS, flip_share(similarity)
+    width = min(16, max(8, ceil(log2(max(count, 2) / 4000))))
+    band = width * (errors + 1)
+    hit = sum(comb(band, k) * flip**k * (1 - flip) ** (band - k) for k in range(errors + 1))
+    bands = max(1, ceil(log(1 - recall) / log(1 - hit)))
+    limit = int(bits * flip + 1.5 * sqrt(bits * flip * (1 - flip)))
+    places = [np.random.default_rng(t).choice(bits, band, replace=False) for t in range(bands)]
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, sig = b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(-1, WORDS)
+            raw = np.unpackbits(np.ascontiguousarray(sig).view(np.uint8), axis=1)
+            for t, at in enumerate(places):
+                own = np.zeros((len(ids), 64), np.uint8)
+                own[:, :band] = raw[:, at]
+                value = np.packbits(own, axis=1).view(">u8").ravel().astype(np.uint64)
+                for k in range(errors + 1):
+                    block = value >> np.uint64(64 - (k + 1) * width) & np.uint64((1 << width) - 1)
+                    g = mix(block + np.uint64((t * 64 + k + 1) << 32))
+                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(value.view(np.int64)), b.column(0), b.column(1)], names=["g", "value", "id", "sig"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def joined(final: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            g, v, i, sig = (np.concatenate(x) for x in zip(*held, strict=True))
+            last = np.flatnonzero(g == g[-1])[0]
+            cut = len(g) if final else int(last)
+            run_no = np.cumsum(np.r_[False, g[1:] != g[:-1]])[:cut]
+            order = np.lexsort((v[:cut], run_no))
+            own, ids = sig[:cut][order], i[:cut][order]
+            near = lambda a, b: np.bitwise_count(own[a] ^ own[b]).sum(axis=1, dtype=np.int64) <= limit
+            at = trie_join(run_no[order], np.zeros(cut, np.int8), v[:cut][order], errors, levels=band, near=near)
+            far = np.flatnonzero(at != np.arange(cut))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[at[far]])], names=["a", "b"])
+            held = [(g[cut:], v[cut:], i[cut:], sig[cut:])] if cut < len(g) else []
+
+        for b in batches:
+            if b.num_rows:
+                sig = b.column(3).flatten().to_numpy().reshape(-1, WORDS).view(np.uint64)
+                held.append((b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy(), sig))
+                if sum(len(h[0]) for h in held) > 100_000:
+                    yield from joined(False)
+        if held:
+            yield from joined(True)
+
+    dealt = nodes.select("id", "sig").mapInArrow(deal, "g long, value long, id long, sig array<long>").repartition("g").sortWithinPartitions("g")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of similar texts: that of the smallest doc_id (null last), then of the smallest text hash.
+
+    Similarity is that of the sets of word runs, estimated from 256-bit signatures; groups are the
+    components of similar texts.
+    """
     keyed = docs.withColumn("__text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    own = checkpoint(fingerprints(keyed.select("doc_id", "__text_key", "text"), shingle))
-    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("__text_key").alias("k"))
-    first = resolve(own, F.min(order), bits).select("root", "least.d", "least.k").distinct().drop("root")
+    rows = keyed.select("doc_id", "__text_key", "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = np.zeros((b.num_rows, WORDS), np.uint64)
+            for first, end, data, offsets in text_slices(b.column(2)):
+                raw = data.tobytes()
+                for k in range(end - first):
+                    out[first + k] = signature(raw[offsets[k] : offsets[k + 1]], shingle)
+            sig = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * WORDS), pa.array(out.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sig], names=["doc_id", "k", "sig"])
+
+    own = rows.mapInArrow(sign, f"doc_id {kind}, k long, sig array<long>")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("k").alias("k"))
+    nodes = checkpoint(own.groupBy("sig").agg(F.min(order).alias("least")).withColumn("id", F.xxhash64("sig")))
+    linked = components(similar_links(nodes, nodes.count(), similarity))
+    named = nodes.select("id", "least").join(linked, nodes["id"] == linked["node"], "left")
+    first = named.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("least").alias("x")).select("x.d", "x.k")
     kept = keyed.join(first, keyed["doc_id"].eqNullSafe(first["d"]) & (keyed["__text_key"] == first["k"]), "left_semi")
     once = Window.partitionBy("doc_id", "__text_key").orderBy(F.lit(0))
     return kept.withColumn("__row", F.row_number().over(once)).where("__row = 1").select(*docs.columns)

@@ -45,6 +45,12 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def runs(text, n=5):
+    """The set of word runs of a text."""
+    w = WHITE.findall(fold(text))
+    return {" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
 def components(prints, bits=2):
     parent = list(range(len(prints)))
 
