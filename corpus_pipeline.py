@@ -26,8 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each SimHash component."""
-    return simhash.representatives(docs, shingle=3, bits=2)
+    """The document of the smallest doc_id of each group of copies and near copies: five-word runs, similarity from 0.8."""
+    return simhash.representatives(docs, shingle=5, similarity=0.8)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
