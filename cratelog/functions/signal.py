@@ -38,10 +38,14 @@ def mean(y: Column) -> Column:
 
 def quantile(values: Column, q: float) -> Column:
     """Exact, with linear interpolation."""
-    s, at = F.array_sort(values), (F.size(values) - 1) * q
-    low = F.floor(at).cast("int")
-    a, b = F.get(s, low), F.get(s, F.least(low + 1, F.size(values) - 1))
-    return a + (b - a) * (at - low)
+
+    def between(s: Column) -> Column:
+        at = (F.size(s) - 1) * F.lit(q)
+        low = F.floor(at).cast("int")
+        a, b = F.get(s, low), F.get(s, F.least(low + 1, F.size(s) - 1))
+        return a + (b - a) * (at - low)
+
+    return let(F.array_sort(values), between)
 
 
 def clip_count(y: Column, level: float = CLIP_LEVEL) -> Column:
@@ -69,32 +73,40 @@ def snr(y: Column, longest: int = 1024, least: int = 1024) -> Column:
     0 for fewer than ``least`` samples or one frame; 96 if the quiet frames are silent.
     """
     frame = F.least(F.lit(longest), F.floor(F.size(y) / 4).cast("int"))
-    levels = F.array_sort(frame_levels(y, frame))
-    k = F.size(levels)
-    quiet = F.greatest(F.lit(1), F.floor(k / 10).cast("int"))
-    noise = _sum(F.slice(levels, F.lit(1), quiet)) / quiet
-    upper = F.slice(levels, F.floor(k / 2).cast("int") + 1, k)
-    signal = _sum(upper) / F.size(upper)
-    value = F.when(noise <= 0, F.when(signal > 0, 96.0).otherwise(0.0)).when(signal <= noise, 0.0).otherwise(F.log10(signal / noise) * 20)
+
+    def halves(levels: Column) -> Column:
+        k = F.size(levels)
+        quiet = F.greatest(F.lit(1), F.floor(k / 10).cast("int"))
+        upper = F.slice(levels, F.floor(k / 2).cast("int") + 1, k)
+        return F.struct((_sum(F.slice(levels, F.lit(1), quiet)) / quiet).alias("noise"), (_sum(upper) / F.size(upper)).alias("signal"))
+
+    def ratio(m: Column) -> Column:
+        return F.when(m["noise"] <= 0, F.when(m["signal"] > 0, 96.0).otherwise(0.0)).when(m["signal"] <= m["noise"], 0.0).otherwise(F.log10(m["signal"] / m["noise"]) * 20)
+
+    value = let(let(F.array_sort(frame_levels(y, frame)), halves), ratio)
     return F.when((F.size(y) < least) | (F.size(y) < 8), 0.0).otherwise(value)
 
 
 def quality_report(y: Column, least: int = 1024, clip_level: float = CLIP_LEVEL) -> Column:
     """Struct of levels, noise, flags, issues and the score; an empty signal is silent with score 0."""
     empty = F.coalesce(F.size(y), F.lit(0)) <= 0
-    peak_v, rms_v, low = peak(y), rms(y), quantile(magnitudes(y), 0.05)
-    peak_db, rms_db, noise_db = to_db(peak_v), to_db(rms_v), to_db(low)
-    clips = clip_count(y, clip_level)
-    clip_ratio, offset = clips / F.size(y), mean(y)
-    spread, snr_db, silent = peak_db - noise_db, snr(y, least=least), rms_db < SILENT_DB
-    score = quality_score(silent, clip_ratio, offset, spread, snr_db)
-    made = F.struct(
-        peak_db.alias("peak_db"), rms_db.alias("rms_db"), noise_db.alias("noise_floor_db"), clips.alias("clip_count"), clip_ratio.alias("clip_ratio"),
-        offset.alias("dc_offset"), spread.alias("dynamic_range_db"), snr_db.alias("snr_db"), zero_crossing_rate(y).alias("zero_crossing_rate"),
-        silent.alias("is_silent"), (clips > 0).alias("has_clipping"), (F.abs(offset) > DC_LEVEL).alias("has_dc_offset"),
-        F.filter(F.array(F.when(silent, "silent"), F.when(clips > 0, "clipping"), F.when(F.abs(offset) > DC_LEVEL, "dc offset"), F.when((spread < MIN_RANGE_DB) & ~silent, "low dynamic range"), F.when((snr_db > 0) & (snr_db < MIN_SNR_DB), "low snr")), lambda i: i.isNotNull()).alias("issues"),
-        score.alias("score"),
+    measured = F.struct(
+        to_db(peak(y)).alias("peak"), to_db(rms(y)).alias("rms"), to_db(quantile(magnitudes(y), 0.05)).alias("low"), clip_count(y, clip_level).alias("clips"),
+        mean(y).alias("dc"), snr(y, least=least).alias("snr"), zero_crossing_rate(y).alias("zcr"),
     )
+
+    def derived(m: Column) -> Column:
+        silent, spread, ratio, clips = m["rms"] < SILENT_DB, m["peak"] - m["low"], m["clips"] / F.size(y), m["clips"] > 0
+        offset = F.abs(m["dc"]) > DC_LEVEL
+        issues = F.array(F.when(silent, "silent"), F.when(clips, "clipping"), F.when(offset, "dc offset"), F.when((spread < MIN_RANGE_DB) & ~silent, "low dynamic range"), F.when((m["snr"] > 0) & (m["snr"] < MIN_SNR_DB), "low snr"))
+        return F.struct(
+            m["peak"].alias("peak_db"), m["rms"].alias("rms_db"), m["low"].alias("noise_floor_db"), m["clips"].alias("clip_count"), ratio.alias("clip_ratio"),
+            m["dc"].alias("dc_offset"), spread.alias("dynamic_range_db"), m["snr"].alias("snr_db"), m["zcr"].alias("zero_crossing_rate"), silent.alias("is_silent"),
+            clips.alias("has_clipping"), offset.alias("has_dc_offset"), F.filter(issues, lambda i: i.isNotNull()).alias("issues"),
+            quality_score(silent, ratio, m["dc"], spread, m["snr"]).alias("score"),
+        )
+
+    made = let(measured, derived)
     none = F.struct(
         *[F.lit(SILENCE_DB).alias(n) for n in ("peak_db", "rms_db", "noise_floor_db")], F.lit(0).alias("clip_count"), *[F.lit(0.0).alias(n) for n in ("clip_ratio", "dc_offset", "dynamic_range_db", "snr_db", "zero_crossing_rate")],
         F.lit(True).alias("is_silent"), F.lit(False).alias("has_clipping"), F.lit(False).alias("has_dc_offset"), F.array(F.lit("silent")).alias("issues"), F.lit(0.0).alias("score"),
