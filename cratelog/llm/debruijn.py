@@ -8,7 +8,7 @@ occurs elsewhere, edge by edge. A path ends where the text stops repeating or wh
 a junction by an edge that is not repeated; spans that meet are one.
 
 An edge is known by 80 hash bits made two ways, rather than by its words. (Two different edges
-among n would agree with a chance of about n**2 / 2**81: 1e-8 for the words of 30 GB.)
+among n would agree with a chance of about n**2 / 2**81: 3e-5 for the words of 30 GB.)
 
 A null text has no words; texts shorter than the window keep all of theirs.
 """
