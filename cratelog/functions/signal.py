@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .arithmetic import SILENCE_DB, clamp, from_db, to_db
 
 #: Settings of a quality report; levels in dB, ratios of full scale.
-CLIP_LEVEL, SILENT_DB, DC_LEVEL, MIN_RANGE_DB, MIN_SNR_DB, PASS_SCORE = 0.99, -60.0, 0.01, 6.0, 20.0, 0.5
+CLIP_LEVEL, SILENT_DB, DC_LEVEL, MIN_RANGE_DB, MIN_SNR_DB, PASS_SCORE = 0.99, -60.0, 0.01, 6.0, 10.0, 0.5
 
 
 def let(value: Column, body) -> Column:

@@ -14,9 +14,10 @@ ROLE_WORDS = {
     "drums": ("drum", "perc", "loop"),
     "vocal": ("vocal", "vox"),
 }
-ROLE_PRIORITY = {"kick": 10, "bass": 9, "vocal": 8, "lead": 7, "drums": 6, "chords": 5, "other": 4}
+ROLE_PRIORITY = {"vocal": 10, "kick": 9, "bass": 8, "lead": 7, "drums": 6, "chords": 5, "other": 4}
 DRUM_WORDS = ("kick", "snare", "hat", "tom", "perc")
-STEP_SUFFIXES = ("_denoised", "_clean", "_adjusted", "_perfected", "_final")
+# What processing steps append to file names, in the order in which it is taken off.
+STEP_SUFFIXES = ("_denoised", "_click_removed", "_adjusted", "_meta_updated", "_perfected")
 NOTES = ("C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B")
 
 
@@ -60,7 +61,7 @@ def drum_category(filename: Column) -> Column:
     low = F.lower(filename)
     out = F.when(low.contains(DRUM_WORDS[0]), DRUM_WORDS[0])
     for w in DRUM_WORDS[1:]:
-        out = out.when(low.contains(w), w)
+        out = out.when(low.contains(w), "hihat" if w == "hat" else w)
     return out
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.arithmetic import bar_fit, bar_seconds, clamp, overlap_ratio
 
 BAR_COUNTS = (1, 2, 4, 8, 16)
-WEIGHTS = {"beat_alignment": 0.20, "spectral_continuity": 0.20, "duration_quantization": 0.15, "zero_crossing": 0.10, "rms_consistency": 0.15, "onset_regularity": 0.10, "spectral_stability": 0.10}
+# The scores and their weights.
+WEIGHTS = {"beat_alignment": 0.20, "spectral_similarity": 0.25, "duration_quantization": 0.20, "zero_crossing_cleanliness": 0.05, "rms_energy_consistency": 0.10, "onset_regularity": 0.10, "spectral_stability": 0.10}
 CAP = 200
 
 

@@ -55,14 +55,20 @@ def duration_class(duration: Column, ambient: float = 5.0, one_shot: float = 2.0
     return F.struct(kind.alias("type"), sure.alias("confidence"))
 
 
-def drum_type(centroid: Column, flatness: Column, duration: Column) -> Column:
+def drum_type(centroid: Column, flatness: Column) -> Column:
     return (
         F.when((centroid < 1800) & (flatness < 0.01), "kick")
-        .when(centroid > 5000, F.when(duration > 0.3, "open_hihat").otherwise("closed_hihat"))
-        .when(flatness > 0.01, "snare").when(flatness < 0.01, "tom").otherwise("percussion")
+        .when(centroid > 5000, "hihat")
+        .when(flatness > 0.01, "snare").when(flatness < 0.01, "tom").otherwise("perc")
     )
 
 
+def drum_tags(drum: Column, duration: Column) -> Column:
+    """Tags of a drum type; a hi-hat is open from 0.3 seconds on, bound left out."""
+    hat = F.when(drum == "hihat", F.when(duration > 0.3, "open_hat").otherwise("closed_hat"))
+    return F.filter(F.array(F.when(drum != "perc", "drum"), drum, hat), lambda t: t.isNotNull())
+
+
 def sound_tags(flatness: Column, level: Column) -> Column:
     """tonal or noisy, high or low energy; what is in between has no tag."""
     tags = F.array(F.when(flatness < 0.005, "tonal").when(flatness > 0.05, "noisy"), F.when(level > 0.1, "high_energy").when(level < 0.01, "low_energy"))
@@ -101,9 +107,9 @@ def drum_thresholds(features: DataFrame) -> DataFrame:
 
 
 def propose_cuts(stats: DataFrame) -> DataFrame:
-    """One row of proposed limits: midway between the means of kick, snare and hat."""
+    """One row of proposed limits: midway between the means of kick, snare and hi-hat."""
     pick = lambda cat, c: F.max(F.when(F.col("category") == cat, F.col(c)))
     return stats.agg(
-        ((pick("kick", "mean_centroid") + pick("snare", "mean_centroid")) / 2).alias("kick_centroid"), ((pick("snare", "mean_centroid") + pick("hat", "mean_centroid")) / 2).alias("hat_centroid"),
+        ((pick("kick", "mean_centroid") + pick("snare", "mean_centroid")) / 2).alias("kick_centroid"), ((pick("snare", "mean_centroid") + pick("hihat", "mean_centroid")) / 2).alias("hat_centroid"),
         (pick("kick", "max_flatness") * 1.2).alias("kick_flatness"), (pick("snare", "min_flatness") * 0.9).alias("snare_flatness"),
     )

@@ -208,8 +208,8 @@ _FILES_SQL = "[" + ", ".join(f"'{f}'" for f in _FILES) + "]"
 @query(f"""WITH f AS (SELECT l_orderkey, l_linenumber, lower({_FILES_SQL}[1 + l_partkey % {len(_FILES)}]) AS n FROM lineitem),
 r AS (SELECT *, CASE WHEN contains(n, 'bass') OR contains(n, 'sub') THEN 'bass' WHEN contains(n, 'lead') OR contains(n, 'melody') OR contains(n, 'synth') THEN 'lead' WHEN contains(n, 'chord') OR contains(n, 'pad') OR contains(n, 'piano') THEN 'chords'
  WHEN contains(n, 'kick') THEN 'kick' WHEN contains(n, 'drum') OR contains(n, 'perc') OR contains(n, 'loop') THEN 'drums' WHEN contains(n, 'vocal') OR contains(n, 'vox') THEN 'vocal' ELSE 'other' END AS role FROM f)
-SELECT role, CASE role WHEN 'kick' THEN 10 WHEN 'bass' THEN 9 WHEN 'vocal' THEN 8 WHEN 'lead' THEN 7 WHEN 'drums' THEN 6 WHEN 'chords' THEN 5 ELSE 4 END AS priority,
- CASE WHEN contains(n, 'kick') THEN 'kick' WHEN contains(n, 'snare') THEN 'snare' WHEN contains(n, 'hat') THEN 'hat' WHEN contains(n, 'tom') THEN 'tom' WHEN contains(n, 'perc') THEN 'perc' END AS category, count(*) AS files FROM r GROUP BY ALL""")
+SELECT role, CASE role WHEN 'vocal' THEN 10 WHEN 'kick' THEN 9 WHEN 'bass' THEN 8 WHEN 'lead' THEN 7 WHEN 'drums' THEN 6 WHEN 'chords' THEN 5 ELSE 4 END AS priority,
+ CASE WHEN contains(n, 'kick') THEN 'kick' WHEN contains(n, 'snare') THEN 'snare' WHEN contains(n, 'hat') THEN 'hihat' WHEN contains(n, 'tom') THEN 'tom' WHEN contains(n, 'perc') THEN 'perc' END AS category, count(*) AS files FROM r GROUP BY ALL""")
 def stem_roles(spark: SparkSession, d: str) -> DataFrame:
     name = F.element_at(F.array(*map(F.lit, _FILES)), (F.col("l_partkey") % len(_FILES) + 1).cast("int"))
     rows = table(spark, d, "lineitem").select(name.alias("n")).select(text.infer_role(F.col("n")).alias("role"), text.drum_category(F.col("n")).alias("category"))
@@ -222,10 +222,10 @@ _KINDS = ("PCM_16", "PCM_24", "FLOAT", "DOUBLE", "Float 64 bit", "ULAW")
 @query(f"""WITH s AS (SELECT c_custkey, c_acctbal, {"[" + ", ".join(f"'{k}'" for k in _KINDS) + "]"}[1 + c_custkey % 6] AS s FROM customer)
 SELECT c_custkey, CASE WHEN regexp_extract(s, '\\d+') <> '' THEN CAST(regexp_extract(s, '\\d+') AS INTEGER) WHEN contains(upper(s), 'FLOAT') THEN 32 ELSE 0 END AS depth,
  CASE CAST(c_custkey % 12 AS INTEGER) WHEN 0 THEN 'C' WHEN 1 THEN 'C#' WHEN 2 THEN 'D' WHEN 3 THEN 'D#' WHEN 4 THEN 'E' WHEN 5 THEN 'F' WHEN 6 THEN 'F#' WHEN 7 THEN 'G' WHEN 8 THEN 'G#' WHEN 9 THEN 'A' WHEN 10 THEN 'A#' ELSE 'B' END AS note,
- CASE WHEN c_custkey % 2 = 0 THEN 'take_clean' ELSE 'take' END AS stem, CASE WHEN c_custkey % 7 = 0 THEN 'N/A' ELSE CAST(c_custkey % 5 AS VARCHAR) || '.5 MB' END AS size FROM s""".replace("\\\\d", "\\d"))
+ CASE WHEN c_custkey % 2 = 0 THEN 'take_denoised' ELSE 'take' END AS stem, CASE WHEN c_custkey % 7 = 0 THEN 'N/A' ELSE CAST(c_custkey % 5 AS VARCHAR) || '.5 MB' END AS size FROM s""".replace("\\\\d", "\\d"))
 def file_labels(spark: SparkSession, d: str) -> DataFrame:
     kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("c_custkey") % 6 + 1).cast("int"))
-    path = F.concat(F.lit("/in/take"), F.when(F.col("c_custkey") % 2 == 0, "_clean_adjusted").otherwise("_adjusted_clean"), F.lit(".wav"))
+    path = F.concat(F.lit("/in/take"), F.when(F.col("c_custkey") % 2 == 0, "_denoised_adjusted").otherwise("_adjusted_denoised"), F.lit(".wav"))
     size = F.when(F.col("c_custkey") % 7 != 0, (F.col("c_custkey") % 5) * 1048576 + 524288)
     return table(spark, d, "customer").select("c_custkey", F.coalesce(text.bit_depth(kind), F.lit(0)).alias("depth"), text.note_name(F.col("c_custkey") + 60).alias("note"), text.strip_suffixes(text.stem(path)).alias("stem"), text.size_label(size).alias("size"))
 
@@ -263,12 +263,12 @@ def loop_fallback(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH f AS (SELECT l_orderkey, l_linenumber, l_quantity / 4 AS dur, l_extendedprice / 10 AS cen, l_discount / 2 AS flat, l_tax AS lev FROM lineitem),
 c AS (SELECT *, CASE WHEN dur >= 5 THEN 'ambient' WHEN dur <= 2 THEN 'one_shot' WHEN dur BETWEEN 0.5 AND 32 THEN 'loop' ELSE 'unknown' END AS type FROM f)
 SELECT l_orderkey, l_linenumber, type, CAST(CASE type WHEN 'ambient' THEN 0.85 WHEN 'one_shot' THEN 0.9 WHEN 'loop' THEN 0.8 ELSE 0.5 END AS DOUBLE) AS confidence,
-CASE WHEN type = 'one_shot' THEN CASE WHEN cen < 1800 AND flat < 0.01 THEN 'kick' WHEN cen > 5000 THEN CASE WHEN dur > 0.3 THEN 'open_hihat' ELSE 'closed_hihat' END WHEN flat > 0.01 THEN 'snare' WHEN flat < 0.01 THEN 'tom' ELSE 'percussion' END END AS drum,
+CASE WHEN type = 'one_shot' THEN CASE WHEN cen < 1800 AND flat < 0.01 THEN 'kick' WHEN cen > 5000 THEN 'hihat' WHEN flat > 0.01 THEN 'snare' WHEN flat < 0.01 THEN 'tom' ELSE 'perc' END ELSE '' END AS drum,
 concat_ws(',', CASE WHEN flat < 0.005 THEN 'tonal' WHEN flat > 0.05 THEN 'noisy' END, CASE WHEN lev > 0.1 THEN 'high_energy' WHEN lev < 0.01 THEN 'low_energy' END) AS tags FROM c""")
 def segment_class(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 4).alias("dur"), (F.col("l_extendedprice") / 10).alias("cen"), (F.col("l_discount") / 2).alias("flat"), F.col("l_tax").alias("lev"))
     f = f.withColumn("c", segments.duration_class(F.col("dur")))
-    drum = F.when(F.col("c.type") == "one_shot", segments.drum_type(F.col("cen"), F.col("flat"), F.col("dur")))
+    drum = F.when(F.col("c.type") == "one_shot", segments.drum_type(F.col("cen"), F.col("flat"))).otherwise("")
     return f.select("l_orderkey", "l_linenumber", "c.type", "c.confidence", drum.alias("drum"), F.array_join(segments.sound_tags(F.col("flat"), F.col("lev")), ",").alias("tags"))
 
 
@@ -290,11 +290,11 @@ def quality_gate(spark: SparkSession, d: str) -> DataFrame:
     return segments.quality_control(rows).select("l_orderkey", "l_linenumber", "qc_status")
 
 
-@query("""WITH f AS (SELECT CASE l_linenumber WHEN 1 THEN 'kick' WHEN 2 THEN 'snare' WHEN 3 THEN 'hat' END AS c, CAST(l_partkey AS DOUBLE) AS cen, CAST(l_suppkey AS DOUBLE) AS flat, l_quantity AS dur FROM lineitem)
+@query("""WITH f AS (SELECT CASE l_linenumber WHEN 1 THEN 'kick' WHEN 2 THEN 'snare' WHEN 3 THEN 'hihat' END AS c, CAST(l_partkey AS DOUBLE) AS cen, CAST(l_suppkey AS DOUBLE) AS flat, l_quantity AS dur FROM lineitem)
 SELECT c AS category, count(*) AS n, min(cen) AS min_centroid, max(cen) AS max_centroid, round(avg(cen), 6) AS mean_centroid, min(flat) AS min_flatness, max(flat) AS max_flatness, round(avg(flat), 6) AS mean_flatness, min(dur) AS min_duration, max(dur) AS max_duration, round(avg(dur), 6) AS mean_duration
 FROM f WHERE c IS NOT NULL GROUP BY c""")
 def drum_thresholds(spark: SparkSession, d: str) -> DataFrame:
-    name = F.when(F.col("l_linenumber") == 1, "kick").when(F.col("l_linenumber") == 2, "snare").when(F.col("l_linenumber") == 3, "hat")
+    name = F.when(F.col("l_linenumber") == 1, "kick").when(F.col("l_linenumber") == 2, "snare").when(F.col("l_linenumber") == 3, "hihat")
     stats = segments.drum_thresholds(table(spark, d, "lineitem").select(name.alias("category"), F.col("l_partkey").cast("double").alias("centroid"), F.col("l_suppkey").cast("double").alias("flatness"), F.col("l_quantity").alias("duration")))
     return stats.withColumns({f"mean_{c}": F.round(f"mean_{c}", 6) for c in ("centroid", "flatness", "duration")})
 
@@ -317,7 +317,7 @@ def _buffers(spark: SparkSession, d: str) -> DataFrame:
 s AS (SELECT vec_id, 20 * log10(peak) AS pk, 20 * log10(rms) AS rm, CASE WHEN low > 0 THEN 20 * log10(low) ELSE -120 END AS nf, clips, dc, zc, CASE WHEN noise <= 0 THEN CASE WHEN sig > 0 THEN 96 ELSE 0 END WHEN sig <= noise THEN 0 ELSE 20 * log10(sig / noise) END AS snr FROM q JOIN sn USING (vec_id))
 SELECT vec_id, round(pk, 4) AS peak_db, round(rm, 4) AS rms_db, round(nf, 4) AS noise_floor_db, CAST(clips AS INTEGER) AS clip_count, round(dc, 6) AS dc_offset, round(pk - nf, 4) AS dynamic_range_db, round(snr, 4) AS snr_db, zc / 64.0 AS zero_crossing_rate,
  (CASE WHEN rm < -60 THEN 0 ELSE 30 END + CASE WHEN clips = 0 THEN 25 WHEN clips / 64.0 < 0.001 THEN 15 WHEN clips / 64.0 < 0.01 THEN 5 ELSE 0 END + CASE WHEN abs(dc) <= 0.01 THEN 10 WHEN abs(dc) < 0.05 THEN 5 ELSE 0 END
- + CASE WHEN pk - nf >= 6 THEN 20 WHEN pk - nf >= 3 THEN 10 ELSE 0 END + CASE WHEN snr >= 20 THEN 15 WHEN snr >= 10 THEN 7 ELSE 0 END) / 100.0 AS score FROM s""")
+ + CASE WHEN pk - nf >= 6 THEN 20 WHEN pk - nf >= 3 THEN 10 ELSE 0 END + CASE WHEN snr >= 10 THEN 15 WHEN snr >= 5 THEN 7 ELSE 0 END) / 100.0 AS score FROM s""")
 def signal_quality(spark: SparkSession, d: str) -> DataFrame:
     r = _buffers(spark, d).select("vec_id", signal.quality_report(F.col("y"), least=64, clip_level=0.3).alias("r"))
     near = lambda c, n=4: F.round(f"r.{c}", n).alias(c)

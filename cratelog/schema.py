@@ -40,6 +40,8 @@ DEFAULTS = {
 ENUMS = {
     "project_type": ("sample_pack", "virtual_instrument", "construction_kit"),
     "sample_type": ("one_shot", "loop", "ambient", "fill", "transition", "unknown"),
+    "sample_pack_status": ("pending", "processing", "completed", "failed"),
+    "sample_status": ("pending", "processing", "processed", "failed"),
     "session_status": ("pending", "recording", "completed", "failed", "completed_empty"),
 }
 #: Child table -> (column, parent): what goes when a parent row goes.

@@ -78,6 +78,13 @@ def test_duration_class(spark, seconds, ambient, expected):
     assert tuple(one(spark, segments.duration_class(F.lit(seconds), ambient))) == expected
 
 
+def test_drum_tags(spark):
+    drum = segments.drum_type(F.lit(6000.0), F.lit(0.02))
+    assert one(spark, segments.drum_tags(drum, F.lit(0.4))) == ["drum", "hihat", "open_hat"]
+    assert one(spark, segments.drum_tags(segments.drum_type(F.lit(3000.0), F.lit(0.01)), F.lit(0.1))) == ["perc"]
+    assert abs(sum(loops.WEIGHTS.values()) - 1) < 1e-9
+
+
 def report(spark, y, **k):
     return spark.createDataFrame([([float(v) for v in y],)], "y array<double>").select(signal.quality_report(F.col("y"), **k).alias("r")).first()["r"]
 
