@@ -121,3 +121,69 @@ def spectral_change(y: np.ndarray, rate: int) -> float:
     """1 - mean change of the mel spectrum over its mean, within [0, 1]; 0.3 for under two frames."""
     m = mel_spectrum(y, rate)
     return 0.3 if m.shape[1] < 2 else float(np.clip(1 - np.abs(np.diff(m, axis=1)).mean() / (m.mean() + 1e-10), 0, 1))
+
+
+def octave(bpm: float) -> float:
+    """One octave up under 40, one down over 200; 120 if there is none."""
+    if bpm <= 0:
+        return 120.0
+    return bpm * 2 if bpm < 40 else bpm / 2 if bpm > 200 else bpm
+
+
+def beats(y: np.ndarray, rate: int, bpm: float, hop: int = 256, tightness: float = 100.0) -> np.ndarray:
+    """Beat times: the chain of frames about a beat apart that gathers the most onset strength (Ellis, 2007)."""
+    x = onset_envelope(y, rate, hop)
+    period = 60 * rate / hop / bpm if bpm > 0 else 0.0
+    if period < 2 or not x.any():
+        return np.zeros(0)
+    lags = np.arange(max(1, int(period / 2)), int(2 * period) + 1)
+    cost = tightness * np.log(lags / period) ** 2
+    best, came = x / (x.std() + 1e-10), np.full(len(x), -1)
+    for i in range(int(lags[0]), len(x)):
+        n = int(np.searchsorted(lags, i, "right"))
+        before = best[i - lags[:n]] - cost[:n]
+        k = int(np.argmax(before))
+        if before[k] > 0:
+            best[i] += before[k]
+            came[i] = i - lags[k]
+    first = max(0, len(x) - int(round(period)))
+    at, chain = first + int(np.argmax(best[first:])), []
+    while at >= 0:
+        chain.append(at)
+        at = came[at]
+    return np.array(chain[::-1]) * hop / rate
+
+
+def crossing_near(y: np.ndarray, at: int, reach: int) -> int:
+    """The first sample after the nearest change of sign within reach (the earlier if equal); else ``at`` itself."""
+    first, last = max(0, at - reach), min(len(y), at + reach)
+    negative = np.signbit(y[first:last])
+    turns = np.flatnonzero(negative[1:] != negative[:-1]) + 1 if last > first else np.zeros(0, int)
+    return first + int(turns[np.argmin(np.abs(turns + first - at))]) if len(turns) else at
+
+
+def steadiness(values: np.ndarray) -> float:
+    """1 - variation of the values, within [0, 1]; 0.3 for none or if they are next to nothing."""
+    if not len(values) or values.mean() < 1e-10:
+        return 0.3
+    return float(np.clip(1 - values.std() / values.mean(), 0, 1))
+
+
+def loop_features(y: np.ndarray, rate: int, first: int, last: int) -> tuple[float, float, float, float, float]:
+    """Of y[first:last]: likeness of its ends, crossings at its ends, steadiness of level and of onset gaps, spectral stability."""
+    part = y[first:last]
+    w = max(int(0.05 * rate), 512)
+    alike = 0.0
+    if len(part) >= 2 * w:
+        a, b = (mfcc(e, rate).mean(axis=1) for e in (part[:w], part[-w:]))
+        scale = np.linalg.norm(a) * np.linalg.norm(b)
+        alike = float(np.clip(a @ b / scale, 0, 1)) if scale > 0 else 0.0
+    reach = max(1, int(0.005 * rate) // 2)
+    clean = 0.0
+    for at in (first, last):
+        negative = np.signbit(y[max(0, at - reach) : at + reach])
+        clean += 0.5 * bool(np.any(negative[1:] != negative[:-1]))
+    frame = len(part) // 16
+    level = steadiness(np.sqrt((part[: 16 * frame].reshape(16, frame) ** 2).mean(axis=1))) if frame else 0.3
+    found = pick_peaks(onset_envelope(part, rate)) if len(part) else np.zeros(0)
+    return alike, clean, level, steadiness(np.diff(found)), spectral_change(part, rate)

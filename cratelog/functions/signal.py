@@ -137,11 +137,11 @@ def noise_gate(y: Column, threshold_db: Column, amount: float = 1.0) -> Column:
     return let(from_db(threshold_db), gated)
 
 
-def gate_threshold(y: Column, rate: int, lead: float = 0.05, above: float = 6.0) -> Column:
-    """dB: -60, or what the first ``lead`` seconds hold plus ``above`` if that is more."""
-    n = int(lead * rate)
+def gate_threshold(y: Column, rate: int | Column, lead: float = 0.05, above: float = 6.0, least: float = -60.0) -> Column:
+    """dB: ``least``, or what the first ``lead`` seconds hold plus ``above`` if that is more."""
+    n = (rate * F.lit(lead)).cast("int") if isinstance(rate, Column) else F.lit(int(lead * rate))
     head = rms(F.slice(y, 1, n))
-    return F.when((F.size(y) > n) & (head > 0), F.greatest(F.lit(-60.0), to_db(head) + above)).otherwise(-60.0)
+    return F.when((F.size(y) > n) & (head > 0), F.greatest(F.lit(least), to_db(head) + above)).otherwise(least)
 
 
 def normalize(y: Column, target_db: float = -14.0) -> Column:
@@ -197,3 +197,14 @@ def crosses_near(y: Column, at: Column, reach: int) -> Column:
     last = F.least(F.size(y), at + reach) - 1
     turns = lambda i: F.coalesce((i > first) & (i <= last) & (F.signum(F.get(y, i)) != F.signum(F.get(y, i - 1))), F.lit(False))
     return F.exists(F.sequence(first + 1, F.greatest(first + 1, last)), turns)
+
+
+def loudness(y: Column) -> Column:
+    """Level in dB; -120 for silence or no samples."""
+    return F.when(F.size(y) > 0, to_db(rms(y))).otherwise(SILENCE_DB)
+
+
+def dynamic_range(y: Column) -> Column:
+    """Peak over the 5 % quantile of magnitudes, in dB; 0 if that quantile is nothing (a quality report has -120 there)."""
+    low = quantile(magnitudes(y), 0.05)
+    return F.when((F.size(y) > 0) & (low > 0), F.log10(peak(y) / low) * 20).otherwise(0.0)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dsp
+from ..functions import dsp, signal
 from ..functions.arithmetic import fix_tempo
 from ..functions.text import note_name
 
@@ -51,3 +51,44 @@ def described(made: DataFrame) -> DataFrame:
 def onset_rows(made: DataFrame, key: str = "id") -> DataFrame:
     """(key, onset, t), one row an onset."""
     return made.select(key, F.posexplode("onsets").alias("onset", "t"))
+
+
+def beat_times(buffers: DataFrame, key: str = "recording_id") -> DataFrame:
+    """(key, sample_rate, duration, bpm, beats) of rows of key, sample_rate and samples. One map-only stage.
+
+    A tempo that can't be told is taken as 120, the rest within an octave of 40 to 200.
+    """
+    kind = buffers.schema[key].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, (rate, y) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                y = np.array(y or [], float)
+                bpm = dsp.octave(dsp.tempo(y, rate)) if rate else 120.0
+                found = dsp.beats(y, rate, bpm) if rate else np.zeros(0)
+                row = [pa.array([rate], pa.int32()), pa.array([len(y) / rate if rate else 0.0]), pa.array([bpm]), pa.array([found], pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), *row], names=[b.schema.names[0], "sample_rate", "duration", "bpm", "beats"])
+
+    return buffers.select(key, F.col("sample_rate").cast("int"), "samples").mapInArrow(run, f"{key} {kind}, sample_rate int, duration double, bpm double, beats array<double>")
+
+
+def gated(buffers: DataFrame, amount: float = 1.0, threshold_db: float = -60.0, auto_threshold: bool = True) -> DataFrame:
+    """buffers with samples under the threshold turned down; auto raises it to 6 dB over the first 50 ms."""
+    y = F.col("samples")
+    at = signal.gate_threshold(y, F.col("sample_rate"), least=threshold_db) if auto_threshold else F.lit(threshold_db)
+    return buffers.withColumn("samples", F.when(F.size(y) > 0, signal.noise_gate(y, at, amount)).otherwise(y))
+
+
+def record(files: DataFrame, made: DataFrame, found: DataFrame, key: str = "recording_id", loop_from: float = 0.7) -> DataFrame:
+    """All that is known of each file: length, format, tempo, key, levels, loops, onsets.
+
+    files: key, sample_rate, channels, bit_depth, samples; made: ``described`` features; found: the
+    loops of loops.search. is_loop if the best of them is surer than ``loop_from``.
+    """
+    fields = ("rank", "loop_start", "loop_end", "confidence", "start_time", "end_time", "bars", "bpm")
+    some = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("loop_candidates"))
+    y = F.col("samples")
+    measured = files.select(key, (F.size(y) / F.col("sample_rate")).alias("duration"), "sample_rate", "channels", "bit_depth", signal.loudness(y).alias("loudness"), signal.dynamic_range(y).alias("dynamic_range"))
+    joined = measured.join(made.select(key, "bpm", "key", F.col("onsets").alias("transient_positions")), key, "left").join(some, key, "left")
+    best = F.get("loop_candidates", F.lit(0))
+    return joined.withColumns({"loop_points": best, "is_loop": F.coalesce(best["confidence"] > loop_from, F.lit(False))})

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import tags
+from ..functions.arithmetic import bars_to_beats
+from ..functions.text import base_name
 
 def list_projects(projects: DataFrame, project_type: str | None = None) -> DataFrame:
     """Newest first; of one type if given."""
@@ -61,3 +64,53 @@ def upsert_devices(devices: DataFrame, names: DataFrame, now) -> DataFrame:
         F.when(fresh, F.col("__top") + order).otherwise(F.col("id")).alias("id"), "name", "description", F.when(fresh, True).otherwise(F.col("is_available")).alias("is_available"),
         "metadata_json", F.when(fresh, now).otherwise(F.col("created_at")).alias("created_at"), F.when(F.col("__seen"), now).otherwise(F.col("updated_at")).alias("updated_at"),
     ).select(*devices.columns)
+
+
+def update(rows: DataFrame, patches: DataFrame) -> DataFrame:
+    """rows with the status and metadata of patches (id, status, metadata_json); nulls change nothing.
+
+    Metadata is merged key by key, the patch winning. patches has at most one row an id.
+    """
+    new = patches.select("id", F.col("status").alias("__status"), F.col("metadata_json").alias("__patch"))
+    merged = F.when(F.col("__patch").isNull(), F.col("metadata_json")).otherwise(tags.merge(F.col("metadata_json"), F.col("__patch")))
+    return rows.join(new, "id", "left").withColumns({"status": F.coalesce("__status", "status"), "metadata_json": merged}).select(*rows.columns)
+
+
+def device_ids(devices: DataFrame, names: DataFrame) -> DataFrame:
+    """(device_id, name) of the asked names that are known; fails at run time if none of them is."""
+    asked = names.select("name").where("name IS NOT NULL").distinct()
+    known = devices.select(F.col("id").alias("device_id"), "name").join(asked, "name").select("device_id", "name")
+    none = known.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.raise_error(F.lit("none of the named devices is known")).cast("bigint").alias("device_id"), F.lit(None).cast("string").alias("name"))
+    return known.unionByName(none)
+
+
+def render_jobs(jobs: DataFrame, generation: DataFrame, rendering: DataFrame) -> DataFrame:
+    """jobs (generation_id, rendering_id, ...) with both of their configurations; a missing one fails at run time."""
+    g = generation.select(F.col("id").alias("generation_id"), F.struct(*[c for c in generation.columns if c != "id"]).alias("generation"))
+    r = rendering.select(F.col("id").alias("rendering_id"), F.struct(*[c for c in rendering.columns if c != "id"]).alias("rendering"))
+    joined = jobs.join(g, "generation_id", "left").join(r, "rendering_id", "left")
+    found = lambda c: F.when(F.col(c).isNull(), F.raise_error(F.lit(f"{c} configuration not found")).cast(joined.schema[c].dataType)).otherwise(F.col(c))
+    return joined.withColumns({c: found(c) for c in ("generation", "rendering")})
+
+
+def ingest(headers: DataFrame, project_id: int, first_id: int, now) -> DataFrame:
+    """Recordings of files, as probed by wav.read_headers, with ids from first_id upwards, gaps between partitions; a file that can't be read fails."""
+    path = F.when(F.col("error").isNull(), F.col("path")).otherwise(F.raise_error(F.concat(F.lit("not readable: "), "path", F.lit(": "), F.col("error"))).cast("string"))
+    return headers.select(
+        (F.monotonically_increasing_id() + first_id).alias("id"), F.lit(project_id).cast("bigint").alias("project_id"), base_name(F.col("path")).alias("name"), path.alias("file_path"), F.col("bytes").alias("file_size_bytes"), "duration", "sample_rate",
+        "channels", F.lit("uploaded").alias("status"), F.lit("wav").alias("file_format"), F.to_json("tags").alias("metadata_json"), now.alias("created_at"),
+    )
+
+
+def loop_entries(loops: DataFrame) -> DataFrame:
+    """(kind, label, duration, metadata_json): the recording and the sample that a rendered loop adds.
+
+    loops: label, tempo, key, meter, bars, engine, midi_file_id, tail (seconds), tags_json. A loop
+    lasts its beats and the tail; the tags win over what the loop itself says.
+    """
+    about = F.struct("tempo", "key", "bars")
+    whole = F.struct("tempo", "key", "bars", "meter", "engine", "midi_file_id", F.lit("generated_loop").alias("source"))
+    seconds = bars_to_beats(F.col("bars"), F.col("meter")) * 60.0 / F.col("tempo") + F.col("tail")
+    entry = lambda kind, made, length: F.struct(F.lit(kind).alias("kind"), "label", length.alias("duration"), tags.merge(F.to_json(made), F.col("tags_json")).alias("metadata_json"))
+    both = F.array(entry("recording", whole, F.lit(None).cast("double")), entry("sample", about, seconds.cast("double")))
+    return loops.select(F.explode(both).alias("e")).select("e.*")

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterable, Iterator
+from pathlib import Path
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tags
+from ..schema import check_enum
 from ..functions.text import sanitize
 
 
@@ -46,3 +52,107 @@ def preset_xml(rows: list[dict]) -> str:
             groups[r["group"]] = ElementTree.SubElement(holder, "group", name=r["group"], loVel=str(r["lo_vel"]), hiVel=str(r["hi_vel"]))
         ElementTree.SubElement(groups[r["group"]], "sample", path=r["path"], rootNote=str(r["root_note"]), loNote=str(r["lo_key"]), hiNote=str(r["hi_key"]))
     return ElementTree.tostring(root, encoding="unicode")
+
+
+def preset_files(rows: DataFrame, key: str = "project_id") -> DataFrame:
+    """(key, xml): a preset of each instrument. rows: key and the fields of preset_xml; a group's zones go by root note and path."""
+    fields = ("group", "lo_vel", "hi_vel", "root_note", "path", "lo_key", "hi_key")
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([preset_xml(r) for r in b.column(1).to_pylist()], pa.string())], names=[b.schema.names[0], "xml"])
+
+    packed = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("rows"))
+    return packed.mapInArrow(run, f"{key} {kind}, xml string")
+
+
+class _Parts(io.RawIOBase):
+    """A file that is only written to, taken away part by part."""
+
+    def __init__(self) -> None:
+        self.held = bytearray()
+
+    def writable(self) -> bool:
+        return True
+
+    def write(self, data) -> int:
+        self.held += data
+        return len(data)
+
+    def take(self) -> bytes:
+        out = bytes(self.held)
+        self.held.clear()
+        return out
+
+
+def kit_parts(files: DataFrame, key: str = "project_id", part_bytes: int = 8 << 20) -> DataFrame:
+    """(key, part, body): each project's kit as a deflated zip, in parts to be joined by number.
+
+    files: key, path, content (null is left out). A zip is one stream, so a project is written by
+    one task, but no more than a file and a part are held at a time.
+    """
+    kind = files.schema[key].dataType.simpleString()
+    stamp = (1980, 1, 1, 0, 0, 0)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = archive = sink = None
+        part = 0
+
+        def cut() -> Iterator[pa.RecordBatch]:
+            nonlocal part
+            yield pa.RecordBatch.from_arrays([own, pa.array([part], pa.int32()), pa.array([sink.take()], pa.binary())], names=[key, "part", "body"])
+            part += 1
+
+        for b in batches:
+            for i in range(b.num_rows):
+                at = b.column(0).slice(i, 1)
+                if own is None or at[0] != own[0]:
+                    if archive is not None:
+                        archive.close()
+                        yield from cut()
+                    own, sink, part = at, _Parts(), 0
+                    archive = zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED)
+                archive.writestr(zipfile.ZipInfo(b.column(1)[i].as_py(), stamp), b.column(2)[i].as_py(), zipfile.ZIP_DEFLATED)
+                if len(sink.held) >= part_bytes:
+                    yield from cut()
+        if archive is not None:
+            archive.close()
+            yield from cut()
+
+    rows = files.where("content IS NOT NULL AND path IS NOT NULL").select(key, "path", F.col("content").cast("binary").alias("content"))
+    return rows.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, "path").mapInArrow(run, f"{key} {kind}, part int, body binary")
+
+
+def save_kits(parts: DataFrame, folder: str, key: str = "project_id") -> list[str]:
+    """Download kits to a folder of the driver, a part at a time; the zip files written, by key."""
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    done: list[str] = []
+    for r in parts.orderBy(key, "part").toLocalIterator():
+        path = Path(folder) / f"{r[key]}.zip"
+        with path.open("ab" if r["part"] else "wb") as f:
+            f.write(r["body"])
+        if not r["part"]:
+            done.append(str(path))
+    return done
+
+
+def midi_content(file_data: Column) -> Column:
+    """The bytes of a MIDI file that is kept as base64 text."""
+    return F.unbase64(file_data.cast("string"))
+
+
+#: Folders below a project's own.
+FOLDERS = {
+    "virtual_instrument": ("samples", "samples/raw", "samples/processed", "samples/mapped", "presets", "exports", "midi", "metadata"),
+    "sample_pack": ("samples", "exports", "midi"),
+    "construction_kit": ("samples", "exports", "midi"),
+}
+
+
+def project_folders(projects: DataFrame, base: str) -> DataFrame:
+    """(project_id, path): the folders that each project wants; an unknown project_type fails."""
+    checked = check_enum(projects, "project_type", "project_type")
+    of = F.create_map(*[x for k, v in FOLDERS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    each = checked.select(F.col("id").alias("project_id"), F.explode(F.coalesce(F.try_element_at(of, F.col("project_type")), F.array(*map(F.lit, FOLDERS["sample_pack"])))).alias("f"))
+    return each.select("project_id", F.concat(F.lit(f"{base}/project_"), F.col("project_id").cast("string"), F.lit("/"), F.col("f")).alias("path"))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arithmetic import bar_fit, bar_seconds, clamp, overlap_ratio
+from ..functions import dsp
+from ..functions.arithmetic import bar_fit, bar_seconds, clamp, overlap_ratio, seconds_to_samples
+from .audio import beat_times
 
 BAR_COUNTS = (1, 2, 4, 8, 16)
 # The scores and their weights.
@@ -93,3 +99,51 @@ def select_best(scored: DataFrame, key: str = "recording_id", n: int = 5, least:
 
     best = grouped.select(key, F.posexplode(F.aggregate("all", empty, step)).alias("at", "c"))
     return best.select(key, (F.col("at") + 1).alias("rank"), "c.idx", "c.start_time", "c.end_time", "c.score")
+
+
+_HEARD = ("spectral_similarity", "zero_crossing_cleanliness", "rms_energy_consistency", "onset_regularity", "spectral_stability")
+
+
+def candidates(timed: DataFrame, key: str = "recording_id") -> DataFrame:
+    """(key, bars, start_time, end_time): bar pairs of beats, or the bar grid where there are fewer than four. timed: see audio.beat_times."""
+    few = F.size("beats") < 4
+    rows = timed.where(~few).select(key, "bpm", F.posexplode("beats").alias("i", "t"))
+    return bar_pairs(rows, key).select(key, "bars", "start_time", "end_time").unionByName(grid_candidates(timed.where(few).select(key, "duration", "bpm"), key))
+
+
+def heard(buffers: DataFrame, found: DataFrame, key: str = "recording_id") -> DataFrame:
+    """found (key, idx, loop_start, loop_end) with the five scores that need the audio; empty candidates are left out.
+
+    A recording's candidates are few by the search's cap, so they travel as one array beside its samples.
+    """
+    kind = buffers.schema[key].dataType.simpleString()
+    packed = found.where("loop_end > loop_start").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("idx", "loop_start", "loop_end"))).alias("c"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, (rate, y, rows) in enumerate(zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True)):
+                y = np.array(y or [], float)
+                scores = np.array([dsp.loop_features(y, rate, r["loop_start"], min(len(y), r["loop_end"])) for r in rows])
+                own = b.column(0).take(pa.array([i] * len(rows), pa.int64()))
+                yield pa.RecordBatch.from_arrays([own, pa.array([r["idx"] for r in rows], pa.int32()), *map(pa.array, scores.T.copy())], names=[b.schema.names[0], "idx", *_HEARD])
+
+    kinds = f"{key} {kind}, idx int, " + ", ".join(f"{n} double" for n in _HEARD)
+    return buffers.select(key, F.col("sample_rate").cast("int"), "samples").join(packed, key).mapInArrow(run, kinds)
+
+
+def search(buffers: DataFrame, timed: DataFrame | None = None, key: str = "recording_id", n: int = 5, least: float = 0.3, overlap: float = 0.5, weights: dict[str, float] | None = None) -> DataFrame:
+    """(key, rank, loop_start, loop_end, start_time, end_time, bars, bpm, confidence): the best loops of each recording.
+
+    buffers: key, sample_rate, samples. timed (see audio.beat_times) is read several times: give a
+    written table of it for long audio. Recordings without candidates have no row.
+    """
+    timed = beat_times(buffers, key) if timed is None else timed
+    order = F.row_number().over(Window.partitionBy(key).orderBy("bars", "start_time", "end_time")) - 1
+    each = candidates(timed, key).withColumn("idx", order).join(timed, key)
+    placed = each.withColumns({"loop_start": seconds_to_samples(F.col("start_time"), F.col("sample_rate")), "loop_end": seconds_to_samples(F.col("end_time"), F.col("sample_rate"))})
+    length = (F.col("end_time") - F.col("start_time")) / bar_seconds(F.col("bpm"))
+    by_time = {"beat_alignment": beat_alignment(F.col("start_time"), F.col("end_time"), F.col("beats")), "duration_quantization": duration_score(length, F.col("bpm"))}
+    known = placed.withColumns(by_time).drop("beats", "duration").join(heard(buffers, placed.select(key, "idx", "loop_start", "loop_end"), key), [key, "idx"])
+    scored = known.withColumn("score", overall({name: F.col(name) for name in WEIGHTS}, weights))
+    best = select_best(scored.select(key, "idx", "start_time", "end_time", "score"), key, n, least, overlap)
+    return best.join(scored.select(key, "idx", "loop_start", "loop_end", length.alias("bars"), "bpm"), [key, "idx"]).select(key, "rank", "loop_start", "loop_end", "start_time", "end_time", "bars", "bpm", F.col("score").alias("confidence"))

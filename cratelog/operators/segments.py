@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import signal
 from ..functions.text import slice_name
 
 
@@ -113,3 +114,11 @@ def propose_cuts(stats: DataFrame) -> DataFrame:
         ((pick("kick", "mean_centroid") + pick("snare", "mean_centroid")) / 2).alias("kick_centroid"), ((pick("snare", "mean_centroid") + pick("hihat", "mean_centroid")) / 2).alias("hat_centroid"),
         (pick("kick", "max_flatness") * 1.2).alias("kick_flatness"), (pick("snare", "min_flatness") * 0.9).alias("snare_flatness"),
     )
+
+
+def measured(made: DataFrame, buffers: DataFrame, key: str = "recording_id", least: int = 1024) -> DataFrame:
+    """Slices with their samples, score and quality report, cut from buffers (key, sample_rate, samples); the name is the file's."""
+    cut = made.join(buffers.select(key, "sample_rate", F.col("samples").alias("__y")), key)
+    cut = cut.withColumn("samples", F.slice("__y", (F.col("first_sample") + 1).cast("int"), (F.col("last_sample") - F.col("first_sample")).cast("int"))).drop("__y")
+    out = cut.withColumn("quality_report", signal.quality_report(F.col("samples"), least=least))
+    return out.withColumns({"score": F.col("quality_report.score"), "file_path": F.concat("name", F.lit(".wav"))})

@@ -49,3 +49,31 @@ def best_attempt(attempts: DataFrame, key: str, enough: float = 0.7) -> DataFram
     made = attempts.withColumn("__done", F.coalesce(F.max(F.col("fitness")).over(before) >= enough, F.lit(False))).where("NOT __done").drop("__done")
     first = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("fitness"), "attempt"))
     return made.withColumn("__n", first).where("__n = 1").drop("__n")
+
+
+#: Semitones above the tonic in a natural minor scale.
+SCALE = (0, 2, 3, 5, 7, 8, 10)
+TICKS = 960
+
+
+def variations(jobs: DataFrame, count: int = 4) -> DataFrame:
+    """Each job count times, with label and seed of its own. jobs: label, seed."""
+    each = jobs.withColumn("variation", F.explode(F.sequence(F.lit(1), F.lit(count))))
+    return each.withColumns({"label": F.concat("label", F.lit("_var"), F.col("variation")), "seed": (F.col("seed") + F.col("variation") - 1).cast("bigint")})
+
+
+def stand_in_notes(jobs: DataFrame, voices: int = 1, density: float = 0.7, root: int = 48) -> DataFrame:
+    """jobs' rows with a note each (kind, voice, start, dur, pitch, velocity, loop_len, whole): random loops for tests and dry runs.
+
+    A stand-in for an external generator, not a copy of any. jobs: seed, beats. Eighth notes of a
+    scale are drawn by a hash of seed, voice and step, so a seed always gives the same loop.
+    """
+    step = TICKS // 2
+    grid = jobs.select("*", F.explode(F.sequence(F.lit(0), F.lit(voices - 1))).alias("voice")).where("beats > 0").select("*", F.explode(F.sequence(F.lit(0), (F.col("beats") * 2 - 1).cast("int"))).alias("step"))
+    draw = lambda what, n: F.pmod(F.xxhash64("seed", "voice", "step", F.lit(what)), F.lit(n))
+    kept = grid.where(draw("there", 1000) < int(density * 1000))
+    pitch = F.lit(root) + F.col("voice") * 12 + F.element_at(F.array(*map(F.lit, SCALE)), (draw("pitch", len(SCALE)) + 1).cast("int"))
+    return kept.withColumns({
+        "kind": F.lit("note"), "start": (F.col("step") * step).cast("bigint"), "dur": ((draw("length", 2) + 1) * step).cast("bigint"), "pitch": pitch.cast("int"),
+        "velocity": (draw("velocity", 48) + 64).cast("int"), "loop_len": (F.col("beats") * TICKS).cast("bigint"), "whole": F.lit(4 * TICKS).cast("bigint"),
+    }).drop("step")

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import dsp
+from ..functions.text import clip_text
+
 IDEAL_COUNTS = (2, 4, 8, 16, 32, 64)
 SILENCE_MS = 75.0
 
@@ -52,3 +59,55 @@ def layout(rows: DataFrame, key: str, order: tuple[str, ...], length: str, silen
     before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.col(length) + silence).over(before), F.lit(0))
     return rows.withColumn("out_start", start.cast("bigint")).withColumn("out_end", (F.col("out_start") + F.col(length)).cast("bigint"))
+
+
+def repair(files: DataFrame, key: str = "file_id", silence_ms: float = SILENCE_MS, reach_ms: float = 10.0) -> DataFrame:
+    """(key, sample_rate, samples, stabs): stabs moved to zero crossings and laid out with silence between them.
+
+    files: key, sample_rate, samples, stabs (array of start_sample and end_sample, in order). A stab
+    that a move leaves without length gets 10 ms, if the audio has them; others without are dropped.
+    Silence follows every stab left but the last of those given. A file without usable stabs stays as it is.
+    """
+    kind = files.schema[key].dataType.simpleString()
+    stab = pa.list_(pa.struct([("start_sample", pa.int64()), ("end_sample", pa.int64()), ("duration_ms", pa.float64())]))
+
+    def moved(y: np.ndarray, rate: int, first: int, last: int) -> tuple[int, int]:
+        first = max(0, min(first, len(y) - 1))
+        last = max(first, min(last, len(y)))
+        if last > first:
+            reach = int(reach_ms / 1000 * rate) // 2
+            first, last = dsp.crossing_near(y, first, reach), dsp.crossing_near(y, last, reach)
+            if last <= first:
+                last = min(first + int(0.01 * rate), len(y))
+        return first, last
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, (rate, y, rows) in enumerate(zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True)):
+                y, parts, at, out = np.array(y or [], float), [], 0, []
+                quiet = np.zeros(int(silence_ms / 1000 * rate))
+                for n, r in enumerate(rows or []):
+                    first, last = moved(y, rate, r["start_sample"], r["end_sample"])
+                    if last <= first:
+                        continue
+                    parts.append(y[first:last])
+                    out.append({"start_sample": at, "end_sample": at + last - first, "duration_ms": (last - first) / rate * 1000})
+                    at += last - first
+                    if n < len(rows) - 1:
+                        parts.append(quiet)
+                        at += len(quiet)
+                whole = np.concatenate(parts) if parts else y
+                cols = [b.column(0).slice(i, 1), pa.array([rate], pa.int32()), pa.array([whole], pa.list_(pa.float64())), pa.array([out], stab)]
+                yield pa.RecordBatch.from_arrays(cols, names=[b.schema.names[0], "sample_rate", "samples", "stabs"])
+
+    given = files.select(key, F.col("sample_rate").cast("int"), "samples", "stabs")
+    return given.mapInArrow(run, f"{key} {kind}, sample_rate int, samples array<double>, stabs array<struct<start_sample:bigint,end_sample:bigint,duration_ms:double>>")
+
+
+def comment(stabs: Column, average_silence_ms: Column, issues: Column) -> Column:
+    """The text that goes into a repaired file's comment tag."""
+    return F.concat_ws(
+        "; ", F.concat(F.lit("Stabs: "), stabs.cast("string")),
+        F.when(average_silence_ms.isNotNull(), F.format_string("Average silence: %.1f ms", average_silence_ms)),
+        F.when(F.size(issues) > 0, F.concat(F.lit("Issues: "), F.array_join(F.transform(issues, clip_text), ", "))),
+    )

@@ -6,11 +6,11 @@ import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clip_text
-from ..operators import segments
+from ..operators import audio, loops, segments
 
 #: Kinds of tables that stages pass on.
 FILE, AUDIO, ONSETS, SEGMENTS, SLICES, SAMPLES, LOOPS = "file_path", "audio", "onset_times", "segments", "slice_points", "list_of_sample_data", "loop_candidates"
@@ -92,25 +92,88 @@ def _classify(rows: DataFrame, **p) -> DataFrame:
 
 
 def _as_points(rows: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
     idx = F.row_number().over(Window.partitionBy("recording_id").orderBy("start_time", "end_time")) - 1
     return rows.withColumn("idx", idx).withColumn("type", F.coalesce("type", F.lit("one_shot")))
 
 
-def segmentation(recordings: DataFrame | None = None) -> Registry:
-    """The stages from onsets to checked slices. recordings: see segments.slices."""
-    return Registry(
+#: The order of the whole segmentation.
+INTELLIGENT_SLICING = [{"stage_name": n} for n in ("slice_planning", "segment_classification", "slice_points", "slicing")]
+
+
+def segmentation(recordings: DataFrame | None = None, buffers: DataFrame | None = None) -> Registry:
+    """The stages from audio to checked slices and loops. recordings: see segments.slices; buffers: recording_id, sample_rate, samples.
+
+    Audio is rows of recording_id, sample_rate and samples.
+    """
+    made = Registry(
+        Stage("noise_reduction", AUDIO, AUDIO, lambda df, **p: audio.gated(df, **p), {"amount": 1.0, "threshold_db": -60.0, "auto_threshold": True}),
+        Stage("onset_detection", AUDIO, ONSETS, lambda df: audio.onset_rows(audio.features(df, "recording_id"), "recording_id")),
+        Stage("loop_detection", AUDIO, LOOPS, lambda df, **p: loops.search(df, **p), {"n": 5, "least": 0.3, "overlap": 0.5}),
         Stage("slice_planning", ONSETS, SEGMENTS, lambda df, project_type: segments.plan(segments.numeric_onsets(df), project_type), {"project_type": "sample_pack"}),
         Stage("segment_classification", SEGMENTS, SEGMENTS, _classify),
         Stage("slice_points", SEGMENTS, SLICES, _as_points),
         Stage("slicing", SLICES, SAMPLES, lambda df, **p: segments.slices(df, recordings, **p)),
+        Stage("quality_measurement", SAMPLES, SAMPLES, lambda df, **p: segments.measured(df, buffers, **p)),
         Stage("quality_control", SAMPLES, SAMPLES, lambda df, **p: segments.quality_control(df, **p), {"reject": True, "least": 0.5}),
     )
 
+    def intelligent(df: DataFrame, **params) -> DataFrame:
+        """params: the parameters of its stages, by their names."""
+        steps = [{"stage_name": "onset_detection"}, *INTELLIGENT_SLICING]
+        return made.run([s | {"params": params.get(s["stage_name"])} for s in steps], df, AUDIO).data
 
-#: The order of the whole segmentation.
-INTELLIGENT_SLICING = [{"stage_name": n} for n in ("slice_planning", "segment_classification", "slice_points", "slicing")]
+    made.add(Stage("intelligent_slicing", AUDIO, SAMPLES, intelligent))
+    return made
+
+
+@dataclass(frozen=True)
+class Workflow:
+    """A named chain, from the kind of table that it takes."""
+
+    name: str
+    takes: str
+    chain: Sequence[Mapping]
+    description: str = ""
+
+
+class Workflows:
+    """Workflows by the snake form of their names; a later one of the same name replaces the earlier."""
+
+    def __init__(self, registry: Registry, *workflows: Workflow):
+        self.registry = registry
+        self.workflows: dict[str, Workflow] = {}
+        for w in workflows:
+            self.add(w)
+
+    def add(self, workflow: Workflow) -> Workflow:
+        if not isinstance(workflow, Workflow):
+            raise TypeError(f"{workflow!r} is not a Workflow")
+        self.workflows[snake(workflow.name)] = workflow
+        return workflow
+
+    def run(self, name: str, data: DataFrame, context: Mapping[str, Mapping] | None = None) -> Result:
+        """One lazy plan. context: parameters by stage, which replace the chain's own."""
+        if snake(name) not in self.workflows:
+            raise ValueError(f"unknown workflow: {name}")
+        w = self.workflows[snake(name)]
+        steps = [s | {"params": {**(s.get("params") or {}), **(context or {}).get(s["stage_name"], {})}} for s in w.chain]
+        return self.registry.run(steps, data, w.takes)
+
+
+def _steps(*names: str) -> list[dict]:
+    return [{"stage_name": n} for n in names]
+
+
+def workflows(recordings: DataFrame | None = None, buffers: DataFrame | None = None) -> Workflows:
+    """The catalogue's workflows over the stages of ``segmentation``."""
+    gate = {"stage_name": "noise_reduction", "params": {"amount": 0.1}}
+    return Workflows(
+        segmentation(recordings, buffers),
+        Workflow("ExampleSlicing", AUDIO, _steps("onset_detection", "slice_planning", "slice_points", "slicing"), "onsets to slices"),
+        Workflow("SamplePack", AUDIO, [gate, *_steps("onset_detection", *(s["stage_name"] for s in INTELLIGENT_SLICING), "quality_measurement", "quality_control")], "noise gate to checked, classified slices"),
+        Workflow("AudioIngestion", AUDIO, _steps("intelligent_slicing"), "classified slices in one stage"),
+        Workflow("LoopSearch", AUDIO, _steps("noise_reduction", "loop_detection"), "the best loops of each recording"),
+    )
 
 
 def issue_report(issues) -> object:
