@@ -109,5 +109,5 @@ def comment(stabs: Column, average_silence_ms: Column, issues: Column) -> Column
     return F.concat_ws(
         "; ", F.concat(F.lit("Stabs: "), stabs.cast("string")),
         F.when(average_silence_ms.isNotNull(), F.format_string("Average silence: %.1f ms", average_silence_ms)),
-        F.when(F.size(issues) > 0, F.concat(F.lit("Issues: "), F.array_join(F.transform(issues, clip_text), ", "))),
+        F.when(F.size(issues) > 0, F.concat(F.lit("Issues: "), F.array_join(F.transform(issues, lambda i: clip_text(i)), ", "))),
     )

@@ -178,4 +178,4 @@ def workflows(recordings: DataFrame | None = None, buffers: DataFrame | None = N
 
 def issue_report(issues) -> object:
     """One comment line of an array of issues, each cut at 100 characters."""
-    return F.array_join(F.transform(issues, clip_text), "; ")
+    return F.array_join(F.transform(issues, lambda i: clip_text(i)), "; ")

@@ -162,3 +162,8 @@ def test_workflows(spark, buffers):
         flows.run("nope", buffers)
     with pytest.raises(TypeError, match="is not a Workflow"):
         flows.add("nope")
+
+
+def test_issue_report(spark):
+    got = spark.range(1).select(chain.issue_report(F.array(F.lit("short"), F.lit("y" * 101))).alias("r")).first().r
+    assert got == "short; " + "y" * 100 + "..."
