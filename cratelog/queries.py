@@ -499,3 +499,52 @@ def capture_sessions(spark: SparkSession, d: str) -> DataFrame:
     from .streaming.capture import sessions
 
     return sessions(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "6 hours").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_at", "last_at")})
+
+
+@query(f"""WITH {_BUF}, q AS (SELECT vec_id, quantile_cont(abs(u), 0.05) AS low FROM (SELECT vec_id, unnest(y) AS u FROM b) GROUP BY vec_id)
+SELECT vec_id, round(20 * log10(sqrt(list_sum(list_transform(y, lambda v: v * v)) / len(y))), 4) AS loudness, CASE WHEN low > 0 THEN round(20 * log10(list_max({_ABS}) / low), 4) ELSE 0 END AS dynamic_range FROM b JOIN q USING (vec_id)""")
+def loudness_range(spark: SparkSession, d: str) -> DataFrame:
+    y = F.col("y")
+    return _buffers(spark, d).select("vec_id", F.round(signal.loudness(y), 4).alias("loudness"), F.round(signal.dynamic_range(y), 4).alias("dynamic_range"))
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'processed' ELSE 'pending' END AS status,
+ '{"prio":"' || o_orderpriority || '"' || CASE WHEN o_orderkey % 3 = 0 THEN ',"quality":1' ELSE '' END || ',"status":"' || CASE WHEN o_orderkey % 3 = 0 THEN 'done' ELSE o_orderstatus END || '"}' AS metadata_json FROM orders""")
+def metadata_update(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders")
+    meta = F.concat(F.lit('{"prio":"'), "o_orderpriority", F.lit('","status":"'), "o_orderstatus", F.lit('"}'))
+    rows = orders.select(F.col("o_orderkey").alias("id"), F.lit("pending").alias("status"), meta.alias("metadata_json"))
+    patch = F.when(F.col("o_orderkey") % 3 == 0, '{"status":"done","quality":1}')
+    patches = orders.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 == 0, "processed").alias("status"), patch.alias("metadata_json"))
+    return catalogue.update(rows, patches)
+
+
+@query("""WITH p AS (SELECT n_nationkey AS id, CASE n_nationkey % 3 WHEN 0 THEN 'virtual_instrument' WHEN 1 THEN 'sample_pack' ELSE 'construction_kit' END AS kind FROM nation),
+f AS (SELECT * FROM (VALUES ('samples', true), ('samples/raw', false), ('samples/processed', false), ('samples/mapped', false), ('presets', false), ('exports', true), ('midi', true), ('metadata', false)) v(folder, everywhere))
+SELECT id AS project_id, '/audio/project_' || id || '/' || folder AS path FROM p JOIN f ON everywhere OR kind = 'virtual_instrument'""")
+def project_folders(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("n_nationkey")
+    kind = F.when(key % 3 == 0, "virtual_instrument").when(key % 3 == 1, "sample_pack").otherwise("construction_kit")
+    return exports.project_folders(table(spark, d, "nation").select(key.alias("id"), kind.alias("project_type")), "/audio")
+
+
+@query("""WITH g AS (SELECT p_partkey AS id, p_size % 7 + 1 AS bars, 60 + p_size AS tempo FROM part), e AS (SELECT * FROM g, (VALUES ('recording'), ('sample')) k(kind))
+SELECT kind, 'loop_' || id AS label, CASE WHEN kind = 'sample' THEN round(bars * 4 * 60.0 / tempo + 2, 6) END AS duration,
+ CASE WHEN kind = 'sample' THEN '{"bars":' || bars || ',"key":"D","tempo":' || tempo || '}' ELSE '{"bars":' || bars || ',"engine":"bass","key":"D","meter":"4/4","midi_file_id":' || id || ',"source":"generated_loop","tempo":' || tempo || '}' END AS metadata_json FROM e""")
+def loop_entries(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part")
+    rows = part.select(
+        F.concat(F.lit("loop_"), "p_partkey").alias("label"), (F.col("p_size") + 60).alias("tempo"), F.lit("C").alias("key"), F.lit("4/4").alias("meter"), (F.col("p_size") % 7 + 1).alias("bars"),
+        F.lit("bass").alias("engine"), F.col("p_partkey").alias("midi_file_id"), F.lit(2.0).alias("tail"), F.lit('{"key":"D"}').alias("tags_json"),
+    )
+    return catalogue.loop_entries(rows).withColumn("duration", F.round("duration", 6))
+
+
+@query("""SELECT p_partkey AS job_id, p_brand AS engine, s_name AS port FROM part JOIN supplier ON s_suppkey = p_partkey % (SELECT max(s_suppkey) FROM supplier) + 1""")
+def render_jobs(spark: SparkSession, d: str) -> DataFrame:
+    suppliers = table(spark, d, "supplier")
+    last = suppliers.agg(F.max("s_suppkey").alias("last"))
+    jobs = table(spark, d, "part").crossJoin(F.broadcast(last)).select(F.col("p_partkey").alias("job_id"), F.col("p_partkey").alias("generation_id"), (F.col("p_partkey") % F.col("last") + 1).alias("rendering_id"))
+    generation = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("engine_id"))
+    rendering = suppliers.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("midi_port"))
+    return catalogue.render_jobs(jobs, generation, rendering).select("job_id", F.col("generation.engine_id").alias("engine"), F.col("rendering.midi_port").alias("port"))
