@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from itertools import combinations
-from math import acos, ceil, comb, log, log2, pi, sqrt
+from math import acos, ceil, comb, log, log2, pi
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ from .common import checkpoint, mix, text_slices
 
 SEED = 42
 #: 64-bit words of a signature for estimating similarity.
-WORDS = 4
+WORDS = 8
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -65,9 +65,9 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 
 
 def signature(text: bytes, shingle: int = 5, words: int = WORDS) -> list[int]:
-    """Several fingerprints of the same shingles, each once, by other bits of theirs."""
+    """Several fingerprints of the same shingles, each once, by other bits of theirs; last, how many shingles there are."""
     h = np.unique(shingle_hashes(text, shingle))
-    return [majority(mix(h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64)))) for k in range(words)]
+    return [*(majority(mix(h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64)))) for k in range(words)), len(h)]
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, name: str = "fp") -> DataFrame:
@@ -295,12 +295,27 @@ def flip_share(similarity: float) -> float:
     return acos(2 * similarity / (1 + similarity)) / pi
 
 
+def near_signatures(a: np.ndarray, b: np.ndarray, similarity: float, grace: float = 1.5) -> np.ndarray:
+    """Which pairs of signatures are of sets whose Jaccard similarity can be that high.
+
+    The numbers of shingles bound it exactly (the smaller over the larger), and tell the angle of
+    two such sets; the differing bits are let exceed what is expected there by ``grace`` standard deviations.
+    """
+    bits = 64 * WORDS
+    m, n = (x[:, WORDS].astype(float) for x in (a, b))
+    least, most = np.minimum(m, n), np.maximum(m, n)
+    cosine = similarity * (m + n) / ((1 + similarity) * np.sqrt(np.maximum(m * n, 1)))
+    share = np.arccos(np.clip(cosine, 0, 1)) / np.pi
+    differ = np.bitwise_count(a[:, :WORDS] ^ b[:, :WORDS]).sum(axis=1, dtype=np.int64)
+    return (least >= similarity * most) & (differ <= bits * share + grace * np.sqrt(bits * share * (1 - share)))
+
+
 def similar_links(nodes: DataFrame, count: int, similarity: float = 0.8, recall: float = 0.95, errors: int = 3) -> DataFrame:
     """(a, b): spanning links of the ids of signatures whose estimated similarity is high enough.
 
-    nodes: id and sig (array of WORDS longs). Bands of bits are drawn from the signature. Two that
+    nodes: id and sig (see signature). Bands of bits are drawn from the signature. Two that
     differ in at most ``errors`` bits of a band agree in one of its blocks, where the band's trie
-    is joined; all bits then decide, with 1.5 standard deviations of grace. Blocks widen with the
+    is joined; all bits and the sets' sizes then decide (see near_signatures). Blocks widen with the
     count, so tries stay small, and so many bands are drawn that ``recall`` of the pairs at the
     similarity itself share one.
     """
@@ -309,13 +324,12 @@ def similar_links(nodes: DataFrame, count: int, similarity: float = 0.8, recall:
     band = width * (errors + 1)
     hit = sum(comb(band, k) * flip**k * (1 - flip) ** (band - k) for k in range(errors + 1))
     bands = max(1, ceil(log(1 - recall) / log(1 - hit)))
-    limit = int(bits * flip + 1.5 * sqrt(bits * flip * (1 - flip)))
     places = [np.random.default_rng(t).choice(bits, band, replace=False) for t in range(bands)]
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, sig = b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(-1, WORDS)
-            raw = np.unpackbits(np.ascontiguousarray(sig).view(np.uint8), axis=1)
+            ids, sig = b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(-1, WORDS + 1)
+            raw = np.unpackbits(np.ascontiguousarray(sig[:, :WORDS]).view(np.uint8), axis=1)
             for t, at in enumerate(places):
                 own = np.zeros((len(ids), 64), np.uint8)
                 own[:, :band] = raw[:, at]
@@ -336,7 +350,7 @@ def similar_links(nodes: DataFrame, count: int, similarity: float = 0.8, recall:
             run_no = np.cumsum(np.r_[False, g[1:] != g[:-1]])[:cut]
             order = np.lexsort((v[:cut], run_no))
             own, ids = sig[:cut][order], i[:cut][order]
-            near = lambda a, b: np.bitwise_count(own[a] ^ own[b]).sum(axis=1, dtype=np.int64) <= limit
+            near = lambda a, b: near_signatures(own[a], own[b], similarity)
             at = trie_join(run_no[order], np.zeros(cut, np.int8), v[:cut][order], errors, levels=band, near=near)
             far = np.flatnonzero(at != np.arange(cut))
             yield pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[at[far]])], names=["a", "b"])
@@ -344,7 +358,7 @@ def similar_links(nodes: DataFrame, count: int, similarity: float = 0.8, recall:
 
         for b in batches:
             if b.num_rows:
-                sig = b.column(3).flatten().to_numpy().reshape(-1, WORDS).view(np.uint64)
+                sig = b.column(3).flatten().to_numpy().reshape(-1, WORDS + 1).view(np.uint64)
                 held.append((b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy(), sig))
                 if sum(len(h[0]) for h in held) > 100_000:
                     yield from joined(False)
@@ -358,7 +372,7 @@ def similar_links(nodes: DataFrame, count: int, similarity: float = 0.8, recall:
 def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of similar texts: that of the smallest doc_id (null last), then of the smallest text hash.
 
-    Similarity is that of the sets of word runs, estimated from 256-bit signatures; groups are the
+    Similarity is that of the sets of word runs, estimated from 512-bit signatures; groups are the
     components of similar texts.
     """
     keyed = docs.withColumn("__text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
@@ -367,12 +381,12 @@ def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = np.zeros((b.num_rows, WORDS), np.uint64)
+            out = np.zeros((b.num_rows, WORDS + 1), np.uint64)
             for first, end, data, offsets in text_slices(b.column(2)):
                 raw = data.tobytes()
                 for k in range(end - first):
                     out[first + k] = signature(raw[offsets[k] : offsets[k + 1]], shingle)
-            sig = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * WORDS), pa.array(out.view(np.int64).ravel()))
+            sig = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * (WORDS + 1)), pa.array(out.view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sig], names=["doc_id", "k", "sig"])
 
     own = rows.mapInArrow(sign, f"doc_id {kind}, k long, sig array<long>")
