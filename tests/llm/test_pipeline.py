@@ -82,3 +82,50 @@ def test_representatives_of_repeated_rows(spark):
 def test_run_packs_everything(spark):
     got = corpus_pipeline.run(spark, D)
     assert got.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(got.columns)
+
+
+def _versions(r, n, changed):
+    """Two texts of n words, the second with the words at some places changed."""
+    words = [f"w{x}" for x in r.integers(0, 1 << 40, n)]
+    other = [f"v{x}" if i in changed else x for i, x in enumerate(words)]
+    return " ".join(words), " ".join(other)
+
+
+def test_representatives_at_the_similarity_itself(spark):
+    """304 words are 300 runs: 265 of 335 shared are 0.791, 267 of 333 are 0.802."""
+    from cratelog.llm import simhash
+
+    r, texts, links = np.random.default_rng(5), [], []
+    for k in range(40):
+        texts += _versions(r, 304, set(range(20, 300, 45)) if k % 2 else {20, 60, 100, 140, 180, 220, 303, 302, 301})
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id for x in simhash.representatives(frame).collect()}
+    exact = lambda a, b: len(plain.runs(a) & plain.runs(b)) / len(plain.runs(a) | plain.runs(b))
+    for k in range(40):
+        links.append(exact(texts[2 * k], texts[2 * k + 1]))
+        assert 2 * k in got
+        if links[-1] < 0.8:
+            assert 2 * k + 1 in got
+    high = [2 * k + 1 for k, x in enumerate(links) if x >= 0.8]
+    assert 0.77 < max(x for x in links if x < 0.8) and min(x for x in links if x >= 0.8) < 0.82 and len(high) == 20
+    assert sum(x in got for x in high) <= 3  # the bands propose 0.95 of them by design
+
+
+def test_torn_components_are_compared_again(spark):
+    """What a pair of under 0.8 seemed to link is still linked where other pairs are of 0.8."""
+    from cratelog.llm import simhash
+
+    r, texts = np.random.default_rng(6), []
+    words = [f"w{x}" for x in r.integers(0, 1 << 40, 304)]
+    for _ in range(60):  # a family of versions at about 0.62 to 0.9 of each other
+        own = list(words)
+        for i in r.choice(304, r.integers(1, 6), replace=False):
+            own[i] = f"v{r.integers(1 << 40)}"
+        texts.append(" ".join(own))
+    sets = [plain.runs(t) for t in texts]
+    alike = [[len(a & b) / len(a | b) >= 0.8 for b in sets] for a in sets]
+    parent = list(range(len(texts)))
+    for _ in parent:
+        parent = [min(parent[j] for j in range(len(texts)) if alike[i][j]) for i in range(len(texts))]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x.doc_id for x in simhash.representatives(frame).collect()} == set(parent)
