@@ -12,8 +12,8 @@ import itertools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cratelog.llm import decontam, packing, secrets, simhash, toxicity
-from cratelog.llm.common import checkpoint_folder, read_table
+from cratelog.llm import decontam, neardup, packing, secrets, toxicity
+from cratelog.llm.common import checkpoint_folder, fresh, read_table
 
 TOXIC = 0.7
 _runs = itertools.count()
@@ -22,18 +22,20 @@ _runs = itertools.count()
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored under the threshold; learns from the labels of those at hand."""
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"), "toxic", F.lit(True))
-    return toxicity.score(docs, model, "__toxicity").where(F.col("__toxicity") < TOXIC).select(*docs.columns)
+    (name,) = fresh(docs, "toxicity")
+    return toxicity.score(docs, model, name).where(F.col(name) < TOXIC).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each group of copies and near copies: five-word runs, similarity from 0.8."""
-    return simhash.representatives(docs, shingle=5, similarity=0.8)
+    return neardup.representatives(docs, shingle=5, similarity=0.8)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
-    found = decontam.scan(docs, read_table(spark, sf_dir, "benchmark"), 10)
-    return found.where(F.size("contaminated_spans") == 0).select(*docs.columns)
+    names = fresh(docs, "n_words", "contaminated_spans", "contaminated_items")
+    found = decontam.scan(docs, read_table(spark, sf_dir, "benchmark"), 10, names=tuple(names))
+    return found.where(F.size(names[1]) == 0).select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

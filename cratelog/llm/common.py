@@ -35,6 +35,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df doesn't have, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def in_fold(key: str, folds: int, fold: int) -> Column:
     """True if crc32 of the key's text leaves ``fold``; a null key is in no fold."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds == fold, F.lit(False))
@@ -141,9 +152,14 @@ def one_thread() -> None:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder for reliable checkpoints and written intermediate tables."""
+    """The shared folder for reliable checkpoints and written intermediate tables, as the session names it.
+
+    Where none is named, a local session gets a folder of its own; a cluster must name one.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -6,21 +6,26 @@ strings of similar length, a table tells by the last block of the search window
 window can move without missing one; where it can't, the block's bucket lists the test strings
 that end so, and direct comparison decides.
 
-Test strings are broadcast in parts of at most ``part_bytes``: a benchmark of usual size is one
-part and the search one map-only stage; a larger one takes one pass over the documents a part.
-Null or wordless texts and items match nothing; items without id take no part.
+Test strings are broadcast in parts of about ``part_bytes``: a benchmark of usual size is one part and the
+search one map-only stage. A larger one takes a pass over the texts a part; a pass gives only
+what was hit, once for each different text, and these meet the documents in one join.
+
+Null or wordless texts and items match nothing; items without id take no part, repeated ones count
+once. Repeated documents come out once each, empty tables give none. Texts are taken whole.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import checkpoint, text_slices
+from .common import checkpoint, fresh, text_slices
 
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 SPANS = "array<struct<first:bigint,last:bigint>>"
@@ -30,6 +35,18 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_WORDS).split()
 
 
+def spaced(text: bytes, piece: int = 1 << 20) -> bytes:
+    """The words of a text between single spaces; a long text's in pieces, so their list stays short."""
+    parts, first = [], 0
+    while first < len(text):
+        end = first + piece
+        while end < len(text) and _WORDS[text[end]] != 32:
+            end += 1
+        parts += [x] if (x := b" ".join(words_of(text[first:end]))) else []
+        first = end
+    return b" %b " % b" ".join(parts) if parts else b""
+
+
 class WuManber:
     """Test strings, grouped so that within a group the longest is at most about twice the shortest."""
 
@@ -99,61 +116,89 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _pass(docs: DataFrame, items: dict[bytes, list[str]]) -> DataFrame:
-    """Add the occurrences of one part's test strings to the spans and items found before."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-    names = [f.name for f in docs.schema][:-3]
+_built: dict[str, WuManber] = {}
+
+
+def _search(token: str, items: dict[bytes, list[str]]) -> WuManber:
+    """The tables of one part, built once in a Python worker; only the last part's are kept."""
+    if token not in _built:
+        _built.clear()
+        _built[token] = WuManber(list(items))
+    return _built[token]
+
+
+def occurrences(text: bytes, search: WuManber, items: dict[bytes, list[str]]) -> tuple[int, list[tuple[int, int]], set[str]]:
+    """(words, spans of words, ids of items) for one text."""
+    text = spaced(text)
+    own, ids, at, word = [], set(), 0, 0
+    for begin, s in search.find(text):
+        if begin < at:
+            at = word = 0
+        word += text.count(b" ", at, begin)
+        at = begin
+        own.append((word, word + s.count(b" ") - 1))
+        ids.update(items[s])
+    return max(text.count(b" ") - 1, 0), own, ids
+
+
+def _part(windows: DataFrame, parts: int, k: int):
+    """A broadcast of (token, {window: ids of items}) for one part of the windows."""
+    items: dict[bytes, list[str]] = {}
+    for r in windows.where(F.pmod(F.xxhash64("window", "item_id"), F.lit(parts)) == k).toLocalIterator():
+        items.setdefault(bytes(r["window"]), []).append(r["item_id"])
+    return windows.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, items))
+
+
+def _scanned(docs: DataFrame, shared, names: tuple[str, str, str], hits_only: bool) -> DataFrame:
+    """docs with words, spans and items of one part's windows; docs' last column is the text."""
+    kinds = T.StructType([*docs.schema.fields[:-1], *([] if hits_only else docs.schema.fields[-1:]), T.StructField(names[0], T.LongType())])
+    kinds = kinds.add(names[1], T.ArrayType(T.StructType().add("first", T.LongType()).add("last", T.LongType()))).add(names[2], T.ArrayType(T.StringType()))
+    lists = [pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])), pa.list_(pa.string())]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, search = shared.value, WuManber(list(shared.value))
+        token, items = shared.value
+        search = _search(token, items)
         for b in batches:
             if not b.num_rows:
                 continue
             spans, found, count = [], [], np.zeros(b.num_rows, np.int64)
-            old_spans, old_items = b.column(b.num_columns - 2), b.column(b.num_columns - 1)
-            for first, end, data, offsets in text_slices(b.column(b.schema.get_field_index("text"))):
+            for first, end, data, offsets in text_slices(b.column(b.num_columns - 1)):
                 raw = data.tobytes()
                 for k in range(end - first):
-                    words = words_of(raw[offsets[k] : offsets[k + 1]])
-                    count[first + k] = len(words)
-                    text = b" %b " % b" ".join(words)
-                    own, ids, at, word = [], set(), 0, 0
-                    for begin, s in search.find(text):
-                        if begin < at:
-                            at = word = 0
-                        word += text.count(b" ", at, begin)
-                        at = begin
-                        own.append((word, word + s.count(b" ") - 1))
-                        ids.update(items[s])
-                    if own:
-                        own += [(x["first"], x["last"]) for x in old_spans[first + k].as_py()]
-                        ids.update(old_items[first + k].as_py())
-                        spans.append([{"first": x, "last": y} for x, y in _merge(own)])
-                        found.append(sorted(ids))
-                    else:
-                        spans.append(old_spans[first + k].as_py())
-                        found.append(old_items[first + k].as_py())
-            kinds = b.schema.types[-2:]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(count), pa.array(spans, kinds[0]), pa.array(found, kinds[1])], names=b.schema.names)
-
-    assert names
-    return docs.mapInArrow(run, docs.schema)
-
-
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, part_bytes: int = 16 << 20) -> DataFrame:
-    """docs with n_words, contaminated_spans (word positions, last exclusive) and contaminated_items (sorted)."""
+                    count[first + k], own, ids = occurrences(raw[offsets[k] : offsets[k + 1]], search, items)
+                    spans.append([{"first": x, "last": y} for x, y in _merge(own)])
+                    found.append(sorted(ids))
+            out = pa.RecordBatch.from_arrays([*(b.columns[:-1] if hits_only else b.columns), pa.array(count), *map(pa.array, (spans, found), lists)], names=kinds.names)
+            yield out.filter(pa.array([bool(x) for x in spans])) if hits_only else out
+
+    return docs.mapInArrow(run, kinds)
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, part_bytes: int = 16 << 20, names: tuple[str, str, str] = ("n_words", "contaminated_spans", "contaminated_items")) -> DataFrame:
+    """docs with the words, contaminated spans (word positions, last exclusive) and contaminated items (sorted) of each text.
+
+    Columns of docs that are named like these are replaced; ``names`` gives other names.
+    """
     windows = test_strings(benchmark, n)
     parts = max(1, -(-(windows.agg(F.sum(F.length("window") + F.length("item_id"))).first()[0] or 0) // part_bytes))
-    if parts > 1:
-        windows = checkpoint(windows)
-    out = docs.withColumns({
-        "n_words": F.lit(0).cast("bigint"), "contaminated_spans": F.array().cast(SPANS), "contaminated_items": F.array().cast("array<string>"),
-    })
+    docs = docs.drop(*names)
+    rest = [c for c in docs.columns if c != "text"]
+    if parts == 1:
+        return _scanned(docs.select(*rest, "text"), _part(windows, 1, 0), names, False).select(*docs.columns, *names)
+
+    windows, (key, check) = checkpoint(windows), fresh(docs.withColumns({c: F.lit(0) for c in names}), "key", "check")
+    keys = {key: F.xxhash64(F.coalesce("text", F.lit(""))), check: F.xxhash64(F.lit(7), F.coalesce("text", F.lit("")))}
+    texts, hits = docs.select("text").withColumns(keys).select(key, check, "text"), None
     for k in range(parts):
-        items: dict[bytes, list[str]] = {}
-        for r in windows.where(F.pmod(F.xxhash64("window"), F.lit(parts)) == k).toLocalIterator():
-            items.setdefault(bytes(r["window"]), []).append(r["item_id"])
-        out = _pass(out, items)
-        if parts > 1:
-            out = checkpoint(out)
-    return out
+        own = _scanned(texts, _part(windows, parts, k), names, True).groupBy(key, check).agg(F.any_value(names[1]).alias(names[1]), F.any_value(names[2]).alias(names[2]))
+        own = checkpoint(own)
+        hits = own if hits is None else hits.unionByName(own)
+    hits = hits.groupBy(key, check).agg(F.flatten(F.collect_list(names[1])).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(names[2])))).alias(names[2]))
+    step = lambda done, s: F.when(
+        (F.size(done) > 0) & (s["first"] <= F.element_at(done, -1)["last"]),
+        F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["first"].alias("first"), F.greatest(F.element_at(done, -1)["last"], s["last"]).alias("last")))),
+    ).otherwise(F.concat(done, F.array(s)))
+    hits = hits.select(key, check, F.aggregate(F.array_sort("spans"), F.array().cast(SPANS), step).alias(names[1]), names[2])
+    counted = _scanned(docs.select(*rest, "text"), docs.sparkSession.sparkContext.broadcast(("", {})), names, False).drop(names[1], names[2]).withColumns(keys)
+    joined = counted.join(hits, [key, check], "left")
+    return joined.withColumns({names[1]: F.coalesce(names[1], F.array().cast(SPANS)), names[2]: F.coalesce(names[2], F.array().cast("array<string>"))}).select(*docs.columns, *names)

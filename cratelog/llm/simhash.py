@@ -10,33 +10,30 @@ fingerprints link if at most ``bits`` of their 64 bits differ. Only distinct fin
 3. Each trie returns a spanning star for each of its components, not all links, and alternating
    large-star and small-star rounds join these to components over all blocks.
 
-For similarity rather than a count of bits (``representatives``), several fingerprints of five-word
-runs make a signature; tries of bands of its bits propose pairs, and the sets of runs decide.
+A block's trie that holds more than ``trie_rows`` fingerprints is cut into blocks, whose pairs
+are joined as groups of their own, so that no task holds a hot trie.
 
-A block's trie that holds more than ``trie_rows`` fingerprints is split by the next bits: pairs
-of subtrees within the budget become groups of their own, so that no task holds a hot trie.
+Module neardup builds on this for similarity rather than a count of bits.
 
 Null and wordless texts have fingerprint 0, which links like any other. A null doc_id never
-becomes a component's id unless all of its documents have none.
+becomes a component's id unless all of its documents have none. Repeated rows are one fingerprint
+and come out once each; empty tables give none; a text is taken whole, whatever its length. Other
+columns than ``keep`` play no part, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import combinations
-from math import acos, ceil, comb, log, log2, pi
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, mix, text_slices
+from .common import checkpoint, text_slices
 
 SEED = 42
-#: 64-bit words of a signature for estimating similarity.
-WORDS = 8
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -64,15 +61,6 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return majority(shingle_hashes(text, shingle))
 
 
-def signature(text: bytes, shingle: int = 5, words: int = WORDS) -> list[int]:
-    """Several fingerprints of the same shingles, each once, by other bits of theirs; last, how many shingles there are."""
-    return set_signature(np.unique(shingle_hashes(text, shingle)), words)
-
-
-def set_signature(h: np.ndarray, words: int = WORDS) -> list[int]:
-    return [*(majority(mix(h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64)))) for k in range(words)), len(h)]
-
-
 def fingerprints(docs: DataFrame, shingle: int = 3, name: str = "fp") -> DataFrame:
     """docs' other columns and the fingerprint as a (signed) long; text is dropped. Map-only."""
     rest = [f for f in docs.schema if f.name != "text"]
@@ -90,7 +78,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, name: str = "fp") -> DataFra
     return docs.select(*[f.name for f in rest], "text").mapInArrow(run, f"{kinds}, {name} long")
 
 
-class _Labels:
+class Labels:
     """The smallest index known to be linked with each index."""
 
     def __init__(self, n: int):
@@ -107,18 +95,15 @@ class _Labels:
                 self.of = up
 
 
-def trie_join(group: np.ndarray, side: np.ndarray, prints: np.ndarray, bits: int, block: int = 1 << 18, levels: int = 64, near=None, known: np.ndarray | None = None) -> np.ndarray:
+def trie_join(group: np.ndarray, side: np.ndarray, prints: np.ndarray, bits: int, block: int = 1 << 18, levels: int = 64, near=None) -> np.ndarray:
     """For each row, the first row of its component among links within its group.
 
     Rows are sorted by (group, side, print). Those of side 0 link with each other, those of side
     1 with those of side 2 only. Only the first ``levels`` bits are compared; near(a, b) tells
-    which pairs of rows that they let through do link (all, if not given). known: for each row, the
-    first row that it is known to be linked with.
+    which pairs of rows that they let through do link (all, if not given).
     """
     n = len(prints)
-    labels = _Labels(n)
-    if known is not None:
-        labels.of = known
+    labels = Labels(n)
     if n < 2:
         return labels.of
     ones = np.zeros((65, n + 1), np.int32)
@@ -173,7 +158,7 @@ def trie_join(group: np.ndarray, side: np.ndarray, prints: np.ndarray, bits: int
     return labels.of
 
 
-def _kept(a: np.ndarray, b: np.ndarray, labels: _Labels, near) -> tuple[np.ndarray, np.ndarray]:
+def _kept(a: np.ndarray, b: np.ndarray, labels: Labels, near) -> tuple[np.ndarray, np.ndarray]:
     if near is None or not len(a):
         return a, b
     new = labels.of[a] != labels.of[b]
@@ -192,64 +177,60 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def split_hot(keyed: DataFrame, counts: DataFrame, rows: int, by: str) -> DataFrame:
+    """keyed with side; groups of column g that have more than ``rows`` rows become pairs of blocks.
+
+    counts: (g, n) of all groups. A hot group's rows are dealt to blocks by a hash of column ``by``, and every pair
+    of blocks is a group of its own, with the rows of one as side 1 and of the other as side 2; so every
+    pair of rows still meets once, whatever the size, and no task holds more than two blocks.
+    """
+    hot = checkpoint(counts.where(F.col("n") > rows).select("g", F.ceil(F.col("n") / rows).cast("int").alias("blocks")))
+    if hot.isEmpty():
+        return keyed.withColumn("side", F.lit(0))
+    dealt = keyed.join(hot, "g", "left").withColumn("own", F.pmod(F.xxhash64(by, F.lit(5)), F.coalesce("blocks", F.lit(1))).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+    g = F.when(F.col("blocks").isNull(), F.col("g")).otherwise(F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return dealt.withColumns({"g": g, "side": side}).drop("blocks", "own", "other")
+
+
 def links(prints: DataFrame, bits: int = 2, trie_rows: int = 50_000) -> DataFrame:
     """(a, b): links that span the components within each trie, of the distinct fingerprints in column fp."""
-    masks = block_masks(bits)
-    one = [F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for k, m in enumerate(masks)]
-    keyed = prints.select("fp", F.explode(F.array(*one)).alias("s")).select("fp", "s.t", "s.k")
-    hot = keyed.groupBy("t", "k").count().where(F.col("count") > trie_rows).select("t", "k", F.ceil(F.log2(F.col("count") / trie_rows)).cast("int").alias("depth"))
-    hot = checkpoint(hot)
-    if hot.isEmpty():
-        grouped = keyed.select("fp", F.xxhash64("t", "k").alias("g"), F.lit(0).alias("side"))
-    else:
-        depth = F.least(F.coalesce("depth", F.lit(0)), F.lit(12))
-        # The next bits of a hot trie: a hash-free choice of bit places outside the shared block.
-        places = [[i for i in range(64) if not m >> i & 1] for m in masks]
-        near = [c for r in range(bits + 1) for c in combinations(range(12), r)]
-        split = keyed.join(hot, ["t", "k"], "left").withColumn("depth", depth)
-        sub = F.lit(0).cast("long")
-        for i in range(12):
-            place = F.element_at(F.array(*[F.lit(p[(7 * i + 3) % len(p)]) for p in places]), F.col("t") + 1)
-            bit = F.call_function("shiftrightunsigned", F.col("fp"), place).bitwiseAND(F.lit(1))
-            sub = sub + F.when(F.col("depth") > i, bit * (1 << i)).otherwise(0)
-        split = split.withColumn("sub", sub)
-        flips = F.array(*[F.lit(sum(1 << i for i in c)) for c in near])
-        top = F.array(*[F.lit(max(c, default=-1)) for c in near])
-        pairs = F.filter(F.arrays_zip(flips.alias("f"), top.alias("i")), lambda z: z["i"] < F.col("depth"))
-        split = split.withColumn("z", F.explode(pairs)).withColumn("other", F.col("sub").bitwiseXOR(F.col("z.f")))
-        grouped = split.select(
-            "fp", F.xxhash64("t", "k", F.least("sub", "other"), F.greatest("sub", "other"), "depth").alias("g"),
-            F.when(F.col("sub") == F.col("other"), 0).when(F.col("sub") < F.col("other"), 1).otherwise(2).alias("side"),
-        )
+    one = [F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for k, m in enumerate(block_masks(bits))]
+    keyed = prints.select("fp", F.explode(F.array(*one)).alias("s")).select("fp", F.xxhash64("s.t", "s.k").alias("g"))
+    grouped = split_hot(keyed, keyed.groupBy("g").agg(F.count(F.lit(1)).alias("n")), trie_rows, "fp")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        size = 0
-
-        def joined(final: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, size
-            g, s, p = (np.concatenate(x) for x in zip(*held, strict=True))
-            cut = len(g) if final else int(np.searchsorted(np.r_[0, np.cumsum(g[1:] != g[:-1])], np.sum(g[1:] != g[:-1]), "left"))
-            order = np.lexsort((p[:cut], s[:cut], np.r_[0, np.cumsum(g[1:cut] != g[: cut - 1])] if cut else g[:0]))
-            p_own = p[:cut][order]
-            at = trie_join(g[:cut][order], s[:cut][order], p_own, bits)
-            far = np.flatnonzero(p_own != p_own[at])
-            yield pa.RecordBatch.from_arrays([pa.array(p_own[far].view(np.int64)), pa.array(p_own[at[far]].view(np.int64))], names=["a", "b"])
-            held, size = ([(g[cut:], s[cut:], p[cut:])], len(g) - cut) if cut < len(g) else ([], 0)
-
-        for b in batches:
-            if b.num_rows:
-                held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().view(np.uint64)))
-                size += b.num_rows
-                if size > 200_000:
-                    yield from joined(False)
-        if held:
-            yield from joined(True)
+        for g, side, p in whole_groups(((b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().view(np.uint64)) for b in batches), 200_000):
+            order = np.lexsort((p, side, g))
+            at = trie_join(g[order], side[order], p[order], bits)
+            p = p[order]
+            far = np.flatnonzero(p != p[at])
+            yield pa.RecordBatch.from_arrays([pa.array(p[far].view(np.int64)), pa.array(p[at[far]].view(np.int64))], names=["a", "b"])
 
     dealt = grouped.select("g", F.col("side").cast("int"), "fp").repartition("g").sortWithinPartitions("g")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def whole_groups(parts: Iterable[tuple[np.ndarray, ...]], rows: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns of sorted batches, joined up to runs of whole groups (of the first column) of about so many rows."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+    for part in parts:
+        if not len(part[0]):
+            continue
+        new = size >= rows and part[0][-1] != held[-1][0][-1]
+        cut = int(np.searchsorted(part[0], held[-1][0][-1], "right")) if new else 0
+        if new:
+            held.append(tuple(x[:cut] for x in part))
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, size = [], 0
+        held.append(tuple(x[cut:] for x in part))
+        size += len(part[0]) - cut
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): every node of the (a, b) edges with the smallest node of its component.
 
@@ -294,219 +275,3 @@ def resolve(named: DataFrame, least: Column, bits: int) -> DataFrame:
     ids = linked.join(nodes, linked["node"] == nodes["fp"]).groupBy("root").agg(F.min("rep").alias("over"))
     resolved = nodes.join(linked, nodes["fp"] == linked["node"], "left").join(ids, "root", "left")
     return resolved.select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("over")).alias("least"))
-
-
-def flip_share(similarity: float) -> float:
-    """The expected share of differing bits at a Jaccard similarity of two sets of like size."""
-    return acos(2 * similarity / (1 + similarity)) / pi
-
-
-def near_signatures(a: np.ndarray, b: np.ndarray, similarity: float, grace: float = 3.0) -> np.ndarray:
-    """Which pairs of signatures may be of sets whose Jaccard similarity is that high; exact sets decide later.
-
-    The numbers of shingles bound it exactly (the smaller over the larger), and tell the angle of
-    two such sets; the differing bits are let exceed what is expected there by ``grace`` standard deviations.
-    Sets of under 32 shingles, whose bits are no normal sample, may differ in 0.3 of the bits.
-    """
-    bits = 64 * WORDS
-    m, n = (x[:, WORDS].astype(float) for x in (a, b))
-    least, most = np.minimum(m, n), np.maximum(m, n)
-    cosine = similarity * (m + n) / ((1 + similarity) * np.sqrt(np.maximum(m * n, 1)))
-    share = np.arccos(np.clip(cosine, 0, 1)) / np.pi
-    differ = np.bitwise_count(a[:, :WORDS] ^ b[:, :WORDS]).sum(axis=1, dtype=np.int64)
-    limit = bits * share + grace * np.sqrt(bits * share * (1 - share))
-    return (least / np.maximum(most, 1) >= similarity) & (differ <= np.where(least < 32, np.maximum(limit, 0.3 * bits), limit))
-
-
-def proposals(nodes: DataFrame, count: int, similarity: float = 0.8, recall: float = 0.95, errors: int = 3, every: bool = False) -> DataFrame:
-    """(a, b), a < b: pairs of ids whose signatures may be of similar sets.
-
-    nodes: id and sig (see signature), and root if ``every``. Bands of bits are drawn from the
-    signature. Two that differ in at most ``errors`` bits of a band agree in one of its blocks, where
-    the band's trie is joined; all bits and the sets' sizes then filter (see near_signatures). Blocks
-    widen with the count, so tries stay small, and so many bands are drawn that ``recall`` of the pairs
-    at the similarity itself share one.
-
-    All pairs of different roots if ``every``, else enough to span the components that they form.
-    """
-    bits, flip = 64 * WORDS, flip_share(similarity)
-    width = min(16, max(8, ceil(log2(max(count, 2) / 4000))))
-    band = width * (errors + 1)
-    hit = sum(comb(band, k) * flip**k * (1 - flip) ** (band - k) for k in range(errors + 1))
-    bands = max(1, ceil(log(1 - recall) / log(1 - hit)))
-    places = [np.random.default_rng(t).choice(bits, band, replace=False) for t in range(bands)]
-    names = ["g", "value", "id", "sig", *(["root"] if every else [])]
-
-    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, sig = b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(-1, WORDS + 1)
-            raw = np.unpackbits(np.ascontiguousarray(sig[:, :WORDS]).view(np.uint8), axis=1)
-            for t, at in enumerate(places):
-                own = np.zeros((len(ids), 64), np.uint8)
-                own[:, :band] = raw[:, at]
-                value = np.packbits(own, axis=1).view(">u8").ravel().astype(np.uint64)
-                for k in range(errors + 1):
-                    block = value >> np.uint64(64 - (k + 1) * width) & np.uint64((1 << width) - 1)
-                    g = mix(block + np.uint64((t * 64 + k + 1) << 32))
-                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(value.view(np.int64)), *b.columns], names=names)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def joined(final: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held
-            g, v, i, sig, *root = (np.concatenate(x) for x in zip(*held, strict=True))
-            last = np.flatnonzero(g == g[-1])[0]
-            cut = len(g) if final else int(last)
-            run_no = np.cumsum(np.r_[False, g[1:] != g[:-1]])[:cut]
-            order = np.lexsort((v[:cut], run_no))
-            own, ids = sig[:cut][order], i[:cut][order]
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-
-            def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-                ok = near_signatures(own[a], own[b], similarity)
-                x, y = ids[a[ok]], ids[b[ok]]
-                found.append((np.minimum(x, y), np.maximum(x, y)))
-                return np.zeros(len(a), bool) if every else ok
-
-            known = None
-            if every:
-                _, first, which = np.unique(root[0][:cut][order], return_index=True, return_inverse=True)
-                known = first[which]
-            trie_join(run_no[order], np.zeros(cut, np.int8), v[:cut][order], errors, levels=band, near=near, known=known)
-            if found:
-                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-                if not every and len(a):
-                    keep = _spanning(a, b)
-                    a, b = a[keep], b[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-            held = [tuple(x[cut:] for x in (g, v, i, sig, *root))] if cut < len(g) else []
-
-        for b in batches:
-            if b.num_rows:
-                sig = b.column(3).flatten().to_numpy().reshape(-1, WORDS + 1).view(np.uint64)
-                held.append((b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy(), sig, *(c.to_numpy() for c in b.columns[4:])))
-                if sum(len(h[0]) for h in held) > 100_000:
-                    yield from joined(False)
-        if held:
-            yield from joined(True)
-
-    kinds = "g long, value long, id long, sig array<long>" + (", root long" if every else "")
-    dealt = nodes.select(*names[2:]).mapInArrow(deal, kinds).repartition("g").sortWithinPartitions("g")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The (a, b) whose sets, by id in column runs, have at least that Jaccard similarity."""
-    one = lambda c: sets.select(F.col("id").alias(c), F.col("runs").alias(f"{c}_runs"))
-    both = F.size(F.array_intersect("a_runs", "b_runs"))
-    exact = F.coalesce(both / (F.size("a_runs") + F.size("b_runs") - both), F.lit(1.0))
-    return checkpoint(pairs.join(one("a"), "a").join(one("b"), "b").where(exact >= similarity).select("a", "b"))
-
-
-def similar_roots(nodes: DataFrame, sets, similarity: float = 0.8) -> DataFrame:
-    """(node, root): the components of all proposed pairs of ids whose sets are that similar.
-
-    nodes: id and sig; sets(ids) gives id and runs, the set itself. Pairs that span what the bands
-    propose are compared first: one for each id, then those between the components so found. Where
-    that leaves a proposed component in parts, all pairs between its parts are proposed and compared.
-    """
-    count = nodes.count()
-    loose = checkpoint(proposals(nodes, count, similarity))
-    if loose.isEmpty():
-        return loose.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    exact = checkpoint(sets(loose.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
-    picked = checkpoint(loose.groupBy("b").agg(F.min_by("a", F.xxhash64("a", "b")).alias("a")).select("a", "b"))
-    roots = components(confirmed(picked, exact, similarity))
-    between = lambda: checkpoint(_with_roots(loose, roots).where("root_a != root_b"))
-    open_pairs = between().select("a", "b").join(picked, ["a", "b"], "left_anti")
-    roots = _merged(roots, confirmed(open_pairs, exact, similarity))
-    torn = between()
-    if torn.isEmpty():
-        return roots
-    parts = torn.select(F.explode(F.array("root_a", "root_b")).alias("root")).distinct()
-    named = nodes.join(roots, nodes["id"] == roots["node"], "left").select("id", "sig", F.coalesce("root", "id").alias("root"))
-    again = checkpoint(named.join(parts, "root", "left_semi"))
-    more = proposals(again, count, similarity, every=True).join(loose, ["a", "b"], "left_anti")
-    return _merged(roots, confirmed(more, exact, similarity))
-
-
-def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """The components of roots, further joined by the links."""
-    if links.isEmpty():
-        return roots
-    over = components(_with_roots(links, roots).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
-    over = over.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    single = over.select(F.col("root").alias("node"), "root").join(roots, "node", "left_anti")
-    return checkpoint(roots.select("node", "root").unionByName(single).join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
-
-
-def _spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Indices of pairs that span the components of all of them, without cycles."""
-    _, ends = np.unique(np.r_[a, b], return_inverse=True)
-    x, y = ends[: len(a)], ends[len(a) :]
-    labels, chosen, open_ = _Labels(int(ends.max()) + 1), [], np.arange(len(a))
-    while True:
-        open_ = open_[labels.of[x[open_]] != labels.of[y[open_]]]
-        if not len(open_):
-            return np.concatenate(chosen) if chosen else open_
-        first = np.full(len(labels.of), len(a))
-        np.minimum.at(first, labels.of[x[open_]], open_)
-        np.minimum.at(first, labels.of[y[open_]], open_)
-        new = np.unique(first[first < len(a)])
-        chosen.append(new)
-        labels.add(x[new], y[new])
-
-
-def _with_roots(pairs: DataFrame, named: DataFrame) -> DataFrame:
-    """pairs with root_a and root_b, an id without a component being its own root."""
-    for c in ("a", "b"):
-        pairs = pairs.join(named.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
-    return pairs
-
-
-def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one row of each group of similar texts: that of the smallest doc_id (null last), then of the smallest text hash.
-
-    Similarity is the Jaccard similarity of the sets of word runs, known by 64-bit hashes. Pairs are
-    proposed by 512-bit signatures and compared by their sets; groups are the components of similar texts.
-    """
-    keyed = docs.withColumn("__text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = keyed.select("doc_id", "__text_key", "text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out, ids = np.zeros((b.num_rows, WORDS + 1), np.uint64), np.zeros(b.num_rows, np.uint64)
-            for first, end, data, offsets in text_slices(b.column(2)):
-                raw = data.tobytes()
-                for k in range(end - first):
-                    runs = np.unique(shingle_hashes(raw[offsets[k] : offsets[k + 1]], shingle))
-                    out[first + k], ids[first + k] = set_signature(runs), xxhash.xxh64_intdigest(runs.tobytes(), SEED)
-            sig = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * (WORDS + 1)), pa.array(out.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids.view(np.int64)), sig], names=["doc_id", "k", "id", "sig"])
-
-    def shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for first, end, data, offsets in text_slices(b.column(1)):
-                raw = data.tobytes()
-                runs = [np.unique(shingle_hashes(raw[offsets[k] : offsets[k + 1]], shingle)) for k in range(end - first)]
-                flat = np.concatenate(runs).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, runs)]).astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, end - first), lists], names=["id", "runs"])
-
-    own = rows.mapInArrow(sign, f"doc_id {kind}, k long, id long, sig array<long>")
-    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("k").alias("k"))
-    nodes = checkpoint(own.groupBy("id").agg(F.min(order).alias("least"), F.any_value("sig").alias("sig")))
-
-    def sets(ids: DataFrame) -> DataFrame:
-        named = nodes.join(ids, "id", "left_semi").select("id", F.col("least.d").alias("d"), F.col("least.k").alias("k"))
-        texts = rows.join(named, rows["doc_id"].eqNullSafe(named["d"]) & (rows["__text_key"] == named["k"])).select("id", "text")
-        return texts.mapInArrow(shingles, "id long, runs array<long>").groupBy("id").agg(F.any_value("runs").alias("runs"))
-
-    linked = similar_roots(nodes, sets, similarity)
-    named = nodes.select("id", "least").join(linked, nodes["id"] == linked["node"], "left")
-    first = named.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("least").alias("x")).select("x.d", "x.k")
-    kept = keyed.join(first, keyed["doc_id"].eqNullSafe(first["d"]) & (keyed["__text_key"] == first["k"]), "left_semi")
-    once = Window.partitionBy("doc_id", "__text_key").orderBy(F.lit(0))
-    return kept.withColumn("__row", F.row_number().over(once)).where("__row = 1").select(*docs.columns)

@@ -41,7 +41,7 @@ def test_stages(spark, tmp_path):
     alike = lambda a, b: len(runs[a] & runs[b]) / max(1, len(runs[a] | runs[b])) if runs[a] or runs[b] else 1.0
     for key in runs:
         near = [o for o in runs if o != key and alike(key, o) >= 0.55]
-        assert key in kept or any(o in kept or o < key for o in near)  # only what has a near copy went
+        assert key in kept or any(o < key for o in near)  # only what has a near copy went
         assert not (key in kept and any(o in kept for o in near if alike(key, o) >= 0.86))  # of near copies one stays
     rows = [r for r in rows if r["doc_id"] in kept]
 
@@ -69,12 +69,12 @@ def test_stages(spark, tmp_path):
 
 
 def test_representatives_of_repeated_rows(spark):
-    from cratelog.llm import simhash
+    from cratelog.llm import neardup
 
     a, b = "one two three four five six", "seven eight nine ten eleven"
     rows = [(3, a), (3, a), (2, a), (None, a), (None, b), (None, b), (9, None), (8, "")]
     frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("root", corpus_pipeline.F.lit(1))
-    got = simhash.representatives(frame)
+    got = neardup.representatives(frame)
     assert got.columns == ["doc_id", "text", "root"]
     assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(2, a), (None, b), (8, "")])
 
@@ -93,13 +93,13 @@ def _versions(r, n, changed):
 
 def test_representatives_at_the_similarity_itself(spark):
     """304 words are 300 runs: 265 of 335 shared are 0.791, 267 of 333 are 0.802."""
-    from cratelog.llm import simhash
+    from cratelog.llm import neardup
 
     r, texts, links = np.random.default_rng(5), [], []
     for k in range(40):
         texts += _versions(r, 304, set(range(20, 300, 45)) if k % 2 else {20, 60, 100, 140, 180, 220, 303, 302, 301})
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {x.doc_id for x in simhash.representatives(frame).collect()}
+    got = {x.doc_id for x in neardup.representatives(frame).collect()}
     exact = lambda a, b: len(plain.runs(a) & plain.runs(b)) / len(plain.runs(a) | plain.runs(b))
     for k in range(40):
         links.append(exact(texts[2 * k], texts[2 * k + 1]))
@@ -111,9 +111,9 @@ def test_representatives_at_the_similarity_itself(spark):
     assert sum(x in got for x in high) <= 3  # the bands propose 0.95 of them by design
 
 
-def test_torn_components_are_compared_again(spark):
-    """What a pair of under 0.8 seemed to link is still linked where other pairs are of 0.8."""
-    from cratelog.llm import simhash
+def test_families_are_compared_exactly(spark):
+    """A family's groups are those of its exact links, whether it is one block or many."""
+    from cratelog.llm import neardup
 
     r, texts = np.random.default_rng(6), []
     words = [f"w{x}" for x in r.integers(0, 1 << 40, 304)]
@@ -128,4 +128,15 @@ def test_torn_components_are_compared_again(spark):
     for _ in parent:
         parent = [min(parent[j] for j in range(len(texts)) if alike[i][j]) for i in range(len(texts))]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {x.doc_id for x in simhash.representatives(frame).collect()} == set(parent)
+    assert {x.doc_id for x in neardup.representatives(frame).collect()} == set(parent)
+    assert {x.doc_id for x in neardup.representatives(frame, trie_rows=12, rows=9).collect()} == set(parent)  # cut tries, several blocks a family
+
+
+def test_shared_runs():
+    from cratelog.llm import neardup
+
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 60 if k % 3 else 3000, r.integers(0, 50))) for k in range(80)]
+    got = neardup.shared_runs(np.array(list(map(len, sets))), np.concatenate(sets), dense=6)
+    for i in range(80):
+        assert [got[i, j] for j in range(80) if j != i] == [len(set(sets[i]) & set(sets[j])) for j in range(80) if j != i]
