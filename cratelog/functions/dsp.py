@@ -6,16 +6,26 @@ Derived from the public definitions of each feature; not bit-equal to any audio
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 
-def stft(y: np.ndarray, n_fft: int = 2048, hop: int = 512) -> np.ndarray:
-    """Magnitudes [bins, frames] of centred Hann windows."""
-    pad = np.pad(np.asarray(y, float), n_fft // 2)
-    if len(pad) < n_fft:
-        return np.zeros((n_fft // 2 + 1, 0))
-    frames = np.lib.stride_tricks.sliding_window_view(pad, n_fft)[::hop]
-    return np.abs(np.fft.rfft(frames * np.hanning(n_fft + 1)[:-1], axis=1)).T
+def spectra(y: np.ndarray, n_fft: int = 2048, hop: int = 512, block: int = 2048) -> Iterator[np.ndarray]:
+    """Magnitudes [bins, frames] of centred Hann windows, a block of frames at a time."""
+    pad = np.pad(np.asarray(y, np.float32 if np.asarray(y).dtype == np.float32 else float), n_fft // 2)
+    frames = np.lib.stride_tricks.sliding_window_view(pad, n_fft)[::hop] if len(pad) >= n_fft else np.zeros((0, n_fft))
+    window = np.hanning(n_fft + 1)[:-1]
+    for k in range(0, len(frames), block):
+        yield np.abs(np.fft.rfft(frames[k : k + block] * window, axis=1)).T
+
+
+def mean_spectrum(y: np.ndarray, n_fft: int = 2048, hop: int = 512) -> np.ndarray:
+    """The average magnitude of each bin; zeros for an empty buffer."""
+    total, n = np.zeros(n_fft // 2 + 1), 0
+    for s in spectra(y, n_fft, hop) if len(y) else ():
+        total, n = total + s.sum(axis=1), n + s.shape[1]
+    return total / max(n, 1)
 
 
 def mel_filters(rate: int, n_fft: int, bands: int = 40) -> np.ndarray:
@@ -28,7 +38,8 @@ def mel_filters(rate: int, n_fft: int, bands: int = 40) -> np.ndarray:
 
 
 def mel_spectrum(y: np.ndarray, rate: int, n_fft: int = 2048, hop: int = 512, bands: int = 40) -> np.ndarray:
-    return mel_filters(rate, n_fft, bands) @ stft(y, n_fft, hop) ** 2
+    filters = mel_filters(rate, n_fft, bands)
+    return np.concatenate([np.zeros((bands, 0)), *(filters @ s**2 for s in spectra(y, n_fft, hop))], axis=1)
 
 
 def mfcc(y: np.ndarray, rate: int, count: int = 13, n_fft: int = 512, hop: int = 128) -> np.ndarray:
@@ -39,12 +50,12 @@ def mfcc(y: np.ndarray, rate: int, count: int = 13, n_fft: int = 512, hop: int =
 
 def chroma(y: np.ndarray, rate: int, n_fft: int = 4096) -> np.ndarray:
     """Energy of the 12 pitch classes, C first."""
-    s = stft(y, n_fft, n_fft // 4)
     f = np.fft.rfftfreq(n_fft, 1 / rate)
     use = (f > 27) & (f < 5000)
     pitch = np.rint(12 * np.log2(f[use] / 440.0) + 69).astype(int) % 12
     out = np.zeros(12)
-    np.add.at(out, pitch, (s[use] ** 2).sum(axis=1))
+    for s in spectra(y, n_fft, n_fft // 4):
+        np.add.at(out, pitch, (s[use] ** 2).sum(axis=1))
     return out
 
 
@@ -57,13 +68,16 @@ def onset_envelope(y: np.ndarray, rate: int, hop: int = 256, n_fft: int = 2048)
 
 def pick_peaks(x: np.ndarray, pre_max: int = 5, post_max: int = 5, pre_avg: int = 10, post_avg: int = 10, delta: float = 0.07, wait: int = 5) -> np.ndarray:
     """Frames that are the maximum around them, exceed the mean around them by delta, and keep their distance."""
-    last, out = -wait - 1, []
-    for i, v in enumerate(x):
-        near, wide = x[max(0, i - pre_max) : i + post_max + 1], x[max(0, i - pre_avg) : i + post_avg + 1]
-        if v == near.max() and v >= wide.mean() + delta and i - last > wait:
+    if not len(x):
+        return np.zeros(0, int)
+    near = np.lib.stride_tricks.sliding_window_view(np.pad(x, (pre_max, post_max), constant_values=-np.inf), pre_max + post_max + 1).max(axis=1)
+    sums, at = np.r_[0.0, np.cumsum(x)], np.arange(len(x))
+    first, last = np.maximum(at - pre_avg, 0), np.minimum(at + post_avg + 1, len(x))
+    out = [-wait - 1]
+    for i in np.flatnonzero((x == near) & (x >= (sums[last] - sums[first]) / (last - first) + delta)).tolist():
+        if i - out[-1] > wait:
             out.append(i)
-            last = i
-    return np.array(out, int)
+    return np.array(out[1:], int)
 
 
 def backtrack(peaks: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -86,18 +100,18 @@ def snap_to_crossing(y: np.ndarray, at: int, reach: int = 1024) -> int:
     return first + (k if abs(part[k]) < abs(part[k + 1]) else k + 1)
 
 
-def onsets(y: np.ndarray, rate: int, hop: int = 256) -> np.ndarray:
-    """Onset times in seconds, moved back to where the sound begins and to a zero crossing."""
-    x = onset_envelope(y, rate, hop)
-    at = backtrack(pick_peaks(x), x) * hop
+def onsets(y: np.ndarray, rate: int, hop: int = 256, envelope: np.ndarray | None = None, **peaks) -> np.ndarray:
+    """Onset times in seconds, moved back to where the sound begins and to a zero crossing. peaks: see pick_peaks."""
+    x = onset_envelope(y, rate, hop) if envelope is None else envelope
+    at = backtrack(pick_peaks(x, **peaks), x) * hop
     return np.unique([snap_to_crossing(y, int(a)) for a in at if a < len(y)]) / rate
 
 
-def tempo(y: np.ndarray, rate: int, hop: int = 256) -> float:
+def tempo(y: np.ndarray, rate: int, hop: int = 256, envelope: np.ndarray | None = None) -> float:
     """Beats a minute by the envelope's autocorrelation, weighted towards 120; 0 if there is none."""
-    x = onset_envelope(y, rate, hop)
+    x = onset_envelope(y, rate, hop) if envelope is None else envelope
     x = x - x.mean() if x.size else x
-    power = np.correlate(x, x, "full")[len(x) - 1 :] if x.size > 1 else np.zeros(1)
+    power = np.fft.irfft(np.abs(np.fft.rfft(x, 2 * len(x))) ** 2)[: len(x)] if x.size > 1 else np.zeros(1)
     lags = np.arange(1, len(power))
     bpm = 60 * rate / hop / np.maximum(lags, 1)
     use = (bpm > 20) & (bpm < 320)
@@ -109,12 +123,12 @@ def tempo(y: np.ndarray, rate: int, hop: int = 256) -> float:
 
 def shape(y: np.ndarray, rate: int) -> tuple[float, float]:
     """Mean spectral centroid (Hz) and flatness; zeros for an empty or silent buffer."""
-    s = stft(y)
-    if not s.size or not s.any():
-        return 0.0, 0.0
-    f = np.fft.rfftfreq(2048, 1 / rate)
-    power = np.maximum(s**2, 1e-10)
-    return float(np.mean(f @ s / np.maximum(s.sum(axis=0), 1e-10))), float(np.mean(np.exp(np.log(power).mean(axis=0)) / power.mean(axis=0)))
+    f, centroids, flatness, loud = np.fft.rfftfreq(2048, 1 / rate), [], [], False
+    for s in spectra(y) if len(y) else ():
+        power, loud = np.maximum(s**2, 1e-10), loud or bool(s.any())
+        centroids.append(f @ s / np.maximum(s.sum(axis=0), 1e-10))
+        flatness.append(np.exp(np.log(power).mean(axis=0)) / power.mean(axis=0))
+    return (float(np.concatenate(centroids).mean()), float(np.concatenate(flatness).mean())) if loud else (0.0, 0.0)
 
 
 def spectral_change(y: np.ndarray, rate: int) -> float:
@@ -154,6 +168,23 @@ def beats(y: np.ndarray, rate: int, bpm: float, hop: int = 256, tightness: float
     return np.array(chain[::-1]) * hop / rate
 
 
+def resample(y: np.ndarray, rate: int, wanted: int, reach: int = 16, block: int = 1 << 16) -> np.ndarray:
+    """y at another sample rate, by a windowed sinc that keeps what both rates can hold."""
+    if rate == wanted or not len(y):
+        return np.asarray(y, float)
+    scale = min(1.0, wanted / rate)
+    half = int(np.ceil(reach / scale))
+    pad, n, out = np.pad(np.asarray(y, float), half + 1), int(len(y) * wanted // rate), []
+    steps = np.arange(-half, half + 1)
+    for first in range(0, n, block):
+        at = np.arange(first, min(n, first + block)) * rate / wanted
+        whole = np.floor(at).astype(np.int64)
+        off = at[:, None] - (whole[:, None] + steps)
+        weights = scale * np.sinc(scale * off) * np.where(np.abs(off) <= half, 0.5 + 0.5 * np.cos(np.pi * off / half), 0)
+        out.append((pad[whole[:, None] + steps + half + 1] * weights).sum(axis=1))
+    return np.concatenate(out)
+
+
 def crossing_near(y: np.ndarray, at: int, reach: int) -> int:
     """The first sample after the nearest change of sign within reach (the earlier if equal); else ``at`` itself."""
     first, last = max(0, at - reach), min(len(y), at + reach)

@@ -89,7 +89,7 @@ def snr(y: Column, longest: int = 1024, least: int = 1024) -> Column:
 
 def quality_report(y: Column, least: int = 1024, clip_level: float = CLIP_LEVEL) -> Column:
     """Struct of levels, noise, flags, issues and the score; an empty signal is silent with score 0."""
-    empty = F.coalesce(F.size(y), F.lit(0)) <= 0
+    empty, measurable = F.coalesce(F.size(y), F.lit(0)) <= 0, F.size(y) >= max(least, 8)
     measured = F.struct(
         to_db(peak(y)).alias("peak"), to_db(rms(y)).alias("rms"), to_db(quantile(magnitudes(y), 0.05)).alias("low"), clip_count(y, clip_level).alias("clips"),
         mean(y).alias("dc"), snr(y, least=least).alias("snr"), zero_crossing_rate(y).alias("zcr"),
@@ -98,7 +98,7 @@ def quality_report(y: Column, least: int = 1024, clip_level: float = CLIP_LEVEL)
     def derived(m: Column) -> Column:
         silent, spread, ratio, clips = m["rms"] < SILENT_DB, m["peak"] - m["low"], m["clips"] / F.size(y), m["clips"] > 0
         offset = F.abs(m["dc"]) > DC_LEVEL
-        issues = F.array(F.when(silent, "silent"), F.when(clips, "clipping"), F.when(offset, "dc offset"), F.when((spread < MIN_RANGE_DB) & ~silent, "low dynamic range"), F.when((m["snr"] > 0) & (m["snr"] < MIN_SNR_DB), "low snr"))
+        issues = F.array(F.when(silent, "silent"), F.when(clips, "clipping"), F.when(offset, "dc offset"), F.when((spread < MIN_RANGE_DB) & ~silent, "low dynamic range"), F.when(measurable & (m["snr"] < MIN_SNR_DB) & ~silent, "low snr"))
         return F.struct(
             m["peak"].alias("peak_db"), m["rms"].alias("rms_db"), m["low"].alias("noise_floor_db"), m["clips"].alias("clip_count"), ratio.alias("clip_ratio"),
             m["dc"].alias("dc_offset"), spread.alias("dynamic_range_db"), m["snr"].alias("snr_db"), m["zcr"].alias("zero_crossing_rate"), silent.alias("is_silent"),
@@ -149,11 +149,12 @@ def normalize(y: Column, target_db: float = -14.0) -> Column:
     return let(peak(y), scaled)
 
 
-def fades(y: Column, fade_in: int, fade_out: int) -> Column:
+def fades(y: Column, fade_in: int | Column, fade_out: int | Column) -> Column:
     """Linear ramps of so many samples, ends included; scaled down together if longer than the signal."""
-    n, both = F.size(y), fade_in + fade_out
-    scale = F.when(n < both, n / both).otherwise(1.0) if both else F.lit(1.0)
-    a, b = (F.floor(scale * k).cast("int") for k in (fade_in, fade_out))
+    ramps = [k if isinstance(k, Column) else F.lit(k) for k in (fade_in, fade_out)]
+    n, both = F.size(y), ramps[0] + ramps[1]
+    scale = F.when((n < both) & (both > 0), n / both).otherwise(1.0)
+    a, b = (F.floor(scale * k).cast("int") for k in ramps)
 
     def gain(v: Column, i: Column) -> Column:
         left = n - 1 - i

@@ -36,10 +36,13 @@ def preset_filename(name: Column) -> Column:
     return F.lower(F.replace(name, F.lit(" "), F.lit("_")))
 
 
+#: Where a new word begins in a camel-case name.
+WORD_STARTS = "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Za-z0-9])(?=[A-Z][a-z])"
+
+
 def camel_to_snake(name: Column) -> Column:
-    cut = F.regexp_replace(name, "(.)([A-Z][a-z]+)", "$1_$2")
-    cut = F.regexp_replace(cut, "__([A-Z])", "_$1")
-    return F.lower(F.regexp_replace(cut, "([a-z0-9])([A-Z])", "$1_$2"))
+    """Words apart by one underscore, in lower case; runs of underscores become one."""
+    return F.lower(F.regexp_replace(F.regexp_replace(name, WORD_STARTS, "_"), "_+", "_"))
 
 
 def infer_role(filename: Column) -> Column:
@@ -86,6 +89,16 @@ def strip_suffixes(name: Column) -> Column:
     return name
 
 
+def processed_name(path: Column, suffix: str) -> Column:
+    """The name of a processing step's output: the stem without earlier steps' suffixes, and this one's."""
+    return F.concat(strip_suffixes(stem(path)), F.lit(suffix))
+
+
+def session_name(label: Column, now: Column, prefix: str = "Generation") -> Column:
+    """A capture session's name, told apart by the second."""
+    return F.concat_ws(" ", F.lit(prefix), label, F.date_format(now, "yyyyMMdd_HHmmss"))
+
+
 def slice_name(base: Column, index: Column) -> Column:
     """index counts from 0 over all slice points, also those not kept."""
     return F.format_string("%s_slice_%03d", base, (index + 1).cast("int"))

@@ -16,17 +16,22 @@ from ..functions.text import note_name
 FEATURES = "centroid double, flatness double, tempo double, chroma array<double>, onsets array<double>, spectrum array<double>, stability double"
 
 
-def features(buffers: DataFrame, key: str = "id") -> DataFrame:
-    """(key and features) of rows of key, sample_rate and samples. One map-only stage."""
+def sample_arrays(column: pa.Array) -> list[np.ndarray]:
+    """Each row's samples, without a Python number for each of them; null is empty."""
+    values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[a:e] if ok else values[:0] for a, e, ok in zip(offsets[:-1], offsets[1:], column.is_valid().to_pylist(), strict=True)]
+
+
+def features(buffers: DataFrame, key: str = "id", **peaks) -> DataFrame:
+    """(key and features) of rows of key, sample_rate and samples. One map-only stage. peaks: how onsets are picked, see dsp.pick_peaks."""
     kind = buffers.schema[key].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[] for _ in range(7)]
-            for rate, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                y = np.array(y or [], float)
-                s = dsp.stft(y)
-                row = (*dsp.shape(y, rate), dsp.tempo(y, rate), dsp.chroma(y, rate), dsp.onsets(y, rate), s.mean(axis=1) if s.size else np.zeros(1025), dsp.spectral_change(y, rate))
+            for rate, y in zip(b.column(1).to_pylist(), sample_arrays(b.column(2)), strict=True):
+                x = dsp.onset_envelope(y, rate)
+                row = (*dsp.shape(y, rate), dsp.tempo(y, rate, envelope=x), dsp.chroma(y, rate), dsp.onsets(y, rate, envelope=x, **peaks), dsp.mean_spectrum(y), dsp.spectral_change(y, rate))
                 for o, v in zip(out, row, strict=True):
                     o.append(v)
             kinds = [pa.float64(), pa.float64(), pa.float64(), *[pa.list_(pa.float64())] * 3, pa.float64()]
@@ -62,8 +67,7 @@ def beat_times(buffers: DataFrame, key: str = "recording_id") -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, (rate, y) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                y = np.array(y or [], float)
+            for i, (rate, y) in enumerate(zip(b.column(1).to_pylist(), sample_arrays(b.column(2)), strict=True)):
                 bpm = dsp.octave(dsp.tempo(y, rate)) if rate else 120.0
                 found = dsp.beats(y, rate, bpm) if rate else np.zeros(0)
                 row = [pa.array([rate], pa.int32()), pa.array([len(y) / rate if rate else 0.0]), pa.array([bpm]), pa.array([found], pa.list_(pa.float64()))]
@@ -72,6 +76,34 @@ def beat_times(buffers: DataFrame, key: str = "recording_id") -> DataFrame:
     return buffers.select(key, F.col("sample_rate").cast("int"), "samples").mapInArrow(run, f"{key} {kind}, sample_rate int, duration double, bpm double, beats array<double>")
 
 
+def segment_features(cuts: DataFrame, *keys: str) -> DataFrame:
+    """keys and (centroid, flatness, rms, peak) of rows of keys, sample_rate and samples; zeros for empty ones."""
+    kinds = ", ".join(f"{k} {cuts.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [dsp.shape(y, rate) for rate, y in zip(b.column(len(keys)).to_pylist(), sample_arrays(b.column(len(keys) + 1)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([m[k] for m in made], pa.float64()) for k in (0, 1))], names=[*b.schema.names, "centroid", "flatness"])
+
+    samples = cuts.schema["samples"].dataType.simpleString()
+    made = cuts.select(*keys, F.col("sample_rate").cast("int"), "samples").mapInArrow(run, f"{kinds}, sample_rate int, samples {samples}, centroid double, flatness double")
+    level = lambda f: F.when(F.size("samples") > 0, f(F.col("samples"))).otherwise(0.0)
+    return made.select(*keys, "centroid", "flatness", level(signal.rms).alias("rms"), level(signal.peak).alias("peak"))
+
+
+def crossings(rows: DataFrame, at: str, reach: int = 1024) -> DataFrame:
+    """rows (with samples) with ``quiet``, the nearest zero crossing on its quieter side (else the quietest sample), and ``after``, the first sample after the nearest (else ``at``)."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            where = b.column(b.schema.get_field_index(at)).to_pylist()
+            ys = sample_arrays(b.column(b.schema.get_field_index("samples")))
+            pairs = [(dsp.snap_to_crossing(y, a, reach), dsp.crossing_near(y, a, reach)) for y, a in zip(ys, where, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1))], names=[*b.schema.names, "quiet", "after"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{kinds}, quiet long, after long")
+
+
 def gated(buffers: DataFrame, amount: float = 1.0, threshold_db: float = -60.0, auto_threshold: bool = True) -> DataFrame:
     """buffers with samples under the threshold turned down; auto raises it to 6 dB over the first 50 ms."""
     y = F.col("samples")

@@ -19,6 +19,28 @@ def by_id(rows: DataFrame, key: int) -> DataFrame:
     return rows.where(F.col("id") == key)
 
 
+def first_of(rows: DataFrame) -> DataFrame:
+    """One row, that of the smallest id."""
+    return rows.orderBy("id").limit(1)
+
+
+def of_type(rows: DataFrame, project_type: str) -> DataFrame:
+    """Projects of one type; fails at run time on one of another."""
+    other = F.coalesce(F.col("project_type") != project_type, F.lit(True))
+    message = F.concat(F.lit(f"not a {project_type}: "), F.coalesce("project_type", F.lit("null")))
+    return rows.withColumn("project_type", F.when(other, F.raise_error(message).cast("string")).otherwise(F.col("project_type")))
+
+
+def midi_files_of(files: DataFrame, session_id: int) -> DataFrame:
+    """A session's files, oldest first."""
+    return files.where(F.col("capture_session_id") == session_id).orderBy("created_at", "id")
+
+
+def layers(groups: DataFrame) -> DataFrame:
+    """Velocity layers, loudest first."""
+    return groups.orderBy(F.desc("high_vel"), "id")
+
+
 def owned(recordings: DataFrame, recording_id: int, project_id: int) -> DataFrame:
     return recordings.where((F.col("id") == recording_id) & (F.col("project_id") == project_id))
 

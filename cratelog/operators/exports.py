@@ -13,14 +13,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tags
-from ..schema import check_enum
-from ..functions.text import sanitize
+from ..functions.text import base_name, sanitize, session_name, title
+from ..schema import check_enum, with_defaults
 
 
 def kit_paths(rules: DataFrame, matches: DataFrame, assets: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """(project_id, rule_id, kind, asset_id, path): Song/Section/Rule_n.ext, then Unassigned/.
+    """(project_id, rule_id, kind, asset_id, path): Song/Section/Rule_n.ext, and Unassigned/ with samples under their files' own names.
 
-    rules: project_id, rule_id, name, category; assets: project_id, kind, asset_id, tags_json, ext.
+    rules: project_id, rule_id, name, category; assets: project_id, kind, asset_id, tags_json, ext, file_path.
     The folder comes from the tags of the rule's first sample match. n counts samples, then MIDI, also
     those whose file is missing from ``existing`` (kind, asset_id) and which are then left out.
     """
@@ -34,7 +34,8 @@ def kit_paths(rules: DataFrame, matches: DataFrame, assets: DataFrame, existing:
     section = sanitize(F.when(F.col("lead").isNull() | ~tags.has_key(F.col("lead"), "section"), spare).otherwise(tags.get(F.col("lead"), "section")))
     path = F.concat(song, F.lit("/"), section, F.lit("/"), sanitize(F.col("name")), F.lit("_"), F.col("n"), F.col("ext"))
     placed = named.select("project_id", "rule_id", "kind", "asset_id", path.alias("path"))
-    loose = assets.join(matches, ["project_id", "kind", "asset_id"], "left_anti").select("project_id", F.lit(None).cast("bigint").alias("rule_id"), "kind", "asset_id", F.concat(F.lit("Unassigned/"), "kind", F.lit("_"), "asset_id", "ext").alias("path"))
+    loose = assets.where("kind = 'sample'").join(matches, ["project_id", "kind", "asset_id"], "left_anti")
+    loose = loose.select("project_id", F.lit(None).cast("bigint").alias("rule_id"), "kind", "asset_id", F.concat(F.lit("Unassigned/"), base_name(F.col("file_path"))).alias("path"))
     out = placed.withColumn("rule_id", F.col("rule_id").cast("bigint")).unionByName(loose)
     return out if existing is None else out.join(existing, ["kind", "asset_id"], "left_semi")
 
@@ -42,7 +43,8 @@ def kit_paths(rules: DataFrame, matches: DataFrame, assets: DataFrame, existing:
 def preset_xml(rows: list[dict]) -> str:
     """A sampler preset of one instrument from its rows (group, lo_vel, hi_vel, path, root_note, lo_key, hi_key).
 
-    An instrument's rows are few; they are what a caller has collected for one file.
+    A row without path stands for a group without samples. An instrument's rows are few; they are
+    what a caller has collected for one file. Samples lie in the preset's own folder Samples.
     """
     root = ElementTree.Element("DecentSampler")
     groups: dict[str, ElementTree.Element] = {}
@@ -50,7 +52,9 @@ def preset_xml(rows: list[dict]) -> str:
     for r in rows:
         if r["group"] not in groups:
             groups[r["group"]] = ElementTree.SubElement(holder, "group", name=r["group"], loVel=str(r["lo_vel"]), hiVel=str(r["hi_vel"]))
-        ElementTree.SubElement(groups[r["group"]], "sample", path=r["path"], rootNote=str(r["root_note"]), loNote=str(r["lo_key"]), hiNote=str(r["hi_key"]))
+        if r["path"]:
+            name = r["path"].rpartition("/")[2]
+            ElementTree.SubElement(groups[r["group"]], "sample", path=f"Samples/{name}", rootNote=str(r["root_note"]), loKey=str(r["lo_key"]), hiKey=str(r["hi_key"]))
     return ElementTree.tostring(root, encoding="unicode")
 
 
@@ -137,6 +141,72 @@ def save_kits(parts: DataFrame, folder: str, key: str = "project_id") -> list[st
     return done
 
 
+def _varlen(n: int) -> bytes:
+    out = [n & 127]
+    while n := n >> 7:
+        out.append(n & 127 | 128)
+    return bytes(out[::-1])
+
+
+def midi_bytes(notes: list[tuple[int, int, int, int]], ticks: int = 960, channel: int = 0) -> bytes:
+    """A standard MIDI file of one track from (start, dur, pitch, velocity) in ticks; notes end before others begin at the same tick."""
+    events = sorted([(s, 1, p, v) for s, _, p, v in notes] + [(s + d, 0, p, 0) for s, d, p, _ in notes])
+    track, now = bytearray(), 0
+    for at, on, pitch, velocity in events:
+        track += _varlen(at - now) + bytes([(0x90 if on else 0x80) | channel, pitch & 127, velocity & 127])
+        now = at
+    track += b"\x00\xff\x2f\x00"
+    return b"MThd" + (6).to_bytes(4, "big") + (0).to_bytes(2, "big") + (1).to_bytes(2, "big") + ticks.to_bytes(2, "big") + b"MTrk" + len(track).to_bytes(4, "big") + bytes(track)
+
+
+def midi_files(notes: DataFrame, key: str, ticks: int = 960, velocity: int | None = 100) -> DataFrame:
+    """(key, midi, file_data): a MIDI file of each key's notes (key, start, dur, pitch, velocity), and the same as base64 text.
+
+    All notes get one velocity unless it is None. A key's notes are one loop's and so few.
+    """
+    kind = notes.schema[key].dataType.simpleString()
+    loud = F.col("velocity") if velocity is None else F.lit(velocity)
+    packed = notes.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "dur", "pitch", loud.alias("velocity")))).alias("notes"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [midi_bytes([tuple(n.values()) for n in notes], ticks) for notes in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=[b.schema.names[0], "midi"])
+
+    return packed.mapInArrow(run, f"{key} {kind}, midi binary").withColumn("file_data", F.base64("midi"))
+
+
+def generated_rows(files: DataFrame, devices: DataFrame, name: str, now: Column, first_session: int, first_file: int) -> tuple[DataFrame, DataFrame]:
+    """Session and MIDI-file rows of generated loops (project_id, label, file_data), in the columns of the catalogue's tables.
+
+    The device is that of the given name, which must be there (see catalogue.upsert_devices).
+    """
+    order = F.row_number().over(Window.orderBy("project_id", "label")) - 1
+    each = files.withColumn("n_", order).crossJoin(devices.where(F.col("name") == name).select(F.col("id").alias("device_id")).limit(1))
+    stamps = {c: now for c in ("start_time", "end_time", "created_at", "updated_at")}
+    sessions = each.select((F.col("n_") + first_session).alias("id"), "project_id", session_name(F.col("label"), now).alias("name"), F.lit("completed").alias("status")).withColumns(stamps)
+    rows = each.select((F.col("n_") + first_file).alias("id"), (F.col("n_") + first_session).alias("capture_session_id"), "device_id", F.lit(0).alias("channel"), midi_content(F.col("file_data")).alias("file_data"), now.alias("created_at"))
+    return with_defaults("midi_capture_sessions", sessions), with_defaults("midi_files", rows)
+
+
+def readme(projects: DataFrame, base: str) -> DataFrame:
+    """(project_id, path, content): the file that says what a project's folder holds."""
+    path = F.concat(F.lit(f"{base}/project_"), F.col("id").cast("string"), F.lit("/README.md"))
+    return projects.select(F.col("id").alias("project_id"), path.alias("path"), F.concat(F.lit("# "), "name", F.lit("\n\nType: "), title(F.col("project_type")), F.lit("\n")).alias("content"))
+
+
+def preset_rows(groups: DataFrame, zones: DataFrame, samples: DataFrame, key: str = "project_id") -> DataFrame:
+    """The rows that preset_files takes: every velocity group with its samples, groups without any too, and "Unassigned" for samples without group.
+
+    groups: key, id, name, low_vel, high_vel; zones: see catalogue.key_zones; samples: key, id, file_path.
+    """
+    placed = samples.select(key, F.col("id").alias("sample_id"), F.col("file_path").alias("path")).join(zones, "sample_id")
+    own = placed.select(key, "path", "root_note", "lo_key", "hi_key", F.col("velocity_group_id").alias("id"))
+    named = groups.select(key, "id", F.col("name").alias("group"), F.col("low_vel").alias("lo_vel"), F.col("high_vel").alias("hi_vel")).join(own, [key, "id"], "left").drop("id")
+    loose = own.where("id IS NULL").select(key, F.lit("Unassigned").alias("group"), F.lit(0).alias("lo_vel"), F.lit(127).alias("hi_vel"), "path", "root_note", "lo_key", "hi_key")
+    return named.unionByName(loose)
+
+
 def midi_content(file_data: Column) -> Column:
     """The bytes of a MIDI file that is kept as base64 text."""
     return F.unbase64(file_data.cast("string"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dsp
 from ..functions.arithmetic import bar_fit, bar_seconds, clamp, overlap_ratio, seconds_to_samples
-from .audio import beat_times
+from .audio import beat_times, sample_arrays
 
 BAR_COUNTS = (1, 2, 4, 8, 16)
 # The scores and their weights.
@@ -42,26 +42,29 @@ def bar_pairs(beats: DataFrame, key: str = "recording_id", tolerance: float = 0.
     return found.withColumn("__n", n).where(F.col("__n") <= cap).drop("__n")
 
 
-def grid_candidates(recordings: DataFrame, key: str = "recording_id", shortest: float = 0.5, longest: float = 32.0, cap: int = CAP) -> DataFrame:
-    """Where there are fewer than four beats: every bar a start, for each length that fits. recordings: key, duration, bpm."""
+def grid_candidates(recordings: DataFrame, key: str = "recording_id", shortest: float = 0.5, longest: float = 32.0, cap: int | None = CAP) -> DataFrame:
+    """Where there are fewer than four beats: every bar a start, for each length that fits; all if cap is None. recordings: key, duration, bpm."""
     wide = recordings.withColumn("bar", bar_seconds(F.col("bpm"))).select("*", F.explode(F.array(*map(F.lit, BAR_COUNTS))).alias("bars"))
     length = F.col("bars") * F.col("bar")
     fits = wide.where(length.between(shortest, longest) & (length <= F.col("duration")))
     steps = F.floor((F.col("duration") - length) / F.col("bar")).cast("int")
     each = fits.select("*", F.explode(F.sequence(F.lit(0), steps)).alias("k"))
     found = each.select(key, "bars", (F.col("k") * F.col("bar")).alias("start_time"), (F.col("k") * F.col("bar") + length).alias("end_time"))
+    if cap is None:
+        return found
     n = F.row_number().over(Window.partitionBy(key).orderBy("bars", "start_time"))
     return found.withColumn("__n", n).where(F.col("__n") <= cap).drop("__n")
 
 
 def beat_alignment(start: Column, end: Column, beats: Column) -> Column:
-    """How near both ends are to beats (an array of times), in beat periods; 0.3 without beats."""
+    """How near each end is to a beat (beats: an array of times), in beat periods, on average; 0.3 without beats."""
     near = lambda t: F.array_min(F.transform(beats, lambda b: F.abs(b - t)))
     gaps = F.array_sort(F.transform(F.sequence(F.lit(1), F.greatest(F.size(beats) - 1, F.lit(1))), lambda i: F.get(beats, i) - F.get(beats, i - 1)))
     n = F.size(beats) - 1
     middle = (F.get(gaps, F.floor((n - 1) / 2).cast("int")) + F.get(gaps, F.floor(n / 2).cast("int"))) / 2
     period = F.when(F.size(beats) > 1, middle).otherwise(0.5)
-    return F.when(F.size(beats) == 0, 0.3).otherwise(clamp(1 - (near(start) + near(end)) / 2 / F.greatest(period, F.lit(1e-9))))
+    score = lambda t: clamp(1 - near(t) / F.greatest(period, F.lit(1e-9)))
+    return F.when(F.size(beats) == 0, 0.3).otherwise((score(start) + score(end)) / 2)
 
 
 def onset_regularity(gaps: DataFrame, key: str) -> DataFrame:
@@ -104,11 +107,11 @@ def select_best(scored: DataFrame, key: str = "recording_id", n: int = 5, least:
 _HEARD = ("spectral_similarity", "zero_crossing_cleanliness", "rms_energy_consistency", "onset_regularity", "spectral_stability")
 
 
-def candidates(timed: DataFrame, key: str = "recording_id") -> DataFrame:
+def candidates(timed: DataFrame, key: str = "recording_id", cap: int | None = CAP) -> DataFrame:
     """(key, bars, start_time, end_time): bar pairs of beats, or the bar grid where there are fewer than four. timed: see audio.beat_times."""
     few = F.size("beats") < 4
     rows = timed.where(~few).select(key, "bpm", F.posexplode("beats").alias("i", "t"))
-    return bar_pairs(rows, key).select(key, "bars", "start_time", "end_time").unionByName(grid_candidates(timed.where(few).select(key, "duration", "bpm"), key))
+    return bar_pairs(rows, key, cap=cap).select(key, "bars", "start_time", "end_time").unionByName(grid_candidates(timed.where(few).select(key, "duration", "bpm"), key, cap=cap))
 
 
 def heard(buffers: DataFrame, found: DataFrame, key: str = "recording_id") -> DataFrame:
@@ -121,8 +124,7 @@ def heard(buffers: DataFrame, found: DataFrame, key: str = "recording_id") -> Da
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, (rate, y, rows) in enumerate(zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True)):
-                y = np.array(y or [], float)
+            for i, (rate, y, rows) in enumerate(zip(b.column(1).to_pylist(), sample_arrays(b.column(2)), b.column(3).to_pylist(), strict=True)):
                 scores = np.array([dsp.loop_features(y, rate, r["loop_start"], min(len(y), r["loop_end"])) for r in rows])
                 own = b.column(0).take(pa.array([i] * len(rows), pa.int64()))
                 yield pa.RecordBatch.from_arrays([own, pa.array([r["idx"] for r in rows], pa.int32()), *map(pa.array, scores.T.copy())], names=[b.schema.names[0], "idx", *_HEARD])
@@ -131,7 +133,7 @@ def heard(buffers: DataFrame, found: DataFrame, key: str = "recording_id") -> Da
     return buffers.select(key, F.col("sample_rate").cast("int"), "samples").join(packed, key).mapInArrow(run, kinds)
 
 
-def search(buffers: DataFrame, timed: DataFrame | None = None, key: str = "recording_id", n: int = 5, least: float = 0.3, overlap: float = 0.5, weights: dict[str, float] | None = None) -> DataFrame:
+def search(buffers: DataFrame, timed: DataFrame | None = None, key: str = "recording_id", n: int = 5, least: float = 0.3, overlap: float = 0.5, weights: dict[str, float] | None = None, cap: int | None = CAP) -> DataFrame:
     """(key, rank, loop_start, loop_end, start_time, end_time, bars, bpm, confidence): the best loops of each recording.
 
     buffers: key, sample_rate, samples. timed (see audio.beat_times) is read several times: give a
@@ -139,7 +141,7 @@ def search(buffers: DataFrame, timed: DataFrame | None = None, key: str = "recor
     """
     timed = beat_times(buffers, key) if timed is None else timed
     order = F.row_number().over(Window.partitionBy(key).orderBy("bars", "start_time", "end_time")) - 1
-    each = candidates(timed, key).withColumn("idx", order).join(timed, key)
+    each = candidates(timed, key, cap).withColumn("idx", order).join(timed, key)
     placed = each.withColumns({"loop_start": seconds_to_samples(F.col("start_time"), F.col("sample_rate")), "loop_end": seconds_to_samples(F.col("end_time"), F.col("sample_rate"))})
     length = (F.col("end_time") - F.col("start_time")) / bar_seconds(F.col("bpm"))
     by_time = {"beat_alignment": beat_alignment(F.col("start_time"), F.col("end_time"), F.col("beats")), "duration_quantization": duration_score(length, F.col("bpm"))}

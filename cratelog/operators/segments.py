@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import signal
+from ..functions import signal, tags
 from ..functions.text import slice_name
+from . import audio
 
 
 def numeric_onsets(onsets: DataFrame, column: str = "t") -> DataFrame:
@@ -70,10 +71,47 @@ def drum_tags(drum: Column, duration: Column) -> Column:
     return F.filter(F.array(F.when(drum != "perc", "drum"), drum, hat), lambda t: t.isNotNull())
 
 
+def character(flatness: Column) -> Column:
+    return F.when(flatness < 0.005, "tonal").when(flatness > 0.05, "noisy").otherwise("hybrid")
+
+
+def described(rows: DataFrame, **lengths) -> DataFrame:
+    """rows (start_time, end_time, centroid, flatness, rms) with type, confidence, instrument_type, character and tags.
+
+    Rows without features (null) keep what their length says. lengths: see duration_class.
+    """
+    length = F.col("end_time") - F.col("start_time")
+    made = rows.withColumn("c_", duration_class(length, **lengths)).withColumns({"type": F.col("c_.type"), "confidence": F.col("c_.confidence")}).drop("c_")
+    shot = F.col("type") == "one_shot"
+    drum = F.when(shot & F.col("centroid").isNotNull(), drum_type(F.col("centroid"), F.col("flatness")))
+    made = made.withColumns({"instrument_type": drum, "character": F.when(F.col("flatness").isNotNull(), character(F.col("flatness")))})
+    heard = F.concat(F.when(shot, F.concat(F.array(F.lit("one_shot")), drum_tags(F.col("instrument_type"), length))).otherwise(F.array().cast("array<string>")), sound_tags(F.col("flatness"), F.col("rms")))
+    return made.withColumn("tags", F.when(F.col("flatness").isNotNull(), heard))
+
+
+def heard_segments(rows: DataFrame, buffers: DataFrame, key: str = "recording_id") -> DataFrame:
+    """rows (key, start_time, end_time) with centroid, flatness, rms and peak of what they cut out of buffers (key, sample_rate, samples).
+
+    A recording's segments are gathered beside its samples and cut there; empty segments have nulls.
+    """
+    packed = rows.groupBy(key).agg(F.collect_list(F.struct("start_time", "end_time")).alias("cuts"))
+    at = lambda t, rate: F.greatest(F.lit(0), (t * rate).cast("int"))
+    part = lambda z: F.slice("samples", at(z["start_time"], F.col("sample_rate")) + 1, F.greatest(at(z["end_time"], F.col("sample_rate")) - at(z["start_time"], F.col("sample_rate")), F.lit(0)))
+    each = buffers.select(key, "sample_rate", "samples").join(packed, key).select(key, "sample_rate", F.explode(F.transform(F.array_distinct("cuts"), lambda z: F.struct(z["start_time"].alias("start_time"), z["end_time"].alias("end_time"), part(z).alias("samples")))).alias("z"))
+    cut = each.select(key, "z.start_time", "z.end_time", "sample_rate", "z.samples").where(F.size("samples") > 0)
+    return rows.join(audio.segment_features(cut, key, "start_time", "end_time"), [key, "start_time", "end_time"], "left")
+
+
+def point_bounds(json: Column) -> Column:
+    """Struct of start_time and end_time of a slice point: of keys start and end where these are present, even if null, else of start_time and end_time."""
+    one = lambda k: F.when(tags.has_key(json, k), tags.get(json, k)).otherwise(tags.get(json, f"{k}_time")).try_cast("double")
+    return F.struct(one("start").alias("start_time"), one("end").alias("end_time"))
+
+
 def sound_tags(flatness: Column, level: Column) -> Column:
     """tonal or noisy, high or low energy; what is in between has no tag."""
-    tags = F.array(F.when(flatness < 0.005, "tonal").when(flatness > 0.05, "noisy"), F.when(level > 0.1, "high_energy").when(level < 0.01, "low_energy"))
-    return F.filter(tags, lambda t: t.isNotNull())
+    found = F.array(F.when(flatness < 0.005, "tonal").when(flatness > 0.05, "noisy"), F.when(level > 0.1, "high_energy").when(level < 0.01, "low_energy"))
+    return F.filter(found, lambda t: t.isNotNull())
 
 
 def slices(points: DataFrame, recordings: DataFrame, key: str = "recording_id", shortest: float = 0.1, longest: float = 10.0) -> DataFrame:
@@ -108,17 +146,29 @@ def drum_thresholds(features: DataFrame) -> DataFrame:
 
 
 def propose_cuts(stats: DataFrame) -> DataFrame:
-    """One row of proposed limits: midway between the means of kick, snare and hi-hat."""
+    """One row of proposed limits, null where a category is missing.
+
+    A kick's centroid ends midway between its own greatest and the others' least, if there are snares or
+    hi-hats; a hi-hat's begins midway between the others' greatest and its own least, or a fifth
+    under its own where there are no others. A snare's flatness begins a tenth under its least.
+    """
     pick = lambda cat, c: F.max(F.when(F.col("category") == cat, F.col(c)))
+    top, low = pick("kick", "max_centroid"), pick("hihat", "min_centroid")
+    over, under = F.min(F.when(F.col("category") != "kick", F.col("min_centroid"))), F.max(F.when(F.col("category") != "hihat", F.col("max_centroid")))
     return stats.agg(
-        ((pick("kick", "mean_centroid") + pick("snare", "mean_centroid")) / 2).alias("kick_centroid"), ((pick("snare", "mean_centroid") + pick("hihat", "mean_centroid")) / 2).alias("hat_centroid"),
-        (pick("kick", "max_flatness") * 1.2).alias("kick_flatness"), (pick("snare", "min_flatness") * 0.9).alias("snare_flatness"),
+        F.when(F.count_if(F.col("category").isin("snare", "hihat")) > 0, (top + over) / 2).alias("kick_centroid"),
+        F.coalesce((low + under) / 2, low * 0.8).alias("hat_centroid"), (pick("snare", "min_flatness") * 0.9).alias("snare_flatness"),
     )
 
 
 def measured(made: DataFrame, buffers: DataFrame, key: str = "recording_id", least: int = 1024) -> DataFrame:
-    """Slices with their samples, score and quality report, cut from buffers (key, sample_rate, samples); the name is the file's."""
-    cut = made.join(buffers.select(key, "sample_rate", F.col("samples").alias("__y")), key)
-    cut = cut.withColumn("samples", F.slice("__y", (F.col("first_sample") + 1).cast("int"), (F.col("last_sample") - F.col("first_sample")).cast("int"))).drop("__y")
+    """Slices with their samples, score and quality report, cut from buffers (key, sample_rate, samples); the name is the file's.
+
+    A recording's slices are gathered beside its samples and cut there, so the samples move once.
+    """
+    packed = made.groupBy(key).agg(F.collect_list(F.struct(*[c for c in made.columns if c != key])).alias("cuts"))
+    part = lambda z: F.slice("samples", (z["first_sample"] + 1).cast("int"), (z["last_sample"] - z["first_sample"]).cast("int"))
+    cuts = buffers.select(key, "sample_rate", "samples").join(packed, key).select(key, "sample_rate", F.transform("cuts", lambda z: F.struct(z.alias("cut"), part(z).alias("samples"))).alias("cuts"))
+    cut = cuts.select(key, "sample_rate", F.explode("cuts").alias("c")).select(key, "c.cut.*", "sample_rate", "c.samples")
     out = cut.withColumn("quality_report", signal.quality_report(F.col("samples"), least=least))
     return out.withColumns({"score": F.col("quality_report.score"), "file_path": F.concat("name", F.lit(".wav"))})

@@ -15,11 +15,11 @@ def scaled(spectrum: Column) -> Column:
 
 
 def clash(target: Column, other: Column) -> Column:
-    """Struct of bin and strength of the strongest clash of two scaled spectra (first if equal), or null.
+    """Struct of bin and strength: of the bins that clash, the one where the other stem is loudest (first if equal), or null.
 
     Bins clash where the other stem is over 0.3 and the target over 0.2.
     """
-    each = F.zip_with(target, other, lambda t, o: F.when((o > 0.3) & (t > 0.2), o * t).otherwise(0.0))
+    each = F.zip_with(target, other, lambda t, o: F.when((o > 0.3) & (t > 0.2), o).otherwise(0.0))
 
     def strongest(v: Column) -> Column:
         top = F.array_max(v)

@@ -9,14 +9,16 @@ from ..functions.arithmetic import clamp, snap
 
 
 def quantize(events: DataFrame, grid: int, strict: bool = True) -> DataFrame:
-    """events (kind, start, dur, loop_len in ticks) snapped to the grid, with clipped and dropped flags.
+    """events (kind, start, dur, loop_len in ticks) with notes snapped to the grid, and clipped and dropped flags.
 
-    Notes past the loop's end are clipped, notes without length dropped (one may be both); in
-    strict mode controls from the end on are dropped, else notes are clipped within one grid only.
+    Notes past the loop's end are clipped, if not strict only those that reach less than a grid step past it;
+    notes without length are dropped (one may be both). Controls stay where they are; strict
+    mode drops those from the loop's end on.
     """
-    start, size = snap(F.col("start"), F.lit(grid)), F.col("loop_len")
-    note, over = F.col("kind") == "note", start + F.col("dur") > size
-    clipped = note & over & (F.lit(True) if strict else start + F.col("dur") <= size + grid)
+    note, size = F.col("kind") == "note", F.col("loop_len")
+    start = F.when(note, snap(F.col("start"), F.lit(grid))).otherwise(F.col("start"))
+    past = start + F.col("dur") - size
+    clipped = note & (past > 0) & (F.lit(True) if strict else past < grid)
     dur = F.when(clipped, size - start).otherwise(F.col("dur"))
     dropped = F.when(note, dur <= 0).otherwise(F.lit(strict) & (start >= size))
     return events.withColumns({"q_start": start, "q_dur": dur, "clipped": clipped, "dropped": dropped})
@@ -26,18 +28,19 @@ def quantize_counts(quantized: DataFrame, key: str) -> DataFrame:
     return quantized.groupBy(key).agg(F.count_if(~F.col("dropped")).alias("kept"), F.count_if("clipped").alias("clipped"), F.count_if("dropped").alias("dropped"))
 
 
-def fitness(notes: DataFrame, key: str) -> DataFrame:
+def fitness(notes: DataFrame, key: str, loops: DataFrame | None = None) -> DataFrame:
     """(key, fitness): 0.4 notes within the loop, 0.3 a downbeat, 0.3 activity in the last quarter.
 
-    notes: key, start, dur, loop_len, whole (ticks of a whole note). Without notes there is no row;
-    callers take 0.
+    notes: key, start, dur, loop_len, whole (ticks of a whole note). loops gives the keys of all loops, of which
+    those without notes have fitness 0.
     """
     end, size, n = F.col("start") + F.col("dur"), F.col("loop_len"), F.count(F.lit(1))
     inside = F.count_if(end <= size) / n
     downbeat = F.bool_or(F.col("start") * 16 <= F.col("whole")).cast("int")
     tail = F.count_if((end > size * F.lit(0.75)) & (F.col("start") < size))
     active = F.least(F.lit(1.0), tail / F.greatest(F.lit(1), F.floor(n / 4)))
-    return notes.groupBy(key).agg(clamp(inside * 0.4 + downbeat * 0.3 + active * 0.3).alias("fitness"))
+    found = notes.groupBy(key).agg(clamp(inside * 0.4 + downbeat * 0.3 + active * 0.3).alias("fitness"))
+    return found if loops is None else loops.select(key).distinct().join(found, key, "left").select(key, F.coalesce("fitness", F.lit(0.0)).alias("fitness"))
 
 
 def best_attempt(attempts: DataFrame, key: str, enough: float = 0.7) -> DataFrame:

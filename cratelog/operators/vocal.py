@@ -9,8 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import dsp
-from ..functions.text import clip_text
+from ..functions import dsp, signal
+from ..functions.arithmetic import to_db
+from ..functions.text import clip_text, processed_name
+from .audio import features, key_name, sample_arrays
 
 IDEAL_COUNTS = (2, 4, 8, 16, 32, 64)
 SILENCE_MS = 75.0
@@ -83,8 +85,8 @@ def repair(files: DataFrame, key: str = "file_id", silence_ms: float = SILENCE_M
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, (rate, y, rows) in enumerate(zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True)):
-                y, parts, at, out = np.array(y or [], float), [], 0, []
+            for i, (rate, y, rows) in enumerate(zip(b.column(1).to_pylist(), sample_arrays(b.column(2)), b.column(3).to_pylist(), strict=True)):
+                parts, at, out = [], 0, []
                 quiet = np.zeros(int(silence_ms / 1000 * rate))
                 for n, r in enumerate(rows or []):
                     first, last = moved(y, rate, r["start_sample"], r["end_sample"])
@@ -104,6 +106,48 @@ def repair(files: DataFrame, key: str = "file_id", silence_ms: float = SILENCE_M
     return given.mapInArrow(run, f"{key} {kind}, sample_rate int, samples array<double>, stabs array<struct<start_sample:bigint,end_sample:bigint,duration_ms:double>>")
 
 
+def evaluate(files: DataFrame, key: str = "file_id", least: float = SILENCE_MS, reach_ms: float = 10.0) -> DataFrame:
+    """files with stabs, average_silence_ms, key_name, tempo and issues of each vocal-chop file.
+
+    files: key, sample_rate, samples and labels (cue names). Stabs reach from onset to onset, so
+    they have no silence between them unless files brings stabs of its own.
+    """
+    made = features(files.select(key, "sample_rate", "samples"), key).select(key, "onsets", F.col("tempo"), key_name(F.col("chroma")).alias("key_name"))
+    joined = files.join(made, key)
+    size, rate = F.size("samples").cast("bigint"), F.col("sample_rate")
+    begins = F.array_distinct(F.transform("onsets", lambda t: F.floor(t * rate).cast("bigint")))
+    between = F.transform(begins, lambda a, i: F.struct(a.alias("start_sample"), F.coalesce(F.get(begins, i + 1), size).alias("end_sample")))
+    stabs_of = F.coalesce(F.when(F.size("stabs") > 0, F.col("stabs")), between) if "stabs" in files.columns else between
+    joined = joined.withColumn("stabs", stabs_of)
+    ms = lambda n: n * 1000.0 / rate
+    gap = F.transform(F.sequence(F.lit(0), F.greatest(F.size("stabs") - 2, F.lit(0))), lambda i: ms(F.get("stabs", i + 1)["start_sample"] - F.get(F.col("stabs"), i)["end_sample"]))
+    gaps_of = F.when(F.size("stabs") > 1, gap).otherwise(F.array().cast("array<double>"))
+    positive = lambda g: F.filter(g, lambda v: v > 0)
+    mean = lambda g: F.aggregate(g, F.lit(0.0), lambda s, v: s + v) / F.size(g)
+    reach = F.floor(rate * (reach_ms / 2000)).cast("int")
+    cut = lambda s: F.slice("samples", s["start_sample"].cast("int") + 1, F.greatest(s["end_sample"] - s["start_sample"], F.lit(0)).cast("int"))
+    each = F.flatten(F.transform("stabs", lambda s: stab_issues(s["start_sample"], s["end_sample"], signal.crosses_near(F.col("samples"), s["start_sample"].cast("int"), reach), signal.crosses_near(F.col("samples"), s["end_sample"].cast("int"), reach), signal.has_click(cut(s)))))
+    between_issues = F.filter(F.transform(gaps_of, lambda g: F.when(g <= 0, "no silence or overlap").when(g < least, "silence too short")), lambda i: i.isNotNull())
+    count = F.when(~count_is_ideal(F.size("stabs")), "number of stabs is no power of two")
+    whole = F.filter(F.array(count, F.when(signal.loudness(F.col("samples")) <= to_db(F.lit(0.0)), "silent")), lambda i: i.isNotNull())
+    return joined.withColumns({
+        "average_silence_ms": F.when(F.size("stabs") > 1, F.coalesce(F.when(F.size(positive(gaps_of)) > 0, mean(positive(gaps_of))), F.lit(0.0))),
+        "issues": F.array_distinct(F.concat(whole, each, between_issues, metadata_issues(F.col("tempo"), F.col("key_name"), F.col("labels")))),
+    }).drop("onsets")
+
+
+def perfected(files: DataFrame, key: str = "file_id", silence_ms: float = SILENCE_MS) -> DataFrame:
+    """(key, name, sample_rate, samples, tags, issues): evaluated, repaired, and with the comment that says what was found.
+
+    files: key, name, sample_rate, samples, labels, tags (map). The name gets the suffix of a finished file.
+    """
+    judged = evaluate(files, key, silence_ms)
+    fixed = repair(judged.select(key, "sample_rate", "samples", "stabs"), key, silence_ms).select(key, F.col("samples").alias("fixed"), F.size("stabs").alias("n"))
+    said = comment(F.col("n"), F.col("average_silence_ms"), F.col("issues"))
+    tags_of = F.map_concat(F.map_filter(F.coalesce("tags", F.create_map().cast("map<string,string>")), lambda k, _: k != "comment"), F.create_map(F.lit("comment"), said))
+    return judged.join(fixed, key).select(key, processed_name(F.col("name"), "_perfected").alias("name"), "sample_rate", F.col("fixed").alias("samples"), tags_of.alias("tags"), "issues")
+
+
 def comment(stabs: Column, average_silence_ms: Column, issues: Column) -> Column:
     """The text that goes into a repaired file's comment tag."""
     return F.concat_ws(

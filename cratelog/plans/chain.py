@@ -9,16 +9,20 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clip_text
-from ..operators import audio, loops, segments
+from ..functions import signal
+from ..functions.text import WORD_STARTS, clip_text
+from ..operators import audio, exports, loops, segments, vocal
 
 #: Kinds of tables that stages pass on.
 FILE, AUDIO, ONSETS, SEGMENTS, SLICES, SAMPLES, LOOPS = "file_path", "audio", "onset_times", "segments", "slice_points", "list_of_sample_data", "loop_candidates"
+PRESETS, CHOPS = "preset_files", "vocal_chops"
+#: How onsets are picked, in frames of the onset envelope.
+PEAKS = {"pre_max": 5, "post_max": 5, "pre_avg": 10, "post_avg": 10, "delta": 0.07, "wait": 5}
 
 
 @dataclass(frozen=True)
 class Stage:
-    """A transform of one kind of table into another. defaults: its parameters; a call's replace them whole."""
+    """A transform of one kind of table into another. defaults: its parameters; a call's are merged into them, key by key."""
 
     name: str
     takes: str
@@ -56,7 +60,7 @@ class Registry:
             stage = self.stages[step["stage_name"]]
             if stage.takes != kind:
                 raise TypeError(f"{stage.name} takes {stage.takes}, not {kind}")
-            out.append((stage, {**stage.defaults, **(step.get("params") or {})}))
+            out.append((stage, merged(stage.defaults, step.get("params") or {})))
             kind = stage.gives
         return out
 
@@ -83,12 +87,34 @@ class Registry:
 
 def snake(name: str) -> str:
     """A class-like workflow name as a key."""
-    return re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", re.sub(r"(.)([A-Z][a-z]+)", r"\1_\2", name)).lower()
+    return re.sub("_+", "_", re.sub(WORD_STARTS, "_", name)).lower()
 
 
-def _classify(rows: DataFrame, **p) -> DataFrame:
-    made = rows.withColumn("__c", segments.duration_class(F.col("end_time") - F.col("start_time"), **p))
-    return made.withColumns({"type": F.col("__c.type"), "confidence": F.col("__c.confidence")}).drop("__c")
+def merged(base: Mapping, over: Mapping) -> dict:
+    """base with the values of over; where both have a mapping, that is merged in turn."""
+    both = lambda k: merged(base[k], over[k]) if isinstance(base.get(k), Mapping) and isinstance(over[k], Mapping) else over[k]
+    return {**base, **{k: both(k) for k in over}}
+
+
+def _classify(rows: DataFrame, buffers: DataFrame | None, enable_spectral_analysis: bool = True, **p) -> DataFrame:
+    """Type and confidence by length; with audio at hand also instrument, character and tags."""
+    if enable_spectral_analysis and buffers is not None:
+        return segments.described(segments.heard_segments(rows, buffers), **p)
+    made = rows.withColumn("c_", segments.duration_class(F.col("end_time") - F.col("start_time"), **p))
+    return made.withColumns({"type": F.col("c_.type"), "confidence": F.col("c_.confidence")}).drop("c_")
+
+
+def _faded(rows: DataFrame, fade_in_ms: float = 0.0, fade_out_ms: float = 0.0) -> DataFrame:
+    """Samples with linear fades at both ends."""
+    n = lambda ms: F.floor(F.col("sample_rate") * F.lit(ms / 1000)).cast("int")
+    return rows.withColumn("samples", signal.fades(F.col("samples"), n(fade_in_ms), n(fade_out_ms)))
+
+
+def _preset(rows: DataFrame, root_note: int = 60, instrument_name: str = "Instrument") -> DataFrame:
+    """A preset of the slices of each recording, a key for each from the root note upwards."""
+    nth = F.row_number().over(Window.partitionBy("recording_id").orderBy("idx")) - 1
+    zones = rows.select("recording_id", F.lit(instrument_name).alias("group"), F.lit(0).alias("lo_vel"), F.lit(127).alias("hi_vel"), (F.lit(root_note) + nth).alias("root_note"), F.concat("name", F.lit(".wav")).alias("path"))
+    return exports.preset_files(zones.withColumns({"lo_key": F.col("root_note"), "hi_key": F.col("root_note")}), "recording_id")
 
 
 def _as_points(rows: DataFrame) -> DataFrame:
@@ -107,13 +133,17 @@ def segmentation(recordings: DataFrame | None = None, buffers: DataFrame | None
     """
     made = Registry(
         Stage("noise_reduction", AUDIO, AUDIO, lambda df, **p: audio.gated(df, **p), {"amount": 1.0, "threshold_db": -60.0, "auto_threshold": True}),
-        Stage("onset_detection", AUDIO, ONSETS, lambda df: audio.onset_rows(audio.features(df, "recording_id"), "recording_id")),
+        Stage("onset_detection", AUDIO, ONSETS, lambda df, **p: audio.onset_rows(audio.features(df, "recording_id", **p["detection_params"]), "recording_id"), {"detection_params": PEAKS}),
         Stage("loop_detection", AUDIO, LOOPS, lambda df, **p: loops.search(df, **p), {"n": 5, "least": 0.3, "overlap": 0.5}),
         Stage("slice_planning", ONSETS, SEGMENTS, lambda df, project_type: segments.plan(segments.numeric_onsets(df), project_type), {"project_type": "sample_pack"}),
-        Stage("segment_classification", SEGMENTS, SEGMENTS, _classify),
+        Stage("segment_classification", SEGMENTS, SEGMENTS, lambda df, **p: _classify(df, buffers, **p), {"enable_spectral_analysis": True}),
         Stage("slice_points", SEGMENTS, SLICES, _as_points),
         Stage("slicing", SLICES, SAMPLES, lambda df, **p: segments.slices(df, recordings, **p)),
         Stage("quality_measurement", SAMPLES, SAMPLES, lambda df, **p: segments.measured(df, buffers, **p)),
+        Stage("fades", SAMPLES, SAMPLES, _faded, {"fade_in_ms": 5.0, "fade_out_ms": 5.0}),
+        Stage("sampler_export", SAMPLES, PRESETS, _preset, {"root_note": 60, "instrument_name": "Instrument"}),
+        Stage("vocal_evaluation", CHOPS, CHOPS, vocal.evaluate),
+        Stage("vocal_perfection", CHOPS, CHOPS, vocal.perfected),
         Stage("quality_control", SAMPLES, SAMPLES, lambda df, **p: segments.quality_control(df, **p), {"reject": True, "least": 0.5}),
     )
 
@@ -172,6 +202,8 @@ def workflows(recordings: DataFrame | None = None, buffers: DataFrame | None = N
         Workflow("ExampleSlicing", AUDIO, _steps("onset_detection", "slice_planning", "slice_points", "slicing"), "onsets to slices"),
         Workflow("SamplePack", AUDIO, [gate, *_steps("onset_detection", *(s["stage_name"] for s in INTELLIGENT_SLICING), "quality_measurement", "quality_control")], "noise gate to checked, classified slices"),
         Workflow("AudioIngestion", AUDIO, _steps("intelligent_slicing"), "classified slices in one stage"),
+        Workflow("DecentSamplerCreation", AUDIO, [*_steps("onset_detection", "slice_planning", "slice_points", "slicing"), {"stage_name": "sampler_export"}], "slices to a sampler preset"),
+        Workflow("VocalChopPerfection", CHOPS, _steps("vocal_perfection"), "evaluated, repaired and tagged vocal chops"),
         Workflow("LoopSearch", AUDIO, _steps("noise_reduction", "loop_detection"), "the best loops of each recording"),
     )
 

@@ -29,10 +29,14 @@ def query(sql: str):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import more_queries  # registers its own
+
+    assert more_queries
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -98,9 +102,9 @@ def manifest_match_lists(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {_MATCH}, names(rule_id, name, spare) AS (VALUES (1, 'Final Takes', 'Bass'), (2, 'Urgent Open', 'Other'), (3, 'High', 'Keys'), (5, 'Slow', 'Other'))
 SELECT project_id, CAST(rule_id AS BIGINT) AS rule_id, asset_id, 'General/' || spare || '/' || name || '_' || row_number() OVER (PARTITION BY project_id, rule_id ORDER BY asset_id) || '.wav' AS path FROM m JOIN names USING (rule_id)
-UNION ALL SELECT project_id, 0, asset_id, 'Unassigned/sample_' || asset_id || '.wav' FROM a WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.project_id = a.project_id AND m.asset_id = a.asset_id)""")
+UNION ALL SELECT project_id, 0, asset_id, 'Unassigned/take ' || asset_id % 1000 || '.wav' FROM a WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.project_id = a.project_id AND m.asset_id = a.asset_id)""")
 def kit_export_paths(spark: SparkSession, d: str) -> DataFrame:
-    assets, rules = _assets(spark, d).withColumn("ext", F.lit(".wav")), _rules(spark, d)
+    assets, rules = _assets(spark, d).withColumns({"ext": F.lit(".wav"), "file_path": F.concat(F.lit("/in/take "), F.col("asset_id") % 1000, F.lit(".wav"))}), _rules(spark, d)
     return exports.kit_paths(rules.select("project_id", "rule_id", "name", "category"), manifest.match(rules, assets), assets).drop("kind").withColumn("rule_id", F.coalesce("rule_id", F.lit(0).cast("bigint")))
 
 
@@ -194,11 +198,11 @@ def sanitized_names(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(r"""WITH n AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'SamplePackWorkflow' WHEN 1 THEN 'VST3PluginStage' WHEN 2 THEN 'audioIngestion' ELSE 'HTMLToMIDIExport2Go' END AS n FROM part)
-SELECT p_partkey, lower(regexp_replace(regexp_replace(regexp_replace(n, '(.)([A-Z][a-z]+)', '\1_\2', 'g'), '__([A-Z])', '_\1', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g')) AS snake FROM n""")
+@query(r"""WITH n AS (SELECT p_partkey, CASE p_size % 7 WHEN 0 THEN 'SamplePackWorkflow' WHEN 1 THEN 'VST3PluginStage' WHEN 2 THEN 'audioIngestion' WHEN 3 THEN 'HTMLToMIDIExport2Go' WHEN 4 THEN 'My_Class' WHEN 5 THEN 'a__b' ELSE 'Sub___BassTake_' END AS n FROM part)
+SELECT p_partkey, CASE n WHEN 'SamplePackWorkflow' THEN 'sample_pack_workflow' WHEN 'VST3PluginStage' THEN 'vst3_plugin_stage' WHEN 'audioIngestion' THEN 'audio_ingestion' WHEN 'HTMLToMIDIExport2Go' THEN 'html_to_midi_export2_go' WHEN 'My_Class' THEN 'my_class' WHEN 'a__b' THEN 'a_b' ELSE 'sub_bass_take_' END AS snake FROM n""")
 def camel_to_snake(spark: SparkSession, d: str) -> DataFrame:
-    names = F.array(*map(F.lit, ("SamplePackWorkflow", "VST3PluginStage", "audioIngestion", "HTMLToMIDIExport2Go")))
-    return table(spark, d, "part").select("p_partkey", text.camel_to_snake(F.element_at(names, (F.col("p_size") % 4 + 1).cast("int"))).alias("snake"))
+    names = F.array(*map(F.lit, ("SamplePackWorkflow", "VST3PluginStage", "audioIngestion", "HTMLToMIDIExport2Go", "My_Class", "a__b", "Sub___BassTake_")))
+    return table(spark, d, "part").select("p_partkey", text.camel_to_snake(F.element_at(names, (F.col("p_size") % 7 + 1).cast("int"))).alias("snake"))
 
 
 _FILES = ("SubBass_01.wav", "lead melody.wav", "soft_pad.wav", "Kick.wav", "perc_loop.wav", "vox.aiff", "noise.wav", "snare_hat.wav", "sub kick.wav")
@@ -432,7 +436,7 @@ def stab_issues(spark: SparkSession, d: str) -> DataFrame:
 
 _EV = """ev AS (SELECT l_orderkey, CASE WHEN l_linenumber = 5 THEN 'control' ELSE 'note' END AS kind, l_partkey % 4000 AS s, CAST(l_quantity AS BIGINT) * 20 AS dur FROM lineitem),
 q AS (SELECT *, CAST(round_even(s / 120.0, 0) * 120 AS BIGINT) AS qs FROM ev), r AS (SELECT *, kind = 'note' AND qs + dur > 3840 AS clipped, CASE WHEN kind = 'note' AND qs + dur > 3840 THEN 3840 - qs ELSE dur END AS qd FROM q),
-x AS (SELECT *, CASE WHEN kind = 'note' THEN qd <= 0 ELSE qs >= 3840 END AS dropped FROM r)"""
+x AS (SELECT *, CASE WHEN kind = 'note' THEN qd <= 0 ELSE s >= 3840 END AS dropped FROM r)"""
 
 
 def _notes(spark: SparkSession, d: str) -> DataFrame:
@@ -445,10 +449,11 @@ def grid_quantize(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_EV} SELECT l_orderkey, round(greatest(0, least(1, 0.4 * count(*) FILTER (s + dur <= 3840) / count(*) + 0.3 * max(CASE WHEN s * 16 <= 3840 THEN 1 ELSE 0 END) + 0.3 * least(1, count(*) FILTER (s + dur > 2880 AND s < 3840) / greatest(1, floor(count(*) / 4))))), 6) AS fitness
-FROM ev WHERE kind = 'note' GROUP BY l_orderkey""")
+FROM ev WHERE kind = 'note' GROUP BY l_orderkey
+UNION ALL SELECT DISTINCT l_orderkey, 0.0 FROM ev WHERE l_orderkey NOT IN (SELECT l_orderkey FROM ev WHERE kind = 'note')""")
 def loop_fitness(spark: SparkSession, d: str) -> DataFrame:
     notes = _notes(spark, d).where("kind = 'note'").withColumn("whole", F.lit(3840))
-    return symbolic.fitness(notes, "l_orderkey").withColumn("fitness", F.round("fitness", 6))
+    return symbolic.fitness(notes, "l_orderkey", table(spark, d, "lineitem").select("l_orderkey")).withColumn("fitness", F.round("fitness", 6))
 
 
 @query("""WITH l AS (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL),
@@ -462,7 +467,7 @@ def best_attempt(spark: SparkSession, d: str) -> DataFrame:
 # --- spectra, capture --------------------------------------------------------------------------
 
 _STEMS = """st AS (SELECT vec_id // 6 AS section, vec_id AS stem, CAST(4 + vec_id * 7 % 7 AS INTEGER) AS pr, list_transform(CAST(embedding AS DOUBLE[]), lambda v: abs(v)) AS y FROM embeddings), nz AS (SELECT section, stem, pr, list_transform(y, lambda v: v / (list_max(y) + 1e-6)) AS y FROM st),
-pp AS (SELECT a.section, a.stem, b.stem AS other, list_transform(range(1, 65), lambda i: CASE WHEN b.y[i] > 0.3 AND a.y[i] > 0.2 THEN b.y[i] * a.y[i] ELSE 0.0 END) AS c FROM nz a JOIN nz b ON a.section = b.section AND b.pr > a.pr),
+pp AS (SELECT a.section, a.stem, b.stem AS other, list_transform(range(1, 65), lambda i: CASE WHEN b.y[i] > 0.3 AND a.y[i] > 0.2 THEN b.y[i] ELSE 0.0 END) AS c FROM nz a JOIN nz b ON a.section = b.section AND b.pr > a.pr),
 mp AS (SELECT section, stem, other, CAST(list_position(c, list_max(c)) - 1 AS INTEGER) AS bin, list_max(c) AS strength FROM pp WHERE list_max(c) > 0)"""
 
 

@@ -107,7 +107,7 @@ def test_kits(spark, tmp_path):
 def test_presets_and_folders(spark):
     rows = spark.createDataFrame([(7, "soft", 0, 63, 60, "a.wav", 60, 62), (7, "loud", 64, 127, 60, "b.wav", 60, 62)], "project_id int, group string, lo_vel int, hi_vel int, root_note int, path string, lo_key int, hi_key int")
     xml = exports.preset_files(rows).first().xml
-    assert xml.count("<group ") == 2 and 'path="b.wav"' in xml
+    assert xml.count("<group ") == 2 and 'path="Samples/b.wav"' in xml
     projects = spark.createDataFrame([(1, "virtual_instrument"), (2, "sample_pack")], "id int, project_type string")
     assert exports.project_folders(projects, "/x").groupBy("project_id").count().orderBy("project_id").collect() == [(1, 8), (2, 3)]
     with pytest.raises(Exception, match="is not a project_type"):
