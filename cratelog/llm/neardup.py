@@ -204,7 +204,7 @@ def linked_inside(members: DataFrame, similarity: float, rows: int, runs: int, s
         return pa.table({"family": table["family"], "id": ids[order], "root": ids[order][labels.of], "blocks": table["blocks"]})
 
     dealt = _blocked(members, "family", rows, runs, salt).select("family", "blocks", "block", "id", "runs")
-    return dealt.groupBy("family", "block").applyInArrow(run, "family long, id long, root long, blocks int")
+    return dealt.repartition("family", "block").groupBy("family", "block").applyInArrow(run, "family long, id long, root long, blocks int")
 
 
 def linked_across(members: DataFrame, similarity: float, rows: int, runs: int) -> DataFrame:
@@ -230,7 +230,7 @@ def linked_across(members: DataFrame, similarity: float, rows: int, runs: int) -
         keep = _spanning(pairs[:, 0], pairs[:, 1])
         return pa.table({"a": pairs[keep, 0], "b": pairs[keep, 1]})
 
-    return both.groupBy("family", "s", "f").applyInArrow(run, "a long, b long")
+    return both.repartition("family", "s", "f").groupBy("family", "s", "f").applyInArrow(run, "a long, b long")
 
 
 def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

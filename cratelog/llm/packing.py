@@ -11,7 +11,8 @@ in which cost[i] + at[i] is all that depends on i, so a monotone queue gives eac
 constant time; windows of a power of two are looked up beside it. The stream is solved in
 blocks, and what follows a block's best last cut is carried over, so memory is bounded.
 
-Null texts are empty: a document of the end id alone. Repeated rows are packed once each.
+Null texts are empty: a document of the end id alone. Repeated rows are packed once each, an empty
+table gives no pieces, other columns than doc_id and text play no part. A text is tokenized whole.
 """
 
 from __future__ import annotations
@@ -56,8 +57,8 @@ def byte_alphabet() -> dict[str, int]:
 def encoder(name: str):
     """(text -> uint32 ids, ids that end a sentence) for a byte-level BPE file of public_tokenizers.
 
-    If ids follow the merge order, as here, the same ids come from tiktoken several times as
-    fast; else from tokenizers itself. Special tokens' strings are ordinary text.
+    The ids are those of tokenizers without special tokens added. If they follow the merge order, as
+    here, tiktoken gives the same several times as fast for texts that hold no added token's string; those come from tokenizers itself.
     """
     one_thread()
     import public_tokenizers
@@ -66,7 +67,10 @@ def encoder(name: str):
 
     path = public_tokenizers.path(name)
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        whole = json.load(f)
+    model, added = whole["model"], [t["content"] for t in whole.get("added_tokens", [])]
+    slow = Tokenizer.from_file(path)
+    exact = lambda text: np.asarray(slow.encode(text, add_special_tokens=False).ids, np.uint32)
     chars = byte_alphabet()
     raw = {i: bytes(chars.get(c, 63) for c in token) for token, i in model["vocab"].items()}
     enders = np.zeros(max(raw) + 1, bool)
@@ -76,10 +80,8 @@ def encoder(name: str):
     if all(model["vocab"].get(a + b) == 256 + k for k, (a, b) in enumerate(merged)):
         ranks = {raw[i]: i for i in range(256 + len(merged))}
         fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda text: np.asarray(fast.encode_ordinary(text), np.uint32), enders
-    slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
-    return lambda text: np.asarray(slow.encode(text, add_special_tokens=False).ids, np.uint32), enders
+        return lambda text: exact(text) if any(t in text for t in added) else np.asarray(fast.encode_ordinary(text), np.uint32), enders
+    return exact, enders
 
 
 def boundaries(ids: np.ndarray, doc_ends: np.ndarray, enders: np.ndarray, p: PackParams, last: bool) -> tuple[np.ndarray, np.ndarray]:

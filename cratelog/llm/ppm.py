@@ -1,20 +1,26 @@
 """LM scoring: prediction by partial matching over a byte-context trie, beside a word unigram base.
 
 Training counts, over all training texts, every byte (A-Z lower-cased, and one end symbol) with
-the ``order`` symbols before it. From these counts follow those of all shorter contexts, and the
-trie: for each context its symbols, its total and its escape weight (one for each symbol seen,
-plus what pruning took, by method D). A symbol not found in a context escapes to the next shorter one, where
-the symbols of the longer one are excluded. All of that is folded into a few numbers a node, so
-the code length of a position is a function of its last ``order`` + 1 symbols, computed once for
-each distinct run of them in a slice of text and summed by document.
-
-All texts are counted; for the broadcast, contexts and symbols that occur less than a threshold
-are pruned, the least one that leaves at most ``max_nodes`` nodes.
-
-The unigram base counts words exactly, however large the vocabulary: chunks of documents send
-each of their distinct words once to the bucket that adds it up and get back its count.
-
-A null text is empty and has its end only. With no training rows each symbol costs log10(257).
+the ``order`` symbols before it, a gram. From these counts follow those of all shorter contexts, and
+the trie: for each context its symbols, its total and its escape weight (one for each symbol seen,
+method D). A symbol not found in a context escapes to the next shorter one, where the symbols
+of the longer one are excluded. So the code length of a position is a function of its gram.
+
+Nothing is pruned, and the trie is never in one place:
+
+1. One map-only pass counts grams and words, added up in each task before the shuffle.
+2. Grams are dealt by the last two symbols of their contexts. Such a group holds every context that
+   ends so, and with the counts of the contexts of up to one symbol, of which there are 66,306 at most
+   and which are broadcast, it is a trie of its own; it gives the log10 probability of each of its grams.
+3. A second map-only pass adds up what each document's grams and words are worth. The most
+   frequent answers, as many as ``head_grams`` and ``head_words`` allow, are broadcast; a document's other grams and
+   words are answered by a join. Both come from the same tables, so the split changes no result.
+
+Nulls are empty texts and have their end only; repeated rows teach and come out once each; columns
+other than ``keep`` play no part; empty tables give none. With no training rows each symbol costs
+log10(257). A text is taken whole, so a very long one takes a hundred times its size while it is scored.
+Words are known by 96 hash bits. A group of step 2 is held by one task: a share of the distinct
+grams, which natural text keeps far below the number of its bytes.
 """
 
 from __future__ import annotations
@@ -28,16 +34,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, SLICE_BYTES, checkpoint, fold_case, text_bytes, text_slices, with_chunk, word_bounds, word_hashes
-from .exchange import bucket_rows, join_planes, regroup, to_planes
+from .common import checkpoint, fold_case, mix, text_slices, word_bounds, word_hashes
+from .simhash import whole_groups
 
 _BITS, _END, _ALPHABET = 9, 257, 257
 
 
 @dataclass(frozen=True)
 class PpmParams:
+    """``head_grams`` and ``head_words`` bound what is broadcast of the answers; they change no result."""
+
     order: int = 5
-    max_nodes: int = 500_000
+    head_grams: int = 1 << 20
+    head_words: int = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -69,38 +78,31 @@ def position_grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[n
 
 
 def build(counts: dict[int, tuple[np.ndarray, np.ndarray]], order: int) -> Trie:
-    """counts: of the grams of each length from 1 to order + 1, sorted by gram.
+    """counts: of the grams of each length from 1 to order + 1, sorted by gram. For a context among
+    them, all of its symbols must be there, and all shorter contexts.
 
-    A symbol seen c times in a context weighs 2c - 1, the escape 1 for each symbol (method D) and
-    2c for each that was pruned.
+    A symbol seen c times in a context weighs 2c - 1, the escape 1 for each symbol (method D).
     """
     mask = [(1 << _BITS * m) - 1 for m in range(order + 2)]
     safe = lambda x: np.log10(np.maximum(x, 1e-300))
-    contexts, parents, weights, total, seen, lost = [], [], [], [], [], []
+    contexts, parents, weights, total, seen = [], [], [], [], []
     for k in range(order + 1):
         grams, n = counts[k + 1]
         known, parent = np.unique(grams >> _BITS, return_inverse=True)
-        kept = np.bincount(parent, weights=n, minlength=len(known))
-        whole = kept
-        if k:  # how often the context itself was counted; contexts that end before the text begins were not
-            at = np.minimum(np.searchsorted(counts[k][0], known), max(len(counts[k][0]) - 1, 0))
-            whole = np.where(counts[k][0][at] == known, counts[k][1][at], kept) if len(known) else kept
         contexts.append(known)
         parents.append(parent)
         weights.append(2.0 * n - 1)
         total.append(np.bincount(parent, weights=weights[-1], minlength=len(known)))
         seen.append(np.bincount(parent, minlength=len(known)))
-        lost.append(2 * np.maximum(whole - kept, 0))
     nodes = []
     for k in range(order + 1):
-        escape = seen[k] + lost[k]
-        own = [safe(total[k] + escape), safe(escape) - safe(total[k] + escape), np.zeros(len(escape)), np.zeros(len(escape))]
+        whole = safe(total[k] + seen[k])
+        own = [whole, safe(seen[k]) - whole, np.zeros(len(whole)), np.zeros(len(whole))]
         if k:
             up = np.searchsorted(contexts[k - 1], contexts[k] & mask[k - 1])
             shorter = np.searchsorted(counts[k][0], counts[k + 1][0] & mask[k])
-            excluded = np.bincount(parents[k], weights=weights[k - 1][shorter], minlength=len(escape))
-            left = np.maximum(total[k - 1][up] - excluded, 0)
-            on = seen[k - 1][up] - seen[k] + lost[k - 1][up]
+            excluded = np.bincount(parents[k], weights=weights[k - 1][shorter], minlength=len(whole))
+            left, on = np.maximum(total[k - 1][up] - excluded, 0), seen[k - 1][up] - seen[k]
             on = np.where(left == 0, np.maximum(on, 1), on)
             own[2:] = [safe(left + on), safe(on) - safe(left + on)]
         nodes.append(np.column_stack([c.astype(np.float32) for c in own]))
@@ -142,142 +144,217 @@ def gram_scores(trie: Trie, grams: np.ndarray) -> np.ndarray:
     return out
 
 
-def text_scores(trie: Trie | None, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """log10 probability of each text with its end."""
-    if trie is None:
-        return -np.log10(_ALPHABET) * (np.diff(offsets) + 1)
-    grams, begin = position_grams(data, offsets, trie.order)
-    codes, distinct = pd.factorize(grams)
-    return np.add.reduceat(gram_scores(trie, distinct)[codes], begin)
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(64-bit hash, 32-bit check, words of each row) of the lower-cased words."""
+    starts, ends, before = word_bounds(data, offsets)
+    data = fold_case(data)
+    check = word_hashes(data, starts, ends, 0xC2B2AE3D27D4EB4F) >> np.uint64(32)
+    return word_hashes(data, starts, ends).view(np.int64), check.astype(np.uint32).view(np.int32), np.diff(before)
 
 
-def count_grams(docs: DataFrame, order: int) -> DataFrame:
-    """(gram, n) over all texts; each task adds up before the shuffle."""
+GRAM, WORD, ROWS = 0, 1, 2
+
+
+def _paired(keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """Numbers that are equal for equal pairs, and different for different ones of a task but for a chance of 2**-64 each two."""
+    return (keys.view(np.uint64) ^ mix(checks.view(np.uint32).astype(np.uint64))).view(np.int64)
+
+
+class _Counter:
+    """Keys with how often they occur in all and in learning texts, added up as they come."""
+
+    def __init__(self, kind: int):
+        self.kind, self.held, self.size = kind, [], 0
+
+    def add(self, keys: np.ndarray, checks: np.ndarray, learns: np.ndarray) -> None:
+        self.held.append(self._added(keys, checks, np.ones(len(keys)), learns))
+        self.size += len(self.held[-1][0])
+        if self.size > 4_000_000:
+            self.held = [self.merged()]
+            self.size = len(self.held[0][0])
+
+    def _added(self, keys: np.ndarray, checks: np.ndarray, m: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        codes, distinct = pd.factorize(keys if self.kind == GRAM else _paired(keys, checks))
+        add = lambda w: np.bincount(codes, weights=w, minlength=len(distinct)).astype(np.int64)
+        if self.kind == GRAM:
+            return distinct, np.zeros(len(distinct), np.int32), add(m), add(n)
+        first = np.zeros(len(distinct), np.int64)
+        first[codes[::-1]] = np.arange(len(keys))[::-1]
+        return keys[first], checks[first], add(m), add(n)
+
+    def merged(self) -> tuple[np.ndarray, ...]:
+        return self._added(*(np.concatenate(x) for x in zip(*self.held, strict=True)))
+
+    def take(self, least: int) -> Iterator[pa.RecordBatch]:
+        if self.size > least:
+            keys, checks, m, n = self.merged()
+            yield _count_rows(self.kind, keys, checks, m, n)
+            self.held, self.size = [], 0
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            codes, grams = pd.factorize(np.concatenate([g for g, _ in have]))
-            return grams, np.bincount(codes, weights=np.concatenate([n for _, n in have])).astype(np.int64)
+def _count_rows(kind: int, keys, checks, m, n) -> pa.RecordBatch:
+    columns = [pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys, pa.int64()), pa.array(checks, pa.int32()), pa.array(m, pa.int64()), pa.array(n, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["kind", "key", "check", "m", "n"])
 
+
+def count(docs: DataFrame, learn: str, order: int) -> DataFrame:
+    """(kind, key, check, m, n): how often each gram and word occurs in all texts and in those that teach; ROWS counts texts."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, words, rows, taught = _Counter(GRAM), _Counter(WORD), 0, 0
         for b in batches:
-            for _, _, data, offsets in text_slices(b.column(0)):
-                codes, grams = pd.factorize(position_grams(data, offsets, order)[0])
-                have.append((grams, np.bincount(codes)))
-                size += len(grams)
-                if size > 4_000_000:
-                    have = [merged()]
-                    size = len(have[0][0])
-                    if size > 2_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(have[0][0]), pa.array(have[0][1])], names=["gram", "n"])
-                        have, size = [], 0
-        if have:
-            g, n = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n)], names=["gram", "n"])
-
-    return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def train(docs: DataFrame, p: PpmParams = PpmParams()) -> Trie | None:
-    """The trie of all given texts; only what ``max_nodes`` allows comes to the driver."""
-    longest = checkpoint(count_grams(docs, p.order))
-    tables, current = {}, longest
-    for m in range(p.order + 1, 0, -1):
-        if m <= p.order:
-            current = current.groupBy(F.col("gram").bitwiseAND(F.lit((1 << _BITS * m) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
-        tables[m] = current.select(F.lit(m).alias("m"), "gram", "n")
-    every = tables[1]
-    for m in range(2, p.order + 2):
-        every = every.unionByName(tables[m])
-    every = checkpoint(every)
-    sizes = every.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().orderBy(F.desc("n")).collect()
-    if not sizes:
-        return None
-    least, nodes = sizes[0]["n"], 0
-    for r in sizes:
-        nodes += r["count"]
-        if nodes > p.max_nodes:
+            learns = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            rows, taught = rows + b.num_rows, taught + int(learns.sum())
+            for first, end, data, offsets in text_slices(b.column(0)):
+                own = learns[first:end]
+                key, _ = position_grams(data, offsets, order)
+                grams.add(key, np.zeros(0, np.int32), np.repeat(own, np.diff(offsets) + 1))
+                key, check, size = _words(data, offsets)
+                on = np.repeat(own, size)
+                words.add(key[on], check[on], np.ones(int(on.sum())))
+                yield from grams.take(2_000_000)
+                yield from words.take(2_000_000)
+        yield from grams.take(0)
+        yield from words.take(0)
+        yield _count_rows(ROWS, [0], [0], [rows], [taught])
+
+    counted = docs.select("text", learn).mapInArrow(run, "kind byte, key long, check int, m long, n long")
+    return counted.groupBy("kind", "key", "check").agg(F.sum("m").alias("m"), F.sum("n").alias("n"))
+
+
+def _short(grams: DataFrame, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of the learned grams of one or two symbols, sorted; 258 or 66,306 at most."""
+    own = grams.where("n > 0").groupBy(F.col("key").bitwiseAND(F.lit((1 << _BITS * length) - 1)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    order = np.argsort(own["key"].to_numpy())
+    return own["key"].to_numpy()[order], own["n"].to_numpy()[order]
+
+
+def gram_answers(grams: DataFrame, order: int) -> DataFrame:
+    """(key, value, m): the log10 probability of each gram's last symbol after those before it. grams: key, m, n of all lengths' longest."""
+    short = {1: _short(grams, 1), 2: _short(grams, 2)}
+    shared = grams.sparkSession.sparkContext.broadcast(short)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, key, m, n in whole_groups((tuple(c.to_numpy() for c in b.columns) for b in batches), 400_000):
+            if not len(shared.value[1][0]):
+                value = np.full(len(key), -np.log10(_ALPHABET))
+            else:
+                counts, by = dict(shared.value), np.argsort(key)
+                learned = by[n[by] > 0]
+                longest, times = key[learned], n[learned]
+                for length in range(order + 1, 2, -1):
+                    short, at = np.unique(longest & (1 << _BITS * length) - 1, return_inverse=True)
+                    counts[length] = short, np.bincount(at, weights=times, minlength=len(short)).astype(np.int64)
+                value = gram_scores(build(counts, order), key)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(value), pa.array(m)], names=["key", "value", "m"])
+
+    pair = F.shiftright("key", _BITS).bitwiseAND(F.lit((1 << 2 * _BITS) - 1))
+    dealt = grams.select(pair.alias("pair"), "key", "m", "n").repartition("pair").sortWithinPartitions("pair")
+    return dealt.mapInArrow(run, "key long, value double, m long")
+
+
+@dataclass(frozen=True)
+class Model:
+    """answers: kind, key, check, value (a gram's log10 probability, a word's count) and m; the heads are its most frequent rows, sorted by key."""
+
+    order: int
+    answers: DataFrame
+    grams: tuple[np.ndarray, np.ndarray]
+    words: tuple[np.ndarray, np.ndarray, np.ndarray]
+    tokens: int
+    kinds: int
+    ends: int
+
+
+def _head(answers: DataFrame, kind: int, most: int) -> tuple[np.ndarray, ...]:
+    """(key, check, value) of the most frequent answers, at most so many, sorted by key. Frequencies are cut at steps of an eighth of a power of two."""
+    own = answers.where(F.col("kind") == kind).withColumn("step", F.floor(F.log2("m") * 8))
+    held, least = 0, None
+    for r in own.groupBy("step").count().orderBy(F.desc("step")).collect():
+        held += r["count"]
+        if held > most:
             break
-        least = r["n"]
-    counts = {}
-    for m in range(1, p.order + 2):
-        got = every.where((F.col("m") == m) & (F.col("n") >= least)).select("gram", "n").toArrow()
-        gram, n = got["gram"].to_numpy(), got["n"].to_numpy()
-        order = np.argsort(gram)
-        counts[m] = gram[order], n[order]
-    return build(counts, p.order)
-
-
-def _chunk_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(64-bit hash, 16-bit check, words of each row) of all words of a chunk, lower-cased."""
-    keys, checks, sizes = [], [], []
-    for _, _, data, offsets in text_slices(texts):
-        starts, ends, before = word_bounds(data, offsets)
-        data = fold_case(data)
-        keys.append(word_hashes(data, starts, ends))
-        checks.append((word_hashes(data, starts, ends, 0xC2B2AE3D27D4EB4F) >> np.uint64(48)).astype(np.uint16))
-        sizes.append(np.diff(before))
-    join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-    return join(keys, np.uint64), join(checks, np.uint16), join(sizes, np.int64)
-
-
-def score(docs: DataFrame, trie: Trie | None, learn: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, n_tokens, n_known, train_tokens, base_score and score; rows with the boolean column ``learn`` teach the base."""
-    own = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text"), learn)
-    size = text_bytes(own)
-    chunked = with_chunk(own, *dict.fromkeys([*keep, learn]), size=size)
-    buckets = max(1, -(-size // CHUNK_BYTES))
-    shared = docs.sparkSession.sparkContext.broadcast(trie)
-
-    def ask(table: pa.Table) -> pa.Table:
-        keys, checks, sizes = _chunk_words(table["text"])
-        learns = np.repeat(table[learn].to_numpy(zero_copy_only=False).astype(bool), sizes)
-        distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        counts = np.bincount(which, weights=learns, minlength=len(distinct)).astype(np.uint32)
-        return bucket_rows(table["chunk"][0].as_py(), buckets, distinct, [checks[first], counts])
-
-    def add_up(table: pa.Table) -> pa.Table:
-        chunk, size, keys, (checks, counts) = regroup(table, [np.uint16, np.uint32])
-        order = np.lexsort((checks, keys))
-        k, c = keys[order], checks[order]
-        new = np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])][: len(k)]
-        group = np.cumsum(new) - 1
-        total = np.bincount(group, weights=counts[order]) if len(k) else np.zeros(0)
-        back = np.zeros(len(k), np.uint32)
-        back[order] = np.minimum(total, 2**32 - 1)[group] if len(k) else 0
-        parts = np.split(back, np.cumsum(size)[:-1])
-        bucket = table["bucket"][0].as_py()
-        return pa.table({
-            "chunk": [*chunk, -1], "bucket": [bucket] * (len(chunk) + 1), "counts": [*map(to_planes, parts), b""],
-            "n": pa.array([*[0] * len(chunk), int(total.sum())], pa.int64()), "v": pa.array([*[0] * len(chunk), int((total > 0).sum())], pa.int64()),
-        })
-
-    def fill(own: pa.Table, answers: pa.Table) -> pa.Table:
-        rows = own.num_rows
-        keys, _, sizes = _chunk_words(own["text"])
-        _, which = np.unique(keys, return_inverse=True)
-        counts = join_planes(answers, np.uint32).astype(float)[which]
-        row = np.repeat(np.arange(rows), sizes)
-        logs = []
-        for _, _, data, offsets in text_slices(own["text"], 2 * SLICE_BYTES):
-            logs.append(text_scores(shared.value, data, offsets))
-        return pa.table({
-            **{c: own[c] for c in keep}, "words": sizes, "known": np.bincount(row, weights=counts > 0, minlength=rows).astype(np.int64),
-            "logs": np.bincount(row, weights=np.log10(counts + 1), minlength=rows), "score": np.concatenate(logs) if logs else np.zeros(0),
-        })
-
-    kinds = ", ".join(f"{c} {own.schema[c].dataType.simpleString()}" for c in keep)
-    asked = chunked.groupBy("chunk").applyInArrow(ask, "chunk long, bucket long, body binary")
-    added = asked.groupBy("bucket").applyInArrow(add_up, "chunk long, bucket long, counts binary, n long, v long")
-    answers = added.where("chunk >= 0").select("chunk", "bucket", "counts")
-    filled = chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(fill, f"{kinds}, words long, known long, logs double, score double")
-    ends = own.where(F.col(learn)).agg(F.count(F.lit(1)).alias("ends"))
-    all_words = added.where("chunk < 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v"))
-    sums = all_words.crossJoin(ends).select((F.col("n") + F.col("ends")).alias("train_tokens"), (F.col("v") + (F.col("ends") > 0).cast("long")).alias("kinds"), "ends")
-    tokens = F.col("words") + 1
-    return filled.crossJoin(F.broadcast(sums)).select(
-        *keep, tokens.alias("n_tokens"), (F.col("known") + (F.col("ends") > 0).cast("long")).alias("n_known"), "train_tokens",
-        (F.col("logs") + F.log10(F.col("ends") + 1) - tokens * F.log10(F.col("train_tokens") + F.col("kinds") + 1)).alias("base_score"), "score",
+        least = r["step"]
+    if least is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0)
+    got = own.where(F.col("step") >= least).select("key", "check", "value").toArrow()
+    order = np.argsort(got["key"].to_numpy(), kind="stable")
+    return tuple(got[c].to_numpy()[order] for c in ("key", "check", "value"))
+
+
+def train(docs: DataFrame, learn: str, p: PpmParams = PpmParams()) -> Model:
+    """What the rows with the boolean column ``learn`` teach about all grams and words of docs."""
+    counts = checkpoint(count(docs.select(F.coalesce("text", F.lit("")).alias("text"), learn), learn, p.order))
+    grams = gram_answers(counts.where(F.col("kind") == GRAM).select("key", "m", "n"), p.order)
+    words = counts.where((F.col("kind") == WORD) & (F.col("n") > 0))
+    one = lambda df, kind, check, value: df.select(F.lit(kind).cast("byte").alias("kind"), "key", check.alias("check"), value.alias("value"), "m")
+    answers = checkpoint(one(grams, GRAM, F.lit(0), F.col("value")).unionByName(one(words, WORD, F.col("check"), F.col("n").cast("double"))))
+    sums = counts.where(F.col("kind") != GRAM).groupBy("kind").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).collect()
+    of = {r["kind"]: r for r in sums}
+    ends = of[ROWS]["n"] if ROWS in of else 0
+    key, _, value = _head(answers, GRAM, p.head_grams)
+    spoken = (of[WORD]["n"], of[WORD]["v"]) if WORD in of else (0, 0)
+    return Model(p.order, answers, (key, value.astype(np.float32)), _head(answers, WORD, p.head_words), spoken[0] + ends, spoken[1] + (ends > 0), ends)
+
+
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keep, n_tokens, n_known, train_tokens, base_score and score of every row."""
+    own = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast((model.order, model.grams, model.words))
+    asks = pa.list_(pa.struct([("kind", pa.int8()), ("key", pa.int64()), ("check", pa.int32()), ("times", pa.int32())]))
+
+    def rest(row: np.ndarray, keys: np.ndarray, checks: np.ndarray, kind: int) -> tuple[np.ndarray, ...]:
+        """Each row's keys that the head doesn't have, once with their number."""
+        order = np.lexsort((checks, keys, row))
+        row, keys, checks = row[order], keys[order], checks[order]
+        first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])][: len(row)])
+        return row[first], np.full(len(first), kind, np.int8), keys[first], checks[first], np.diff(np.r_[first, len(row)]).astype(np.int32)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, (grams, logs), (words, checks, counts) = shared.value
+        word_logs = np.log10(counts + 1)
+        for b in batches:
+            rows = b.num_rows
+            if not rows:
+                continue
+            total, base, size, known, parts = np.zeros(rows), np.zeros(rows), np.zeros(rows, np.int64), np.zeros(rows, np.int64), []
+            for first, end, data, offsets in text_slices(b.column(b.num_columns - 1)):
+                keys, begin = position_grams(data, offsets, order)
+                codes, distinct = pd.factorize(keys)
+                at = _find(grams, distinct)
+                value = np.where(at >= 0, logs[at] if len(logs) else 0.0, 0.0)
+                total[first:end] = np.add.reduceat(value[codes], begin)
+                if (at < 0).any():
+                    row = np.repeat(np.arange(first, end), np.diff(offsets) + 1)
+                    lost = at[codes] < 0
+                    parts.append(rest(row[lost], keys[lost], np.zeros(int(lost.sum()), np.int32), GRAM))
+                keys, check, sizes = _words(data, offsets)
+                size[first:end] = sizes
+                row = np.repeat(np.arange(end - first), sizes)
+                at = _find(words, keys)
+                hit = (at >= 0) & (checks[at] == check) if len(words) else np.zeros(len(keys), bool)
+                base[first:end] = np.bincount(row[hit], weights=word_logs[at[hit]] if len(words) else None, minlength=end - first)
+                known[first:end] = np.bincount(row[hit], minlength=end - first)
+                if not hit.all():
+                    parts.append(rest(first + row[~hit], keys[~hit], check[~hit], WORD))
+            joined = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, t) for t in (np.int64, np.int8, np.int64, np.int32, np.int32)]
+            by = np.argsort(joined[0], kind="stable")
+            bounds = np.searchsorted(joined[0][by], np.arange(rows + 1))
+            fields = pa.StructArray.from_arrays([pa.array(x[by]) for x in joined[1:]], fields=list(asks.value_type))
+            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), fields)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *map(pa.array, (size, known, base, total)), lists], names=[*b.schema.names[:-1], "w_", "k_", "b_", "s_", "asks_"])
+
+    kinds = ", ".join(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in keep)
+    made = own.mapInArrow(run, f"{kinds}, w_ long, k_ long, b_ double, s_ double, asks_ array<struct<kind:tinyint,key:bigint,check:int,times:int>>")
+    made = checkpoint(made).withColumn("at_", F.monotonically_increasing_id())
+    asked = made.select("at_", F.explode("asks_").alias("a")).select("at_", "a.*").join(model.answers.select("kind", "key", "check", "value"), ["kind", "key", "check"])
+    word, times = F.col("kind") == WORD, F.col("times")
+    sums = asked.groupBy("at_").agg(
+        F.sum(F.when(word, times)).alias("k2_"), F.sum(F.when(word, times * F.log10(F.col("value") + 1))).alias("b2_"), F.sum(F.when(~word, times * F.col("value"))).alias("s2_"),
+    )
+    plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
+    tokens = F.col("w_") + 1
+    return made.join(sums, "at_", "left").select(
+        *keep, tokens.alias("n_tokens"), (plus("k_", "k2_") + int(model.ends > 0)).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
+        (plus("b_", "b2_") + float(np.log10(model.ends + 1)) - tokens * float(np.log10(model.tokens + model.kinds + 1))).alias("base_score"), plus("s_", "s2_").alias("score"),
     )

@@ -5,7 +5,9 @@ boosted trees are complete binary trees kept as flat arrays, so a whole Arrow ba
 trees by numpy indexing.
 
 Null and empty texts have all statistics zero and are scored like any other. Without labelled
-rows, or with one class only, the score is the (smoothed) share of label 1.
+rows, or with one class only, the score is the (smoothed) share of label 1. Of several texts with one
+labelled doc_id one teaches; repeated rows are scored once each; an empty table gives none. A text
+is taken whole: a very long one needs some fifty times its size in a Python worker.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ _END[[33, 46, 58, 63]] = True
 
 @dataclass(frozen=True)
 class BoostParams:
-    """``max_rows`` bounds the labelled sample that the fit reads."""
+    """``max_rows`` and ``max_bytes`` bound the labelled sample that the fit reads."""
 
     trees: int = 80
     depth: int = 4
@@ -46,6 +48,7 @@ class BoostParams:
     l2: float = 2.0
     min_rows: int = 8
     max_rows: int = 12_000
+    max_bytes: int = 1 << 30
 
 
 @dataclass(frozen=True)
@@ -187,9 +190,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str, usable: Column, p: Boo
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(statistics(b.column(0))), pa.list_(pa.float64())), b.column(1)], names=["x", "label"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(statistics(b.column(1))), pa.list_(pa.float64())), b.column(2)], names=["rank", "x", "label"])
 
-    rows = labelled_rows(docs, labels, label, usable, p.max_rows).mapInArrow(measure, "x array<double>, label int").toArrow()
+    chosen = labelled_rows(docs, labels, label, usable, p.max_rows, p.max_bytes)
+    rows = chosen.mapInArrow(measure, "rank int, x array<double>, label int").dropDuplicates(["rank"]).toArrow().sort_by("rank")
     if not rows.num_rows:
         return fit_trees(np.zeros((0, 1)), np.zeros(0), p)
     x = rows["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
@@ -197,7 +201,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, usable: Column, p: Boo
 
 
 def score(docs: DataFrame, trees: Trees, name: str = "quality_score") -> DataFrame:
-    """docs with a double column ``name`` (0 to 1). One map-only stage."""
+    """docs with a double column ``name`` (0 to 1), in place of one of that name. One map-only stage."""
+    docs = docs.drop(name)
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

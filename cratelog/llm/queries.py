@@ -55,8 +55,7 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", in_fold("doc_id", 7, 2))
     docs = docs.withColumn("learn", ~F.col("held_out"))
-    trie = ppm.train(docs.where("learn"))
-    return ppm.score(docs, trie, "learn", ("doc_id", "held_out"))
+    return ppm.score(docs, ppm.train(docs, "learn"), ("doc_id", "held_out"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,9 +18,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh
 from .quality import grow, quantile_bins
 
-PATTERN = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,8192}+-----END [A-Z ]{0,40}PRIVATE KEY-----|[A-Za-z0-9_+/=~.-]{16,}+"
+PATTERN = r"-----BEGIN [A-Z ]*PRIVATE KEY-----\s*+(?:[A-Za-z-]++: [^\n]*+\n){0,32}+[A-Za-z0-9+/=\s]*+-----END [A-Z ]*PRIVATE KEY-----|[A-Za-z0-9_+/=~.-]{16,}+"
 MASK = "[SECRET]"
 #: Pairs of letters that are frequent in prose, words of identifiers, words that announce a secret or something else.
 _PAIRS = "th|he|in|er|an|re|nd|on|en|at|ou|ha|or|it|is|hi|es|ng|st|ti|te|le|de|nt|se|al|ar|io|ic|ve|ue|ie|ch|ei|qu|os|as|la|ll|un"
@@ -70,7 +71,7 @@ def features(text: Column, left: Column, right: Column, path: Column) -> Column:
     return F.array(
         F.least(n, F.lit(400.0)), count("[0-9]"), count("[A-Z]"), count("[a-z]"), count("[^A-Za-z0-9]"),
         flag(text.rlike("^([0-9a-f]+|[0-9A-F]+)$")), F.length(kinds) / n, count(f"(?={_PAIRS})", low),
-        F.size(F.array_distinct(F.split(F.left(text, F.lit(64)), ""))) / F.least(n, F.lit(64.0)),
+        F.size(F.array_distinct(F.split(text, ""))) / F.least(n, F.lit(64.0)),
         1 - F.length(F.regexp_replace(low, _WORDS, "")) / n, count(r"(.)\1\1"),
         count("/"), count(r"\."), flag(near.rlike(r"(://|[/\\.@])\S{0,20}$") | after.rlike(r"^(/|\\|@|\.[a-z]{2,4}\b)")),
         flag(near.rlike(r"[=:]\s{0,2}[\"']?$")), flag(near.rlike("[\"'`]$") & after.rlike("^[\"'`]")),
@@ -168,21 +169,24 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
 
 
 def findings(docs: DataFrame, forest: Forest, path: str | None = None, name: str = "findings") -> DataFrame:
-    """docs with an array of candidates (candidate, left, right, score), in the order of the text."""
+    """docs with an array of candidates (candidate, left, right, score), in the order of the text, in place of a column of that name."""
+    docs = docs.drop(name)
+    found, rest = fresh(docs.withColumn(name, F.lit(0)), "found", "rest")
     text = F.coalesce("text", F.lit(""))
     where = F.col(path).cast("string") if path else F.lit("")
-    made = docs.withColumn("__found", F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).withColumn("__rest", F.split(text, PATTERN))
-    near = F.transform("__found", lambda c, i: F.struct(c.alias("candidate"), F.get(F.col("__rest"), i).alias("left"), F.get(F.col("__rest"), i + 1).alias("right")))
-    made = made.withColumn(name, near)
-    made = made.withColumn(name, F.transform(name, lambda z: F.struct(z["candidate"].alias("candidate"), z["left"].alias("left"), z["right"].alias("right"), features(z["candidate"], z["left"], z["right"], where).alias("x"))))
-    made = made.withColumn(name, F.transform(name, lambda z: F.struct(z["candidate"].alias("candidate"), z["left"].alias("left"), z["right"].alias("right"), forest_score(z["x"], forest).alias("score"))))
-    return made.drop("__found", "__rest")
+    made = docs.withColumns({found: F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), rest: F.split(text, PATTERN)})
+    around = lambda c, i: F.struct(c.alias("candidate"), F.get(F.col(rest), i).alias("left"), F.get(F.col(rest), i + 1).alias("right"))
+    keep = lambda z, **more: F.struct(*[z[c].alias(c) for c in ("candidate", "left", "right")], *[v.alias(k) for k, v in more.items()])
+    made = made.withColumn(name, F.transform(found, around))
+    made = made.withColumn(name, F.transform(name, lambda z: keep(z, x=features(z["candidate"], z["left"], z["right"], where))))
+    return made.withColumn(name, F.transform(name, lambda z: keep(z, score=forest_score(z["x"], forest)))).drop(found, rest)
 
 
 def redact(docs: DataFrame, forest: Forest, path: str | None = None, threshold: float = 0.5, mask: str = MASK) -> DataFrame:
     """docs with every secret in text replaced by ``mask``; texts without one (and null) stay as they are."""
-    made = findings(docs, forest, path, "__findings")
-    some = F.exists("__findings", lambda z: z["score"] >= threshold)
-    parts = F.transform("__findings", lambda z: F.concat(F.when(z["score"] >= threshold, mask).otherwise(z["candidate"]), z["right"]))
-    joined = F.concat(F.get(F.col("__findings"), F.lit(0))["left"], F.array_join(parts, ""))
+    (name,) = fresh(docs, "findings")
+    made = findings(docs, forest, path, name)
+    some = F.exists(name, lambda z: z["score"] >= threshold)
+    parts = F.transform(name, lambda z: F.concat(F.when(z["score"] >= threshold, mask).otherwise(z["candidate"]), z["right"]))
+    joined = F.concat(F.get(F.col(name), F.lit(0))["left"], F.array_join(parts, ""))
     return made.withColumn("text", F.when(some, joined).otherwise(F.col("text"))).select(*docs.columns)

@@ -5,7 +5,9 @@ between; a word or stem that makes up a notable share of the text adds a feature
 Each weight has its own learning rate, and the L1 penalty leaves most weights at exactly zero,
 so the fitted model is two short arrays that a broadcast carries to every task.
 
-Null and empty texts have only the bias. Without labelled rows the score is 0.5 everywhere.
+Null and empty texts have only the bias. Without labelled rows the score is 0.5 everywhere. Of
+several texts with one labelled doc_id one teaches; repeated rows are scored once each; an empty table
+gives none. A text is taken whole: a very long one needs some forty times its size in a Python worker.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fold_case, mix, plus, span_hashes, text_slices, word_bounds, word_hashes
@@ -35,7 +37,7 @@ _BREAK[np.r_[48:58, 65:91, 97:123, 128:256]] = False
 
 @dataclass(frozen=True)
 class FtrlParams:
-    """``max_rows`` bounds the labelled sample that the fit reads; it is passed at least three times, and a small one until ``steps`` updates are made."""
+    """``max_rows`` and ``max_bytes`` bound the labelled sample that the fit reads; it is passed at least three times, and a small one until ``steps`` updates are made."""
 
     bits: int = 20
     alpha: float = 2.0
@@ -44,6 +46,7 @@ class FtrlParams:
     l2: float = 0.01
     steps: int = 18_000
     max_rows: int = 6_000
+    max_bytes: int = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -98,13 +101,13 @@ def levels(size: np.ndarray, rows: np.ndarray, hashed: np.ndarray, single: np.nd
 def fit(texts: list[str], labels: np.ndarray, p: FtrlParams = FtrlParams()) -> LinearModel:
     """Per-coordinate FTRL-proximal, one document at a time in a fixed shuffled order."""
     z, n = np.zeros((1 << p.bits) + 1), np.zeros((1 << p.bits) + 1)
-    bias = 1 << p.bits
-    sets: list[np.ndarray] = [np.array([bias])] * len(texts)
+    bias, held, counts = 1 << p.bits, [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64)
     for first, size, rows, hashed, single in features(pa.array(texts, pa.string()), p.bits):
         rows, hashed = levels(size, rows, hashed, single, p.bits)
-        ids, at = np.unique(rows, return_index=True)
-        for i, part in zip(ids, np.split(hashed, at[1:]), strict=True) if len(ids) else ():
-            sets[first + i] = np.append(part, bias).astype(np.int32)
+        counts[first : first + len(size)] = np.bincount(rows, minlength=len(size))
+        held.append(hashed.astype(np.int32))
+    every, ends = np.concatenate(held), np.cumsum(counts)
+    del held
 
     def weights(x: np.ndarray) -> np.ndarray:
         zx, free = z[x], np.where(x == bias, 0.0, p.l1)
@@ -113,7 +116,7 @@ def fit(texts: list[str], labels: np.ndarray, p: FtrlParams = FtrlParams()) -> L
     rng = np.random.default_rng(7)
     for _ in range(max(3, -(-p.steps // max(1, len(texts))))):
         for i in rng.permutation(len(texts)):
-            x = sets[i]
+            x = np.append(every[ends[i] - counts[i] : ends[i]], bias)
             w = weights(x)
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - labels[i]
             sigma = (np.sqrt(n[x] + g * g) - np.sqrt(n[x])) / p.alpha
@@ -125,33 +128,46 @@ def fit(texts: list[str], labels: np.ndarray, p: FtrlParams = FtrlParams()) -> L
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, usable: Column, p: FtrlParams = FtrlParams()) -> LinearModel:
-    """Fit on at most ``max_rows`` labelled rows for which ``usable`` holds, the same rows on every run.
+    """Fit, in one task, on at most ``max_rows`` labelled rows for which ``usable`` holds, the same rows on every run.
 
     Of several labels for one doc_id the largest counts; rows without label, key or text teach nothing.
     """
-    texts, y = labelled_sample(docs, labels, label, usable, p.max_rows)
-    return fit(texts, y, p)
+    sample = labelled_rows(docs, labels, label, usable, p.max_rows, p.max_bytes).dropDuplicates(["rank"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [b for b in batches if b.num_rows]
+        table = pa.Table.from_batches(rows).sort_by("rank") if rows else pa.table({"text": [], "label": []})
+        m = fit(table["text"].to_pylist(), table["label"].to_numpy().astype(float), p)
+        yield pa.RecordBatch.from_arrays([pa.array([m.bias]), pa.array([m.index.astype(np.int32)], pa.list_(pa.int32())), pa.array([m.weight], pa.list_(pa.float32()))], names=["bias", "index", "weight"])
+
+    got = sample.repartition(1).mapInArrow(run, "bias double, index array<int>, weight array<float>").toArrow()
+    if not got.num_rows:
+        return LinearModel(p.bits, 0.0, np.zeros(0, np.int64), np.zeros(0, np.float32))
+    flat = lambda c: got[c].combine_chunks().flatten().to_numpy()
+    return LinearModel(p.bits, got["bias"][0].as_py(), flat("index").astype(np.int64), flat("weight"))
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, usable: Column, max_rows: int) -> DataFrame:
-    """(text, label) of a bounded sample; the sample is chosen among labels, before texts are read."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, usable: Column, max_rows: int, max_bytes: int) -> DataFrame:
+    """(rank, text, label) of a bounded sample of labelled documents, once each: the first by a hash of the key, as
+    long as all their texts together have at most ``max_bytes``. Only keys and lengths are sorted.
+    """
+    rank = lambda c: F.struct(F.xxhash64(c.cast("string")), c)
     chosen = (
         labels.where(usable & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
-        .groupBy("doc_id").agg(F.max(label).alias("label"))
-        .orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(max_rows)
-    )
-    return (
-        docs.where(F.col("text").isNotNull()).select("doc_id", "text")
-        .join(F.broadcast(chosen), "doc_id")
-        .orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "text").limit(max_rows)
-        .select("text", F.col("label").cast("int").alias("label"))
+        .groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+        .orderBy(rank(F.col("doc_id"))).limit(max_rows)
     )
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("h"))
+    sizes = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct("h", F.octet_length("text").alias("bytes"))).alias("one"))
+    before = Window.orderBy(rank(F.col("doc_id")))
+    taken = sizes.select("doc_id", "label", "one.h", F.sum("one.bytes").over(before).alias("sum"), F.row_number().over(before).alias("rank")).where(F.col("sum") <= max_bytes)
+    return texts.join(F.broadcast(taken.select("doc_id", "h", "label", "rank")), ["doc_id", "h"]).select("rank", "text", "label")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, max_rows: int) -> tuple[list[str], np.ndarray]:
-    """Texts and 0/1 labels of labelled_rows."""
-    rows = labelled_rows(docs, labels, label, usable, max_rows).collect()
-    return [r["text"] for r in rows], np.array([r["label"] for r in rows], float)
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, max_rows: int, max_bytes: int = 32 << 20) -> tuple[list[str], np.ndarray]:
+    """Texts and 0/1 labels of labelled_rows, in their order."""
+    rows = labelled_rows(docs, labels, label, usable, max_rows, max_bytes).dropDuplicates(["rank"]).toArrow().sort_by("rank")
+    return rows["text"].to_pylist(), rows["label"].to_numpy().astype(float)
 
 
 def score_column(model: LinearModel, column: pa.Array, weights: np.ndarray) -> np.ndarray:
@@ -167,7 +183,8 @@ def score_column(model: LinearModel, column: pa.Array, weights: np.ndarray) -> n
 
 
 def score(docs: DataFrame, model: LinearModel, name: str = "toxicity") -> DataFrame:
-    """docs with a double column ``name`` (0 to 1); the other columns pass through. One map-only stage."""
+    """docs with a double column ``name`` (0 to 1), in place of one of that name; the other columns pass through. One map-only stage."""
+    docs = docs.drop(name)
     schema = plus(docs.schema, **{name: "double"})
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

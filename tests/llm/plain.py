@@ -86,6 +86,38 @@ def unigram(rows):
     return [(len(t), sum(c[w] > 0 for w in t), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)) for t in tokens]
 
 
+def ppm(learned, texts, order=5):
+    """log10 probability of each text: method D, exclusion, contexts of up to ``order`` symbols."""
+    symbols = lambda t: [0] * order + [x + 1 for x in fold(t).encode()] + [257]
+    seen = {}
+    for t in learned:
+        s = symbols(t)
+        for i in range(order, len(s)):
+            for k in range(order + 1):
+                seen.setdefault(tuple(s[i - k : i]), Counter())[s[i]] += 1
+
+    def cost(context, symbol):
+        total, excluded = 0.0, set()
+        for k in range(order, -1, -1):
+            have = seen.get(context[order - k :])
+            if have is None:
+                continue
+            weights = {s: 2 * c - 1 for s, c in have.items() if s not in excluded}
+            left, escape = sum(weights.values()), len(weights)
+            escape = max(escape, 1) if not left else escape
+            if symbol in weights:
+                return total + math.log10(weights[symbol] / (left + escape))
+            total += math.log10(escape / (left + escape))
+            excluded = set(have)
+        return total - math.log10(max(257 - len(excluded), 1))
+
+    out = []
+    for t in texts:
+        s = symbols(t)
+        out.append(sum(cost(tuple(s[i - order : i]), s[i]) for i in range(order, len(s))))
+    return out
+
+
 def distance(a, b):
     total = 0.0
     for x, y in zip(a, b, strict=True):

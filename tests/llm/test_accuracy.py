@@ -36,17 +36,16 @@ def test_ppm_is_a_distribution():
     data = np.frombuffer("the cat sat on the mat, thé hat".encode() * 5, np.uint8)
     order = 3
     grams, counts = np.unique(ppm.position_grams(data, np.array([0, len(data)]), order)[0], return_counts=True)
-    for least in (1, 4):
-        tables, g, n = {}, grams, counts
-        for m in range(order + 1, 0, -1):
-            if m <= order:
-                g, at = np.unique(g & ((1 << 9 * m) - 1), return_inverse=True)
-                n = np.bincount(at, weights=n).astype(np.int64)
-            tables[m] = g[n >= least], n[n >= least]
-        trie = ppm.build(tables, order)
-        for context in [*(grams[:40] >> 9), 0, (5 << 18) + 7]:
-            p = 10 ** ppm.gram_scores(trie, (int(context) << 9) | np.arange(1, 258))
-            assert abs(p.sum() - 1) < 1e-5
+    tables, g, n = {}, grams, counts
+    for m in range(order + 1, 0, -1):
+        if m <= order:
+            g, at = np.unique(g & ((1 << 9 * m) - 1), return_inverse=True)
+            n = np.bincount(at, weights=n).astype(np.int64)
+        tables[m] = g, n
+    trie = ppm.build(tables, order)
+    for context in [*(grams[:40] >> 9), 0, (5 << 18) + 7]:
+        p = 10 ** ppm.gram_scores(trie, (int(context) << 9) | np.arange(1, 258))
+        assert abs(p.sum() - 1) < 1e-5
 
 
 def test_trees_fit():
@@ -56,23 +55,24 @@ def test_trees_fit():
     assert ((quality.fit_trees(x[:1500], y[:1500]).predict(x[1500:]) > 0.5) == y[1500:]).mean() > 0.95
 
 
-def test_codes_bound_recall():
+@pytest.mark.parametrize("dim", [64, 100])
+def test_codes_bound_recall(dim):
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(4000, 64)).astype(np.float32)
-    turn, p = rabitq.rotation(64), rabitq.CodeParams()
-    codes = rabitq.encode(x.astype(float), np.zeros(64), turn)
-    ids = np.arange(4000)
-    hits = 0
-    for _, found, distance in rabitq.search_block(ids[:20], x[:20].astype(float), ids, x, *codes, np.zeros(64), turn, p):
-        q = _ = None
-        del q
-        assert (np.diff(distance) >= 0).all()
-        hits += len(found)
-    assert hits == 200
-    for j, found, _ in rabitq.search_block(ids[:20], x[:20].astype(float), ids, x, *codes, np.zeros(64), turn, p):
+    x = rng.normal(size=(4000, dim)).astype(np.float32)
+    turn, p, centre = rabitq.rotation(dim), rabitq.CodeParams(), np.full(dim, 0.1)
+    codes, ids = rabitq.encode(x.astype(float), centre, turn), np.arange(4000)
+    q = rabitq.Queries.of(ids[:20], x[:20].astype(float), centre, turn, p.bits)
+    signs = np.sign((x - centre) @ turn)
+    for j in range(20):  # sums of bit counts are inner products, but for the rounding that is told
+        got = q.products(j, codes[0], np.bitwise_count(codes[0]).sum(axis=1, dtype=np.int64))
+        assert (np.abs(got - signs @ ((x[j] - centre) @ turn)) <= q.rounding[j] + 1e-6).all()
+    found = rabitq.Nearest(q, p)
+    for k in range(0, 4000, 1000):
+        found.add(ids[k : k + 1000], x[k : k + 1000], *(c[k : k + 1000] for c in codes))
+    for j in range(20):
         d = ((x - x[j]) ** 2).sum(1)
         d[j] = np.inf
-        assert set(found) == set(np.argsort(d)[:10])
+        assert found.ids[j].tolist() == np.argsort(d)[:10].tolist() and (np.diff(found.distances[j]) >= 0).all()
 
 
 @settings(max_examples=60, deadline=None)

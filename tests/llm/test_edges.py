@@ -26,7 +26,7 @@ def documents():
     rows += [(100, base), (101, base), (102, base + " end"), (103, base.replace(" ", "\n\t")), (7, base)]
     rows += [(110, None), (111, ""), (112, " \n "), (None, "short one"), (None, None), (113, "one"), (114, "one two"), (115, "ONE two THREE")]
     rows += [(120, f"{prose(10)} {PASSAGE} {prose(10)}"), (121, f"{PASSAGE} {PASSAGE}"), (122, prose(9000)), (122, rows[0][1]), (5, rows[5][1]), (5, rows[5][1])]
-    rows += [(130, f"{prose(5)}, {ITEMS[0][1].upper()}! {prose(5)}"), (131, f"see two, words {ITEMS[2][1]}"), (132, "x" * 5000), (133, "<|endoftext|> two words 日本語")]
+    rows += [(130, f"{prose(5)}, {ITEMS[0][1].upper()}! {prose(5)}"), (131, f"see two, words {ITEMS[2][1]}"), (132, "x" * 5000), (133, "<|endoftext|> two words 日本語"), (134, "a <|endoftext|>b <|endof text|>"), (135, "<|endoftext|>" * 3)]
     return rows
 
 
@@ -127,7 +127,17 @@ def test_lm_base(spark, folder):
     want = sorted(((str(k), plain.fold_of(k, 7) == 2, *r[:3], round(r[3], 6)) for (k, _), r in zip(docs, rows, strict=True)), key=str)
     got = run(spark, d, "op6_lm_score")
     assert sorted(((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got), key=str) == want
-    assert all(r.score < 0 for r in got)
+    scores = plain.ppm([t for k, t in docs if plain.fold_of(k, 7) != 2], [t for _, t in docs])
+    assert np.allclose(sorted(r.score for r in got), sorted(scores), rtol=1e-5)
+    from cratelog.llm import ppm
+
+    rows_in = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").withColumn("learn", ~llm.in_fold("doc_id", 7, 2))
+    small = ppm.train(rows_in, "learn", ppm.PpmParams(head_grams=300, head_words=7))
+    assert 0 < len(small.grams[0]) <= 300 and len(small.words[0]) <= 7
+    again = ppm.score(rows_in, small).collect()  # nearly all answers come by the join
+    key = lambda r: (str(r.doc_id), r.n_tokens, round(r.base_score, 6))
+    assert sorted(map(key, again)) == sorted(map(key, got))
+    assert np.allclose(sorted(r.score for r in again), sorted(scores), rtol=1e-5)
 
 
 def test_nearest(spark, folder):
@@ -136,6 +146,11 @@ def test_nearest(spark, folder):
     got = sorted(map(tuple, run(spark, d, "op10_nearest")))
     assert [g[:3] for g in got] == [w[:3] for w in want]
     assert [g[3] for g in got] == [w[3] for w in want]
+    from cratelog.llm import rabitq
+
+    rows = spark.read.parquet(f"{d}/embeddings.parquet")
+    again = rabitq.search(rows, llm.F.col("vec_id") % 100 == 0, rabitq.CodeParams(queries=1, first=12, bits=2))  # several broadcasts, coarse bounds
+    assert sorted(map(tuple, again.collect())) == got
 
 
 def test_packing_round_trip(spark, folder):
@@ -145,7 +160,6 @@ def test_packing_round_trip(spark, folder):
 
     d, docs, _ = folder
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     left = Counter()
     for key, text in docs:
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
