@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +15,6 @@ from pyspark.sql import types as T
 
 #: Bytes of text that a kernel looks at together; a longer text is taken alone.
 SLICE_BYTES = 1 << 20
-#: Bytes of text in a chunk, the unit in which documents meet what was counted for them.
-CHUNK_BYTES = 8 << 20
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -31,6 +30,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: compressed, and no task runs twice for it."""
+    path = f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -51,20 +57,6 @@ def in_fold(key: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def text_bytes(docs: DataFrame) -> int:
-    return docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-
-
-def with_chunk(docs: DataFrame, *keep: str, size: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """``keep`` and text with the chunk that each row belongs to. size: bytes of all texts.
-
-    Chunks are dealt by a hash of key and text, so a hot source or a group of copies is
-    spread evenly, and a recomputed task deals rows out the same way again.
-    """
-    chunks = max(1, -(-size // chunk_bytes))
-    return docs.select(*keep, "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"))
-
-
 def text_slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of consecutive rows of about ``limit`` bytes; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -1,134 +1,274 @@
-"""Substring dedup: repeated token runs found as compacted paths of a De Bruijn graph.
+"""Substring dedup: repeated word runs found as compacted paths of a De Bruijn graph.
 
-Each run of ``window`` words is an edge, from its first window - 1 words to its last. An edge
-that starts at two places or more, in one document or several, is repeated. Chunks of documents
-send every distinct edge once to the bucket that counts it and join the answers back at their
-source coordinates, where consecutive repeated edges compact to one path: a span of words that
-occurs elsewhere, edge by edge. A path ends where the text stops repeating or where it leaves
-a junction by an edge that is not repeated; spans that meet are one.
+Each window of ``window`` words is an edge, from the node of its first window - 1 words to that of
+its last. An edge that starts at two places or more, in one document or several, is repeated.
 
-An edge is known by 80 hash bits made two ways, rather than by its words. (Two different edges
-among n would agree with a chance of about n**2 / 2**81: 3e-5 for the words of 30 GB.)
+1. Seeds. Of the runs of (window + 1) // 2 words in a window, the one of the least hash is its seed.
+   Equal windows have equal seeds at equal places, so a window can only be repeated if its seed is:
+   seeds are a tenth of the words, and only texts that hold repeated ones are looked at further.
+2. Pieces. Neighbouring edges that share a seed are a piece: a path that is compacted where it stands.
+   It is known by a 128-bit digest of its words and counted by a group-by. Edges of pieces that occur
+   once are looked up one by one among all edges, by 96 bits, as the ends of repeated passages lie there.
+3. Compaction. Pieces that are repeated are the arcs of the graph. Where a node has one arc in and one
+   out these are one path; pointer doubling by joins gives each arc its path and its place there.
+4. Source coordinates. Repeated pieces and edges go back to the texts they came from, and cover words.
 
-A null text has no words; texts shorter than the window keep all of theirs.
+Texts are known by 96 bits, so a text that occurs many times asks and is answered once. Hot seeds,
+pieces and edges are added up in each task before the shuffle; the joins are plain ones, whose skewed partitions
+adaptive execution splits. A null text has no words; texts shorter than the window keep all of theirs;
+repeated rows come out once each, an empty table gives none; other columns than ``keep`` play no part.
+A text is taken whole, so a very long one takes some fifty times its size in a Python worker.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, powers, text_bytes, text_slices, with_chunk, word_bounds, word_hashes
-from .exchange import bucket_of, bucket_rows, regroup
+from .common import checkpoint, mix, powers, text_slices, word_bounds, word_hashes, written
 
-#: Bytes of text whose edges meet in one bucket.
-BUCKET_BYTES = 12 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_LOW = np.uint64(0xFFFFFFFF)
+SPANS = "array<struct<first:bigint,last:bigint,path:bigint>>"
 
 
-def edges(words: np.ndarray, before: np.ndarray, window: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each window, its first word) of all rows; ``before``: words before each row and in all."""
+def run_hashes(words: np.ndarray, before: np.ndarray, size: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each run of so many words, its first word) of all rows; ``before``: words before each row and in all."""
     up, down = powers(len(words) + 1, base)
     sums = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(words * up[: len(words)], out=sums[1:])
-    count = np.maximum(np.diff(before) - window + 1, 0)
+    count = np.maximum(np.diff(before) - size + 1, 0)
     at = np.repeat(before[:-1] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    return mix((sums[at + window] - sums[at]) * down[at]), at
+    return mix((sums[at + size] - sums[at]) * down[at]), at
 
 
-def _slice_edges(texts: pa.Array, window: int):
-    """For slices of the texts: (bytes, starts, ends, words before, edge hashes, checks, first words)."""
-    for _, _, data, offsets in text_slices(texts):
+@dataclass
+class Words:
+    """The words of a slice of texts, and the seed of each window."""
+
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    before: np.ndarray
+    hashes: np.ndarray
+    at: np.ndarray
+    seed_at: np.ndarray
+    seeds: np.ndarray
+
+    @staticmethod
+    def of(data: np.ndarray, offsets: np.ndarray, window: int) -> Words:
         starts, ends, before = word_bounds(data, offsets)
-        keys, at = edges(word_hashes(data, starts, ends), before, window, _BASES[0])
-        checks, _ = edges(word_hashes(data, starts, ends, _BASES[1]), before, window, _BASES[1])
-        yield data, starts, ends, before, keys, (checks >> np.uint64(48)).astype(np.uint16), at
+        hashes, size = word_hashes(data, starts, ends), (window + 1) // 2
+        found, where = run_hashes(hashes, before, size, _BASES[0])
+        whole = np.full(len(hashes), np.uint64(2**64 - 1))
+        whole[where] = found
+        count = np.maximum(np.diff(before) - window + 1, 0)
+        at = np.repeat(before[:-1] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        # The least of the upper halves, the leftmost if equal, over window - size + 1 runs.
+        least, span, reach = (whole & ~_LOW) | np.arange(len(whole), dtype=np.uint64), 1, window - size + 1
+        while 2 * span <= reach:
+            least, span = np.minimum(least[:-span], least[span:]) if len(least) > span else least[:0], 2 * span
+        if span < reach:
+            gap = reach - span
+            least = np.minimum(least[:-gap], least[gap:]) if len(least) > gap else least[:0]
+        seed_at = (least[at] & _LOW).astype(np.int64)
+        return Words(data, starts, ends, before, hashes, at, seed_at, whole[seed_at])
+
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.before, at, "right") - 1
+
+
+def seed_counts(texts: DataFrame, window: int) -> DataFrame:
+    """(seed, n): at how many places each seed stands."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = [np.zeros(0, np.uint64)]
+            for _, _, data, offsets in text_slices(b.column(0)):
+                w = Words.of(data, offsets, window)
+                held.append(w.seeds[np.unique(w.seed_at, return_index=True)[1]])
+            seeds, n = np.unique(np.concatenate(held), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), pa.array(n)], names=["seed", "n"])
+
+    return texts.select("text").mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+
+
+def text_seeds(texts: DataFrame, window: int) -> DataFrame:
+    """(seed, k, c): the seeds of each text, once for each different text of a batch."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, keys, checks, w in _distinct(b, window):
+                at, first = np.unique(w.seed_at, return_index=True)
+                row = pa.array(w.rows(at))
+                yield pa.RecordBatch.from_arrays([pa.array(w.seeds[first].view(np.int64)), keys.take(row), checks.take(row)], names=["seed", "k", "c"])
+
+    return texts.select("text", "k", "c").mapInArrow(run, "seed long, k long, c int")
+
+
+def _distinct(b: pa.RecordBatch, window: int) -> Iterator[tuple[np.ndarray, pa.Array, pa.Array, Words]]:
+    """(times, k, c, words) of the different texts of a batch of text, k, c, in slices."""
+    if not b.num_rows:
+        return
+    keys = np.rec.fromarrays([b.column(1).to_numpy(), b.column(2).to_numpy()])
+    _, first, times = np.unique(keys, return_index=True, return_counts=True)
+    own = b.take(pa.array(first))
+    for a, e, data, offsets in text_slices(own.column(0)):
+        yield times[a:e], own.column(1).slice(a, e - a), own.column(2).slice(a, e - a), Words.of(data, offsets, window)
+
+
+def looked_at(texts: DataFrame, asked: DataFrame, keep: tuple[str, ...], with_text: bool) -> DataFrame:
+    """keep, k, c, n_words, and of texts with repeated seeds the text and these seeds, of others the digest of all words (and the words, if with_text). Written."""
+    own = texts.join(asked, ["k", "c"], "left").select(*keep, "k", "c", "seeds", "text")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            open_ = b.column(b.num_columns - 2).is_valid()
+            count, digest, whole = np.zeros(b.num_rows, np.int64), [None] * b.num_rows, [None] * b.num_rows
+            done = ~open_.to_numpy(zero_copy_only=False)
+            for first, end, data, offsets in text_slices(b.column(b.num_columns - 1)):
+                raw = data.tobytes()
+                for i in range(first, end):
+                    words = raw[offsets[i - first] : offsets[i - first + 1]].split()
+                    count[i] = len(words)
+                    if done[i]:
+                        body = b" ".join(words)
+                        digest[i], whole[i] = hashlib.sha256(body).hexdigest(), body.decode() if with_text else None
+            text = pc.if_else(open_, b.column(b.num_columns - 1), pa.scalar(None, b.column(b.num_columns - 1).type))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], text, pa.array(count), pa.array(digest, pa.string()), pa.array(whole, pa.string())], names=[*b.schema.names, "n_words", "digest", "kept_text"])
 
+    return written(own.mapInArrow(run, f"{kinds}, n_words long, digest string, kept_text string"), "substrings")
 
-def paths(repeated: np.ndarray, at: np.ndarray, before: np.ndarray, window: int) -> np.ndarray:
-    """Which words lie on a path of repeated edges."""
-    cover = np.zeros(before[-1] + 1, np.int64)
-    first = at[repeated]
-    np.add.at(cover, first, 1)
-    np.add.at(cover, first + window, -1)
-    return np.cumsum(cover[:-1]) > 0
+
+def pieces(held: DataFrame, window: int) -> DataFrame:
+    """(s, t, k, c, pos, m, u, v, e, f, w): pieces of m edges at word pos of text (k, c), which occurs w times in its batch.
+
+    s and t are the digest of the words, u and v the nodes at the ends, e and f the hashes of the edges.
+    """
+    kinds = "s long, t long, k long, c int, pos int, m int, u long, v long, e array<long>, f array<int>, w long"
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            known = np.unique(np.asarray(b.column(3).flatten())).view(np.uint64) if b.num_rows else None
+            for times, keys, checks, w in _distinct(b.select([0, 1, 2]), window):
+                on = np.isin(w.seeds, known)
+                first = np.flatnonzero(on & np.r_[True, ~on[:-1] | (w.seed_at[1:] != w.seed_at[:-1])][: len(on)])
+                last = np.flatnonzero(on & np.r_[~on[1:] | (w.seed_at[1:] != w.seed_at[:-1]), True][-len(on) :]) + 1 if len(on) else first
+                if not len(first):
+                    continue
+                edge, _ = run_hashes(w.hashes, w.before, window, _BASES[0])
+                check, _ = run_hashes(word_hashes(w.data, w.starts, w.ends, _BASES[1]), w.before, window, _BASES[1])
+                node, node_at = run_hashes(w.hashes, w.before, window - 1, _BASES[0])
+                begin, size = w.at[first], last - first
+                row, raw = w.rows(begin), w.data.tobytes()
+                digest = [xxhash.xxh3_128_digest(b" ".join(raw[x:y].split())) for x, y in zip(w.starts[begin].tolist(), w.ends[begin + size + window - 2].tolist(), strict=True)]
+                digest = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
+                bounds = pa.array(np.r_[0, np.cumsum(size)].astype(np.int32))
+                inner = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                ends = [node[np.searchsorted(node_at, x)].view(np.int64) for x in (begin, begin + size)]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), keys.take(pa.array(row)), checks.take(pa.array(row)), pa.array((begin - w.before[row]).astype(np.int32)), pa.array(size.astype(np.int32)), *map(pa.array, ends),
+                    pa.ListArray.from_arrays(bounds, pa.array(edge[inner].view(np.int64))), pa.ListArray.from_arrays(bounds, pa.array((check[inner] >> np.uint64(32)).astype(np.uint32).view(np.int32))), pa.array(times[row].astype(np.int64)),
+                ], names=["s", "t", "k", "c", "pos", "m", "u", "v", "e", "f", "w"])
+
+    return written(held.where("seeds IS NOT NULL").select("text", "k", "c", "seeds").mapInArrow(run, kinds), "pieces")
+
+
+def compacted(arcs: DataFrame) -> DataFrame:
+    """(id, path): the path of each arc, by the id of its first. arcs: id, u, v.
+
+    Two arcs are neighbours on a path if they meet at a node that no other arc enters or leaves. Each round
+    every open arc points on to where the arc it points to points, so rounds are the logarithm of the longest
+    path. Arcs on a circle, which has no first, point to some of its arcs.
+    """
+    alone = lambda c, name: arcs.groupBy(c).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias(name)).where("n = 1").select(F.col(c).alias("node"), name)
+    before = alone("u", "id").join(alone("v", "prev"), "node").where("id != prev").select("id", "prev")
+    state = checkpoint(arcs.join(before, "id", "left").select("id", F.coalesce("prev", "id").alias("path"), F.col("prev").isNull().alias("done")))
+    for _ in range(ceil(log2(max(state.count(), 2))) + 1):
+        ahead = state.select(F.col("id").alias("path"), F.col("path").alias("further"))
+        stepped = state.where("NOT done").join(ahead, "path").select("id", F.col("further").alias("path"), (F.col("path") == F.col("further")).alias("done"))
+        state = checkpoint(state.where("done").unionByName(stepped))
+        if state.where("NOT done").isEmpty():
+            break
+    return state.select("id", "path")
 
 
 def mark(docs: DataFrame, window: int = 35, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
-    """keep, n_words, n_removed, kept_sha256 and repeated_spans (words, last exclusive); with_text adds kept_text."""
-    own = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text"))
-    size = text_bytes(own)
-    chunked = with_chunk(own, *keep, size=size)
-    buckets = max(1, -(-size // BUCKET_BYTES))
-
-    def send(table: pa.Table) -> pa.Table:
-        found = [(k, c) for *_, k, c, _ in _slice_edges(table["text"], window)]
-        keys = np.concatenate([k for k, _ in found]) if found else np.zeros(0, np.uint64)
-        checks = np.concatenate([c for _, c in found]) if found else np.zeros(0, np.uint16)
-        distinct, first = np.unique(keys, return_index=True)
-        return bucket_rows(table["chunk"][0].as_py(), buckets, distinct, [checks[first]])
-
-    def count(table: pa.Table) -> pa.Table:
-        chunk, size, keys, (checks,) = regroup(table, [np.uint16])
-        order = np.argsort(keys, kind="stable")
-        k, c = keys[order], checks[order]
-        same = k[1:] == k[:-1]
-        if np.any(same & (c[1:] != c[:-1])):
-            order = np.lexsort((checks, keys))
-            k, c = keys[order], checks[order]
-            same = (k[1:] == k[:-1]) & (c[1:] == c[:-1])
-        often = np.zeros(len(k), bool)
-        often[1:] |= same
-        often[:-1] |= same
-        back = np.zeros(len(k), bool)
-        back[order] = often
-        flags = [np.packbits(x).tobytes() if x.any() else b"" for x in np.split(back, np.cumsum(size)[:-1])]
-        bucket = table["bucket"][0].as_py()
-        keep_row = [i for i, f in enumerate(flags) if f]
-        return pa.table({
-            "chunk": pa.array([chunk[i] for i in keep_row], pa.int64()), "bucket": pa.array([bucket] * len(keep_row), pa.int64()),
-            "flags": pa.array([flags[i] for i in keep_row], pa.binary()),
-        })
-
-    def fill(table: pa.Table, answers: pa.Table) -> pa.Table:
-        found = list(_slice_edges(table["text"], window))
-        sizes = [len(f[4]) for f in found]
-        keys = np.concatenate([f[4] for f in found]) if found else np.zeros(0, np.uint64)
-        distinct, which, times = np.unique(keys, return_inverse=True, return_counts=True)
-        often = times > 1
-        at = bucket_of(distinct, buckets)
-        for bucket, flags in zip(answers["bucket"].to_pylist(), answers["flags"].to_pylist(), strict=True):
-            a, e = np.searchsorted(at, [bucket, bucket + 1])
-            often[a:e] |= np.unpackbits(np.frombuffer(flags, np.uint8), count=e - a).astype(bool)
-        repeated = np.split(often[which], np.cumsum(sizes)[:-1]) if found else []
-        words, removed, digest, spans, texts = [], [], [], [], []
-        for (data, starts, ends, before, _, _, first), own_repeated in zip(found, repeated, strict=True):
-            gone = paths(own_repeated, first, before, window)
-            raw = data.tobytes()
-            for a, e in zip(before[:-1].tolist(), before[1:].tolist(), strict=True):
-                part = gone[a:e]
-                n = int(part.sum())
-                kept = b" ".join([raw[s:t] for s, t, g in zip(starts[a:e].tolist(), ends[a:e].tolist(), part.tolist(), strict=True) if not g])
-                words.append(e - a)
-                removed.append(n)
-                digest.append(hashlib.sha256(kept).hexdigest())
-                if n:
-                    flips = np.flatnonzero(np.diff(np.concatenate([[0], part.view(np.int8), [0]]))).reshape(-1, 2)
-                    spans.append([{"first": x, "last": y} for x, y in flips.tolist()])
-                else:
-                    spans.append([])
-                if with_text:
-                    texts.append(kept.decode())
-        out = {c: table[c] for c in keep} | {"n_words": pa.array(words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
-        out["repeated_spans"] = pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))
-        return pa.table(out | ({"kept_text": pa.array(texts, pa.string())} if with_text else {}))
-
-    kinds = ", ".join(f"{c} {own.schema[c].dataType.simpleString()}" for c in keep)
-    out = f"{kinds}, n_words long, n_removed long, kept_sha256 string, repeated_spans array<struct<first:bigint,last:bigint>>" + ", kept_text string" * with_text
-    sent = chunked.groupBy("chunk").applyInArrow(send, "chunk long, bucket long, body binary")
-    flags = sent.groupBy("bucket").applyInArrow(count, "chunk long, bucket long, flags binary")
-    return chunked.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(fill, out)
+    """keep, n_words, n_removed, kept_sha256 and repeated_spans; with_text adds kept_text.
+
+    Spans are of words, last exclusive, in order; path is the same number wherever spans lie on the same path of
+    the graph, and null for what only ends of passages have in common.
+    """
+    text = F.coalesce("text", F.lit(""))
+    texts = docs.select(*keep, text.alias("text"), F.xxhash64(text).alias("k"), F.hash(text).alias("c"))
+    repeated = checkpoint(seed_counts(texts, window).where("n > 1").select("seed"))
+    asked = checkpoint(text_seeds(texts, window).join(repeated, "seed").groupBy("k", "c").agg(F.collect_set("seed").alias("seeds")))
+    held = looked_at(texts, asked, keep, with_text)
+    found = pieces(held, window)
+
+    counted = found.groupBy("s", "t").agg(F.sum("w").alias("n"), F.min("u").alias("u"), F.min("v").alias("v"))
+    arcs = checkpoint(counted.where("n > 1").select(F.monotonically_increasing_id().alias("id"), "s", "t", "u", "v"))
+    paths = arcs.select("id", "s", "t").join(compacted(arcs.select("id", "u", "v")), "id").select("s", "t", "path")
+    placed = found.select("s", "t", "k", "c", "pos", "m").join(checkpoint(paths), ["s", "t"])
+    whole = placed.select("k", "c", F.struct(F.col("pos").cast("long").alias("first"), (F.col("pos") + F.col("m") + (window - 1)).cast("long").alias("last"), "path").alias("span"))
+
+    edges = found.select("w", F.explode(F.arrays_zip("e", "f")).alias("x")).groupBy("x.e", "x.f").agg(F.sum("w").alias("n"))
+    edges = checkpoint(edges.where("n > 1").select("e", "f"))
+    once = found.where("w = 1").join(arcs.select("s", "t"), ["s", "t"], "left_anti").select("k", "c", "pos", F.posexplode(F.arrays_zip("e", "f")).alias("i", "x"))
+    once = once.select("k", "c", (F.col("pos") + F.col("i")).cast("long").alias("first"), "x.e", "x.f").join(edges, ["e", "f"])
+    ends = once.select("k", "c", F.struct("first", (F.col("first") + window).alias("last"), F.lit(None).cast("long").alias("path")).alias("span"))
+    spans = checkpoint(whole.unionByName(ends).groupBy("k", "c").agg(F.collect_set("span").alias("spans")))
+
+    opened = held.where("seeds IS NOT NULL").join(spans, ["k", "c"], "left").select(*keep, "n_words", "spans", "text")
+    out = covered(opened, with_text)
+    closed = held.where("seeds IS NULL").select(*keep, "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256"), F.array().cast(SPANS).alias("repeated_spans"), *(["kept_text"] if with_text else []))
+    return closed.unionByName(out)
+
+
+def covered(opened: DataFrame, with_text: bool) -> DataFrame:
+    """The result for texts with their spans, which may overlap; opened: what is kept, n_words, spans, text."""
+    rest = opened.schema.fields[:-2]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + f", n_removed long, kept_sha256 string, repeated_spans {SPANS}" + ", kept_text string" * with_text
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            removed, digest, spans, texts = [], [], [], []
+            given = b.column(b.num_columns - 2).to_pylist()
+            for first, end, data, offsets in text_slices(b.column(b.num_columns - 1)):
+                raw = data.tobytes()
+                for i in range(first, end):
+                    words = raw[offsets[i - first] : offsets[i - first + 1]].split()
+                    own = sorted(given[i] or [], key=lambda s: (s["first"], s["last"]))
+                    joined: list[dict] = []
+                    for s in own:
+                        if joined and s["first"] <= joined[-1]["last"] and s["path"] == joined[-1]["path"]:
+                            joined[-1]["last"] = max(joined[-1]["last"], s["last"])
+                        else:
+                            joined.append(dict(s))
+                    gone = np.zeros(len(words) + 1, np.int64)
+                    for s in joined:
+                        gone[s["first"]] += 1
+                        gone[s["last"]] -= 1
+                    cover = np.cumsum(gone[:-1]) > 0
+                    kept = b" ".join([w for w, g in zip(words, cover.tolist(), strict=True) if not g])
+                    removed.append(int(cover.sum()))
+                    digest.append(hashlib.sha256(kept).hexdigest())
+                    spans.append(joined)
+                    texts.append(kept.decode() if with_text else None)
+            kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("path", pa.int64())]))
+            more = [pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(spans, kind), *([pa.array(texts, pa.string())] if with_text else [])]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], *more], names=[*b.schema.names[:-2], "n_removed", "kept_sha256", "repeated_spans", *(["kept_text"] if with_text else [])])
+
+    return opened.mapInArrow(run, kinds)
