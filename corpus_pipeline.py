@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cratelog.llm import decontam, neardup, packing, secrets, toxicity
-from cratelog.llm.common import checkpoint_folder, fresh, read_table
+from cratelog.llm.common import checkpoint_folder, fresh, read_table, remove
 
 TOXIC = 0.7
 _runs = itertools.count()
@@ -59,12 +59,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of the last stage; each stage's rows are written as Parquet and read again by the next."""
-    docs, folder = read_table(spark, sf_dir, "documents"), checkpoint_folder(spark)
+    """The result of the last stage; each stage's rows are written as Parquet and read again by the next, and go once that has written its own."""
+    docs, folder, before = read_table(spark, sf_dir, "documents"), checkpoint_folder(spark), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/corpus-{spark.sparkContext.applicationId}-{next(_runs)}-{k}-{name}"
         stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
 
 

@@ -6,7 +6,10 @@ length, make-up and character transitions, how much of it is dictionary words, w
 of a path, and the neighbouring words. The forest's flattened trees are walked by SQL lambdas
 over literal arrays, so a plan's size does not depend on the trees, and nothing leaves the JVM.
 
-Null and empty texts have no candidates. Training reads labelled findings (left, candidate, right,
+A candidate's neighbourhood is the 40 characters before it and the 24 after it. Header lines of a key block are at most 32.
+
+Null and empty texts have no candidates; repeated rows and candidates are judged once each and alike; an empty
+table gives none; texts are taken whole, in the memory of a few copies. Training reads labelled findings (left, candidate, right,
 path, is_secret): at most ``max_rows`` of them; without both labels every candidate scores 1.
 """
 
@@ -23,9 +26,21 @@ from .quality import grow, quantile_bins
 
 PATTERN = r"-----BEGIN [A-Z ]*PRIVATE KEY-----\s*+(?:[A-Za-z-]++: [^\n]*+\n){0,32}+[A-Za-z0-9+/=\s]*+-----END [A-Z ]*PRIVATE KEY-----|[A-Za-z0-9_+/=~.-]{16,}+"
 MASK = "[SECRET]"
-#: Pairs of letters that are frequent in prose, words of identifiers, words that announce a secret or something else.
+#: Pairs of letters that are frequent in prose; words that announce a secret or something else.
 _PAIRS = "th|he|in|er|an|re|nd|on|en|at|ou|ha|or|it|is|hi|es|ng|st|ti|te|le|de|nt|se|al|ar|io|ic|ve|ue|ie|ch|ei|qu|os|as|la|ll|un"
-_WORDS = "example|sample|test|dummy|fake|placeholder|change|your|here|password|secret|token|config|version|service|manager|factory|controller|handler|index|module|build|release|library|package|http|html|image|user|name|data|file|path|list|value|string|number|default|update|request|response|client|server|system|local|public|private|static|the|and|for|with|ing|tion|able|ment"
+#: Words that identifiers, paths and prose of four languages are made of, and some endings.
+DICTIONARY = (
+    "about access account admin after also alle array auch back base before between block body branch build cache call change check class client code "
+    "column com como component config content context control count create current dans data default delete der des die document dummy element email entry "
+    "error event example export factory fake false field file filter first folder for form format from function general group handler have header help here "
+    "history home host html http image import index input install item key label language last layer layout level library line link list load local main "
+    "manager map member memory message model module name new next node note number object only open option order other package page para parent part "
+    "password path pattern placeholder point private product profile project property public query queue read record release remote report request response "
+    "root rule sample schema search section select server service session shared simple source start state static status storage store stream string style "
+    "system table target task template test text the this time title token type und une unit update upload url user value version video view von web width "
+    "window with word work your able ing ment tion"
+).split()
+_WORDS = "|".join(sorted(DICTIONARY, key=len, reverse=True))
 _ANNOUNCE = r"(?i)(token|secret|passw|pwd|api.?key|apikey|auth|bearer|credential|access.?key|private)"
 _OTHER = r"(?i)\b(sha-?(1|256|512)?|md5|checksum|digest|commit|revision|uuid|guid|etag|integrity|hash|example|sample|dummy|fake|placeholder|fixture)\b"
 FEATURES = ("length", "digits", "upper", "lower", "marks", "hex", "runs", "pairs", "distinct", "words", "repeats", "slashes", "dots", "in_path", "assigned", "quoted", "announced", "other", "test_path", "prefix", "block")

@@ -195,3 +195,85 @@ def test_classifiers_give_every_row(spark, folder, name, folds, fold):
         assert {r.lang_pred for r in got} <= {"und", "en", "de"}
     else:
         assert all(r.predicted == (r.score >= 0.7) for r in got)
+
+
+KEY = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+BLOCK = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123\n\n" + "aB3/+x9Z" * 5000 + "\n-----END RSA PRIVATE KEY-----"
+
+
+def plain_features(c, left, right, path):
+    """The features of a candidate by Python's own means."""
+    import re
+
+    n, near, after, low = len(c), left[-40:], right[:24], c.lower()
+    share = lambda p, of=c: len(re.findall(p, of)) / n
+    on = lambda p, of: float(bool(re.search(p, of)))
+    from cratelog.llm import secrets as m
+
+    kinds = re.sub("[0-9]+", "#", re.sub("[a-z]+", '"', re.sub("[A-Z]+", "!", c)))
+    return [
+        min(n, 400), share("[0-9]"), share("[A-Z]"), share("[a-z]"), share("[^A-Za-z0-9]"), on("^([0-9a-f]+|[0-9A-F]+)$", c), len(kinds) / n, share(f"(?={m._PAIRS})", low), len(set(c)) / min(n, 64),
+        1 - len(re.sub(m._WORDS, "", low)) / n, share(r"(.)\1\1"), share("/"), share(r"\."), max(on(r"(://|[/\\.@])\S{0,20}$", near), on(r"^(/|\\|@|\.[a-z]{2,4}\b)", after)), on(r"[=:]\s{0,2}[\"']?$", near),
+        min(on("[\"'`]$", near), on("^[\"'`]", after)), on(m._ANNOUNCE, near), max(on(m._OTHER, near), on("example|sample|dummy|placeholder|your|xxxx", low)), on("(?i)(test|example|fixture|sample|mock|doc)", path or ""),
+        on(r"^(AKIA|ASIA|gh[pousr]_|sk[-_]|xox[abp]-|eyJ|AIza|glpat-|SG\.)", c), float(c.startswith("-----BEGIN")),
+    ]
+
+
+def test_secrets(spark):
+    import re
+
+    from cratelog.llm import secrets
+
+    texts = [None, "", "plain words", f'token = "{KEY}" x', f'token = "{KEY}" x', f"commit {KEY} done", BLOCK, f"a {BLOCK} b {KEY}", "x" * 300_000, f"see /usr/lib/{KEY[:20]}/file.txt, password: {KEY[:24]}", "A" * 16, KEY]
+    docs = spark.createDataFrame([(i % 7, t, "src/test.py" if i % 2 else None) for i, t in enumerate(texts)], "doc_id int, text string, source string")
+    for name in ("found", "rest", "findings", "x", "score", "candidate", "FOUND_"):
+        docs = docs.withColumn(name, llm.F.lit(name)) if name.lower() not in [c.lower() for c in docs.columns] else docs
+    forest = secrets.train(secrets.labelled_findings(spark, 3000))
+    rows = secrets.findings(docs, forest, "source", "out").collect()
+    pattern, seen = re.compile(secrets.PATTERN), 0
+    for r in rows:
+        text, at = r.text or "", 0
+        want = list(pattern.finditer(text))
+        assert [m[0] for m in want] == [f.candidate for f in r.out]
+        assert r.found == "found" and r.rest == "rest"
+        for k, (m, f) in enumerate(zip(want, r.out, strict=True)):
+            right = text[m.end() : want[k + 1].start() if k + 1 < len(want) else len(text)]
+            x = np.array([plain_features(m[0], text[at : m.start()], right, r.source)])
+            assert abs(forest.predict(x)[0] - f.score) < 1e-9
+            at, seen = m.end(), seen + 1
+    assert seen == 11
+    out = secrets.redact(docs, forest, "source")
+    assert out.columns == docs.columns
+    got = Counter((r.doc_id, r.text, r.findings) for r in out.collect())
+    assert got[(3, 'token = "[SECRET]" x', "findings")] == 1 and got[(6, "[SECRET]", "findings")] == 1 and got[(5, f"commit {KEY} done", "findings")] == 1
+    assert secrets.findings(docs.limit(0), forest).count() == 0
+
+
+def test_secrets_of_documents(spark):
+    """Findings of the documents, told by a rule of their own: what is assigned to a token is a secret, in any case of letters; training has seen none of them."""
+    from cratelog.llm import secrets
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    f = secrets.findings(docs.select("doc_id", "text", "source"), secrets.train(secrets.labelled_findings(spark)), "source").select(llm.F.explode("findings").alias("f")).select("f.*")
+    told = llm.F.lower("left").rlike(r"token\s*=\s*[\"']?$")
+    right = f.select(told.alias("told"), (llm.F.col("score") >= 0.5).alias("said")).groupBy("told", "said").count().collect()
+    n = {(r.told, r.said): r["count"] for r in right}
+    assert n[(True, True)] / (n[(True, True)] + n.get((True, False), 0)) > 0.97  # recall
+    assert n[(True, True)] / (n[(True, True)] + n.get((False, True), 0)) > 0.95  # precision
+
+
+def test_pipeline_on_edges(spark, folder, empty):
+    """All stages, and run, keep the columns of documents, whatever they are called, and every clean row."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
+    for name in ("text_key", "text_check", "nth", "toxicity", "findings", "contaminated_items", "n_words"):
+        docs = docs.withColumn(name, llm.F.lit(name))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder[0])
+        if name != "packing":
+            assert out.columns == docs.columns
+            assert out.where("text_key <> 'text_key' OR n_words <> 'n_words' OR findings <> 'findings' OR contaminated_items <> 'contaminated_items'").count() == 0
+        assert out.count() > 0
+        assert stage(spark, docs.limit(0), empty).count() == 0
+    assert corpus_pipeline.run(spark, folder[0]).count() > 0 and corpus_pipeline.run(spark, empty).count() == 0
