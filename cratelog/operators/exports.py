@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
 from pathlib import Path
@@ -129,16 +130,31 @@ def kit_parts(files: DataFrame, key: str = "project_id", part_bytes: int = 8 <<
 
 
 def save_kits(parts: DataFrame, folder: str, key: str = "project_id") -> list[str]:
-    """Download kits to a folder of the driver, a part at a time; the zip files written, by key."""
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    done: list[str] = []
-    for r in parts.orderBy(key, "part").toLocalIterator():
-        path = Path(folder) / f"{r[key]}.zip"
-        with path.open("ab" if r["part"] else "wb") as f:
-            f.write(r["body"])
-        if not r["part"]:
-            done.append(str(path))
-    return done
+    """Write kits as zip files, by key, to a folder that all executors share; each task writes its own. The files written.
+
+    A file is put together under another name and then renamed, so a repeated task leaves the same files.
+    """
+    kind = parts.schema[key].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Path(folder).mkdir(parents=True, exist_ok=True)
+        own, held, done = None, None, []
+        for b in batches:
+            for k, body in zip(b.column(0).to_pylist(), b.column(2), strict=True):
+                if k != own or held is None:
+                    if held is not None:
+                        held.close()
+                        done.append((own, held.name))
+                    own, held = k, (Path(folder) / f"{uuid.uuid4().hex}.part").open("wb")
+                held.write(body.as_py())
+        if held is not None:
+            held.close()
+            done.append((own, held.name))
+        paths = [Path(name).rename(Path(folder) / f"{k}.zip") for k, name in done]
+        yield pa.RecordBatch.from_arrays([pa.array([str(p) for p in paths], pa.string())], names=["path"])
+
+    dealt = parts.select(F.col(key).cast(kind), "part", "body").repartition(key).sortWithinPartitions(key, "part")
+    return [r["path"] for r in dealt.mapInArrow(run, "path string").orderBy("path").collect()]
 
 
 def _varlen(n: int) -> bytes:

@@ -75,7 +75,7 @@ def replace_rules(rules: DataFrame, manifest_id: int, new: DataFrame) -> DataFra
 
 def rule_grid(songs: DataFrame, sections: DataFrame, parts: DataFrame) -> DataFrame:
     """A rule for each song, section and part; the instrument is the part's first word in lower case."""
-    grid = songs.select("song").crossJoin(F.broadcast(sections.select("section"))).crossJoin(F.broadcast(parts.select("part")))
+    grid = songs.select("song").crossJoin(sections.select("section")).crossJoin(parts.select("part"))
     instrument = F.lower(F.element_at(F.split("part", " "), 1))
     return grid.select("song", "section", "part", instrument.alias("instrument"), F.concat_ws(" - ", "song", "section", "part").alias("name"))
 

@@ -47,6 +47,13 @@ def sessions(messages: DataFrame, key: str, at: str, gap: str, late: str | None
     return out.select(key, "first_at", "last_at", "messages")
 
 
+def started(session: DataFrame, session_id: int, now: Column) -> DataFrame:
+    """Sessions after one has been started: pending becomes recording from now on; another status fails at run time."""
+    own = F.col("id") == session_id
+    ready = F.when(F.col("status") == "pending", "recording").otherwise(F.raise_error(F.concat(F.lit("not pending: "), "status")).cast("string"))
+    return session.withColumns({"status": F.when(own, ready).otherwise(F.col("status")), "start_time": F.when(own, now).otherwise(F.col("start_time"))})
+
+
 def session_status(session: DataFrame, files: DataFrame) -> DataFrame:
     """Status after a stop: completed with files, completed_empty without; failed ones stay failed."""
     have = files.select(F.col("capture_session_id").alias("id")).distinct().withColumn("__has", F.lit(True))
@@ -60,7 +67,15 @@ def capture_to(messages: DataFrame, active: DataFrame, path: str, checkpoint: st
     active: session_id, device_id of open ports; what comes from elsewhere is ignored. Tracks are
     made of the log when a session stops, so no state grows with a session's length.
     """
-    rows = messages.withColumn("channel", channel_of(F.col("channel"))).join(F.broadcast(active), ["session_id", "device_id"])
+    return _append(messages.withColumn("channel", channel_of(F.col("channel"))).join(active, ["session_id", "device_id"]), path, checkpoint, **trigger)
+
+
+def record_to(chunks: DataFrame, active: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Append the audio chunks (session_id, seq, chunk) of active sessions to a Parquet log, exactly once; ``joined_audio`` makes takes of it."""
+    return _append(chunks.join(active.select("session_id").distinct(), "session_id"), path, checkpoint, **trigger)
+
+
+def _append(rows: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("session_id").trigger(**(trigger or {"availableNow": True})).start()
 
 

@@ -33,3 +33,20 @@ def test_audio_and_status(spark):
     sessions = spark.createDataFrame([(1, "recording"), (2, "recording"), (3, "failed")], "id int, status string")
     files = spark.createDataFrame([(1,)], "capture_session_id int")
     assert {(r.id, r.status) for r in capture.session_status(sessions, files).collect()} == {(1, "completed"), (2, "completed_empty"), (3, "failed")}
+
+
+def test_recording_to_a_log(spark, tmp_path):
+    made = spark.createDataFrame([(1, 2, [3.0]), (1, 1, [1.0, 2.0]), (9, 1, [7.0])], "session_id long, seq int, chunk array<double>")
+    made.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(made.schema).parquet(str(tmp_path / "in"))
+    capture.record_to(stream, spark.createDataFrame([(1, 4)], "session_id long, device_id long"), str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination()
+    assert [(r.session_id, r.audio) for r in capture.joined_audio(spark.read.parquet(str(tmp_path / "log"))).collect()] == [(1, [1.0, 2.0, 3.0])]
+
+
+def test_session_start(spark):
+    import pytest
+
+    sessions = spark.createDataFrame([(1, "pending", None), (2, "failed", None)], "id int, status string, start_time string")
+    assert [(r.id, r.status, r.start_time) for r in capture.started(sessions, 1, F.lit("now")).orderBy("id").collect()] == [(1, "recording", "now"), (2, "failed", None)]
+    with pytest.raises(Exception, match="not pending"):
+        capture.started(sessions, 2, F.lit("now")).collect()
