@@ -193,6 +193,21 @@ def crossing_near(y: np.ndarray, at: int, reach: int) -> int:
     return first + int(turns[np.argmin(np.abs(turns + first - at))]) if len(turns) else at
 
 
+def crosses(y: np.ndarray, at: int, reach: int) -> bool:
+    """Whether the sign changes within reach samples of a position."""
+    near = np.sign(y[max(0, at - reach) : max(0, at + reach)])
+    return bool(np.any(near[1:] != near[:-1]))
+
+
+def clicks(y: np.ndarray, level: float = 0.1, ratio: float = 5.0, around: int = 20) -> bool:
+    """Whether the largest second difference is over level and over ratio times the mean around it."""
+    if len(y) < 3:
+        return False
+    d = np.abs(np.diff(y, 2))
+    at = int(np.argmax(d))
+    return bool(d[at] > level and d[at] > ratio * d[max(0, at - around) : at + around].mean())
+
+
 def steadiness(values: np.ndarray) -> float:
     """1 - variation of the values, within [0, 1]; 0.3 for none or if they are next to nothing."""
     if not len(values) or values.mean() < 1e-10:

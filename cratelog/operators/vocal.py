@@ -9,8 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import dsp, signal
-from ..functions.arithmetic import to_db
+from ..functions import dsp
 from ..functions.text import clip_text, processed_name
 from .audio import features, key_name, sample_arrays
 
@@ -106,34 +105,55 @@ def repair(files: DataFrame, key: str = "file_id", silence_ms: float = SILENCE_M
     return given.mapInArrow(run, f"{key} {kind}, sample_rate int, samples array<double>, stabs array<struct<start_sample:bigint,end_sample:bigint,duration_ms:double>>")
 
 
+STABS = "array<struct<start_sample:bigint,end_sample:bigint,clean_start:boolean,clean_end:boolean,click:boolean>>"
+
+
+def marked_stabs(files: DataFrame, key: str, reach_ms: float = 10.0) -> DataFrame:
+    """(key, stabs) of rows of key, sample_rate, samples, onsets and stabs (null: from onset to onset, the last to the end).
+
+    Each stab is told whether the sign changes near its ends and whether it holds a click. One map-only stage.
+    """
+    kind = files.schema[key].dataType.simpleString()
+    names = ("start_sample", "end_sample", "clean_start", "clean_end", "click")
+    made = pa.list_(pa.struct([(n, pa.int64() if n.endswith("sample") else pa.bool_()) for n in names]))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for rate, y, onsets, given in zip(b.column(1).to_pylist(), sample_arrays(b.column(2)), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+                begins = sorted({int(t * rate) for t in onsets or []})
+                pairs = [(s["start_sample"], s["end_sample"]) for s in given] if given else list(zip(begins, [*begins[1:], len(y)], strict=True))
+                reach = int(rate * reach_ms / 2000)
+                flags = [(a, e, dsp.crosses(y, a, reach), dsp.crosses(y, e, reach), dsp.clicks(y[a:e])) for a, e in pairs]
+                out.append([dict(zip(names, f, strict=True)) for f in flags])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, made)], names=[b.schema.names[0], "stabs"])
+
+    return files.select(key, F.col("sample_rate").cast("int"), "samples", "onsets", "stabs").mapInArrow(run, f"{key} {kind}, stabs {STABS}")
+
+
 def evaluate(files: DataFrame, key: str = "file_id", least: float = SILENCE_MS, reach_ms: float = 10.0) -> DataFrame:
     """files with stabs, average_silence_ms, key_name, tempo and issues of each vocal-chop file.
 
     files: key, sample_rate, samples and labels (cue names). Stabs reach from onset to onset, so
     they have no silence between them unless files brings stabs of its own.
     """
-    made = features(files.select(key, "sample_rate", "samples"), key).select(key, "onsets", F.col("tempo"), key_name(F.col("chroma")).alias("key_name"))
-    joined = files.join(made, key)
-    size, rate = F.size("samples").cast("bigint"), F.col("sample_rate")
-    begins = F.array_distinct(F.transform("onsets", lambda t: F.floor(t * rate).cast("bigint")))
-    between = F.transform(begins, lambda a, i: F.struct(a.alias("start_sample"), F.coalesce(F.get(begins, i + 1), size).alias("end_sample")))
-    stabs_of = F.coalesce(F.when(F.size("stabs") > 0, F.col("stabs")), between) if "stabs" in files.columns else between
-    joined = joined.withColumn("stabs", stabs_of)
-    ms = lambda n: n * 1000.0 / rate
+    if "stabs" not in files.columns:
+        files = files.withColumn("stabs", F.lit(None).cast("array<struct<start_sample:bigint,end_sample:bigint>>"))
+    heard = features(files.select(key, "sample_rate", "samples"), key).select(key, "onsets", "tempo", key_name(F.col("chroma")).alias("key_name"))
+    joined = files.join(heard, key)
+    joined = joined.drop("stabs", "onsets").join(marked_stabs(joined, key, reach_ms), key)
+    ms = lambda n: n * 1000.0 / F.col("sample_rate")
     gap = F.transform(F.sequence(F.lit(0), F.greatest(F.size("stabs") - 2, F.lit(0))), lambda i: ms(F.get("stabs", i + 1)["start_sample"] - F.get(F.col("stabs"), i)["end_sample"]))
     gaps_of = F.when(F.size("stabs") > 1, gap).otherwise(F.array().cast("array<double>"))
-    positive = lambda g: F.filter(g, lambda v: v > 0)
-    mean = lambda g: F.aggregate(g, F.lit(0.0), lambda s, v: s + v) / F.size(g)
-    reach = F.floor(rate * (reach_ms / 2000)).cast("int")
-    cut = lambda s: F.slice("samples", s["start_sample"].cast("int") + 1, F.greatest(s["end_sample"] - s["start_sample"], F.lit(0)).cast("int"))
-    each = F.flatten(F.transform("stabs", lambda s: stab_issues(s["start_sample"], s["end_sample"], signal.crosses_near(F.col("samples"), s["start_sample"].cast("int"), reach), signal.crosses_near(F.col("samples"), s["end_sample"].cast("int"), reach), signal.has_click(cut(s)))))
-    between_issues = F.filter(F.transform(gaps_of, lambda g: F.when(g <= 0, "no silence or overlap").when(g < least, "silence too short")), lambda i: i.isNotNull())
-    count = F.when(~count_is_ideal(F.size("stabs")), "number of stabs is no power of two")
-    whole = F.filter(F.array(count, F.when(signal.loudness(F.col("samples")) <= to_db(F.lit(0.0)), "silent")), lambda i: i.isNotNull())
+    positive = F.filter(gaps_of, lambda v: v > 0)
+    mean = F.aggregate(positive, F.lit(0.0), lambda s, v: s + v) / F.size(positive)
+    each = F.flatten(F.transform("stabs", lambda s: stab_issues(s["start_sample"], s["end_sample"], s["clean_start"], s["clean_end"], s["click"])))
+    between = F.filter(F.transform(gaps_of, lambda g: F.when(g <= 0, "no silence or overlap").when(g < least, "silence too short")), lambda i: i.isNotNull())
+    whole = F.filter(F.array(F.when(~count_is_ideal(F.size("stabs")), "number of stabs is no power of two")), lambda i: i.isNotNull())
     return joined.withColumns({
-        "average_silence_ms": F.when(F.size("stabs") > 1, F.coalesce(F.when(F.size(positive(gaps_of)) > 0, mean(positive(gaps_of))), F.lit(0.0))),
-        "issues": F.array_distinct(F.concat(whole, each, between_issues, metadata_issues(F.col("tempo"), F.col("key_name"), F.col("labels")))),
-    }).drop("onsets")
+        "average_silence_ms": F.when(F.size("stabs") > 1, F.when(F.size(positive) > 0, mean).otherwise(0.0)),
+        "issues": F.array_distinct(F.concat(whole, each, between, metadata_issues(F.col("tempo"), F.col("key_name"), F.col("labels")))),
+    })
 
 
 def perfected(files: DataFrame, key: str = "file_id", silence_ms: float = SILENCE_MS) -> DataFrame:
