@@ -25,13 +25,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, mix, powers, text_slices, word_bounds, word_hashes, written
@@ -187,22 +186,31 @@ def pieces(held: DataFrame, window: int) -> DataFrame:
 
 
 def compacted(arcs: DataFrame) -> DataFrame:
-    """(id, path): the path of each arc, by the id of its first. arcs: id, u, v.
+    """(id, path): the path of each arc, by the id of its first. arcs: id, u, v, and the source (k, c, pos) of each.
 
-    Two arcs are neighbours on a path if they meet at a node that no other arc enters or leaves. Each round
-    every open arc points on to where the arc it points to points, so rounds are the logarithm of the longest
-    path. Arcs on a circle, which has no first, point to some of its arcs.
+    Two arcs are neighbours on a path if they meet at a node that no other arc enters or leaves. Neighbours
+    that also follow each other at their sources are joined there first, to stretches. Then, each round, every
+    open stretch points on to where the one it points to points, so rounds are the logarithm of the most stretches of a
+    path. As long as a path has open stretches, each round closes some; what is open after a round that
+    closed none lies on circles, which have no first arc, and points to some arc there.
     """
     alone = lambda c, name: arcs.groupBy(c).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias(name)).where("n = 1").select(F.col(c).alias("node"), name)
     before = alone("u", "id").join(alone("v", "prev"), "node").where("id != prev").select("id", "prev")
-    state = checkpoint(arcs.join(before, "id", "left").select("id", F.coalesce("prev", "id").alias("path"), F.col("prev").isNull().alias("done")))
-    for _ in range(ceil(log2(max(state.count(), 2))) + 1):
+    source = Window.partitionBy("k", "c").orderBy("pos")
+    head = F.coalesce(F.col("prev") != F.lag("id").over(source), F.lit(True))
+    stretch = F.last(F.when(F.col("head"), F.col("id")), ignorenulls=True).over(source.rowsBetween(Window.unboundedPreceding, 0))
+    placed = checkpoint(arcs.join(before, "id", "left").withColumn("head", head).select("id", "prev", "head", stretch.alias("stretch")))
+    joined = placed.where("head").select(F.col("id").alias("own"), "prev").join(placed.select(F.col("id").alias("prev"), F.col("stretch").alias("to")), "prev", "left")
+    state = checkpoint(joined.select(F.col("own").alias("id"), F.coalesce("to", "own").alias("path"), F.col("to").isNull().alias("done")))
+    parts, open_ = state.rdd.getNumPartitions(), state.where("NOT done").count()
+    while open_:
         ahead = state.select(F.col("id").alias("path"), F.col("path").alias("further"))
         stepped = state.where("NOT done").join(ahead, "path").select("id", F.col("further").alias("path"), (F.col("path") == F.col("further")).alias("done"))
-        state = checkpoint(state.where("done").unionByName(stepped))
-        if state.where("NOT done").isEmpty():
+        state, last = checkpoint(state.where("done").unionByName(stepped).coalesce(parts)), open_
+        open_ = state.where("NOT done").count()
+        if open_ == last:
             break
-    return state.select("id", "path")
+    return placed.select("id", F.col("stretch").alias("own")).join(state.select(F.col("id").alias("own"), "path"), "own").select("id", "path")
 
 
 def mark(docs: DataFrame, window: int = 35, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
@@ -218,18 +226,18 @@ def mark(docs: DataFrame, window: int = 35, keep: tuple[str, ...] = ("doc_id",),
     held = looked_at(texts, asked, keep, with_text)
     found = pieces(held, window)
 
-    counted = found.groupBy("s", "t").agg(F.sum("w").alias("n"), F.min("u").alias("u"), F.min("v").alias("v"))
-    arcs = checkpoint(counted.where("n > 1").select(F.monotonically_increasing_id().alias("id"), "s", "t", "u", "v"))
-    paths = arcs.select("id", "s", "t").join(compacted(arcs.select("id", "u", "v")), "id").select("s", "t", "path")
-    placed = found.select("s", "t", "k", "c", "pos", "m").join(checkpoint(paths), ["s", "t"])
+    counted = found.groupBy("s", "t").agg(F.sum("w").alias("n"), F.min("u").alias("u"), F.min("v").alias("v"), F.min(F.struct("k", "c", "pos")).alias("source"))
+    arcs = checkpoint(counted.where("n > 1").select(F.monotonically_increasing_id().alias("id"), "s", "t", "u", "v", "source.*"))
+    paths = arcs.select("id", "s", "t").join(compacted(arcs.drop("s", "t")), "id").select("s", "t", "path")
+    placed = found.select("s", "t", "k", "c", "pos", "m").join(written(paths, "paths"), ["s", "t"])
     whole = placed.select("k", "c", F.struct(F.col("pos").cast("long").alias("first"), (F.col("pos") + F.col("m") + (window - 1)).cast("long").alias("last"), "path").alias("span"))
 
     edges = found.select("w", F.explode(F.arrays_zip("e", "f")).alias("x")).groupBy("x.e", "x.f").agg(F.sum("w").alias("n"))
-    edges = checkpoint(edges.where("n > 1").select("e", "f"))
+    edges = written(edges.where("n > 1").select("e", "f"), "edges")
     once = found.where("w = 1").join(arcs.select("s", "t"), ["s", "t"], "left_anti").select("k", "c", "pos", F.posexplode(F.arrays_zip("e", "f")).alias("i", "x"))
     once = once.select("k", "c", (F.col("pos") + F.col("i")).cast("long").alias("first"), "x.e", "x.f").join(edges, ["e", "f"])
     ends = once.select("k", "c", F.struct("first", (F.col("first") + window).alias("last"), F.lit(None).cast("long").alias("path")).alias("span"))
-    spans = checkpoint(whole.unionByName(ends).groupBy("k", "c").agg(F.collect_set("span").alias("spans")))
+    spans = written(whole.unionByName(ends).groupBy("k", "c").agg(F.collect_set("span").alias("spans")), "spans")
 
     opened = held.where("seeds IS NOT NULL").join(spans, ["k", "c"], "left").select(*keep, "n_words", "spans", "text")
     out = covered(opened, with_text)

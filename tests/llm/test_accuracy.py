@@ -15,9 +15,9 @@ from cratelog.llm import queries as llm
 D = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize(("name", "label", "recall", "false"), [("op1_quality", "quality", 0.97, 0.15), ("op8_toxicity", "toxic", 0.4, 0.03)])
-def test_held_out(spark, name, label, recall, false):
-    rows = llm.queries()[name](spark, D).where("held_out").join(spark.read.parquet(f"{D}/labels.parquet"), "doc_id").select("predicted", label).toPandas()
+@pytest.mark.parametrize(("name", "label", "folder", "recall", "false"), [("op1_quality", "quality", D, 0.97, 0.15), ("op8_toxicity", "toxic", "/root/testdata/sf0.1", 0.85, 0.01)])
+def test_held_out(spark, name, label, folder, recall, false):
+    rows = llm.queries()[name](spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").select("predicted", label).toPandas()
     assert rows.predicted[rows[label] == 1].mean() >= recall
     assert rows.predicted[rows[label] == 0].mean() <= false
 
