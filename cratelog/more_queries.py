@@ -416,3 +416,65 @@ def joined_stabs(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("file_id"), F.lit(8000).alias("sample_rate"), F.col("embedding").cast("array<double>").alias("samples"), stabs.alias("stabs"))
     out = vocal.repair(rows, silence_ms=0.375, reach_ms=0.0)
     return out.select(F.col("file_id").alias("vec_id"), F.size("samples").alias("n"), F.round(F.aggregate("samples", F.lit(0.0), lambda s, v: s + F.abs(v)), 5).alias("total"))
+
+
+# --- made-up audio: the SQL says what must be found in it ----------------------------------------
+
+
+def _loops(spark: SparkSession, d: str) -> DataFrame:
+    """A 16-beat loop at 8 kHz for each nation, at 80, 100, 120, 140 or 160 beats a minute."""
+    key, y = F.col("n_nationkey"), F.array().cast("array<double>")
+    for k, bpm in enumerate((80, 100, 120, 140, 160)):
+        y = F.when(key % 5 == k, wav.beat_loop(bpm, 16, 8000)).otherwise(y)
+    return table(spark, d, "nation").select(key.cast("bigint").alias("recording_id"), F.lit(8000).alias("sample_rate"), y.alias("samples"))
+
+
+_BPM = "(80 + 20 * (n_nationkey % 5))"
+
+
+@query("""SELECT n_nationkey, ['C', 'C#', 'D', 'D#', 'E', 'F', 'F#', 'G', 'G#', 'A', 'A#', 'B'][n_nationkey % 12 + 1] AS tonic FROM nation""")
+def tone_keys(spark: SparkSession, d: str) -> DataFrame:
+    hz = F.pow(F.lit(2.0), (F.col("n_nationkey") % 12 - 9) / 12.0) * 440.0
+    rows = table(spark, d, "nation").select("n_nationkey", F.lit(8000).alias("sample_rate"), wav.sine(1.0, hz, 8000).alias("samples"))
+    return audio.described(audio.features(rows, "n_nationkey")).select("n_nationkey", F.regexp_replace("key", "m$", "").alias("tonic"))
+
+
+@query(f"""SELECT CAST(n_nationkey AS BIGINT) AS recording_id, true AS tempo_found, true AS beats_found, CAST(16 * CAST(trunc(60.0 / {_BPM} * 8000) AS INTEGER) / 8000.0 AS DOUBLE) AS duration FROM nation""")
+def beat_tempo(spark: SparkSession, d: str) -> DataFrame:
+    want = (F.col("recording_id") % 5) * 20 + 80
+    near = lambda x: F.abs(F.col("bpm") / (want * x) - 1) < 0.05
+    gap = F.transform(F.sequence(F.lit(1), F.size("beats") - 1), lambda i: F.get("beats", i) - F.get(F.col("beats"), i - 1))
+    steady = F.forall(gap, lambda g: F.abs(g * F.col("bpm") / 60 - 1) < 0.2)
+    return audio.beat_times(_loops(spark, d)).select("recording_id", (near(1.0) | near(0.5) | near(2.0)).alias("tempo_found"), ((F.size("beats") >= 6) & steady).alias("beats_found"), "duration")
+
+
+@query(f"""SELECT CAST(n_nationkey AS BIGINT) AS recording_id, 8000 AS sample_rate, 16 * CAST(trunc(60.0 / {_BPM} * 8000) AS INTEGER) / 8000.0 AS duration, true AS hits_found, true AS loops_ordered, true AS loops_apart, true AS flag_follows FROM nation""")
+def loop_records(spark: SparkSession, d: str) -> DataFrame:
+    """The metadata record of each loop: onsets at nearly all hits, loops by rank, none overlapping another by more than half."""
+    buffers = _loops(spark, d)
+    timed = audio.beat_times(buffers)
+    found = loops.search(buffers, timed)
+    files = buffers.withColumns({"channels": F.lit(1), "bit_depth": F.lit(16)})
+    made = audio.record(files, audio.described(audio.features(buffers, "recording_id")), found)
+    c = F.coalesce("loop_candidates", F.array().cast(made.schema["loop_candidates"].dataType))
+    ordered = F.forall(F.transform(c, lambda x, i: (x["rank"] == i + 1) & (x["end_time"] > x["start_time"]) & (x["confidence"] >= 0.3)), lambda ok: ok)
+    apart = F.forall(c, lambda a: F.forall(c, lambda b: (a["rank"] >= b["rank"]) | (arithmetic.overlap_ratio(a["start_time"], a["end_time"], b["start_time"], b["end_time"]) <= 0.5)))
+    follows = F.col("is_loop") == F.coalesce(F.get(c, F.lit(0))["confidence"] > 0.7, F.lit(False))
+    return made.select("recording_id", "sample_rate", "duration", F.size("transient_positions").between(12, 20).alias("hits_found"), ordered.alias("loops_ordered"), apart.alias("loops_apart"), follows.alias("flag_follows"))
+
+
+@query("""SELECT CAST(n_nationkey AS BIGINT) AS file_id, 'chop' || n_nationkey || '_perfected' AS name, true AS said, 'T' || n_nationkey AS title, true AS has_sound, false AS labels_missing FROM nation""")
+def vocal_chops(spark: SparkSession, d: str) -> DataFrame:
+    files = _loops(spark, d).select(F.col("recording_id").alias("file_id"), F.concat(F.lit("/in/chop"), "recording_id", F.lit("_denoised.wav")).alias("name"), "sample_rate", "samples", F.array(F.lit("ah")).alias("labels"), F.create_map(F.lit("title"), F.concat(F.lit("T"), "recording_id")).alias("tags"))
+    made = chain.workflows().run("VocalChopPerfection", files).data
+    return made.select("file_id", "name", F.col("tags")["comment"].startswith("Stabs: ").alias("said"), F.col("tags")["title"].alias("title"), (F.size("samples") > 8000).alias("has_sound"), F.array_contains("issues", "cue labels missing").alias("labels_missing"))
+
+
+@query("""SELECT CAST(n_nationkey AS BIGINT) AS recording_id, true AS several, true AS in_order, true AS checked FROM nation""")
+def sample_packs(spark: SparkSession, d: str) -> DataFrame:
+    """The whole workflow from audio to checked slices: several a loop, all inside it, with types, tags and reports."""
+    buffers = _loops(spark, d)
+    recordings = buffers.select("recording_id", F.lit("take").alias("base"), "sample_rate", F.size("samples").cast("bigint").alias("n_samples"))
+    rows = chain.workflows(recordings, buffers).run("SamplePack", buffers, {"quality_control": {"least": 0.0}}).data
+    inside = (F.col("first_sample") >= 0) & (F.size("samples") == F.col("last_sample") - F.col("first_sample"))
+    return rows.groupBy("recording_id").agg((F.count(F.lit(1)) >= 8).alias("several"), F.bool_and(inside).alias("in_order"), F.bool_and((F.col("qc_status") == "passed") & F.col("score").between(0.0, 1.0)).alias("checked"))
