@@ -160,6 +160,17 @@ def _paired(keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
     return (keys.view(np.uint64) ^ mix(checks.view(np.uint32).astype(np.uint64))).view(np.int64)
 
 
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where new values begin in a sorted array."""
+    return np.flatnonzero(np.r_[True, x[1:] != x[:-1]][: len(x)])
+
+
+def _counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values, how often each occurs) of a sorted array."""
+    first = _starts(x)
+    return x[first], np.diff(np.r_[first, len(x)])
+
+
 class _Counter:
     """Keys with how often they occur in all and in learning texts, added up as they come."""
 
@@ -167,17 +178,25 @@ class _Counter:
         self.kind, self.held, self.size = kind, [], 0
 
     def add(self, keys: np.ndarray, checks: np.ndarray, learns: np.ndarray) -> None:
-        self.held.append(self._added(keys, checks, np.ones(len(keys)), learns))
-        self.size += len(self.held[-1][0])
+        """Grams are counted by sorting, those that teach apart from the others; words by their pairs."""
+        if self.kind == GRAM:
+            parts = [(_counted(np.sort(keys[on])), teach) for on, teach in ((learns, 1), (~learns, 0))]
+            new = [(k, np.zeros(len(k), np.int32), n, n * teach) for (k, n), teach in parts if len(k)]
+        else:
+            new = [self._added(keys, checks, np.ones(len(keys)), learns)]
+        self.held += new
+        self.size += sum(len(x[0]) for x in new)
         if self.size > 4_000_000:
             self.held = [self.merged()]
             self.size = len(self.held[0][0])
 
     def _added(self, keys: np.ndarray, checks: np.ndarray, m: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-        codes, distinct = pd.factorize(keys if self.kind == GRAM else _paired(keys, checks))
-        add = lambda w: np.bincount(codes, weights=w, minlength=len(distinct)).astype(np.int64)
         if self.kind == GRAM:
-            return distinct, np.zeros(len(distinct), np.int32), add(m), add(n)
+            order = np.argsort(keys)
+            first = _starts(keys[order])
+            return keys[order][first], checks[: len(first)], np.add.reduceat(m[order], first), np.add.reduceat(n[order], first)
+        codes, distinct = pd.factorize(_paired(keys, checks))
+        add = lambda w: np.bincount(codes, weights=w, minlength=len(distinct)).astype(np.int64)
         first = np.zeros(len(distinct), np.int64)
         first[codes[::-1]] = np.arange(len(keys))[::-1]
         return keys[first], checks[first], add(m), add(n)
@@ -245,7 +264,8 @@ def gram_answers(grams: DataFrame, order: int) -> DataFrame:
                 for length in range(order + 1, 2, -1):
                     short, at = np.unique(longest & (1 << _BITS * length) - 1, return_inverse=True)
                     counts[length] = short, np.bincount(at, weights=times, minlength=len(short)).astype(np.int64)
-                value = gram_scores(build(counts, order), key)
+                value = np.empty(len(key))
+                value[by] = gram_scores(build(counts, order), key[by])
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(value), pa.array(m)], names=["key", "value", "m"])
 
     pair = F.shiftright("key", _BITS).bitwiseAND(F.lit((1 << 2 * _BITS) - 1))
@@ -321,7 +341,8 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
             for first, end, data, offsets in text_slices(b.column(b.num_columns - 1)):
                 keys, begin = position_grams(data, offsets, order)
                 codes, distinct = pd.factorize(keys)
-                at = _find(grams, distinct)
+                at, by = np.empty(len(distinct), np.int64), np.argsort(distinct)  # sorted questions find their place faster
+                at[by] = _find(grams, distinct[by])
                 value = np.where(at >= 0, logs[at] if len(logs) else 0.0, 0.0)
                 total[first:end] = np.add.reduceat(value[codes], begin)
                 if (at < 0).any():
