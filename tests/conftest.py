@@ -2,6 +2,7 @@ import os
 import sys
 import tempfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -33,7 +34,7 @@ def plain(frame):
     frame = frame[sorted(frame.columns)]
 
     def cell(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return ""
         if isinstance(v, bool):
             return str(v)
