@@ -7,13 +7,44 @@ Derived from the public definitions of each feature; not bit-equal to any audio
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 
 
-def spectra(y: np.ndarray, n_fft: int = 2048, hop: int = 512, block: int = 2048) -> Iterator[np.ndarray]:
-    """Magnitudes [bins, frames] of centred Hann windows, a block of frames at a time."""
-    pad = np.pad(np.asarray(y, np.float32 if np.asarray(y).dtype == np.float32 else float), n_fft // 2)
+@dataclass(frozen=True)
+class OnsetParams:
+    """How onsets are told. The envelope: hop, n_fft, fmin, fmax, n_mels, aggregate (mean, median or max over bands).
+    Its peaks: see pick_peaks. backtrack: to the low point before, of the envelope or of ``energy`` ("rms"); snap: to a zero crossing."""
+
+    hop: int = 256
+    n_fft: int = 2048
+    fmin: float = 0.0
+    fmax: float | None = None
+    n_mels: int = 40
+    aggregate: str = "mean"
+    pre_max: int = 5
+    post_max: int = 5
+    pre_avg: int = 10
+    post_avg: int = 10
+    delta: float = 0.07
+    wait: int = 5
+    backtrack: bool = True
+    energy: str | None = None
+    snap: bool = True
+
+    def __post_init__(self) -> None:
+        if self.aggregate not in _AGGREGATES or self.energy not in (None, "rms"):
+            raise ValueError(f"unknown aggregate or energy: {self.aggregate}, {self.energy}")
+
+
+_AGGREGATES = {"mean": np.mean, "median": np.median, "max": np.max}
+
+
+def spectra(y: np.ndarray, n_fft: int = 2048, hop: int = 512, block: int = 2048, centred: bool = True) -> Iterator[np.ndarray]:
+    """Magnitudes [bins, frames] of Hann windows, a block of frames at a time; centred: with half a window of silence at both ends."""
+    y = np.asarray(y, np.float32 if np.asarray(y).dtype == np.float32 else float)
+    pad = np.pad(y, n_fft // 2) if centred else y
     frames = np.lib.stride_tricks.sliding_window_view(pad, n_fft)[::hop] if len(pad) >= n_fft else np.zeros((0, n_fft))
     window = np.hanning(n_fft + 1)[:-1]
     for k in range(0, len(frames), block):
@@ -28,9 +59,9 @@ def mean_spectrum(y: np.ndarray, n_fft: int = 2048, hop: int = 512) -> np.ndarra
     return total / max(n, 1)
 
 
-def mel_filters(rate: int, n_fft: int, bands: int = 40) -> np.ndarray:
+def mel_filters(rate: int, n_fft: int, bands: int = 40, fmin: float = 0.0, fmax: float | None = None) -> np.ndarray:
     to_mel, to_hz = lambda f: 2595 * np.log10(1 + f / 700), lambda m: 700 * (10 ** (m / 2595) - 1)
-    edges = to_hz(np.linspace(0, to_mel(rate / 2), bands + 2))
+    edges = to_hz(np.linspace(to_mel(fmin), to_mel(min(fmax or rate / 2, rate / 2)), bands + 2))
     f = np.fft.rfftfreq(n_fft, 1 / rate)
     up = (f - edges[:-2, None]) / np.diff(edges)[:-1, None]
     down = (edges[2:, None] - f) / np.diff(edges)[1:, None]
@@ -59,31 +90,60 @@ def chroma(y: np.ndarray, rate: int, n_fft: int = 4096) -> np.ndarray:
     return out
 
 
-def onset_envelope(y: np.ndarray, rate: int, hop: int = 256, n_fft: int = 2048) -> np.ndarray:
-    """Positive change of the log mel spectrum from frame to frame, at most 1."""
-    logs = np.log1p(100 * mel_spectrum(y, rate, n_fft, hop))
-    flux = np.maximum(np.diff(logs, axis=1, prepend=logs[:, :1]), 0).mean(axis=0)
-    return flux / flux.max() if flux.size and flux.max() > 0 else flux
+def flux(y: np.ndarray, rate: int, p: OnsetParams = OnsetParams(), centred: bool = True) -> np.ndarray:
+    """Positive change of the log mel spectrum from frame to frame; 0 for the first."""
+    bank = mel_filters(rate, p.n_fft, p.n_mels, p.fmin, p.fmax)
+    logs = np.log1p(100 * np.concatenate([np.zeros((p.n_mels, 0)), *(bank @ s**2 for s in spectra(y, p.n_fft, p.hop, centred=centred))], axis=1))
+    return _AGGREGATES[p.aggregate](np.maximum(np.diff(logs, axis=1, prepend=logs[:, :1]), 0), axis=0)
 
 
-def pick_peaks(x: np.ndarray, pre_max: int = 5, post_max: int = 5, pre_avg: int = 10, post_avg: int = 10, delta: float = 0.07, wait: int = 5) -> np.ndarray:
-    """Frames that are the maximum around them, exceed the mean around them by delta, and keep their distance."""
+def onset_envelope(y: np.ndarray, rate: int, p: OnsetParams = OnsetParams()) -> np.ndarray:
+    """The flux, at most 1."""
+    x = flux(y, rate, p)
+    return x / x.max() if x.size and x.max() > 0 else x
+
+
+def frame_levels(y: np.ndarray, p: OnsetParams = OnsetParams(), centred: bool = True) -> np.ndarray:
+    """The root mean square of each frame's window."""
+    pad = np.pad(np.asarray(y, float), p.n_fft // 2) if centred else np.asarray(y, float)
+    frames = np.lib.stride_tricks.sliding_window_view(pad, p.n_fft)[:: p.hop] if len(pad) >= p.n_fft else np.zeros((0, p.n_fft))
+    return np.sqrt(np.concatenate([np.zeros(0), *((frames[k : k + 2048] ** 2).mean(axis=1) for k in range(0, len(frames), 2048))]))
+
+
+def peak_candidates(x: np.ndarray, p: OnsetParams = OnsetParams()) -> np.ndarray:
+    """Frames that are the maximum around them and exceed the mean around them by delta."""
     if not len(x):
         return np.zeros(0, int)
-    near = np.lib.stride_tricks.sliding_window_view(np.pad(x, (pre_max, post_max), constant_values=-np.inf), pre_max + post_max + 1).max(axis=1)
-    sums, at = np.r_[0.0, np.cumsum(x)], np.arange(len(x))
-    first, last = np.maximum(at - pre_avg, 0), np.minimum(at + post_avg + 1, len(x))
+    near = np.lib.stride_tricks.sliding_window_view(np.pad(x, (p.pre_max, p.post_max), constant_values=-np.inf), p.pre_max + p.post_max + 1).max(axis=1)
+    width = p.pre_avg + p.post_avg + 1
+    total = np.lib.stride_tricks.sliding_window_view(np.pad(x, (p.pre_avg, p.post_avg)), width).sum(axis=1)
+    at = np.arange(len(x))
+    held = np.minimum(at + p.post_avg + 1, len(x)) - np.maximum(at - p.pre_avg, 0)
+    return np.flatnonzero((x == near) & (x >= total / held + p.delta))
+
+
+def kept_apart(frames: np.ndarray, wait: int) -> np.ndarray:
+    """Ascending frames without those that come within ``wait`` of the last one kept."""
     out = [-wait - 1]
-    for i in np.flatnonzero((x == near) & (x >= (sums[last] - sums[first]) / (last - first) + delta)).tolist():
+    for i in np.asarray(frames).tolist():
         if i - out[-1] > wait:
             out.append(i)
     return np.array(out[1:], int)
 
 
+def pick_peaks(x: np.ndarray, p: OnsetParams = OnsetParams()) -> np.ndarray:
+    """Candidates that keep their distance."""
+    return kept_apart(peak_candidates(x, p), p.wait)
+
+
+def low_points(x: np.ndarray) -> np.ndarray:
+    """Local minima; of a level stretch the last frame."""
+    return np.flatnonzero((x[1:-1] <= x[:-2]) & (x[1:-1] < x[2:])) + 1 if len(x) > 2 else np.zeros(0, int)
+
+
 def backtrack(peaks: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Each peak moved to the local minimum before it."""
-    lows = np.flatnonzero((x[1:-1] <= x[:-2]) & (x[1:-1] < x[2:])) + 1 if len(x) > 2 else np.zeros(0, int)
-    lows = np.r_[0, lows]
+    lows = np.r_[0, low_points(x)]
     return lows[np.searchsorted(lows, peaks, "right") - 1] if len(peaks) else peaks
 
 
@@ -100,16 +160,19 @@ def snap_to_crossing(y: np.ndarray, at: int, reach: int = 1024) -> int:
     return first + (k if abs(part[k]) < abs(part[k + 1]) else k + 1)
 
 
-def onsets(y: np.ndarray, rate: int, hop: int = 256, envelope: np.ndarray | None = None, **peaks) -> np.ndarray:
-    """Onset times in seconds, moved back to where the sound begins and to a zero crossing. peaks: see pick_peaks."""
-    x = onset_envelope(y, rate, hop) if envelope is None else envelope
-    at = backtrack(pick_peaks(x, **peaks), x) * hop
-    return np.unique([snap_to_crossing(y, int(a)) for a in at if a < len(y)]) / rate
+def onsets(y: np.ndarray, rate: int, p: OnsetParams = OnsetParams(), envelope: np.ndarray | None = None) -> np.ndarray:
+    """Onset times in seconds, moved back to where the sound begins and to a zero crossing."""
+    x = onset_envelope(y, rate, p) if envelope is None else envelope
+    at = pick_peaks(x, p)
+    if p.backtrack:
+        at = backtrack(at, frame_levels(y, p) if p.energy == "rms" else x)
+    at = [int(a) for a in at * p.hop if a < len(y)]
+    return np.unique([snap_to_crossing(y, a) for a in at] if p.snap else at) / rate
 
 
 def tempo(y: np.ndarray, rate: int, hop: int = 256, envelope: np.ndarray | None = None) -> float:
     """Beats a minute by the envelope's autocorrelation, weighted towards 120; 0 if there is none."""
-    x = onset_envelope(y, rate, hop) if envelope is None else envelope
+    x = onset_envelope(y, rate, OnsetParams(hop=hop)) if envelope is None else envelope
     x = x - x.mean() if x.size else x
     power = np.fft.irfft(np.abs(np.fft.rfft(x, 2 * len(x))) ** 2)[: len(x)] if x.size > 1 else np.zeros(1)
     lags = np.arange(1, len(power))
@@ -144,9 +207,9 @@ def octave(bpm: float) -> float:
     return bpm * 2 if bpm < 40 else bpm / 2 if bpm > 200 else bpm
 
 
-def beats(y: np.ndarray, rate: int, bpm: float, hop: int = 256, tightness: float = 100.0) -> np.ndarray:
+def beats(y: np.ndarray, rate: int, bpm: float, hop: int = 256, tightness: float = 100.0, envelope: np.ndarray | None = None) -> np.ndarray:
     """Beat times: the chain of frames about a beat apart that gathers the most onset strength (Ellis, 2007)."""
-    x = onset_envelope(y, rate, hop)
+    x = onset_envelope(y, rate, OnsetParams(hop=hop)) if envelope is None else envelope
     period = 60 * rate / hop / bpm if bpm > 0 else 0.0
     if period < 2 or not x.any():
         return np.zeros(0)
@@ -168,23 +231,29 @@ def beats(y: np.ndarray, rate: int, bpm: float, hop: int = 256, tightness: float
     return np.array(chain[::-1]) * hop / rate
 
 
-def resample(y: np.ndarray, rate: int, wanted: int, reach: int = 16, block: int = 1 << 16) -> np.ndarray:
-    """y at another sample rate, by a windowed sinc that keeps what both rates can hold."""
-    if rate == wanted or not len(y):
-        return np.asarray(y, float)
-    scale = min(1.0, wanted / rate)
-    half = int(np.ceil(reach / scale))
-    pad, n, out = np.pad(np.asarray(y, float), half + 1), int(len(y) * wanted // rate), []
-    steps = np.arange(-half, half + 1)
-    for first in range(0, n, block):
-        at = np.arange(first, min(n, first + block)) * rate / wanted
+def resample_reach(rate: int, wanted: int, reach: int = 16) -> int:
+    """How many samples to either side ``resample`` looks at."""
+    return int(np.ceil(reach / min(1.0, wanted / rate)))
+
+
+def resample_at(y: np.ndarray, rate: int, wanted: int, first: int, last: int, origin: int = 0, block: int = 1 << 16) -> np.ndarray:
+    """Samples first to last at another rate, of a signal of which y is the part from frame ``origin`` on; silence beyond it."""
+    scale, half, out = min(1.0, wanted / rate), resample_reach(rate, wanted), [np.zeros(0)]
+    pad, steps = np.pad(np.asarray(y, float), half + 1), np.arange(-half, half + 1)
+    for k in range(first, last, block):
+        at = np.arange(k, min(last, k + block)) * rate / wanted
         whole = np.floor(at).astype(np.int64)
         off = at[:, None] - (whole[:, None] + steps)
         weights = scale * np.sinc(scale * off) * np.where(np.abs(off) <= half, 0.5 + 0.5 * np.cos(np.pi * off / half), 0)
-        out.append((pad[whole[:, None] + steps + half + 1] * weights).sum(axis=1))
+        out.append((pad[whole[:, None] - origin + steps + half + 1] * weights).sum(axis=1))
     return np.concatenate(out)
 
 
+def resample(y: np.ndarray, rate: int, wanted: int) -> np.ndarray:
+    """y at another sample rate, by a windowed sinc that keeps what both rates can hold."""
+    return np.asarray(y, float) if rate == wanted or not len(y) else resample_at(y, rate, wanted, 0, len(y) * wanted // rate)
+
+
 def crossing_near(y: np.ndarray, at: int, reach: int) -> int:
     """The first sample after the nearest change of sign within reach (the earlier if equal); else ``at`` itself."""
     first, last = max(0, at - reach), min(len(y), at + reach)

@@ -22,8 +22,8 @@ def sample_arrays(column: pa.Array) -> list[np.ndarray]:
     return [values[a:e] if ok else values[:0] for a, e, ok in zip(offsets[:-1], offsets[1:], column.is_valid().to_pylist(), strict=True)]
 
 
-def features(buffers: DataFrame, key: str = "id", **peaks) -> DataFrame:
-    """(key and features) of rows of key, sample_rate and samples. One map-only stage. peaks: how onsets are picked, see dsp.pick_peaks."""
+def features(buffers: DataFrame, key: str = "id", p: dsp.OnsetParams = dsp.OnsetParams()) -> DataFrame:
+    """(key and features) of rows of key, sample_rate and samples. One map-only stage over whole recordings; see chunks for long ones."""
     kind = buffers.schema[key].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -31,7 +31,7 @@ def features(buffers: DataFrame, key: str = "id", **peaks) -> DataFrame:
             out: list[list] = [[] for _ in range(7)]
             for rate, y in zip(b.column(1).to_pylist(), sample_arrays(b.column(2)), strict=True):
                 x = dsp.onset_envelope(y, rate)
-                row = (*dsp.shape(y, rate), dsp.tempo(y, rate, envelope=x), dsp.chroma(y, rate), dsp.onsets(y, rate, envelope=x, **peaks), dsp.mean_spectrum(y), dsp.spectral_change(y, rate))
+                row = (*dsp.shape(y, rate), dsp.tempo(y, rate, envelope=x), dsp.chroma(y, rate), dsp.onsets(y, rate, p, envelope=x if p == dsp.OnsetParams() else None), dsp.mean_spectrum(y), dsp.spectral_change(y, rate))
                 for o, v in zip(out, row, strict=True):
                     o.append(v)
             kinds = [pa.float64(), pa.float64(), pa.float64(), *[pa.list_(pa.float64())] * 3, pa.float64()]
@@ -68,8 +68,9 @@ def beat_times(buffers: DataFrame, key: str = "recording_id") -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, (rate, y) in enumerate(zip(b.column(1).to_pylist(), sample_arrays(b.column(2)), strict=True)):
-                bpm = dsp.octave(dsp.tempo(y, rate)) if rate else 120.0
-                found = dsp.beats(y, rate, bpm) if rate else np.zeros(0)
+                x = dsp.onset_envelope(y, rate) if rate else np.zeros(0)
+                bpm = dsp.octave(dsp.tempo(y, rate, envelope=x)) if rate else 120.0
+                found = dsp.beats(y, rate, bpm, envelope=x) if rate else np.zeros(0)
                 row = [pa.array([rate], pa.int32()), pa.array([len(y) / rate if rate else 0.0]), pa.array([bpm]), pa.array([found], pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), *row], names=[b.schema.names[0], "sample_rate", "duration", "bpm", "beats"])
 

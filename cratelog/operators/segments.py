@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import signal, tags
 from ..functions.text import slice_name
-from . import audio
+from . import audio, chunks
 
 
 def numeric_onsets(onsets: DataFrame, column: str = "t") -> DataFrame:
@@ -90,16 +90,16 @@ def described(rows: DataFrame, **lengths) -> DataFrame:
 
 
 def heard_segments(rows: DataFrame, buffers: DataFrame, key: str = "recording_id") -> DataFrame:
-    """rows (key, start_time, end_time) with centroid, flatness, rms and peak of what they cut out of buffers (key, sample_rate, samples).
+    """rows (key, start_time, end_time) with centroid, flatness, rms and peak of what they cut out of buffers (key, sample_rate, samples, and first_frame if in chunks).
 
-    A recording's segments are gathered beside its samples and cut there; empty segments have nulls.
+    Empty segments have nulls.
     """
-    packed = rows.groupBy(key).agg(F.collect_list(F.struct("start_time", "end_time")).alias("cuts"))
-    at = lambda t, rate: F.greatest(F.lit(0), (t * rate).cast("int"))
-    part = lambda z: F.slice("samples", at(z["start_time"], F.col("sample_rate")) + 1, F.greatest(at(z["end_time"], F.col("sample_rate")) - at(z["start_time"], F.col("sample_rate")), F.lit(0)))
-    each = buffers.select(key, "sample_rate", "samples").join(packed, key).select(key, "sample_rate", F.explode(F.transform(F.array_distinct("cuts"), lambda z: F.struct(z["start_time"].alias("start_time"), z["end_time"].alias("end_time"), part(z).alias("samples")))).alias("z"))
-    cut = each.select(key, "z.start_time", "z.end_time", "sample_rate", "z.samples").where(F.size("samples") > 0)
-    return rows.join(audio.segment_features(cut, key, "start_time", "end_time"), [key, "start_time", "end_time"], "left")
+    parts = chunks.as_chunks(buffers)
+    rates = parts.groupBy(key).agg(F.max("sample_rate").alias("rate_"))
+    at = lambda t: F.greatest(F.lit(0).cast("bigint"), (F.col(t) * F.col("rate_")).cast("bigint"))
+    spans = rows.select(key, "start_time", "end_time").distinct().join(rates, key).select(key, "start_time", "end_time", at("start_time").alias("first_sample"), at("end_time").alias("last_sample"))
+    heard = chunks.cut(spans, parts, key)
+    return rows.join(audio.segment_features(heard, key, "start_time", "end_time"), [key, "start_time", "end_time"], "left")
 
 
 def point_bounds(json: Column) -> Column:
@@ -162,13 +162,7 @@ def propose_cuts(stats: DataFrame) -> DataFrame:
 
 
 def measured(made: DataFrame, buffers: DataFrame, key: str = "recording_id", least: int = 1024) -> DataFrame:
-    """Slices with their samples, score and quality report, cut from buffers (key, sample_rate, samples); the name is the file's.
-
-    A recording's slices are gathered beside its samples and cut there, so the samples move once.
-    """
-    packed = made.groupBy(key).agg(F.collect_list(F.struct(*[c for c in made.columns if c != key])).alias("cuts"))
-    part = lambda z: F.slice("samples", (z["first_sample"] + 1).cast("int"), (z["last_sample"] - z["first_sample"]).cast("int"))
-    cuts = buffers.select(key, "sample_rate", "samples").join(packed, key).select(key, "sample_rate", F.transform("cuts", lambda z: F.struct(z.alias("cut"), part(z).alias("samples"))).alias("cuts"))
-    cut = cuts.select(key, "sample_rate", F.explode("cuts").alias("c")).select(key, "c.cut.*", "sample_rate", "c.samples")
+    """Slices with their samples, score and quality report, cut from buffers (key, sample_rate, samples, and first_frame if in chunks); the name is the file's."""
+    cut = chunks.cut(made, chunks.as_chunks(buffers), key).select(key, *[c for c in made.columns if c != key], "sample_rate", "samples")
     out = cut.withColumn("quality_report", signal.quality_report(F.col("samples"), least=least))
     return out.withColumns({"score": F.col("quality_report.score"), "file_path": F.concat("name", F.lit(".wav"))})

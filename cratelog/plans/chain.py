@@ -9,20 +9,21 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import signal
+from ..functions import dsp, signal
 from ..functions.text import WORD_STARTS, clip_text
-from ..operators import audio, exports, loops, segments, vocal
+from ..operators import audio, chunks, exports, loops, segments, vocal
 
 #: Kinds of tables that stages pass on.
 FILE, AUDIO, ONSETS, SEGMENTS, SLICES, SAMPLES, LOOPS = "file_path", "audio", "onset_times", "segments", "slice_points", "list_of_sample_data", "loop_candidates"
 PRESETS, CHOPS = "preset_files", "vocal_chops"
-#: How onsets are picked, in frames of the onset envelope.
-PEAKS = {"pre_max": 5, "post_max": 5, "pre_avg": 10, "post_avg": 10, "delta": 0.07, "wait": 5}
+#: How onsets are told; peaks are picked in frames of the envelope.
+ONSET_PARAMS = {"sr": 44_100, "hop_length": 256, "n_fft": 2048, "snap_to_zero_crossing": True}
+DETECTION = {"units": "samples", "backtrack": True, "energy": None, "fmin": 20.0, "fmax": 20_000.0, "aggregate": "mean", "delta": 0.07, "wait": 5, "pre_max": 5, "post_max": 5, "pre_avg": 10, "post_avg": 10}
 
 
 @dataclass(frozen=True)
 class Stage:
-    """A transform of one kind of table into another. defaults: its parameters; a call's are merged into them, key by key."""
+    """A transform of one kind of table into another. defaults: its parameters; a call's replace them, but those in ``nested`` are merged key by key."""
 
     name: str
     takes: str
@@ -30,6 +31,7 @@ class Stage:
     run: Callable[..., DataFrame]
     defaults: Mapping[str, object] = field(default_factory=dict)
     description: str = ""
+    nested: tuple[str, ...] = ("detection_params",)
 
 
 @dataclass(frozen=True)
@@ -60,7 +62,7 @@ class Registry:
             stage = self.stages[step["stage_name"]]
             if stage.takes != kind:
                 raise TypeError(f"{stage.name} takes {stage.takes}, not {kind}")
-            out.append((stage, merged(stage.defaults, step.get("params") or {})))
+            out.append((stage, merged(stage.defaults, step.get("params") or {}, stage.nested)))
             kind = stage.gives
         return out
 
@@ -90,10 +92,20 @@ def snake(name: str) -> str:
     return re.sub("_+", "_", re.sub(WORD_STARTS, "_", name)).lower()
 
 
-def merged(base: Mapping, over: Mapping) -> dict:
-    """base with the values of over; where both have a mapping, that is merged in turn."""
-    both = lambda k: merged(base[k], over[k]) if isinstance(base.get(k), Mapping) and isinstance(over[k], Mapping) else over[k]
-    return {**base, **{k: both(k) for k in over}}
+def merged(base: Mapping, over: Mapping, nested: Sequence[str] = ()) -> dict:
+    """base with the values of over; the mappings named in ``nested`` get over's keys instead of being replaced."""
+    both = {k: {**base[k], **over[k]} for k in nested if isinstance(base.get(k), Mapping) and isinstance(over.get(k), Mapping)}
+    return {**base, **over, **both}
+
+
+def _onsets(rows: DataFrame, sr: int | None, hop_length: int, n_fft: int, snap_to_zero_crossing: bool, detection_params: Mapping) -> DataFrame:
+    """(recording_id, t) of audio, whole or in chunks, at the sample rate ``sr`` (None: as it is). units says how positions are counted inside: samples or frames."""
+    told = dict(detection_params)
+    if told.pop("units", "samples") not in ("samples", "frames", None):
+        raise ValueError("units must be samples or frames")
+    p = dsp.OnsetParams(hop=hop_length, n_fft=n_fft, snap=snap_to_zero_crossing, **told)
+    parts = chunks.as_chunks(rows).select("recording_id", "first_frame", "sample_rate", "samples")
+    return chunks.onsets(parts if sr is None else chunks.resampled(parts, sr, "recording_id"), "recording_id", p=p)
 
 
 def _classify(rows: DataFrame, buffers: DataFrame | None, enable_spectral_analysis: bool = True, **p) -> DataFrame:
@@ -133,7 +145,7 @@ def segmentation(recordings: DataFrame | None = None, buffers: DataFrame | None
     """
     made = Registry(
         Stage("noise_reduction", AUDIO, AUDIO, lambda df, **p: audio.gated(df, **p), {"amount": 1.0, "threshold_db": -60.0, "auto_threshold": True}),
-        Stage("onset_detection", AUDIO, ONSETS, lambda df, **p: audio.onset_rows(audio.features(df, "recording_id", **p["detection_params"]), "recording_id"), {"detection_params": PEAKS}),
+        Stage("onset_detection", AUDIO, ONSETS, _onsets, {**ONSET_PARAMS, "detection_params": DETECTION}),
         Stage("loop_detection", AUDIO, LOOPS, lambda df, **p: loops.search(df, **p), {"n": 5, "least": 0.3, "overlap": 0.5}),
         Stage("slice_planning", ONSETS, SEGMENTS, lambda df, project_type: segments.plan(segments.numeric_onsets(df), project_type), {"project_type": "sample_pack"}),
         Stage("segment_classification", SEGMENTS, SEGMENTS, lambda df, **p: _classify(df, buffers, **p), {"enable_spectral_analysis": True}),
