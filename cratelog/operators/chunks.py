@@ -21,7 +21,7 @@ from .audio import sample_arrays
 
 #: Frames of a tile; a multiple of all hops.
 TILE = 1 << 18
-_KINDS = {"double": pa.float64(), "bigint": pa.int64(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64()), "array<float>": pa.list_(pa.float32()), "array<bigint>": pa.list_(pa.int64())}
+_KINDS = {"binary": pa.binary(), "double": pa.float64(), "bigint": pa.int64(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64()), "array<float>": pa.list_(pa.float32()), "array<bigint>": pa.list_(pa.int64())}
 
 
 def mapped(rows: DataFrame, made: dict[str, str], f: Callable[..., tuple], *inputs: str, drop: tuple[str, ...] = ()) -> DataFrame:

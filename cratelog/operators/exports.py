@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import io
+import os
+import struct
 import uuid
-import zipfile
+import zlib
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -14,8 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tags
-from ..functions.text import base_name, sanitize, session_name, title
+from ..functions.text import base_name, infer_role, role_priority, sanitize, session_name, title
 from ..schema import check_enum, with_defaults
+from ..sources import files as sinks
+from ..sources import wav
+from . import chunks, spectral
 
 
 def kit_paths(rules: DataFrame, matches: DataFrame, assets: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -72,89 +75,128 @@ def preset_files(rows: DataFrame, key: str = "project_id") -> DataFrame:
     return packed.mapInArrow(run, f"{key} {kind}, xml string")
 
 
-class _Parts(io.RawIOBase):
-    """A file that is only written to, taken away part by part."""
+def equalized_kit(files: DataFrame, rate: int = 44_100) -> DataFrame:
+    """files (project_id, path, content) whose stems mask each other corrected: WAV files that share a folder Song/Section, as mono 16-bit audio.
 
-    def __init__(self) -> None:
-        self.held = bytearray()
+    A stem for which spectral.eq_plan has no filter, one that can't be read, one alone in its section, and
+    what lies under Unassigned stay as they are. Spectra and filters run over chunks.
+    """
+    key, folder = F.concat(F.col("project_id").cast("string"), F.lit("/"), F.col("path")), F.regexp_extract("path", r"^(?!Unassigned/)([^/]+/[^/]+)/[^/]+\.wav$", 1)
+    some = files.where(F.col("content").isNotNull() & (folder != "")).select(key.alias("stem"), F.concat(F.col("project_id").cast("string"), F.lit("/"), folder).alias("section"), base_name(F.col("path")).alias("name"), F.col("content").cast("binary").alias("content"))
+    sure = wav.headers(some.select(F.col("stem").alias("path"), "content")).where("error IS NULL AND frames > 0").select(F.col("path").alias("stem"))
+    stems = some.join(sure, "stem", "left_semi")
+    several = stems.groupBy("section").count().where("count > 1").select("section")
+    stems = stems.join(several, "section", "left_semi")
+    audio = chunks.resampled(wav.chunks(stems.select(F.col("stem").alias("path"), "content")).withColumnRenamed("path", "stem").select("stem", "first_frame", "sample_rate", "samples"), rate, "stem")
+    role = infer_role(F.col("name"))
+    known = stems.select("section", "stem", role.alias("role"), role_priority(role).alias("priority")).join(chunks.spectral_features(audio, "stem").select("stem", "spectrum"), "stem")
+    plan = spectral.eq_plan(known, spectral.masking_pairs(known), rate / 2048).select("stem", "filter", "hz", "gain_db")
+    made = wav.joined(chunks.equalized(audio.join(plan, "stem", "left_semi"), plan, "stem"), "stem", 16)
+    named = files.withColumn("stem", key).join(made, "stem", "left")
+    return named.select(*[F.coalesce("wav", F.col("content").cast("binary")).alias(c) if c == "content" else F.col(c) for c in files.columns])
 
-    def writable(self) -> bool:
-        return True
 
-    def write(self, data) -> int:
-        self.held += data
-        return len(data)
+#: A zip file's own numbers: versions, the method deflate, the flag for UTF-8 names, the first day of 1980.
+_NEEDS, _DEFLATE, _UTF8, _DAY = 20, 8, 0x800, 33
+_WIDE = 0xFFFFFFFF
 
-    def take(self) -> bytes:
-        out = bytes(self.held)
-        self.held.clear()
-        return out
 
+def _deflated(path: str, body: bytes) -> tuple[bytes, int, int]:
+    """A member with its header in front, its checksum and its deflated size."""
+    squeeze = zlib.compressobj(wbits=-15)
+    packed, check, name = squeeze.compress(body) + squeeze.flush(), zlib.crc32(body), path.encode()
+    return struct.pack("<IHHHHHIIIHH", 0x04034B50, _NEEDS, _UTF8, _DEFLATE, 0, _DAY, check, len(packed), len(body), len(name), 0) + name + packed, check, len(packed)
 
-def kit_parts(files: DataFrame, key: str = "project_id", part_bytes: int = 8 << 20) -> DataFrame:
-    """(key, part, body): each project's kit as a deflated zip, in parts to be joined by number.
 
-    files: key, path, content (null is left out). A zip is one stream, so a project is written by
-    one task, but no more than a file and a part are held at a time.
-    """
-    kind = files.schema[key].dataType.simpleString()
-    stamp = (1980, 1, 1, 0, 0, 0)
+def _listed(path: str, check: int, packed: int, size: int, at: int) -> bytes:
+    """A member's entry in the directory."""
+    name, extra = path.encode(), struct.pack("<HHQ", 1, 8, at) if at >= _WIDE else b""
+    return struct.pack("<IHHHHHHIIIHHHHHII", 0x02014B50, 45, 45 if extra else _NEEDS, _UTF8, _DEFLATE, 0, _DAY, check, packed, size, len(name), len(extra), 0, 0, 0, 0, min(at, _WIDE)) + name + extra
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = archive = sink = None
-        part = 0
 
-        def cut() -> Iterator[pa.RecordBatch]:
-            nonlocal part
-            yield pa.RecordBatch.from_arrays([own, pa.array([part], pa.int32()), pa.array([sink.take()], pa.binary())], names=[key, "part", "body"])
-            part += 1
+def _closing(count: int, size: int, at: int) -> bytes:
+    """What ends the file: how many members there are, and where the directory begins."""
+    wide = b""
+    if count >= 0xFFFF or at >= _WIDE or size >= _WIDE:
+        wide = struct.pack("<IQHHIIQQQQ", 0x06064B50, 44, 45, 45, 0, 0, count, count, size, at) + struct.pack("<IIQI", 0x07064B50, 0, at + size, 1)
+    return wide + struct.pack("<IHHHHIIH", 0x06054B50, 0, 0, min(count, 0xFFFF), min(count, 0xFFFF), min(size, _WIDE), min(at, _WIDE), 0)
+
 
+def zip_members(files: DataFrame, key: str = "project_id") -> DataFrame:
+    """(key, path, body, check, packed, size): each file (key, path, content; null is left out) deflated where it lies, with its header. Map-only."""
+    rows = files.where(F.col("content").isNotNull() & F.col("path").isNotNull() & F.col(key).isNotNull()).select(key, "path", F.col("content").cast("binary").alias("content"))
+    schema = f"{key} {files.schema[key].dataType.simpleString()}, path string, body binary, check long, packed long, size long"
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                at = b.column(0).slice(i, 1)
-                if own is None or at[0] != own[0]:
-                    if archive is not None:
-                        archive.close()
-                        yield from cut()
-                    own, sink, part = at, _Parts(), 0
-                    archive = zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED)
-                archive.writestr(zipfile.ZipInfo(b.column(1)[i].as_py(), stamp), b.column(2)[i].as_py(), zipfile.ZIP_DEFLATED)
-                if len(sink.held) >= part_bytes:
-                    yield from cut()
-        if archive is not None:
-            archive.close()
-            yield from cut()
-
-    rows = files.where("content IS NOT NULL AND path IS NOT NULL").select(key, "path", F.col("content").cast("binary").alias("content"))
-    return rows.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, "path").mapInArrow(run, f"{key} {kind}, part int, body binary")
-
-
-def save_kits(parts: DataFrame, folder: str, key: str = "project_id") -> list[str]:
-    """Write kits as zip files, by key, to a folder that all executors share; each task writes its own. The files written.
-
-    A file is put together under another name and then renamed, so a repeated task leaves the same files.
+                path, content = b.column(1)[i].as_py(), b.column(2)[i].as_py()
+                body, check, packed = _deflated(path, content)
+                numbers = [pa.array([x], pa.int64()) for x in (check, packed, len(content))]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([body], pa.binary()), *numbers], names=[key, "path", "body", "check", "packed", "size"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def zip_parts(members: DataFrame, key: str = "project_id") -> DataFrame:
+    """(key, at, body): the parts of each key's zip file and where each belongs, the directory behind the members, in the order of paths.
+
+    The members are read twice, so give a written table. Only their paths and sizes meet by key; places are running sums.
     """
-    kind = parts.schema[key].dataType.simpleString()
+    w, own = Window.partitionBy(key).orderBy("path"), Window.partitionBy(key)
+    length, entry = F.octet_length("body").cast("bigint"), (F.lit(46) + F.octet_length("path")).cast("bigint")
+    before = lambda c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = members.select(key, "path", "check", "packed", "size", length.alias("length"))
+    placed = sizes.withColumns({"at": before("length"), "end": F.sum("length").over(own)})
+    placed = placed.withColumn("entry", entry + F.when(F.col("at") >= _WIDE, 12).otherwise(0))
+    placed = placed.withColumn("listed_at", F.col("end") + before("entry"))
+    bodies = members.select(key, "path", "body").join(placed.select(key, "path", "at"), [key, "path"]).select(key, "at", "body")
+    listed = chunks.mapped(placed, {"body": "binary"}, lambda *x: (_listed(*x),), "path", "check", "packed", "size", "at").select(key, F.col("listed_at").alias("at"), "body")
+    whole = placed.groupBy(key).agg(F.count(F.lit(1)).alias("count"), F.sum("entry").alias("size"), F.max("end").alias("end"))
+    ends = chunks.mapped(whole, {"body": "binary"}, lambda *x: (_closing(*x),), "count", "size", "end").select(key, (F.col("end") + F.col("size")).alias("at"), "body")
+    return bodies.unionByName(listed).unionByName(ends)
+
+
+def save_kits(kits: DataFrame, folder: str, key: str = "project_id") -> int:
+    """Write each key's files (key, path, content) as <key>.zip to a POSIX folder that all executors share; how many zips were written.
+
+    Members are deflated and put in their places by many tasks, one project's too; a repeated task writes the same bytes to the same places.
+    A zip gets its name when it is complete. Two files of one path are an error.
+    """
+    spark, staging = kits.sparkSession, f"{folder.rstrip('/')}/_staging-{uuid.uuid4().hex}"
+    _, root = sinks.filesystem(staging)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        Path(folder).mkdir(parents=True, exist_ok=True)
-        own, held, done = None, None, []
+    def put(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(root, exist_ok=True)
+        for b in batches:
+            for name, at, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                out, view, done = os.open(f"{root}/{name}.zip", os.O_CREAT | os.O_WRONLY, 0o644), memoryview(body.as_buffer()), 0
+                try:
+                    while done < len(view):
+                        done += os.pwrite(out, view[done:], at + done)
+                finally:
+                    os.close(out)
+            yield pa.RecordBatch.from_arrays([b.column(0)], names=["name"])
+
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k, body in zip(b.column(0).to_pylist(), b.column(2), strict=True):
-                if k != own or held is None:
-                    if held is not None:
-                        held.close()
-                        done.append((own, held.name))
-                    own, held = k, (Path(folder) / f"{uuid.uuid4().hex}.part").open("wb")
-                held.write(body.as_py())
-        if held is not None:
-            held.close()
-            done.append((own, held.name))
-        paths = [Path(name).rename(Path(folder) / f"{k}.zip") for k, name in done]
-        yield pa.RecordBatch.from_arrays([pa.array([str(p) for p in paths], pa.string())], names=["path"])
-
-    dealt = parts.select(F.col(key).cast(kind), "part", "body").repartition(key).sortWithinPartitions(key, "part")
-    return [r["path"] for r in dealt.mapInArrow(run, "path string").orderBy("path").collect()]
+            for name in b.column(0).to_pylist():
+                if os.path.exists(made := f"{root}/{name}.zip"):
+                    os.replace(made, f"{os.path.dirname(root)}/{name}.zip")
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    try:
+        members = zip_members(kits, key)
+        members.write.parquet(f"{staging}/members")
+        members = spark.read.schema(members.schema).parquet(f"{staging}/members")
+        if twice := members.groupBy(key, "path").count().where("count > 1").limit(5).collect():
+            raise ValueError(f"several files of one path: {', '.join(r['path'] for r in twice)}")
+        parts = zip_parts(members, key).select(F.col(key).cast("string").alias("name"), "at", "body")
+        parts.mapInArrow(put, "name string").distinct().write.parquet(f"{staging}/names")
+        names = spark.read.schema("name string").parquet(f"{staging}/names")
+        return names.mapInArrow(place, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    finally:
+        sinks.delete(spark, staging)
 
 
 def _varlen(n: int) -> bytes:
@@ -197,8 +239,11 @@ def generated_rows(files: DataFrame, devices: DataFrame, name: str, now: Column,
 
     The device is that of the given name, which must be there (see catalogue.upsert_devices).
     """
-    order = F.row_number().over(Window.orderBy("project_id", "label")) - 1
-    each = files.withColumn("n_", order).crossJoin(devices.where(F.col("name") == name).select(F.col("id").alias("device_id")).limit(1))
+    runs = files.repartitionByRange("project_id", "label").sortWithinPartitions("project_id", "label").withColumn("nth_", F.monotonically_increasing_id())
+    run = F.shiftright("nth_", 33)
+    sizes = runs.groupBy(run.alias("run_")).count().withColumn("before_", F.sum("count").over(Window.orderBy("run_")) - F.col("count"))  # a row for each partition
+    numbered = runs.join(F.broadcast(sizes), run == F.col("run_")).withColumn("n_", F.col("before_") + F.col("nth_").bitwiseAND((1 << 33) - 1))
+    each = numbered.crossJoin(devices.where(F.col("name") == name).select(F.col("id").alias("device_id")).limit(1))
     stamps = {c: now for c in ("start_time", "end_time", "created_at", "updated_at")}
     sessions = each.select((F.col("n_") + first_session).alias("id"), "project_id", session_name(F.col("label"), now).alias("name"), F.lit("completed").alias("status")).withColumns(stamps)
     rows = each.select((F.col("n_") + first_file).alias("id"), (F.col("n_") + first_session).alias("capture_session_id"), "device_id", F.lit(0).alias("channel"), midi_content(F.col("file_data")).alias("file_data"), now.alias("created_at"))

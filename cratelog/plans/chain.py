@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import dsp, signal
 from ..functions.text import WORD_STARTS, clip_text
 from ..operators import audio, chunks, exports, loops, segments, vocal
+from ..sources import wav
 
 #: Kinds of tables that stages pass on.
 FILE, AUDIO, ONSETS, SEGMENTS, SLICES, SAMPLES, LOOPS = "file_path", "audio", "onset_times", "segments", "slice_points", "list_of_sample_data", "loop_candidates"
@@ -122,6 +123,24 @@ def _faded(rows: DataFrame, fade_in_ms: float = 0.0, fade_out_ms: float = 0.0) -
     return rows.withColumn("samples", signal.fades(F.col("samples"), n(fade_in_ms), n(fade_out_ms)))
 
 
+def _written(rows: DataFrame, folder: str | None = None, bit_depth: int = 24, normalize: bool = True) -> DataFrame:
+    """The slices as files below a folder (None: nothing is written), at full scale if normalized, one folder a recording; file_path says where."""
+    if folder is None:
+        return rows
+    placed = rows.withColumn("file_path", F.concat(F.lit(folder.rstrip("/")), F.lit("/"), F.col("recording_id").cast("string"), F.lit("/"), "name", F.lit(".wav")))
+    y = F.when(F.size("samples") > 0, signal.normalize(F.col("samples"), 0.0)).otherwise(F.col("samples").cast("array<double>")) if normalize else F.col("samples")
+    wav.export(wav.to_wav(placed.select(F.concat(F.col("recording_id").cast("string"), F.lit("/"), "name").alias("name"), "sample_rate", y.alias("samples")), bit_depth), folder)
+    return placed
+
+
+def _points(rows: DataFrame) -> DataFrame:
+    """Slice points with start_time and end_time; of a JSON column ``point`` its start and end, where present, else its start_time and end_time."""
+    if "point" not in rows.columns:
+        return rows
+    bounds = segments.point_bounds(F.col("point"))
+    return rows.withColumns({"start_time": bounds["start_time"], "end_time": bounds["end_time"]})
+
+
 def _preset(rows: DataFrame, root_note: int = 60, instrument_name: str = "Instrument") -> DataFrame:
     """A preset of the slices of each recording, a key for each from the root note upwards."""
     nth = F.row_number().over(Window.partitionBy("recording_id").orderBy("idx")) - 1
@@ -150,9 +169,10 @@ def segmentation(recordings: DataFrame | None = None, buffers: DataFrame | None
         Stage("slice_planning", ONSETS, SEGMENTS, lambda df, project_type: segments.plan(segments.numeric_onsets(df), project_type), {"project_type": "sample_pack"}),
         Stage("segment_classification", SEGMENTS, SEGMENTS, lambda df, **p: _classify(df, buffers, **p), {"enable_spectral_analysis": True}),
         Stage("slice_points", SEGMENTS, SLICES, _as_points),
-        Stage("slicing", SLICES, SAMPLES, lambda df, **p: segments.slices(df, recordings, **p)),
+        Stage("slicing", SLICES, SAMPLES, lambda df, **p: segments.slices(_points(df), recordings, **p)),
         Stage("quality_measurement", SAMPLES, SAMPLES, lambda df, **p: segments.measured(df, buffers, **p)),
-        Stage("fades", SAMPLES, SAMPLES, _faded, {"fade_in_ms": 5.0, "fade_out_ms": 5.0}),
+        Stage("fades", SAMPLES, SAMPLES, _faded, {"fade_in_ms": 2.0, "fade_out_ms": 2.0}),
+        Stage("slice_files", SAMPLES, SAMPLES, _written, {"folder": None, "bit_depth": 24, "normalize": True}),
         Stage("sampler_export", SAMPLES, PRESETS, _preset, {"root_note": 60, "instrument_name": "Instrument"}),
         Stage("vocal_evaluation", CHOPS, CHOPS, vocal.evaluate),
         Stage("vocal_perfection", CHOPS, CHOPS, vocal.perfected),
@@ -194,7 +214,7 @@ class Workflows:
         return workflow
 
     def run(self, name: str, data: DataFrame, context: Mapping[str, Mapping] | None = None) -> Result:
-        """One lazy plan. context: parameters by stage, which replace the chain's own."""
+        """One lazy plan; slice_files with a folder runs at once. context: parameters by stage, which replace the chain's own."""
         if snake(name) not in self.workflows:
             raise ValueError(f"unknown workflow: {name}")
         w = self.workflows[snake(name)]
@@ -212,7 +232,8 @@ def workflows(recordings: DataFrame | None = None, buffers: DataFrame | None = N
     return Workflows(
         segmentation(recordings, buffers),
         Workflow("ExampleSlicing", AUDIO, _steps("onset_detection", "slice_planning", "slice_points", "slicing"), "onsets to slices"),
-        Workflow("SamplePack", AUDIO, [gate, *_steps("onset_detection", *(s["stage_name"] for s in INTELLIGENT_SLICING), "quality_measurement", "quality_control")], "noise gate to checked, classified slices"),
+        Workflow("SliceFiles", AUDIO, _steps("onset_detection", "slice_planning", "slice_points", "slicing", "quality_measurement", "fades", "slice_files"), "onsets to faded slices in files"),
+        Workflow("SamplePack", AUDIO, [gate, *_steps("onset_detection", *(s["stage_name"] for s in INTELLIGENT_SLICING), "quality_measurement", "fades", "quality_control", "slice_files")], "noise gate to checked, classified, faded slices, written if a folder is given"),
         Workflow("AudioIngestion", AUDIO, _steps("intelligent_slicing"), "classified slices in one stage"),
         Workflow("DecentSamplerCreation", AUDIO, [*_steps("onset_detection", "slice_planning", "slice_points", "slicing"), {"stage_name": "sampler_export"}], "slices to a sampler preset"),
         Workflow("VocalChopPerfection", CHOPS, _steps("vocal_perfection"), "evaluated, repaired and tagged vocal chops"),

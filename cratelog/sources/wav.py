@@ -7,9 +7,7 @@ what follows handles chunks, until ``whole`` joins a recording's for the stages
 from __future__ import annotations
 
 import struct
-import uuid
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dsp
+from . import files
 
 # The INFO chunk's ids of the standard tags.
 INFO_TAGS = {"title": "INAM", "artist": "IART", "album": "IPRD", "comment": "ICMT", "copyright": "ICOP", "software": "ISFT", "genre": "IGNR", "tracknumber": "ITRK", "date": "ICRD", "license": "ILIC"}
@@ -47,7 +46,8 @@ def _aiff_header(data: bytes) -> dict:
             found["channels"], _, found["bit_depth"], power, mantissa = struct.unpack_from(">hIhHQ", data, at + 8)
             found["sample_rate"] = round(mantissa * 2.0 ** ((power & 0x7FFF) - 16446))
         elif data[at : at + 4] == b"SSND":
-            found["at"], found["size"] = at + 16, size - 8
+            offset = struct.unpack_from(">I", data, at + 8)[0]
+            found["at"], found["size"] = at + 16 + offset, size - 8 - offset
         at += 8 + size + size % 2
     if not {"at", "channels"} <= found.keys() or not found["channels"] or found["bit_depth"] % 8:
         raise ValueError("no usable format and data in the file")
@@ -96,23 +96,31 @@ def decode(data: bytes, h: dict, first: int = 0, frames: int | None = None) -> n
     return out.reshape(-1, h["channels"])
 
 
-def encode(samples: np.ndarray, rate: int, depth: int = 24, tags: dict[str, str] | None = None) -> bytes:
-    """A file of PCM samples [frames] or [frames, channels]; a depth other than 16, 24 and 32 becomes 24."""
+def pcm(samples: np.ndarray, depth: int) -> bytes:
+    """Samples as little-endian whole numbers of 16, 24 or 32 bits; halves go to the even number."""
+    whole = np.clip(np.rint(np.asarray(samples, float) * 2.0 ** (depth - 1)), -(2.0 ** (depth - 1)), 2.0 ** (depth - 1) - 1).astype("<i4")
+    return whole.ravel().view(np.uint8).reshape(-1, 4)[:, : depth // 8].tobytes()
+
+
+def framed(body: bytes, rate: int, channels: int, depth: int, more: bytes = b"") -> bytes:
+    """A WAV file of PCM bytes, with more chunks behind them."""
+    width = channels * depth // 8
+    inner = b"WAVEfmt " + struct.pack("<IHHIIHH", 16, _PCM, channels, rate, rate * width, width, depth) + b"data" + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2) + more
+    return b"RIFF" + struct.pack("<I", len(inner)) + inner
+
+
+def encode(samples: np.ndarray, rate: int, depth: int = 24, tags: dict[str, str] | None = None, more: bytes = b"") -> bytes:
+    """A file of PCM samples [frames] or [frames, channels]; a depth other than 16, 24 and 32 becomes 24. more: see riff.write."""
     depth = depth if depth in (16, 24, 32) else 24
     y = np.atleast_2d(np.asarray(samples, float).T).T
-    whole = np.clip(np.rint(y * 2.0 ** (depth - 1)), -(2.0 ** (depth - 1)), 2.0 ** (depth - 1) - 1).astype("<i4")
-    body = whole.ravel().view(np.uint8).reshape(-1, 4)[:, : depth // 8].tobytes()
-    width = y.shape[1] * depth // 8
-    parts = [b"fmt " + struct.pack("<IHHIIHH", 16, _PCM, y.shape[1], rate, rate * width, width, depth), b"data" + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)]
     info = b""
     for name, value in (tags or {}).items():
         if name in INFO_TAGS and value:
             text = value.encode() + b"\0"
             info += INFO_TAGS[name].encode() + struct.pack("<I", len(text)) + text + b"\0" * (len(text) % 2)
     if info:
-        parts.append(b"LIST" + struct.pack("<I", len(info) + 4) + b"INFO" + info)
-    inner = b"WAVE" + b"".join(parts)
-    return b"RIFF" + struct.pack("<I", len(inner)) + inner
+        more = b"LIST" + struct.pack("<I", len(info) + 4) + b"INFO" + info + more
+    return framed(pcm(y, depth), rate, y.shape[1], depth, more)
 
 
 def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
@@ -124,7 +132,7 @@ def read_headers(spark: SparkSession, path: str, glob: str = "*.{wav,aif,aiff}")
     return headers(_files(spark, path, glob).select("path", "content"))
 
 
-def headers(files: DataFrame) -> DataFrame:
+def headers(rows: DataFrame) -> DataFrame:
     """The headers of files (path, content)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +154,7 @@ def headers(files: DataFrame) -> DataFrame:
             kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.map_(pa.string(), pa.string()), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
-    return files.select("path", "content").mapInArrow(run, HEADERS)
+    return rows.select("path", "content").mapInArrow(run, HEADERS)
 
 
 def read_audio(spark: SparkSession, path: str, glob: str = "*.{wav,aif,aiff}", mono: bool = True, chunk: int = 1 << 18, overlap: int = 0) -> DataFrame:
@@ -178,7 +186,7 @@ def resampled(buffers: DataFrame, key: str, rate: int) -> DataFrame:
     return buffers.select(key, F.col("sample_rate").cast("int"), "samples").mapInArrow(run, f"{key} {kind}, sample_rate int, samples array<float>")
 
 
-def chunks(files: DataFrame, mono: bool = True, chunk: int = 1 << 18, overlap: int = 0) -> DataFrame:
+def chunks(rows: DataFrame, mono: bool = True, chunk: int = 1 << 18, overlap: int = 0) -> DataFrame:
     """Rows of up to chunk + overlap frames; the overlap repeats the next chunk's first frames.
 
     mono: the mean of the channels; else samples are interleaved. Unreadable files fail.
@@ -195,7 +203,7 @@ def chunks(files: DataFrame, mono: bool = True, chunk: int = 1 << 18, overlap: i
                     kinds = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.float32())]
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], names=["path", "chunk", "first_frame", "sample_rate", "channels", "samples"])
 
-    return files.select("path", "content").mapInArrow(run, CHUNKS)
+    return rows.select("path", "content").mapInArrow(run, CHUNKS)
 
 
 def to_wav(rows: DataFrame, depth: int = 24, tags: str | None = None) -> DataFrame:
@@ -212,23 +220,31 @@ def to_wav(rows: DataFrame, depth: int = 24, tags: str | None = None) -> DataFra
     return rows.select("name", "sample_rate", "samples", about.cast("map<string,string>").alias("tags")).mapInArrow(run, "name string, wav binary")
 
 
-def export(files: DataFrame, folder: str) -> int:
-    """Write (name, wav) rows as files to a folder that all executors share, each task its own; how many were written.
-
-    A file is written under another name and then renamed, so a repeated task leaves the same files.
-    """
+def joined(parts: DataFrame, key: str, depth: int = 24) -> DataFrame:
+    """(key, wav): a mono PCM file of each key's chunks (key, first_frame, sample_rate, samples). Samples become bytes where they lie; a file is one row."""
+    kind, depth = parts.schema[key].dataType.simpleString(), depth if depth in (16, 24, 32) else 24
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        Path(folder).mkdir(parents=True, exist_ok=True)
         for b in batches:
-            for name, wav in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                path = Path(folder) / f"{Path(name).name}.wav"
-                part = path.with_suffix(f".{uuid.uuid4().hex}.part")
-                part.write_bytes(wav.as_py())
-                part.rename(path)
-            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
-
-    return files.select("name", "wav").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            values, offsets = b.column(3).values.to_numpy(zero_copy_only=False), b.column(3).offsets.to_numpy()
+            made = [pcm(values[a:e], depth) for a, e in zip(offsets[:-1], offsets[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(made, pa.binary())], names=[key, "first_frame", "sample_rate", "body"])
+
+    def bind(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, rate in enumerate(b.column(1).to_pylist()):
+                body = b"".join(x["body"] for x in b.column(2)[i].as_py())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([framed(body, rate, 1, depth)], pa.binary())], names=[key, "wav"])
+
+    pieces = parts.select(key, F.col("first_frame").cast("bigint").alias("first_frame"), F.col("sample_rate").cast("int").alias("sample_rate"), F.col("samples").cast("array<float>").alias("samples"))
+    pieces = pieces.mapInArrow(run, f"{key} {kind}, first_frame long, sample_rate int, body binary")
+    packed = pieces.groupBy(key).agg(F.max("sample_rate").alias("sample_rate"), F.sort_array(F.collect_list(F.struct("first_frame", "body"))).alias("bodies"))
+    return packed.mapInArrow(bind, f"{key} {kind}, wav binary")
+
+
+def export(rows: DataFrame, folder: str) -> int:
+    """Write (name, wav) rows as name.wav below a folder that all executors share, see files.write; how many were written. Folders in names are kept; two rows of one name are an error."""
+    return files.write(rows.select(F.concat("name", F.lit(".wav")).alias("name"), F.col("wav").alias("body")), folder)
 
 
 def sine(seconds: float, hz: Column, rate: int = 44_100, level: float = 0.5) -> Column:

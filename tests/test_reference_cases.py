@@ -159,8 +159,8 @@ def test_preset_and_faded_workflows(spark, hits):
     cut = segments.measured(segments.slices(spark.createDataFrame([(1, 0, 0.0, 1.0)], "recording_id long, idx int, start_time double, end_time double"), recordings), hits)
     faded = chain.segmentation(recordings, hits).run([{"stage_name": "fades"}], cut, chain.SAMPLES).data.first().samples
     assert faded[0] == 0 and faded[-1] == 0 and len(faded) == RATE
-    deep = chain.merged({"a": {"x": 1, "y": 2}, "b": 1}, {"a": {"y": 3}})
-    assert deep == {"a": {"x": 1, "y": 3}, "b": 1}
+    deep = chain.merged({"a": {"x": 1, "y": 2}, "b": 1, "c": {"z": 1}}, {"a": {"y": 3}, "c": {}}, ("a",))
+    assert deep == {"a": {"x": 1, "y": 3}, "b": 1, "c": {}}
     picky = flows.run("ExampleSlicing", hits, {"onset_detection": {"detection_params": {"delta": 2.0}}})
     assert picky.data.count() == 0 < flows.run("ExampleSlicing", hits).data.count()
 

@@ -94,13 +94,17 @@ def test_kits(spark, tmp_path):
     rng = np.random.default_rng(1)
     bodies = {(p, f"Song/Verse/take_{k}.wav"): rng.bytes(3000) for p in (1, 2) for k in range(5)}
     files = spark.createDataFrame([(p, path, b) for (p, path), b in bodies.items()] + [(1, "Song/gone.wav", None), (None, "x", b"x")], "project_id int, path string, content binary")
-    saved = exports.save_kits(exports.kit_parts(files, part_bytes=4000), str(tmp_path))
-    assert sorted(p[-5:] for p in saved) == ["1.zip", "2.zip"]
+    assert exports.save_kits(files, str(tmp_path)) == exports.save_kits(files, str(tmp_path)) == 2
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["1.zip", "2.zip"]
     for p in (1, 2):
         z = zipfile.ZipFile(io.BytesIO((tmp_path / f"{p}.zip").read_bytes()))
         assert z.testzip() is None
         assert {n: z.read(n) for n in z.namelist()} == {path: b for (q, path), b in bodies.items() if q == p}
-    assert exports.kit_parts(files.limit(0)).count() == 0
+    parts = exports.zip_parts(exports.zip_members(files)).where("project_id = 1").orderBy("at").collect()
+    assert len(parts) == 11 and b"".join(p.body for p in parts) == (tmp_path / "1.zip").read_bytes() and all(a.at + len(a.body) == b.at for a, b in zip(parts, parts[1:], strict=False))
+    with pytest.raises(ValueError, match="one path"):
+        exports.save_kits(files.unionAll(files.where("project_id = 1")), str(tmp_path))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["1.zip", "2.zip"] and exports.save_kits(files.limit(0), str(tmp_path)) == 0
     assert spark.range(1).select(exports.midi_content(F.lit("TVRoZA==")).alias("m")).first().m == b"MThd"
 
 
