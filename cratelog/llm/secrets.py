@@ -6,7 +6,7 @@ length, make-up and character transitions, how much of it is dictionary words, w
 of a path, and the neighbouring words. The forest's flattened trees are walked by SQL lambdas
 over literal arrays, so a plan's size does not depend on the trees, and nothing leaves the JVM.
 
-A candidate's neighbourhood is the 40 characters before it and the 24 after it. Header lines of a key block are at most 32.
+A candidate's neighbourhood is the 40 characters before it and the 24 after it.
 
 Null and empty texts have no candidates; repeated rows and candidates are judged once each and alike; an empty
 table gives none; texts are taken whole, in the memory of a few copies. Training reads labelled findings (left, candidate, right,
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import fresh
 from .quality import grow, quantile_bins
 
-PATTERN = r"-----BEGIN [A-Z ]*PRIVATE KEY-----\s*+(?:[A-Za-z-]++: [^\n]*+\n){0,32}+[A-Za-z0-9+/=\s]*+-----END [A-Z ]*PRIVATE KEY-----|[A-Za-z0-9_+/=~.-]{16,}+"
+PATTERN = r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----\s*+(?:[A-Za-z-]++: [^\n]*+\n)*+[A-Za-z0-9+/=\s]*+-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----|[A-Za-z0-9_+/=~.-]{16,}+"
 MASK = "[SECRET]"
 #: Pairs of letters that are frequent in prose; words that announce a secret or something else.
 _PAIRS = "th|he|in|er|an|re|nd|on|en|at|ou|ha|or|it|is|hi|es|ng|st|ti|te|le|de|nt|se|al|ar|io|ic|ve|ue|ie|ch|ei|qu|os|as|la|ll|un"
@@ -84,7 +84,7 @@ def features(text: Column, left: Column, right: Column, path: Column) -> Column:
     flag = lambda c: c.cast("double")
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "[A-Z]+", "!"), "[a-z]+", "\""), "[0-9]+", "#")
     return F.array(
-        F.least(n, F.lit(400.0)), count("[0-9]"), count("[A-Z]"), count("[a-z]"), count("[^A-Za-z0-9]"),
+        n.cast("double"), count("[0-9]"), count("[A-Z]"), count("[a-z]"), count("[^A-Za-z0-9]"),
         flag(text.rlike("^([0-9a-f]+|[0-9A-F]+)$")), F.length(kinds) / n, count(f"(?={_PAIRS})", low),
         F.size(F.array_distinct(F.split(text, ""))) / F.least(n, F.lit(64.0)),
         1 - F.length(F.regexp_replace(low, _WORDS, "")) / n, count(r"(.)\1\1"),

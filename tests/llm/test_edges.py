@@ -212,7 +212,7 @@ def plain_features(c, left, right, path):
 
     kinds = re.sub("[0-9]+", "#", re.sub("[a-z]+", '"', re.sub("[A-Z]+", "!", c)))
     return [
-        min(n, 400), share("[0-9]"), share("[A-Z]"), share("[a-z]"), share("[^A-Za-z0-9]"), on("^([0-9a-f]+|[0-9A-F]+)$", c), len(kinds) / n, share(f"(?={m._PAIRS})", low), len(set(c)) / min(n, 64),
+        n, share("[0-9]"), share("[A-Z]"), share("[a-z]"), share("[^A-Za-z0-9]"), on("^([0-9a-f]+|[0-9A-F]+)$", c), len(kinds) / n, share(f"(?={m._PAIRS})", low), len(set(c)) / min(n, 64),
         1 - len(re.sub(m._WORDS, "", low)) / n, share(r"(.)\1\1"), share("/"), share(r"\."), max(on(r"(://|[/\\.@])\S{0,20}$", near), on(r"^(/|\\|@|\.[a-z]{2,4}\b)", after)), on(r"[=:]\s{0,2}[\"']?$", near),
         min(on("[\"'`]$", near), on("^[\"'`]", after)), on(m._ANNOUNCE, near), max(on(m._OTHER, near), on("example|sample|dummy|placeholder|your|xxxx", low)), on("(?i)(test|example|fixture|sample|mock|doc)", path or ""),
         on(r"^(AKIA|ASIA|gh[pousr]_|sk[-_]|xox[abp]-|eyJ|AIza|glpat-|SG\.)", c), float(c.startswith("-----BEGIN")),
@@ -229,6 +229,11 @@ def test_secrets(spark):
     for name in ("found", "rest", "findings", "x", "score", "candidate", "FOUND_"):
         docs = docs.withColumn(name, llm.F.lit(name)) if name.lower() not in [c.lower() for c in docs.columns] else docs
     forest = secrets.train(secrets.labelled_findings(spark, 3000))
+    for head, kind in (("x-h: 1\n" * 33, "RSA PRIVATE KEY"), ("x-h: 1\n" * 5000 + "\n", "PGP PRIVATE KEY BLOCK")):
+        block = f"-----BEGIN {kind}-----\n{head}{'aB3/+x9Z' * 8}\n-----END {kind}-----"
+        assert re.fullmatch(secrets.PATTERN, block)
+        long = spark.createDataFrame([(1, f"a {block} b", "s")], "doc_id int, text string, source string")
+        assert [f.candidate for f in secrets.findings(long, forest, "source", "out").first().out] == [block]
     rows = secrets.findings(docs, forest, "source", "out").collect()
     pattern, seen = re.compile(secrets.PATTERN), 0
     for r in rows:
