@@ -314,7 +314,7 @@ def train(docs: DataFrame, learn: str, p: PpmParams = PpmParams()) -> Model:
     ends = of[ROWS]["n"] if ROWS in of else 0
     key, _, value = _head(answers, GRAM, p.head_grams)
     spoken = (of[WORD]["n"], of[WORD]["v"]) if WORD in of else (0, 0)
-    return Model(p.order, answers, (key, value.astype(np.float32)), _head(answers, WORD, p.head_words), spoken[0] + ends, spoken[1] + (ends > 0), ends)
+    return Model(p.order, answers, (key, value), _head(answers, WORD, p.head_words), spoken[0] + ends, spoken[1] + (ends > 0), ends)
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
