@@ -9,8 +9,9 @@ first computes the exact distances of the best estimates of a batch of rows; aft
 their bound still be nearer than its k nearest so far.
 
 The index is fitted (centre) on a bounded sample, holds every row, and is written once. Rows stay where
-they are: blocks of at most ``queries`` query vectors are broadcast, and each task returns the
-k nearest of its rows to each. So the shuffle grows with queries times tasks; the work grows with
+they are: a block of at most ``queries`` query vectors is broadcast, each task returns the
+k nearest of its rows to each, and the block's result is written before the next is read. So neither the plan nor the driver
+grows with the number of queries; the shuffle grows with queries times tasks; the work grows with
 queries times rows, since vectors without clusters give no index anything to skip.
 Copies of one vector count once in a batch, with the k + 1 smallest ids, which is exact.
 
@@ -21,15 +22,19 @@ a candidate that comes twice is found twice. Other columns than key and vector p
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, checkpoint_folder, scratch, stored
+
+FOUND = "query_id long, vec_id long, score double, rank int"
 
 
 @dataclass(frozen=True)
@@ -184,11 +189,10 @@ def search(rows: DataFrame, is_query: Column, p: CodeParams = CodeParams(), key:
     """(query_id, rank, vec_id, score) of the k rows nearest to each query row, its own id left out."""
     coded, dim, centre, turn = index(rows, p, key, vector)
     asked = rows.where(is_query & F.col(key).isNotNull() & usable(vector) & (F.size(vector) == dim)).groupBy(F.col(key).cast("long").alias("query_id")).agg(F.min(vector).alias("q"))
-    asked = checkpoint(asked)
-    blocks = max(1, -(-asked.count() // p.queries))
+    spark, folder = rows.sparkSession, f"{checkpoint_folder(rows.sparkSession)}/nearest-{uuid.uuid4().hex}"
 
-    def near(q: Queries) -> DataFrame:
-        shared = rows.sparkSession.sparkContext.broadcast(q)
+    def near(shared: Broadcast) -> DataFrame:
+        """The k nearest of each query of a block among the rows of each task."""
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = Nearest(shared.value, p)
@@ -200,14 +204,19 @@ def search(rows: DataFrame, is_query: Column, p: CodeParams = CodeParams(), key:
             if sum(sizes):
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(found.q.ids, sizes)), pa.array(np.concatenate(found.ids)), pa.array(np.concatenate(found.distances))], names=["query_id", "vec_id", "score"])
 
-        return coded.mapInArrow(run, "query_id long, vec_id long, score double")
-
-    parts = []
-    for k in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).toArrow()
-        parts.append(near(Queries.of(own["query_id"].to_numpy(), _matrix(own["q"], dim).astype(float), centre, turn, p.bits)))
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
-    return ranked.where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
+        every = coded.mapInArrow(run, "query_id long, vec_id long, score double")
+        return every.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= p.k)
+
+    spark.createDataFrame([], FOUND).write.parquet(folder)
+    with scratch(spark, "nearest-queries") as at:
+        asked = stored(asked, f"{at}/asked")
+        blocks = max(1, -(-asked.count() // p.queries))
+        asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).write.partitionBy("block").parquet(f"{at}/blocks")
+        dealt = spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in asked.schema)}, block long").parquet(f"{at}/blocks")
+        for k in range(blocks):  # one block is with the driver and the tasks at a time; its result is written, then it is freed
+            own = dealt.where(F.col("block") == k).select("query_id", "q").toArrow()
+            if own.num_rows:
+                shared = spark.sparkContext.broadcast(Queries.of(own["query_id"].to_numpy(), _matrix(own["q"], dim).astype(float), centre, turn, p.bits))
+                near(shared).write.mode("append").parquet(folder)
+                shared.destroy()
+    return spark.read.schema(FOUND).parquet(folder).select("query_id", "rank", "vec_id", "score")

@@ -124,3 +124,14 @@ def test_forest_walk_and_redaction(spark):
     assert got[0] == 'the token = "[SECRET]" and on'
     assert [got[k] for k in range(1, 6)] == texts[1:]
     assert zlib.crc32(b"") == 0
+
+
+def test_blocks_of_queries_one_by_one(spark):
+    """However many blocks there are, the plan is the same, and what was broadcast is freed."""
+    rows = spark.read.parquet(f"{D}/embeddings.parquet")
+    pick = llm.F.col("vec_id") % 5 == 0
+    one = rabitq.search(rows, pick)
+    many = rabitq.search(rows, pick, rabitq.CodeParams(queries=9))
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert size(one) == size(many) <= 3
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
