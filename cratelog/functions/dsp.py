@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 
@@ -79,15 +80,67 @@ def mfcc(y: np.ndarray, rate: int, count: int = 13, n_fft: int = 512, hop: int =
     return np.cos(np.pi / len(k) * (k + 0.5) * np.arange(count)[:, None]) @ logs
 
 
-def chroma(y: np.ndarray, rate: int, n_fft: int = 4096) -> np.ndarray:
-    """Energy of the 12 pitch classes, C first."""
-    f = np.fft.rfftfreq(n_fft, 1 / rate)
-    use = (f > 27) & (f < 5000)
-    pitch = np.rint(12 * np.log2(f[use] / 440.0) + 69).astype(int) % 12
-    out = np.zeros(12)
-    for s in spectra(y, n_fft, n_fft // 4):
-        np.add.at(out, pitch, (s[use] ** 2).sum(axis=1))
-    return out
+#: The constant-Q transform: from C1 so many octaves of twelve, a frame every so many samples.
+LOWEST, OCTAVES, CQT_HOP = 32.703195662574829, 7, 512
+_HALF = np.sinc((np.arange(65) - 32) / 2) * np.hanning(67)[1:-1]
+_HALF /= _HALF.sum()
+
+
+@cache
+def constant_q_kernels(lowest: float, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """The spectra of windowed tones of an octave from ``lowest`` up, cut to the bins that hold anything: (kernels, their bins)."""
+    hz = lowest * 2.0 ** (np.arange(12) / 12)
+    lengths = np.ceil(rate / (hz * (2 ** (1 / 12) - 1))).astype(int)
+    size = 1 << int(lengths.max() - 1).bit_length()
+    tones = np.zeros((12, size), complex)
+    for k, n in enumerate(lengths):
+        at = np.arange(n) - n // 2
+        if hz[k] < rate / 2:
+            tones[k, size // 2 + at] = np.hanning(n + 2)[1:-1] * np.exp(2j * np.pi * hz[k] / rate * at) / n
+    spectra_ = np.conj(np.fft.fft(tones))[:, : size // 2 + 1] / size * 2
+    used = np.flatnonzero(np.abs(spectra_).max(axis=0) > 1e-3 * np.abs(spectra_).max())
+    return spectra_[:, used], used
+
+
+def halved(y: np.ndarray) -> np.ndarray:
+    """y at half its sample rate; sample k stays where sample 2k was."""
+    return np.convolve(y, _HALF)[32 : 32 + len(y)][::2] if len(y) else y
+
+
+def chroma_reach(rate: float) -> int:
+    """How many samples to either side of a frame its chroma depends on, at most; a multiple of what the lowest octave's samples stand for."""
+    return -(-int(rate / LOWEST * 17 / 2 * 2.1 + 64 * 2**OCTAVES) // 2**OCTAVES) * 2**OCTAVES
+
+
+def chroma_sums(y: np.ndarray, rate: float, t0: int, t1: int, first: int = 0) -> np.ndarray:
+    """The sum over frames t0 to t1 of their chroma, each at most 1: magnitudes of the constant-Q bins by pitch class, C first.
+
+    y is a signal from sample ``first`` on (a multiple of 2 ** OCTAVES); an octave down is the same
+    transform of the signal at half the rate, as soon as that holds it.
+    """
+    total, step = np.zeros((12, max(t1 - t0, 0))), 1
+    y = np.asarray(y, float)
+    for octave_ in reversed(range(OCTAVES)):
+        low = LOWEST * 2.0**octave_
+        while rate / step / 2 >= 5 * low and step < 2**OCTAVES:  # well above twice the octave's highest tone
+            y, step = halved(y), step * 2
+        if low < rate / 2 / step:
+            kernels, used = constant_q_kernels(low, rate / step)
+            size = 1 << int(np.ceil(rate / step / (low * (2 ** (1 / 12) - 1))) - 1).bit_length()
+            centres = (np.arange(t0, t1) * CQT_HOP - first) // step
+            pad = np.pad(y, (size, size + CQT_HOP))
+            for k in range(0, len(centres), 256):
+                at = np.minimum(centres[k : k + 256], len(y)) + size - size // 2
+                frames = np.fft.rfft(pad[at[:, None] + np.arange(size)], axis=1)[:, used]
+                total[:, k : k + len(at)] += np.abs(kernels @ frames.T)
+    top = total.max(axis=0, initial=0.0)
+    return (total / np.where(top > 1e-7, top, np.inf)).sum(axis=1)
+
+
+def chroma(y: np.ndarray, rate: int) -> np.ndarray:
+    """The mean chroma of the 12 pitch classes, C first; zeros for an empty or silent buffer."""
+    frames = len(y) // CQT_HOP + 1
+    return chroma_sums(y, rate, 0, frames) / frames if len(y) else np.zeros(12)
 
 
 def flux(y: np.ndarray, rate: int, p: OnsetParams = OnsetParams(), centred: bool = True) -> np.ndarray:

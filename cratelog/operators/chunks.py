@@ -156,6 +156,20 @@ def spectral_features(rows: DataFrame, *keys: str, size: int = TILE, n_fft: int
     return parts.groupBy(*keys).agg(mean("c").alias("centroid"), mean("f").alias("flatness"), F.max("n_frames").alias("n_frames")).join(spectrum, list(keys)).select(*keys, "centroid", "flatness", "spectrum", "n_frames")
 
 
+def chroma(rows: DataFrame, *keys: str, size: int = TILE, highest: int = 96_000) -> DataFrame:
+    """(keys, chroma): of each recording, as dsp.chroma tells of a whole buffer; sample rates up to ``highest``."""
+    halo = dsp.chroma_reach(highest)
+
+    def sums(samples, rate, tile, first, n_frames) -> tuple:
+        t0, t1 = _own(tile, size, n_frames, dsp.CQT_HOP)
+        return (dsp.chroma_sums(samples, rate, t0, t1, first),)
+
+    parts = mapped(tiles(rows, *keys, size=size, before=halo, after=halo), {"chroma": "array<double>"}, sums, "samples", "sample_rate", "tile", "first", "n_frames", drop=("samples", "tile", "first", "sample_rate"))
+    each = parts.select(*keys, "n_frames", F.posexplode("chroma").alias("k", "v")).groupBy(*keys, "n_frames", "k").agg(F.sum("v").alias("v"))
+    mean = F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda x: x["v"] / (F.floor(F.col("n_frames") / dsp.CQT_HOP) + 1))
+    return each.groupBy(*keys, "n_frames").agg(mean.alias("chroma")).select(*keys, "chroma")
+
+
 def envelope(rows: DataFrame, *keys: str, size: int = TILE, p: dsp.OnsetParams = dsp.OnsetParams()) -> DataFrame:
     """The onset envelope as a signal of its own: keys, first_frame (in hops), sample_rate (the audio's), samples; at most 1."""
     step = -(-size // p.hop) * p.hop

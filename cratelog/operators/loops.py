@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -86,22 +88,53 @@ def duration_score(bars: Column, bpm: Column) -> Column:
     return bar_fit(bars, bpm)
 
 
+class Chosen:
+    """Intervals by start, in classes of length within a factor of two, so that what an interval may meet is a short stretch of each class."""
+
+    def __init__(self, overlap: float):
+        self.overlap, self.classes = overlap, {}
+
+    def add(self, start: float, end: float) -> bool:
+        """Take an interval unless it overlaps one of those taken by more, in shares of the shorter; whether it was taken."""
+        for size, (starts, ends) in self.classes.items():
+            k = bisect.bisect_left(starts, start - 2.0**size)
+            while k < len(starts) and starts[k] < end:
+                shorter = min(end - start, ends[k] - starts[k])
+                if shorter > 0 and (min(end, ends[k]) - max(start, starts[k])) / shorter > self.overlap:
+                    return False
+                k += 1
+        starts, ends = self.classes.setdefault(math.frexp(end - start)[1] if end > start else -1100, ([], []))
+        k = bisect.bisect_left(starts, start)
+        starts.insert(k, start)
+        ends.insert(k, end)
+        return True
+
+
 def select_best(scored: DataFrame, key: str = "recording_id", n: int = 5, least: float = 0.3, overlap: float = 0.5) -> DataFrame:
-    """(key, rank, start_time, end_time, score): greedy best first, skipping what overlaps a chosen one by more.
+    """(key, rank, idx, start_time, end_time, score): greedy best first, skipping what overlaps a chosen one by more.
 
-    scored: key, idx, start_time, end_time, score. Equal scores keep the order of idx. Candidates
-    of one key are few by the search's cap, so they are folded as one array.
+    scored: key, idx, start_time, end_time, score. Equal scores keep the order of idx. A key's candidates
+    stream through in the order of their scores; only the chosen are held, and each candidate looks at few of them.
     """
-    entry = F.struct((-F.col("score")).alias("order"), "idx", "start_time", "end_time", "score")
-    grouped = scored.where(F.col("score") >= least).groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("all"))
-    empty = F.slice("all", 1, 0)
+    kind = scored.schema[key].dataType.simpleString()
+    index = scored.schema["idx"].dataType.simpleString()
 
-    def step(chosen: Column, c: Column) -> Column:
-        clash = F.exists(chosen, lambda o: overlap_ratio(c["start_time"], c["end_time"], o["start_time"], o["end_time"]) > overlap)
-        return F.when((F.size(chosen) < n) & ~clash, F.array_append(chosen, c)).otherwise(chosen)
-
-    best = grouped.select(key, F.posexplode(F.aggregate("all", empty, step)).alias("at", "c"))
-    return best.select(key, (F.col("at") + 1).alias("rank"), "c.idx", "c.start_time", "c.end_time", "c.score")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, rank, chosen = None, 0, Chosen(overlap)
+        for b in batches:
+            kept, ranks = [], []
+            for i, (k, start, end) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                if k != own or not rank and not chosen.classes:
+                    own, rank, chosen = k, 0, Chosen(overlap)
+                if rank < n and chosen.add(start, end):
+                    rank += 1
+                    kept.append(i)
+                    ranks.append(rank)
+            rows = b.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(ranks, pa.int32()), *rows.columns[1:]], names=[key, "rank", "idx", "start_time", "end_time", "score"])
+
+    some = scored.where(F.col("score") >= least).select(key, "idx", F.col("start_time").cast("double").alias("start_time"), F.col("end_time").cast("double").alias("end_time"), F.col("score").cast("double").alias("score"))
+    return some.repartition(key).sortWithinPartitions(key, F.desc("score"), "idx").mapInArrow(run, f"{key} {kind}, rank int, idx {index}, start_time double, end_time double, score double")
 
 
 _HEARD = ("spectral_similarity", "zero_crossing_cleanliness", "rms_energy_consistency", "onset_regularity", "spectral_stability")

@@ -1,12 +1,13 @@
 """Manifest evaluation: which assets fulfil which tag rules of their project, and how far.
 
-Tag matching is a relational division. Exploded tags meet in an equi-join on (project, tag,
-value); a rule's tags are few and its count is known, so a pair matches if it has that many.
+Tag matching is a relational division. A rule and an asset meet only on the rule's rarest tag, told by
+how many assets of the project have each tag; the rule's other tags are then looked up in the pair. So a tag that all
+assets have costs nothing but to rules that ask for no other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tags
@@ -22,19 +23,29 @@ def project_assets(samples: DataFrame, recordings: DataFrame, midi_files: DataFr
     return found.unionByName(midi)
 
 
+def meetings(rules: DataFrame, assets: DataFrame) -> DataFrame:
+    """(project_id, rule_id, kind, asset_id, wanted, own): pairs that share the rule's rarest tag, with the tags of both. See ``match``."""
+    need = tags.explode(rules, "required_tags_json", "project_id", "rule_id").where(F.col("tag").isNotNull())
+    have = tags.explode(assets, "tags_json", "project_id", "kind", "asset_id").where(F.col("tag").isNotNull())
+    known = ["project_id", "tag", "value"]
+    asked = need.select(*known).distinct()
+    counts = have.join(asked, known, "left_semi").groupBy(*known).agg(F.count(F.lit(1)).alias("held"))
+    told = need.join(counts, known, "left").withColumn("held", F.coalesce("held", F.lit(0).cast("bigint")))
+    each = F.struct("tag", "value")
+    rarest = told.groupBy("project_id", "rule_id").agg(F.min_by(each, F.struct("held", "tag", "value")).alias("rarest"), F.min("held").alias("held"), F.collect_set(each).alias("wanted"))
+    rarest = rarest.where("held > 0").select("project_id", "rule_id", "rarest.tag", "rarest.value", "wanted")
+    own = have.groupBy("project_id", "kind", "asset_id").agg(F.collect_set(each).alias("own"))
+    hit = own.select("*", F.explode("own").alias("x")).select("project_id", F.col("x.tag").alias("tag"), F.col("x.value").alias("value"), "kind", "asset_id", "own")
+    return hit.join(rarest, known).select("project_id", "rule_id", "kind", "asset_id", "wanted", "own")
+
+
 def match(rules: DataFrame, assets: DataFrame) -> DataFrame:
     """(project_id, rule_id, kind, asset_id) of every match; one asset may match several rules.
 
-    rules: project_id, rule_id, required_tags_json. A rule without tags matches nothing. Tags
-    that most assets share make a hot key; the join's skewed partitions are split by adaptive
-    execution, and pairs are added up before the shuffle that follows.
+    rules: project_id, rule_id, required_tags_json. A rule without tags matches nothing.
     """
-    need = tags.explode(rules, "required_tags_json", "project_id", "rule_id").where(F.col("tag").isNotNull())
-    wanted = need.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("project_id", "rule_id")))
-    have = tags.explode(assets, "tags_json", "project_id", "kind", "asset_id").where(F.col("tag").isNotNull())
-    pairs = have.join(wanted, ["project_id", "tag", "value"])
-    full = pairs.groupBy("project_id", "rule_id", "kind", "asset_id").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n"))
-    return full.where("m = n").select("project_id", "rule_id", "kind", "asset_id")
+    there = F.size(F.array_except("wanted", "own")) == 0
+    return meetings(rules, assets).where(there).select("project_id", "rule_id", "kind", "asset_id")
 
 
 def rule_status(rules: DataFrame, matches: DataFrame) -> DataFrame:

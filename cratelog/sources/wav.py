@@ -1,7 +1,7 @@
 """RIFF/WAVE and AIFF: files to rows of samples, headers and tags, and rows back to files.
 
-A file becomes rows of at most ``chunk`` frames. Spark reads a file whole (2 GB at most) to cut it;
-what follows handles chunks, until ``whole`` joins a recording's for the stages that need all of it.
+A file becomes rows of at most ``chunk`` frames, read in byte ranges (see audio_files). Operators in
+chunks work on these; ``whole`` joins a recording's rows for the stages that need all of it.
 """
 
 from __future__ import annotations
@@ -123,13 +123,18 @@ def encode(samples: np.ndarray, rate: int, depth: int = 24, tags: dict[str, str]
     return framed(pcm(y, depth), rate, y.shape[1], depth, more)
 
 
-def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+def _source(spark: SparkSession, kind: str, path: str, **options):
+    from . import audio_files
+
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    for source in (audio_files.AudioFiles, audio_files.AudioHeaders):
+        spark.dataSource.register(source)
+    return spark.read.format(kind).options(path=path, **{k: str(v) for k, v in options.items()}).load()
 
 
 def read_headers(spark: SparkSession, path: str, glob: str = "*.{wav,aif,aiff}") -> DataFrame:
-    """A row a file; one that can't be read has its error and nulls."""
-    return headers(_files(spark, path, glob).select("path", "content"))
+    """A row a file, of which only the header is read; one that can't be read has its error and nulls."""
+    return _source(spark, "audio_headers", path, glob=glob)
 
 
 def headers(rows: DataFrame) -> DataFrame:
@@ -157,9 +162,9 @@ def headers(rows: DataFrame) -> DataFrame:
     return rows.select("path", "content").mapInArrow(run, HEADERS)
 
 
-def read_audio(spark: SparkSession, path: str, glob: str = "*.{wav,aif,aiff}", mono: bool = True, chunk: int = 1 << 18, overlap: int = 0) -> DataFrame:
-    """The chunks of all files below a path, see ``chunks``."""
-    return chunks(_files(spark, path, glob).select("path", "content"), mono, chunk, overlap)
+def read_audio(spark: SparkSession, path: str, glob: str = "*.{wav,aif,aiff}", mono: bool = True, chunk: int = 1 << 18, overlap: int = 0, split: int = 64 << 20) -> DataFrame:
+    """The chunks of all files below a path; a file is read by a task for each ``split`` bytes of it. See audio_files; chunks.tiles gives them their neighbours' frames."""
+    return _source(spark, "audio_files", path, glob=glob, mono=mono, chunk=chunk, overlap=overlap, split=split)
 
 
 def whole(parts: DataFrame, rate: int | None = None) -> DataFrame:

@@ -151,3 +151,25 @@ def test_params_are_checked():
     with pytest.raises(ValueError, match="aggregate"):
         dsp.OnsetParams(aggregate="sum")
     assert dataclasses.replace(dsp.OnsetParams(), hop=1).hop == 1
+
+
+@pytest.mark.parametrize("rate", [8000, 44_100])
+def test_tones_and_thirds_from_c2_up(rate):
+    """Each tone is told by its pitch class, and each triad by its root and its third."""
+    t = np.arange(rate) / rate
+    tone = lambda note: np.sin(2 * np.pi * 440 * 2 ** ((note - 69) / 12) * t)
+    for note in range(36, 96, 5 if rate > 8000 else 1):
+        assert dsp.chroma(tone(note), rate).argmax() == note % 12
+    for root in range(48, 72):
+        for third in (3, 4):
+            c = dsp.chroma(tone(root) + 0.7 * tone(root + third) + 0.5 * tone(root + 7), rate)
+            assert c.argmax() == root % 12 and (c[(root + 4) % 12] > c[(root + 3) % 12]) == (third == 4)
+    assert not dsp.chroma(np.zeros(rate), rate).any() and not dsp.chroma(np.zeros(0), rate).any()
+
+
+def test_chroma_of_chunks(spark):
+    rows = pieces(spark, 3000)
+    for tile in (4096, 1 << 18):
+        got = {r.id: r.chroma for r in chunks.chroma(rows, "id", size=tile, highest=RATE).collect()}
+        for k, y in signals().items():
+            assert np.allclose(got[k], dsp.chroma(y, RATE), atol=1e-6)
