@@ -29,9 +29,9 @@ def query(sql: str):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import more_queries  # registers its own
+    from . import audio_queries, more_queries  # register their own
 
-    assert more_queries
+    assert audio_queries and more_queries
     return dict(_QUERIES)
 
 
