@@ -479,8 +479,8 @@ def vocal_chops(spark: SparkSession, d: str) -> DataFrame:
     made = chain.workflows().run("VocalChopPerfection", files).data
     n = F.regexp_extract(F.col("tags")["comment"], r"^Stabs: (\d+); ", 1).cast("int")
     step = F.floor(F.lit(60.0 * 8000) / ((F.col("file_id") % 5) * 20 + 80)).cast("int")
-    longer = F.size("samples") - n * step - (n - 1) * 600  # 75 ms of silence after each stab but the last, and stabs moved by 5 ms at most
-    return made.select("file_id", "name", n.between(14, 17).alias("counted"), F.col("tags")["title"].alias("title"), longer.between(-80 * n, 80 * n).alias("laid_out"), F.array_contains("issues", "no silence or overlap").alias("gaps_told"), F.array_contains("issues", "cue labels missing").alias("labels_missing"))
+    longer = F.size("samples") - n * step - (n - 1) * 600  # 75 ms of silence after each stab but the last, stabs moved by 5 ms at most, the first onset by 1,024 samples
+    return made.select("file_id", "name", n.between(14, 17).alias("counted"), F.col("tags")["title"].alias("title"), longer.between(-80 * n, 80 * n + 1024).alias("laid_out"), F.array_contains("issues", "no silence or overlap").alias("gaps_told"), F.array_contains("issues", "cue labels missing").alias("labels_missing"))
 
 
 @query("""SELECT CAST(n_nationkey AS BIGINT) AS recording_id, true AS several, true AS in_order, true AS checked FROM nation WHERE n_nationkey % 5 <> 4""")
