@@ -3,10 +3,11 @@
 Two texts are near copies if the Jaccard similarity of their sets of five-word runs is at least
 0.8. A text with a group of near copies is found in three steps:
 
-1. Eight fingerprints of the distinct runs make a 512-bit signature. Bands of bits are drawn from
-   it; signatures that agree in one block of a band share a trie of the band's bits, whose node
+1. Eight fingerprints of the distinct runs make a 512-bit signature. Bands of 64 bits are drawn from
+   it; signatures that agree in a band's first bits share a trie of the others, whose node
    pairs are walked down together within a budget of differing bits. What the tries let through
-   is filtered by all bits and by the numbers of runs; pairs that span each trie's components go on.
+   is filtered by 64 more bits and by the numbers of runs; pairs that span each trie's components go on. A text sends its number and
+   128 bits to each of its tries. How many bands there are, and how wide they are, follows from the similarity and the recall alone.
 2. The components of these are families: of texts that may be near copies of each other. Families
    are cut into blocks of bounded size, and inside a block all sets are compared exactly.
 3. In a family of several blocks, one member of each group so found is compared with those of the
@@ -22,7 +23,7 @@ pass through, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from math import acos, ceil, comb, log, log2, pi
+from math import acos, ceil, comb, log, pi
 
 import numpy as np
 import pyarrow as pa
@@ -49,81 +50,88 @@ def flip_share(similarity: float) -> float:
     return acos(2 * similarity / (1 + similarity)) / pi
 
 
-def near_signatures(a: np.ndarray, b: np.ndarray, similarity: float, grace: float = 3.0) -> np.ndarray:
-    """Which pairs of signatures may be of sets whose Jaccard similarity is that high; exact sets decide later.
+def most_errors(similarity: float, bits: int, missed: float = 0.005) -> int:
+    """The least budget of differing bits that so small a share of the pairs at the similarity exceeds."""
+    flip, held, k = flip_share(similarity), 0.0, -1
+    while held < 1 - missed:
+        k += 1
+        held += comb(bits, k) * flip**k * (1 - flip) ** (bits - k)
+    return k
+
+
+def near_prints(a: np.ndarray, b: np.ndarray, m: np.ndarray, n: np.ndarray, similarity: float, grace: float = 3.0) -> np.ndarray:
+    """Which pairs of prints (rows of 64-bit words) may be of sets, of m and n runs, whose Jaccard similarity is that high; exact sets decide later.
 
     The numbers of runs bound it exactly (the smaller over the larger), and tell the angle of
     two such sets; the differing bits are let exceed what is expected there by ``grace`` standard deviations.
     Sets of under 32 runs, whose bits are no normal sample, may differ in 0.3 of the bits.
     """
-    bits = 64 * WORDS
-    m, n = (x[:, WORDS].astype(float) for x in (a, b))
+    bits, m, n = 64 * a.shape[1], m.astype(float), n.astype(float)
     least, most = np.minimum(m, n), np.maximum(m, n)
     cosine = similarity * (m + n) / ((1 + similarity) * np.sqrt(np.maximum(m * n, 1)))
     share = np.arccos(np.clip(cosine, 0, 1)) / np.pi
-    differ = np.bitwise_count(a[:, :WORDS] ^ b[:, :WORDS]).sum(axis=1, dtype=np.int64)
+    differ = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
     limit = bits * share + grace * np.sqrt(bits * share * (1 - share))
     return (least / np.maximum(most, 1) >= similarity) & (differ <= np.where(least < 32, np.maximum(limit, 0.3 * bits), limit))
 
 
-def proposals(nodes: DataFrame, similarity: float = 0.8, recall: float = 0.95, errors: int = 3, trie_rows: int = 50_000) -> DataFrame:
+def proposals(nodes: DataFrame, similarity: float = 0.8, recall: float = 0.95, block: int = 20, trie_rows: int = 50_000) -> DataFrame:
     """(a, b), a < b: pairs of ids that span the components of what the tries propose. nodes: id and sig.
 
-    Two that differ in at most ``errors`` bits of a band agree in one of its blocks, where the band's
-    trie is joined. Blocks widen with the number of nodes (up to 16 bits), so tries stay small, and so many
-    bands are drawn that ``recall`` of the pairs at the similarity itself share one; tries that are
-    large all the same are cut (see split_hot).
+    Two that agree in the ``block`` first bits of a band, which one in a million of different texts do by chance, meet in
+    its trie. So many bands are drawn that ``recall`` of the pairs at the similarity itself share one and keep the
+    budget there; tries that are large all the same are cut (see split_hot).
     """
-    bits, flip = 64 * WORDS, flip_share(similarity)
-    width = min(16, max(8, ceil(log2(max(nodes.count(), 2) / 4000))))
-    band = width * (errors + 1)
-    hit = sum(comb(band, k) * flip**k * (1 - flip) ** (band - k) for k in range(errors + 1))
-    bands = max(1, ceil(log(1 - recall) / log(1 - hit)))
-    places = [np.random.default_rng(t).choice(bits, band, replace=False) for t in range(bands)]
-
-    def keyed(sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        raw = np.unpackbits(np.ascontiguousarray(sig[:, :WORDS]).view(np.uint8), axis=1)
+    errors = most_errors(similarity, 64 - block)
+    hit = (1 - flip_share(similarity)) ** block * 0.99
+    bands = ceil(log(1 - recall) / log(1 - hit))
+    # a band's bits come from the words other than the one that goes along with them
+    places = [np.random.default_rng(t).choice(np.setdiff1d(np.arange(64 * WORDS), np.arange(64) + t % WORDS * 64), 64, replace=False) for t in range(bands)]
+    top = np.uint64(64 - block)
+
+    def keyed(sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        raw = np.unpackbits(np.ascontiguousarray(sig[:, :WORDS]).astype(">u8", order="C").view(np.uint8), axis=1)
         for t, at in enumerate(places):
-            own = np.zeros((len(sig), 64), np.uint8)
-            own[:, :band] = raw[:, at]
-            value = np.packbits(own, axis=1).view(">u8").ravel().astype(np.uint64)
-            for k in range(errors + 1):
-                block = value >> np.uint64(64 - (k + 1) * width) & np.uint64((1 << width) - 1)
-                yield mix(block + np.uint64((t * 64 + k + 1) << 32)).view(np.int64), value.view(np.int64)
+            value = np.ascontiguousarray(np.packbits(raw[:, at], axis=1)).view(">u8").ravel().astype(np.uint64)
+            yield mix((value >> top) + np.uint64((t + 1) << 32)).view(np.int64), value.view(np.int64), sig[:, t % WORDS].view(np.int64)
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for g, value in keyed(_signatures(b.column(1))):
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(value), *b.columns], names=["g", "value", "id", "sig"])
+            sig = _signatures(b.column(1))
+            size = pa.array(np.minimum(sig[:, WORDS], np.uint64(2**31 - 1)).astype(np.int32))
+            for g, value, more in keyed(sig):
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(value), pa.array(np.ascontiguousarray(more)), size, b.column(0)], names=["g", "value", "more", "size", "id"])
 
     def tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for g, _ in keyed(_signatures(b.column(0))):
+            for g, _, _ in keyed(_signatures(b.column(0))):
                 names, n = np.unique(g, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(n)], names=["g", "n"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = ((b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().view(np.uint64), b.column(3).to_numpy(), _signatures(b.column(4))) for b in batches)
-        for g, side, value, ids, sig in whole_groups(parts, 100_000):
+        parts = (tuple(c.to_numpy() for c in b.columns) for b in batches)
+        for g, side, value, more, size, ids in whole_groups(parts, 100_000):
+            value = value.view(np.uint64)
             order = np.lexsort((value, side, g))
-            sig, ids = sig[order], ids[order]
+            prints, size, ids = np.column_stack([value, more.view(np.uint64)])[order], size[order], ids[order]
             found: list[tuple[np.ndarray, np.ndarray]] = []
 
-            def near(a: np.ndarray, b: np.ndarray, sig=sig, ids=ids, found=found) -> np.ndarray:
-                ok = near_signatures(sig[a], sig[b], similarity)
+            def near(a: np.ndarray, b: np.ndarray, prints=prints, size=size, ids=ids, found=found) -> np.ndarray:
+                ok = near_prints(prints[a], prints[b], size[a], size[b], similarity)
                 x, y = ids[a[ok]], ids[b[ok]]
                 found.append((np.minimum(x, y), np.maximum(x, y)))
                 return ok
 
-            trie_join(g[order], side[order], value[order], errors, levels=band, near=near)
+            trie_join(g[order], side[order], prints[:, 0], errors, near=near)
             if found:
                 a, b = (np.concatenate(x) for x in zip(*found, strict=True))
                 keep = _spanning(a, b)
                 yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
-    counts = nodes.select("sig").mapInArrow(tally, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-    grouped = split_hot(nodes.select("id", "sig").mapInArrow(deal, "g long, value long, id long, sig array<long>"), counts, trie_rows, "id")
-    dealt = grouped.select("g", F.col("side").cast("int"), "value", "id", "sig").repartition("g").sortWithinPartitions("g")
+    counts = nodes.select("sig").mapInArrow(tally, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") > 1)
+    own = nodes.select("id", "sig").mapInArrow(deal, "g long, value long, more long, size int, id long")
+    grouped = split_hot(own, counts, trie_rows, "id")
+    dealt = grouped.select("g", F.col("side").cast("int"), "value", "more", "size", "id").repartition("g").sortWithinPartitions("g")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
