@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, mix, powers, text_slices, word_bounds, word_hashes, written
+from .common import checkpoint, mix, powers, remove, scratch, stored, text_slices, word_bounds, word_hashes, written
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -125,8 +125,8 @@ def _distinct(b: pa.RecordBatch, window: int) -> Iterator[tuple[np.ndarray, pa.A
         yield times[a:e], own.column(1).slice(a, e - a), own.column(2).slice(a, e - a), Words.of(data, offsets, window)
 
 
-def looked_at(texts: DataFrame, asked: DataFrame, keep: tuple[str, ...], with_text: bool) -> DataFrame:
-    """keep, k, c, n_words, and of texts with repeated seeds the text and these seeds, of others the digest of all words (and the words, if with_text). Written."""
+def looked_at(texts: DataFrame, asked: DataFrame, keep: tuple[str, ...], with_text: bool, path: str) -> DataFrame:
+    """keep, k, c, n_words, and of texts with repeated seeds the text and these seeds, of others the digest of all words (and the words, if with_text). Written at a path."""
     own = texts.join(asked, ["k", "c"], "left").select(*keep, "k", "c", "seeds", "text")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
 
@@ -148,13 +148,13 @@ def looked_at(texts: DataFrame, asked: DataFrame, keep: tuple[str, ...], with_te
             text = pc.if_else(open_, b.column(b.num_columns - 1), pa.scalar(None, b.column(b.num_columns - 1).type))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], text, pa.array(count), pa.array(digest, pa.string()), pa.array(whole, pa.string())], names=[*b.schema.names, "n_words", "digest", "kept_text"])
 
-    return written(own.mapInArrow(run, f"{kinds}, n_words long, digest string, kept_text string"), "substrings")
+    return stored(own.mapInArrow(run, f"{kinds}, n_words long, digest string, kept_text string"), path)
 
 
-def pieces(held: DataFrame, window: int) -> DataFrame:
+def pieces(held: DataFrame, window: int, path: str) -> DataFrame:
     """(s, t, k, c, pos, m, u, v, e, f, w): pieces of m edges at word pos of text (k, c), which occurs w times in its batch.
 
-    s and t are the digest of the words, u and v the nodes at the ends, e and f the hashes of the edges.
+    s and t are the digest of the words, u and v the nodes at the ends, e and f the hashes of the edges. Written at a path.
     """
     kinds = "s long, t long, k long, c int, pos int, m int, u long, v long, e array<long>, f array<int>, w long"
 
@@ -182,7 +182,7 @@ def pieces(held: DataFrame, window: int) -> DataFrame:
                     pa.ListArray.from_arrays(bounds, pa.array(edge[inner].view(np.int64))), pa.ListArray.from_arrays(bounds, pa.array((check[inner] >> np.uint64(32)).astype(np.uint32).view(np.int32))), pa.array(times[row].astype(np.int64)),
                 ], names=["s", "t", "k", "c", "pos", "m", "u", "v", "e", "f", "w"])
 
-    return written(held.where("seeds IS NOT NULL").select("text", "k", "c", "seeds").mapInArrow(run, kinds), "pieces")
+    return stored(held.where("seeds IS NOT NULL").select("text", "k", "c", "seeds").mapInArrow(run, kinds), path)
 
 
 def compacted(arcs: DataFrame) -> DataFrame:
@@ -192,7 +192,8 @@ def compacted(arcs: DataFrame) -> DataFrame:
     that also follow each other at their sources are joined there first, to stretches. Then, each round, every
     open stretch points on to where the one it points to points, so rounds are the logarithm of the most stretches of a
     path. As long as a path has open stretches, each round closes some; what is open after a round that
-    closed none lies on circles, which have no first arc, and points to some arc there.
+    closed none lies on circles, which have no first arc: there the path is the least id of the circle's stretches, which
+    doubling finds as well.
     """
     alone = lambda c, name: arcs.groupBy(c).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias(name)).where("n = 1").select(F.col(c).alias("node"), name)
     before = alone("u", "id").join(alone("v", "prev"), "node").where("id != prev").select("id", "prev")
@@ -202,13 +203,20 @@ def compacted(arcs: DataFrame) -> DataFrame:
     placed = checkpoint(arcs.join(before, "id", "left").withColumn("head", head).select("id", "prev", "head", stretch.alias("stretch")))
     joined = placed.where("head").select(F.col("id").alias("own"), "prev").join(placed.select(F.col("id").alias("prev"), F.col("stretch").alias("to")), "prev", "left")
     state = checkpoint(joined.select(F.col("own").alias("id"), F.coalesce("to", "own").alias("path"), F.col("to").isNull().alias("done")))
-    parts, open_ = state.rdd.getNumPartitions(), state.where("NOT done").count()
+    start, parts, open_ = state, state.rdd.getNumPartitions(), state.where("NOT done").count()
     while open_:
         ahead = state.select(F.col("id").alias("path"), F.col("path").alias("further"))
         stepped = state.where("NOT done").join(ahead, "path").select("id", F.col("further").alias("path"), (F.col("path") == F.col("further")).alias("done"))
         state, last = checkpoint(state.where("done").unionByName(stepped).coalesce(parts)), open_
         open_ = state.where("NOT done").count()
         if open_ == last:
+            ring = checkpoint(start.join(state.where("NOT done").select("id"), "id", "left_semi").select("id", "path", F.col("id").alias("least")))
+            moved = 1
+            while moved:  # until looking twice as far shows nothing smaller to any
+                ahead = ring.select(F.col("id").alias("path"), F.col("path").alias("further"), F.col("least").alias("there"))
+                ring = checkpoint(ring.join(ahead, "path").select("id", F.col("further").alias("path"), F.least("least", "there").alias("least"), (F.col("there") < F.col("least")).alias("moved")).coalesce(parts))
+                moved = ring.where("moved").count()
+            state = state.where("done").select("id", "path").unionByName(ring.select("id", F.col("least").alias("path")))
             break
     return placed.select("id", F.col("stretch").alias("own")).join(state.select(F.col("id").alias("own"), "path"), "own").select("id", "path")
 
@@ -217,27 +225,34 @@ def mark(docs: DataFrame, window: int = 35, keep: tuple[str, ...] = ("doc_id",),
     """keep, n_words, n_removed, kept_sha256 and repeated_spans; with_text adds kept_text.
 
     Spans are of words, last exclusive, in order; path is the same number wherever spans lie on the same path of
-    the graph, and null for what only ends of passages have in common.
+    the graph, and null for what only ends of passages have in common. The result is a written table; the tables it is made of go.
     """
+    with scratch(docs.sparkSession, "substrings") as at:
+        return written(_marked(docs, window, keep, with_text, at), "substring-result")
+
+
+def _marked(docs: DataFrame, window: int, keep: tuple[str, ...], with_text: bool, at: str) -> DataFrame:
+    """The result of ``mark``, which reads tables below a folder."""
     text = F.coalesce("text", F.lit(""))
     texts = docs.select(*keep, text.alias("text"), F.xxhash64(text).alias("k"), F.hash(text).alias("c"))
     repeated = checkpoint(seed_counts(texts, window).where("n > 1").select("seed"))
     asked = checkpoint(text_seeds(texts, window).join(repeated, "seed").groupBy("k", "c").agg(F.collect_set("seed").alias("seeds")))
-    held = looked_at(texts, asked, keep, with_text)
-    found = pieces(held, window)
+    held = looked_at(texts, asked, keep, with_text, f"{at}/texts")
+    found = pieces(held, window, f"{at}/pieces")
 
     counted = found.groupBy("s", "t").agg(F.sum("w").alias("n"), F.min("u").alias("u"), F.min("v").alias("v"), F.min(F.struct("k", "c", "pos")).alias("source"))
     arcs = checkpoint(counted.where("n > 1").select(F.monotonically_increasing_id().alias("id"), "s", "t", "u", "v", "source.*"))
     paths = arcs.select("id", "s", "t").join(compacted(arcs.drop("s", "t")), "id").select("s", "t", "path")
-    placed = found.select("s", "t", "k", "c", "pos", "m").join(written(paths, "paths"), ["s", "t"])
+    placed = found.select("s", "t", "k", "c", "pos", "m").join(stored(paths, f"{at}/paths"), ["s", "t"])
     whole = placed.select("k", "c", F.struct(F.col("pos").cast("long").alias("first"), (F.col("pos") + F.col("m") + (window - 1)).cast("long").alias("last"), "path").alias("span"))
 
     edges = found.select("w", F.explode(F.arrays_zip("e", "f")).alias("x")).groupBy("x.e", "x.f").agg(F.sum("w").alias("n"))
-    edges = written(edges.where("n > 1").select("e", "f"), "edges")
+    edges = stored(edges.where("n > 1").select("e", "f"), f"{at}/edges")
     once = found.where("w = 1").join(arcs.select("s", "t"), ["s", "t"], "left_anti").select("k", "c", "pos", F.posexplode(F.arrays_zip("e", "f")).alias("i", "x"))
     once = once.select("k", "c", (F.col("pos") + F.col("i")).cast("long").alias("first"), "x.e", "x.f").join(edges, ["e", "f"])
     ends = once.select("k", "c", F.struct("first", (F.col("first") + window).alias("last"), F.lit(None).cast("long").alias("path")).alias("span"))
-    spans = written(whole.unionByName(ends).groupBy("k", "c").agg(F.collect_set("span").alias("spans")), "spans")
+    spans = stored(whole.unionByName(ends).groupBy("k", "c").agg(F.collect_set("span").alias("spans")), f"{at}/spans")
+    remove(docs.sparkSession, f"{at}/pieces")
 
     opened = held.where("seeds IS NOT NULL").join(spans, ["k", "c"], "left").select(*keep, "n_words", "spans", "text")
     out = covered(opened, with_text)
