@@ -59,14 +59,14 @@ def most_errors(similarity: float, bits: int, missed: float = 0.005) -> int:
     return k
 
 
-def near_prints(a: np.ndarray, b: np.ndarray, m: np.ndarray, n: np.ndarray, similarity: float, grace: float = 3.0) -> np.ndarray:
-    """Which pairs of prints (rows of 64-bit words) may be of sets, of m and n runs, whose Jaccard similarity is that high; exact sets decide later.
+def near_prints(a: np.ndarray, b: np.ndarray, m: np.ndarray, n: np.ndarray, bits: int, similarity: float, grace: float = 3.0) -> np.ndarray:
+    """Which pairs of prints (rows of 64-bit words, so many bits in use) may be of sets, of m and n runs, whose Jaccard similarity is that high; exact sets decide later.
 
     The numbers of runs bound it exactly (the smaller over the larger), and tell the angle of
     two such sets; the differing bits are let exceed what is expected there by ``grace`` standard deviations.
     Sets of under 32 runs, whose bits are no normal sample, may differ in 0.3 of the bits.
     """
-    bits, m, n = 64 * a.shape[1], m.astype(float), n.astype(float)
+    m, n = m.astype(float), n.astype(float)
     least, most = np.minimum(m, n), np.maximum(m, n)
     cosine = similarity * (m + n) / ((1 + similarity) * np.sqrt(np.maximum(m * n, 1)))
     share = np.arccos(np.clip(cosine, 0, 1)) / np.pi
@@ -93,7 +93,7 @@ def proposals(nodes: DataFrame, similarity: float = 0.8, recall: float = 0.95, b
         raw = np.unpackbits(np.ascontiguousarray(sig[:, :WORDS]).astype(">u8", order="C").view(np.uint8), axis=1)
         for t, at in enumerate(places):
             value = np.ascontiguousarray(np.packbits(raw[:, at], axis=1)).view(">u8").ravel().astype(np.uint64)
-            yield mix((value >> top) + np.uint64((t + 1) << 32)).view(np.int64), value.view(np.int64), sig[:, t % WORDS].view(np.int64)
+            yield ((value >> top) + np.uint64(t << block)).view(np.int64), (value << np.uint64(block)).view(np.int64), sig[:, t % WORDS].view(np.int64)
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -117,12 +117,12 @@ def proposals(nodes: DataFrame, similarity: float = 0.8, recall: float = 0.95, b
             found: list[tuple[np.ndarray, np.ndarray]] = []
 
             def near(a: np.ndarray, b: np.ndarray, prints=prints, size=size, ids=ids, found=found) -> np.ndarray:
-                ok = near_prints(prints[a], prints[b], size[a], size[b], similarity)
+                ok = near_prints(prints[a], prints[b], size[a], size[b], 128 - block, similarity)
                 x, y = ids[a[ok]], ids[b[ok]]
                 found.append((np.minimum(x, y), np.maximum(x, y)))
                 return ok
 
-            trie_join(g[order], side[order], prints[:, 0], errors, near=near)
+            trie_join(g[order], side[order], prints[:, 0], errors, levels=64 - block, near=near)
             if found:
                 a, b = (np.concatenate(x) for x in zip(*found, strict=True))
                 keep = _spanning(a, b)
@@ -282,9 +282,9 @@ def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     Sets of runs are known by 64-bit hashes and a set as a whole by 128 bits, so that no two different sets are taken for one.
     """
-    key, check, nth = fresh(docs, "text_key", "text_check", "nth")
+    key, check, own_key, nth = fresh(docs, "text_key", "text_check", "doc_key", "nth")
     hashed = lambda c, *salt: F.xxhash64(*salt, F.coalesce(c, F.lit("")))
-    keyed = docs.withColumns({key: hashed("text"), check: hashed("text", F.lit(7))})
+    keyed = docs.withColumns({key: hashed("text"), check: hashed("text", F.lit(7)), own_key: F.xxhash64("doc_id")})
     own = docs.select("doc_id", hashed("text").alias("k"), hashed("text", F.lit(7)).alias("c"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -320,7 +320,8 @@ def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     linked = similar_roots(families, sets, similarity, rows)
 
     named = nodes.select("id", "least").join(linked, nodes["id"] == linked["node"], "left")
-    first = named.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("least").alias("x")).select("x.d", F.col("x.k").alias("wk"), F.col("x.c").alias("wc"))
-    kept = keyed.join(first, keyed["doc_id"].eqNullSafe(first["d"]) & (keyed[key] == first["wk"]) & (keyed[check] == first["wc"]), "left_semi")
-    once = Window.partitionBy("doc_id", key, check).orderBy(F.lit(0))
+    first = named.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("least").alias("x")).select("x.d", F.col("x.k").alias("wk"), F.col("x.c").alias("wc"), F.xxhash64("x.d").alias("wd"))
+    same = (keyed[own_key] == first["wd"]) & (keyed[key] == first["wk"]) & (keyed[check] == first["wc"])  # so the join's partitions serve the window too
+    kept = keyed.join(first, same & F.coalesce(keyed["doc_id"] == first["d"], keyed["doc_id"].isNull() & first["d"].isNull()), "left_semi")
+    once = Window.partitionBy(own_key, key, check, "doc_id").orderBy(F.lit(0))
     return kept.withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1).select(*docs.columns)
