@@ -13,14 +13,14 @@ gives none. A text is taken whole: a very long one needs some forty times its si
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold_case, mix, plus, span_hashes, text_slices, word_bounds, word_hashes
+from .common import checkpoint, fold_case, mix, plus, span_hashes, text_slices, word_bounds, word_hashes
 
 _SKIPS = (1, 2, 3)
 #: Bytes of the word beginnings that count as stems of inflected words.
@@ -37,13 +37,20 @@ _BREAK[np.r_[48:58, 65:91, 97:123, 128:256]] = False
 
 @dataclass(frozen=True)
 class FtrlParams:
-    """``max_rows`` and ``max_bytes`` bound the labelled sample that the fit reads; it is passed at least three times, and a small one until ``steps`` updates are made."""
+    """``max_rows`` and ``max_bytes`` bound the labelled sample that the fit reads; it is passed at least three times, and a small one until ``steps`` updates are made.
+
+    Rate (alpha) and penalty (l1) are those of ``grid`` with the best mean of the two labels' shares told right at
+    ``threshold``, over ``folds`` folds of the sample; of equal ones the first. An empty grid leaves alpha and l1 as given.
+    """
 
     bits: int = 20
     alpha: float = 2.0
     beta: float = 1.0
     l1: float = 4.0
     l2: float = 0.01
+    grid: tuple[tuple[float, float], ...] = ((0.5, 4.0), (2.0, 4.0), (0.5, 1.0), (2.0, 1.0))
+    folds: int = 2
+    threshold: float = 0.7
     steps: int = 18_000
     max_rows: int = 6_000
     max_bytes: int = 32 << 20
@@ -132,7 +139,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, usable: Column, p: Ftr
 
     Of several labels for one doc_id the largest counts; rows without label, key or text teach nothing.
     """
-    sample = labelled_rows(docs, labels, label, usable, p.max_rows, p.max_bytes).dropDuplicates(["rank"])
+    sample = checkpoint(labelled_rows(docs, labels, label, usable, p.max_rows, p.max_bytes).dropDuplicates(["rank"]))
+    p = chosen(sample, p)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [b for b in batches if b.num_rows]
@@ -147,6 +155,30 @@ def train(docs: DataFrame, labels: DataFrame, label: str, usable: Column, p: Ftr
     return LinearModel(p.bits, got["bias"][0].as_py(), flat("index").astype(np.int64), flat("weight"))
 
 
+def chosen(sample: DataFrame, p: FtrlParams) -> FtrlParams:
+    """p with the rate and penalty that cross-validation on the sample (rank, text, label) picks; a task for each pair of them and fold."""
+
+    def judge(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rank")
+        job, texts, y = table["job"][0].as_py(), table["text"].to_pylist(), table["label"].to_numpy().astype(float)
+        alpha, l1 = p.grid[job // p.folds]
+        out = table["rank"].to_numpy() % p.folds == job % p.folds
+        model = fit([t for t, o in zip(texts, out.tolist(), strict=True) if not o], y[~out], replace(p, alpha=alpha, l1=l1))
+        said = score_column(model, pa.array([t for t, o in zip(texts, out.tolist(), strict=True) if o], pa.string()), model.dense()) >= p.threshold
+        return pa.table({"job": [job] * 2, "label": [0, 1], "right": [int((said[y[out] == k] == k).sum()) for k in (0, 1)], "n": [int((y[out] == k).sum()) for k in (0, 1)]})
+
+    if len(p.grid) < 2:
+        return replace(p, alpha=p.grid[0][0], l1=p.grid[0][1]) if p.grid else p
+    jobs = sample.withColumn("job", F.explode(F.sequence(F.lit(0), F.lit(len(p.grid) * p.folds - 1))))
+    told = jobs.repartition(len(p.grid) * p.folds, "job").groupBy("job").applyInArrow(judge, "job long, label long, right long, n long").collect()  # two rows for each job
+    right, n = np.zeros((len(p.grid), 2)), np.zeros((len(p.grid), 2))
+    for r in told:
+        right[r["job"] // p.folds, r["label"]] += r["right"]
+        n[r["job"] // p.folds, r["label"]] += r["n"]
+    alpha, l1 = p.grid[int(np.argmax((right / np.maximum(n, 1)).sum(axis=1)))]
+    return replace(p, alpha=alpha, l1=l1)
+
+
 def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, usable: Column, max_rows: int, max_bytes: int) -> DataFrame:
     """(rank, text, label) of a bounded sample of labelled documents, once each: the first by a hash of the key, as
     long as all their texts together have at most ``max_bytes``. Only keys and lengths are sorted.
