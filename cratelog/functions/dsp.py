@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
+from math import gcd
 
 import numpy as np
 
@@ -289,16 +290,22 @@ def resample_reach(rate: int, wanted: int, reach: int = 16) -> int:
     return int(np.ceil(reach / min(1.0, wanted / rate)))
 
 
+@lru_cache(maxsize=8)
+def _sinc_table(rate: int, wanted: int) -> np.ndarray:
+    """The windowed sinc of each place between samples that an output sample can have."""
+    scale, half, places = min(1.0, wanted / rate), resample_reach(rate, wanted), wanted // gcd(rate, wanted)
+    off = np.arange(places)[:, None] / places - np.arange(-half, half + 1)
+    return scale * np.sinc(scale * off) * np.where(np.abs(off) <= half, 0.5 + 0.5 * np.cos(np.pi * off / half), 0)
+
+
 def resample_at(y: np.ndarray, rate: int, wanted: int, first: int, last: int, origin: int = 0, block: int = 1 << 16) -> np.ndarray:
     """Samples first to last at another rate, of a signal of which y is the part from frame ``origin`` on; silence beyond it."""
-    scale, half, out = min(1.0, wanted / rate), resample_reach(rate, wanted), [np.zeros(0)]
-    pad, steps = np.pad(np.asarray(y, float), half + 1), np.arange(-half, half + 1)
+    half, out, table = resample_reach(rate, wanted), [np.zeros(0)], _sinc_table(rate, wanted)
+    step, places = rate // gcd(rate, wanted), len(table)
+    near = np.lib.stride_tricks.sliding_window_view(np.pad(np.asarray(y, float), half + 1), 2 * half + 1)
     for k in range(first, last, block):
-        at = np.arange(k, min(last, k + block)) * rate / wanted
-        whole = np.floor(at).astype(np.int64)
-        off = at[:, None] - (whole[:, None] + steps)
-        weights = scale * np.sinc(scale * off) * np.where(np.abs(off) <= half, 0.5 + 0.5 * np.cos(np.pi * off / half), 0)
-        out.append((pad[whole[:, None] - origin + steps + half + 1] * weights).sum(axis=1))
+        at = np.arange(k, min(last, k + block), dtype=np.int64) * step
+        out.append(np.einsum("ij,ij->i", near[at // places - origin + 1], table[at % places]))
     return np.concatenate(out)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from .functions import arithmetic, signal, tags, text
 from .operators import audio, catalogue, exports, loops, manifest, segments, symbolic, vocal
 from .plans import chain
 from .queries import _BEATS, _BUF, _ON, _beats, _buffers, _onsets, query
-from .session import table
+from .session import shared_folder, table
 from .sources import wav
 from .streaming import capture
 
@@ -429,12 +431,18 @@ def joined_stabs(spark: SparkSession, d: str) -> DataFrame:
 # --- made-up audio: the SQL says what must be found in it ----------------------------------------
 
 
+def _kept(rows: DataFrame) -> DataFrame:
+    """rows as a written table, as stages read audio several times."""
+    rows.write.parquet(path := f"{shared_folder(rows.sparkSession)}/audio-{uuid.uuid4().hex}")
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _loops(spark: SparkSession, d: str) -> DataFrame:
     """A 16-beat loop at 8 kHz for each nation, at 80, 100, 120, 140 or 160 beats a minute."""
     key, y = F.col("n_nationkey"), F.array().cast("array<double>")
     for k, bpm in enumerate((80, 100, 120, 140, 160)):
         y = F.when(key % 5 == k, wav.beat_loop(bpm, 16, 8000)).otherwise(y)
-    return table(spark, d, "nation").select(key.cast("bigint").alias("recording_id"), F.lit(8000).alias("sample_rate"), y.alias("samples"))
+    return _kept(table(spark, d, "nation").select(key.cast("bigint").alias("recording_id"), F.lit(8000).alias("sample_rate"), y.alias("samples")))
 
 
 _BPM = "(80 + 20 * (n_nationkey % 5))"
@@ -487,8 +495,8 @@ def vocal_chops(spark: SparkSession, d: str) -> DataFrame:
 def sample_packs(spark: SparkSession, d: str) -> DataFrame:
     """The whole workflow from audio to checked, faded slices: several a loop, all inside it. Nothing of the recordings that are one clipped hum passes the gate."""
     hum = F.transform(F.sequence(F.lit(0), F.lit(31_999)), lambda i: F.when(F.floor(i / 40) % 2 == 0, 1.0).otherwise(0.9) * F.when(i % 8000 < 4000, 1.0).otherwise(0.995))
-    buffers = _loops(spark, d).withColumn("samples", F.when(F.col("recording_id") % 5 == 4, hum).otherwise(F.col("samples")))
+    buffers = _kept(_loops(spark, d).withColumn("samples", F.when(F.col("recording_id") % 5 == 4, hum).otherwise(F.col("samples"))))
     recordings = buffers.select("recording_id", F.lit("take").alias("base"), "sample_rate", F.size("samples").cast("bigint").alias("n_samples"))
-    rows = chain.workflows(recordings, buffers).run("SamplePack", buffers).data
+    rows = chain.workflows(recordings, buffers).run("SamplePack", buffers, {"onset_detection": {"sr": None}}).data
     inside = (F.col("first_sample") >= 0) & (F.size("samples") == F.col("last_sample") - F.col("first_sample")) & (F.get("samples", F.lit(0)) == 0)
     return rows.groupBy("recording_id").agg((F.count(F.lit(1)) >= 8).alias("several"), F.bool_and(inside).alias("in_order"), F.bool_and((F.col("qc_status") == "passed") & F.col("score").between(0.5, 1.0)).alias("checked"))
