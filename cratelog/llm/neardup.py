@@ -124,9 +124,7 @@ def proposals(nodes: DataFrame, similarity: float = 0.8, recall: float = 0.95, b
 
             trie_join(g[order], side[order], prints[:, 0], errors, levels=64 - block, near=near)
             if found:
-                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-                keep = _spanning(a, b)
-                yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _stars(*(np.concatenate(x) for x in zip(*found, strict=True)))], names=["a", "b"])
 
     counts = nodes.select("sig").mapInArrow(tally, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") > 1)
     own = nodes.select("id", "sig").mapInArrow(deal, "g long, value long, more long, size int, id long")
@@ -139,6 +137,15 @@ def _signatures(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().reshape(-1, WORDS + 1).view(np.uint64)
 
 
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each end of the pairs, the smallest of its component, where that is another; so bands that find one family say much the same."""
+    ids, ends = np.unique(np.r_[a, b], return_inverse=True)
+    labels = Labels(len(ids))
+    labels.add(ends[: len(a)], ends[len(a) :])
+    root = ids[labels.of]
+    return root[root != ids], ids[root != ids]
+
+
 def _spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Indices of pairs that span the components of all of them, without cycles."""
     if not len(a):
