@@ -51,3 +51,29 @@ def test_a_path_is_one_span(spark):
     assert [len(x) for x in inner] == [1, 1] and inner[0][0].path == inner[1][0].path
     assert inner[0][0].last - inner[0][0].first > 330 and got[1].n_removed == got[2].n_removed == 400 and got[3].n_removed == 0
     assert passage not in got[1].kept_text and len(got[2].kept_text.split()) == 10
+
+
+def test_digests_that_meet_change_nothing(spark):
+    """Pieces told by two bits at first: spans are compared with their source, so the result is that of whole digests."""
+    import random
+
+    rng = random.Random(2)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    shared = [words(90) for _ in range(6)]
+    rows = [(i, " ".join([words(rng.randint(0, 40)), *rng.sample(shared, rng.randint(0, 3)), words(20)])) for i in range(30)]
+    docs = spark.createDataFrame([*rows, (30, rows[0][1]), (31, None), (32, "")], "doc_id int, text string")
+    plain = {r.doc_id: (r.n_removed, r.kept_sha256) for r in debruijn.mark(docs).collect()}
+    assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in debruijn.mark(docs, digest_bits=2).collect()} == plain
+    assert sum(n > 0 for n, _ in plain.values()) > 10
+
+
+def test_claims_follow_a_stretch(spark):
+    """Arcs that follow each other in a text and at their source are one claim; a gap, a jump or another stretch begins a new one."""
+    rows = [(1, 0, p, 10, 5, 8, 0, 20, p) for p in (0, 10, 20)]  # along the stretch
+    rows += [(1, 0, 50, 10, 5, 8, 0, 20, 0), (1, 0, 60, 10, 5, 8, 0, 20, 20)]  # leaves one out
+    rows += [(2, 0, 7, 10, 5, 8, 0, 20, 10), (2, 0, 17, 10, 5, 9, 0, 0, 0), (2, 0, 17, 10, 5, 9, 0, 0, 0)]  # goes over to another source; a row twice
+    placed = spark.createDataFrame(rows, "k long, c int, pos int, m int, path long, sk long, sc int, spos int, off int")
+    import tempfile
+
+    got = debruijn.claims(placed, 35, tempfile.mkdtemp(prefix="spark-") + "/claims")
+    assert {(r.k, r.first, r.last, r.sk, r.off) for r in got.collect()} == {(1, 0, 64, 8, 0), (1, 50, 94, 8, 0), (1, 60, 104, 8, 20), (2, 7, 51, 8, 10), (2, 17, 61, 9, 0)}
