@@ -2,7 +2,8 @@
 
 A file is split by its size alone, before anything of it is read. A task reads the file's header, some kilobytes, seeks to the
 chunks whose first bytes lie in its range, and reads no others; so one file is read by several tasks, and
-none holds more than a chunk. Filters on path and first_frame are applied before samples are read.
+none holds more than a chunk. Many small ranges are dealt to few tasks, neighbours to different ones, so there are as many tasks as
+the bytes ask for, not as there are files. Filters on path and first_frame are applied before samples are read.
 """
 
 from __future__ import annotations
@@ -21,8 +22,12 @@ from . import files, riff, wav
 
 #: Bytes of a file that one task reads, unless option ``split`` says otherwise.
 SPLIT = 64 << 20
+#: Tasks among which ranges are dealt if there are more of them; more tasks only if each would get over SPLIT bytes.
+TASKS = 256
 #: Chunks other than the samples are read if they are no larger.
 _SMALL = 1 << 20
+#: Headers in a batch.
+_ROWS = 1024
 
 
 @dataclass
@@ -33,6 +38,18 @@ class Range(InputPartition):
     last: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What one task reads, range by range."""
+
+    ranges: list[Range]
+
+
+def dealt(ranges: list[Range], most: int) -> list[InputPartition]:
+    """Ranges as they are if there are at most so many, else in turn to that many tasks."""
+    return list(ranges) if len(ranges) <= most else [Ranges(ranges[k::most]) for k in range(most)]
+
+
 def read_header(f, size: int) -> dict:
     """As wav.header, from a seekable file, reading chunk heads and small chunks only; also ``chunks``, the bodies read."""
     head = f.read(12)
@@ -89,19 +106,25 @@ class _Reader(DataSourceReader):
         start, _, rest = self.glob.partition("{")
         inner, _, tail = rest.partition("}")
         patterns = [start + x + tail for x in inner.split(",")] if rest else [self.glob]
-        out: list[InputPartition] = []
+        out: list[Range] = []
         for i in sorted(found, key=lambda i: i.path):
             if i.type == fs.FileType.File and any(fnmatch.fnmatch(i.base_name, p) for p in patterns) and self._passes("path", i.path):
                 step = i.size if self.headers else self.split
                 out += [Range(i.path, i.size, a, min(a + step, i.size)) for a in range(0, max(i.size, 1), max(step, 1))]
-        return out
+        return dealt(out, max(TASKS, 0 if self.headers else -(-sum(r.last - r.first for r in out) // SPLIT)))
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         system, _ = files.filesystem(self.path)
+        ranges = partition.ranges if isinstance(partition, Ranges) else [partition]
+        if self.headers:
+            for k in range(0, len(ranges), _ROWS):
+                yield self._headers(system, ranges[k : k + _ROWS])
+            return
+        for r in ranges:
+            yield from self._chunks(system, r)
+
+    def _chunks(self, system: fs.FileSystem, partition: Range) -> Iterator[pa.RecordBatch]:
         with system.open_input_file(partition.path) as f:
-            if self.headers:
-                yield self._header(f, partition)
-                return
             h = read_header(f, partition.size)
             width = h["channels"] * h["bit_depth"] // 8
             whole = max(1, -(-h["frames"] // self.chunk))
@@ -121,15 +144,18 @@ class _Reader(DataSourceReader):
                 kinds = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.float32())]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], names=["path", "chunk", "first_frame", "sample_rate", "channels", "samples"])
 
-    def _header(self, f, partition: Range) -> pa.RecordBatch:
-        try:
-            h, error = read_header(f, partition.size), None
-        except (ValueError, struct.error) as e:
-            h, error = {"tags": {}}, str(e)
-        length = h["frames"] / h["sample_rate"] if h.get("sample_rate") else None
-        row = [partition.path, partition.size, *(h.get(c) for c in ("sample_rate", "channels", "bit_depth", "frames")), length, list(h["tags"].items()), error]
+    def _headers(self, system: fs.FileSystem, ranges: list[Range]) -> pa.RecordBatch:
+        rows = []
+        for r in ranges:
+            try:
+                with system.open_input_file(r.path) as f:
+                    h, error = read_header(f, r.size), None
+            except (ValueError, struct.error) as e:
+                h, error = {"tags": {}}, str(e)
+            length = h["frames"] / h["sample_rate"] if h.get("sample_rate") else None
+            rows.append([r.path, r.size, *(h.get(c) for c in ("sample_rate", "channels", "bit_depth", "frames")), length, list(h["tags"].items()), error])
         kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.map_(pa.string(), pa.string()), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=[c.split()[0] for c in wav.HEADERS.replace("map<string,string>", "map").split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in wav.HEADERS.replace("map<string,string>", "map").split(", ")])
 
 
 class AudioFiles(DataSource):

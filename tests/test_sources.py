@@ -42,6 +42,18 @@ def test_ranges_cover_every_frame_once(spark, folder, chunk, split):
         assert rows.rdd.getNumPartitions() > 100
 
 
+def test_many_small_files_take_few_tasks(spark, tmp_path):
+    """Ranges of a file are dealt to different tasks, but there are no more tasks than TASKS for small files."""
+    for k in range(400):
+        (tmp_path / f"{k}.wav").write_bytes(wav.encode(np.full(64, k / 400), 8000, 16))
+    rows, heads = wav.read_audio(spark, str(tmp_path), chunk=16, split=100), wav.read_headers(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() == heads.rdd.getNumPartitions() == audio_files.TASKS
+    got = rows.groupBy("path").agg(F.sum(F.size("samples")).alias("n"), F.count("*").alias("chunks"))
+    assert got.where("n = 64 AND chunks = 4").count() == got.count() == heads.where("frames = 64 AND error IS NULL").count() == 400
+    parts = audio_files._Reader({"path": str(tmp_path), "split": "100"}, False).partitions()
+    assert all(len({r.path for r in p.ranges}) == len(p.ranges) for p in parts)
+
+
 def test_filters_are_applied_before_reading(spark, folder, monkeypatch):
     d, _ = folder
     rows = wav.read_audio(spark, str(d), "[ab].wav", chunk=1000)
