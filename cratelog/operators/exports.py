@@ -18,7 +18,7 @@ from ..functions.text import base_name, infer_role, role_priority, sanitize, ses
 from ..schema import check_enum, with_defaults
 from ..sources import files as sinks
 from ..sources import wav
-from . import chunks, spectral
+from . import chunks, ordered, spectral
 
 
 def kit_paths(rules: DataFrame, matches: DataFrame, assets: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -237,12 +237,10 @@ def midi_files(notes: DataFrame, key: str, ticks: int = 960, velocity: int | Non
 def generated_rows(files: DataFrame, devices: DataFrame, name: str, now: Column, first_session: int, first_file: int) -> tuple[DataFrame, DataFrame]:
     """Session and MIDI-file rows of generated loops (project_id, label, file_data), in the columns of the catalogue's tables.
 
-    The device is that of the given name, which must be there (see catalogue.upsert_devices).
+    The device is that of the given name, which must be there (see catalogue.upsert_devices). The loops are written once in the
+    order of their numbers, so that both kinds of rows have the same ones.
     """
-    runs = files.repartitionByRange("project_id", "label").sortWithinPartitions("project_id", "label").withColumn("nth_", F.monotonically_increasing_id())
-    run = F.shiftright("nth_", 33)
-    sizes = runs.groupBy(run.alias("run_")).count().withColumn("before_", F.sum("count").over(Window.orderBy("run_")) - F.col("count"))  # a row for each partition
-    numbered = runs.join(F.broadcast(sizes), run == F.col("run_")).withColumn("n_", F.col("before_") + F.col("nth_").bitwiseAND((1 << 33) - 1))
+    numbered = ordered.running(ordered.runs(files, "project_id", "label"), ("project_id", "label"), n_=F.lit(1))
     each = numbered.crossJoin(devices.where(F.col("name") == name).select(F.col("id").alias("device_id")).limit(1))
     stamps = {c: now for c in ("start_time", "end_time", "created_at", "updated_at")}
     sessions = each.select((F.col("n_") + first_session).alias("id"), "project_id", session_name(F.col("label"), now).alias("name"), F.lit("completed").alias("status")).withColumns(stamps)

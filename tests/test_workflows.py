@@ -6,10 +6,11 @@ import zipfile
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cratelog.functions import dsp, signal
-from cratelog.operators import audio, catalogue, exports, loops, symbolic, vocal
+from cratelog.operators import audio, catalogue, exports, loops, ordered, symbolic, vocal
 from cratelog.plans import chain
 from cratelog.sources import wav
 
@@ -108,6 +109,35 @@ def test_kits(spark, tmp_path):
     assert spark.range(1).select(exports.midi_content(F.lit("TVRoZA==")).alias("m")).first().m == b"MThd"
 
 
+def test_generated_rows_are_numbered_in_order(spark):
+    """More loops than are sampled for bounds of ranges: still no number is missing or given twice, and both tables agree."""
+    n = 60_000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    files = spark.range(0, n, 1, 8).select((n - 1 - F.col("id")).alias("project_id"), F.lit("loop").alias("label"), F.base64(F.encode(F.concat(F.lit("x"), n - 1 - F.col("id")), "UTF-8")).alias("file_data"))
+    sessions, rows = exports.generated_rows(files, spark.createDataFrame([(7, "Internal")], "id long, name string"), "Internal", F.lit("2024-05-06 07:08:09").cast("timestamp_ntz"), 500, 100)
+    both = rows.select("id", "capture_session_id", F.col("file_data").cast("string").alias("body")).join(sessions.select(F.col("id").alias("capture_session_id"), "project_id"), "capture_session_id")
+    right = (F.col("body") == F.concat(F.lit("x"), "project_id")) & (F.col("id") == F.col("project_id") + 100) & (F.col("capture_session_id") == F.col("project_id") + 500)
+    found = both.where(right).count()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found == n
+
+
+def test_running_sums_within_keys(spark):
+    rows = spark.range(0, 5000, 1, 7).select((F.col("id") % 3).alias("k"), F.xxhash64("id").alias("at"), (F.col("id") % 10).alias("v"))
+    got = ordered.running(ordered.runs(rows, "k", "at"), ("k", "at"), ("k",), before=F.col("v"), n=F.lit(1))
+    w = Window.partitionBy("k").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    want = rows.select("k", "at", F.coalesce(F.sum("v").over(w), F.lit(0)).alias("before"), F.count("v").over(w).alias("n"))
+    assert sorted(got.select("k", "at", "before", "n").collect()) == sorted(want.collect())
+
+
+def test_mapping_items_of_one_id(spark):
+    """Of two items with one id the first by the next column, in whatever order they come."""
+    samples = spark.createDataFrame([(1,), (2,)], "id long")
+    rows = [(10, 1, 9, 3, 0, 0, 62), (10, 1, 4, 2, 0, 0, 61), (11, 1, 1, 5, 0, 0, 60), (10, 2, 4, 2, 0, 0, 61), (10, 2, 9, 3, 0, 0, 62)]
+    items = spark.createDataFrame(rows, "id long, sample_id long, supplier long, velocity_group_id long, key_range_start int, key_range_end int, root_note int").coalesce(1)
+    assert {(r.sample_id, r.velocity_group_id, r.root_note) for r in catalogue.key_zones(samples, items).collect()} == {(1, 2, 61), (2, 2, 61)}
+
+
 def test_presets_and_folders(spark):
     rows = spark.createDataFrame([(7, "soft", 0, 63, 60, "a.wav", 60, 62), (7, "loud", 64, 127, 60, "b.wav", 60, 62)], "project_id int, group string, lo_vel int, hi_vel int, root_note int, path string, lo_key int, hi_key int")
     xml = exports.preset_files(rows).first().xml
