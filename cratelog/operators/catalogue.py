@@ -55,8 +55,9 @@ def counts(projects: DataFrame, recordings: DataFrame, samples: DataFrame) -> Da
 
 
 def first_mapping(items: DataFrame) -> DataFrame:
-    """Each sample's mapping item with the smallest id."""
-    return items.withColumn("__n", F.row_number().over(Window.partitionBy("sample_id").orderBy("id"))).where("__n = 1").drop("__n")
+    """Each sample's mapping item with the smallest id; of several with one id, the first by their other columns, in the order given."""
+    ties = [c for c in items.columns if c not in ("sample_id", "id")]
+    return items.withColumn("__n", F.row_number().over(Window.partitionBy("sample_id").orderBy("id", *ties))).where("__n = 1").drop("__n")
 
 
 def key_zones(samples: DataFrame, items: DataFrame) -> DataFrame:

@@ -147,9 +147,9 @@ def catalogue_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
-    """Mapping items of parts (samples) by lineitem; suppliers 0 to 7 are the velocity groups, 0 being none."""
+    """Mapping items of parts (samples) by lineitem; suppliers 0 to 7 are the velocity groups, 0 being none; a line that comes twice is told apart by its supplier."""
     return table(spark, d, "lineitem").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("sample_id"), (F.col("l_suppkey") % 8).alias("velocity_group_id"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("sample_id"), "l_suppkey", (F.col("l_suppkey") % 8).alias("velocity_group_id"),
         (F.col("l_quantity").cast("int") % 5).alias("key_range_start"), (F.col("l_quantity").cast("int") % 7).alias("key_range_end"), (F.col("l_linenumber") % 4).alias("root_note"),
     )
 
