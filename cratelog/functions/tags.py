@@ -38,21 +38,28 @@ def explode(rows: DataFrame, json: str, *keep: str) -> DataFrame:
     return each.select(*keep, F.col("key").alias("tag"), canonical(F.col("value")).alias("value"))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once although body uses it several times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def merge(left: Column, right: Column) -> Column:
-    """Shallow merge of two JSON texts, the right one winning: JSON text with its keys in order."""
+    """Shallow merge of two JSON texts, the right one winning: JSON text with its keys in order. Each text is parsed once."""
     kind = "map<string,variant>"
-    a, b = (parse(c).cast(kind) for c in (left, right))
-    keys = F.array_sort(F.array_union(F.map_keys(a), F.map_keys(b)))
-    pick = lambda k: F.when(F.array_contains(F.map_keys(b), k), F.try_element_at(b, k)).otherwise(F.try_element_at(a, k))
-    return F.to_json(F.map_from_arrays(keys, F.transform(keys, pick)))
+
+    def merged(s: Column) -> Column:
+        both = F.concat(F.map_entries(F.map_filter(s["a"], lambda k, _: ~F.map_contains_key(s["b"], k))), F.map_entries(s["b"]))
+        return F.to_json(F.map_from_entries(F.array_sort(both, lambda x, y: F.when(x["key"] < y["key"], -1).when(x["key"] > y["key"], 1).otherwise(0))))
+
+    return _let(F.struct(*(parse(c).cast(kind).alias(n) for c, n in ((left, "a"), (right, "b")))), merged)
 
 
 def has_key(json: Column, key: str) -> Column:
     """Whether the key is there, even with a null value."""
-    return F.array_contains(F.map_keys(parse(json).cast("map<string,variant>")), key)
+    return F.try_variant_get(parse(json), f"$['{key}']", "variant").isNotNull()
 
 
 def get(json: Column, key: str, default: str | None = None) -> Column:
     """The value as text; the default only if the key is absent, not if it is null."""
-    value = F.try_variant_get(parse(json), f"$['{key}']", "string")
-    return F.when(has_key(json, key), value).otherwise(F.lit(default))
+    there = lambda v: F.when(v.isNotNull(), F.try_variant_get(v, "$", "string")).otherwise(F.lit(default))
+    return _let(F.try_variant_get(parse(json), f"$['{key}']", "variant"), there)

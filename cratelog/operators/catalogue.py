@@ -136,4 +136,5 @@ def loop_entries(loops: DataFrame) -> DataFrame:
     seconds = bars_to_beats(F.col("bars"), F.col("meter")) * 60.0 / F.col("tempo") + F.col("tail")
     entry = lambda kind, made, length: F.struct(F.lit(kind).alias("kind"), "label", length.alias("duration"), tags.merge(F.to_json(made), F.col("tags_json")).alias("metadata_json"))
     both = F.array(entry("recording", whole, F.lit(None).cast("double")), entry("sample", about, seconds.cast("double")))
-    return loops.select(F.explode(both).alias("e")).select("e.*")
+    dealt = loops.repartition("label", "midi_file_id")  # rows are small, and merging takes long
+    return dealt.select(F.explode(both).alias("e")).select("e.*")
