@@ -92,10 +92,12 @@ def rule_grid(songs: DataFrame, sections: DataFrame, parts: DataFrame) -> DataFr
 
 
 def generation_jobs(rules: DataFrame, seed: int = 42) -> DataFrame:
-    """target_count jobs for each rule, whatever matches it already; key, tempo and engine from its tags."""
+    """target_count jobs for each rule, whatever matches it already; key, tempo and engine from its tags, which are read once a rule."""
     j = F.col("required_tags_json")
-    each = rules.where("target_count > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("target_count") - 1)).alias("i"))
-    return each.select(
-        "rule_id", "i", F.concat(F.replace("name", F.lit(" "), F.lit("_")), F.lit("_v"), F.col("i") + 1).alias("label"), (F.col("i") + seed).cast("bigint").alias("seed"),
-        tags.get(j, "key", "C").alias("key"), F.try_to_number(tags.get(j, "tempo", "120"), F.lit("999.99")).cast("double").alias("tempo"), tags.get(j, "instrument", "bass").alias("engine"),
+    told = rules.where("target_count > 0").select(
+        "rule_id", "target_count", F.concat(F.replace("name", F.lit(" "), F.lit("_")), F.lit("_v")).alias("label"), tags.get(j, "key", "C").alias("key"),
+        F.try_to_number(tags.get(j, "tempo", "120"), F.lit("999.99")).cast("double").alias("tempo"), tags.get(j, "instrument", "bass").alias("engine"),
     )
+    dealt = told.repartition("rule_id")  # rules are few and small, their jobs many
+    each = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("target_count") - 1)).alias("i"))
+    return each.select("rule_id", "i", F.concat("label", F.col("i") + 1).alias("label"), (F.col("i") + seed).cast("bigint").alias("seed"), "key", "tempo", "engine")

@@ -221,3 +221,23 @@ def test_catalogue(spark):
     got = catalogue.upsert_devices(devices, spark.createDataFrame([("A",), ("B",), ("B",)], "name string"), F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")))
     assert {(r.id, r.name) for r in got.collect()} == {(3, "A"), (4, "B")}
     assert 'rootNote="60"' in exports.preset_xml([{"group": "g", "lo_vel": 0, "hi_vel": 127, "path": "a.wav", "root_note": 60, "lo_key": 60, "hi_key": 61}])
+
+
+def _parses(rows) -> list[int]:
+    """How often each line of the optimized plan parses JSON, the last step first."""
+    return [line.lower().count("parsejson") for line in rows._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+
+
+def test_tags_are_parsed_once_a_row(spark):
+    rows = spark.createDataFrame([('{"a":1}', '{"b":2}')], "a string, b string")
+    merged, got = rows.select(tags.merge(F.col("a"), F.col("b"))), rows.select(tags.get(F.col("a"), "k", "d"))
+    assert 0 < sum(_parses(merged)) <= 4 and 0 < sum(_parses(got)) <= 2  # its kind and its content
+
+
+def test_jobs_of_a_rule_read_its_tags_once(spark):
+    rules = spark.createDataFrame([(1, "Deep Bass", 3, '{"key":"D","tempo":"99.5"}'), (2, "x", 0, None), (3, "Pad", 1, '{"key":null}')], "rule_id int, name string, target_count int, required_tags_json string")
+    jobs = manifest.generation_jobs(rules)
+    got = sorted((r.rule_id, r.i, r.label, r.seed, r.key, r.tempo, r.engine) for r in jobs.collect())
+    assert got == [(1, i, f"Deep_Bass_v{i + 1}", 42 + i, "D", 99.5, "bass") for i in range(3)] + [(3, 0, "Pad_v1", 42, None, 120.0, "bass")]
+    lines = jobs._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not any(_parses(jobs)[: next(k for k, line in enumerate(lines) if "Generate" in line)])
