@@ -22,12 +22,23 @@ def sample_arrays(column: pa.Array) -> list[np.ndarray]:
     return [values[a:e] if ok else values[:0] for a, e, ok in zip(offsets[:-1], offsets[1:], column.is_valid().to_pylist(), strict=True)]
 
 
+#: Rows whose features a task holds at a time.
+_ROWS = 256
+
+
+def few(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of a few rows, so that what is made of them is not held for thousands of rows."""
+    for b in batches:
+        for k in range(0, b.num_rows, _ROWS):
+            yield b.slice(k, _ROWS)
+
+
 def features(buffers: DataFrame, key: str = "id", p: dsp.OnsetParams = dsp.OnsetParams()) -> DataFrame:
     """(key and features) of rows of key, sample_rate and samples. One map-only stage over whole recordings; see chunks for long ones."""
     kind = buffers.schema[key].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few(batches):
             out: list[list] = [[] for _ in range(7)]
             for rate, y in zip(b.column(1).to_pylist(), sample_arrays(b.column(2)), strict=True):
                 x = dsp.onset_envelope(y, rate)
@@ -82,7 +93,7 @@ def segment_features(cuts: DataFrame, *keys: str) -> DataFrame:
     kinds = ", ".join(f"{k} {cuts.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few(batches):
             made = [dsp.shape(y, rate) for rate, y in zip(b.column(len(keys)).to_pylist(), sample_arrays(b.column(len(keys) + 1)), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([m[k] for m in made], pa.float64()) for k in (0, 1))], names=[*b.schema.names, "centroid", "flatness"])
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import dsp, filters
-from .audio import sample_arrays
+from .audio import few, sample_arrays
 
 #: Frames of a tile; a multiple of all hops.
 TILE = 1 << 18
@@ -30,7 +30,7 @@ def mapped(rows: DataFrame, made: dict[str, str], f: Callable[..., tuple], *inpu
     schema = T.StructType([*rows.select(*keep).schema, *T.StructType.fromDDL(", ".join(f"{k} {v}" for k, v in made.items()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few(batches):
             columns = [b.column(b.schema.get_field_index(c)) for c in inputs]
             number = lambda c: pa.types.is_list(c.type) and (pa.types.is_floating(c.type.value_type) or pa.types.is_integer(c.type.value_type))
             values = [sample_arrays(c) if number(c) else c.to_pylist() for c in columns]

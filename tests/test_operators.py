@@ -3,12 +3,13 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from cratelog import schema
 from cratelog.functions import arithmetic, dsp, signal, tags, text
-from cratelog.operators import audio, catalogue, exports, loops, manifest, segments, symbolic, vocal
+from cratelog.operators import audio, catalogue, chunks, exports, loops, manifest, segments, symbolic, vocal
 from cratelog.plans import chain
 from cratelog.sources import wav
 
@@ -241,3 +242,17 @@ def test_jobs_of_a_rule_read_its_tags_once(spark):
     assert got == [(1, i, f"Deep_Bass_v{i + 1}", 42 + i, "D", 99.5, "bass") for i in range(3)] + [(3, 0, "Pad_v1", 42, None, 120.0, "bass")]
     lines = jobs._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert not any(_parses(jobs)[: next(k for k, line in enumerate(lines) if "Generate" in line)])
+
+
+def test_features_are_made_in_small_pieces(spark, monkeypatch):
+    """However many rows a batch has, what is made of them is handed on every few rows."""
+    rows, kept = spark.createDataFrame([(1, 8000, [0.5])], "id long, sample_rate int, samples array<double>"), []
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, f, schema: kept.append(f) or self)
+    audio.features(rows)
+    chunks.mapped(rows, {"n": "bigint"}, lambda y: (len(y),), "samples")
+    y = np.random.default_rng(0).uniform(-1, 1, (600, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array([8000] * 600, pa.int32()), pa.array(list(y), pa.list_(pa.float64()))], names=["id", "sample_rate", "samples"])
+    for made in (list(f([batch])) for f in kept):
+        assert len(made) > 1 and max(b.num_rows for b in made) <= 256 and [i for b in made for i in b.column(0).to_pylist()] == list(range(600))
+    want = [dsp.mean_spectrum(v) for v in y]
+    assert np.allclose([v for b in kept[0]([batch]) for v in b.column(6).to_pylist()], want)
