@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import dsp
-from .operators import audio, catalogue, chunks, exports, loops, manifest
+from .operators import audio, catalogue, chunks, exports, loops, manifest, ordered
 from .plans import chain
 from .queries import query
 from .session import shared_folder, table
@@ -185,9 +185,17 @@ SELECT CAST(project_id AS BIGINT) AS project_id, count(*) AS members, CAST(sum(l
 def zipped_kits(spark: SparkSession, d: str) -> DataFrame:
     """Zips whose parts are made by many tasks: all members are listed, and each part begins where the last ended."""
     files = table(spark, d, "orders").select((F.col("o_custkey") % 5).cast("bigint").alias("project_id"), F.concat(F.lit("Song/Verse/"), "o_orderkey", F.lit(".txt")).alias("path"), F.encode(F.repeat("o_orderpriority", F.lit(20)), "UTF-8").alias("content"))
-    members = exports.zip_members(files)
-    parts = exports.zip_parts(members).withColumn("before", F.lag(F.col("at") + F.octet_length("body")).over(Window.partitionBy("project_id").orderBy("at")))
-    whole = parts.groupBy("project_id").agg(F.bool_and(F.coalesce("before", F.lit(0)) == F.col("at")).alias("gapless"), F.count_if(F.hex(F.substr("body", F.lit(1), F.lit(4))) == "504B0102").alias("members"))
+    members = ordered.written(exports.zip_members(files), "members")
+    parts = exports.zip_parts(members)
+    ends = F.array(F.struct(F.col("at").alias("place"), F.lit(1).alias("starts"), F.lit(0).alias("ends")), F.struct((F.col("at") + F.octet_length("body")).alias("place"), F.lit(0).alias("starts"), F.lit(1).alias("ends")))
+    member = (F.hex(F.substr("body", F.lit(1), F.lit(4))) == "504B0102").cast("int")
+    each = parts.select("project_id", F.explode(ends).alias("e"), member.alias("member")).select("project_id", "e.*", (F.col("member") * F.col("e.starts")).alias("member"))
+    # parts are not empty, so they follow each other if one begins at 0, one ends last, and at all other places one ends and one begins
+    places = each.groupBy("project_id", "place").agg(F.sum("starts").alias("starts"), F.sum("ends").alias("ends"), F.sum("member").alias("members"))
+    met, first = (F.col("starts") == 1) & (F.col("ends") == 1), (F.col("place") == 0) & (F.col("starts") == 1) & (F.col("ends") == 0)
+    last = (F.col("starts") == 0) & (F.col("ends") == 1)
+    gapless = F.bool_and(met | first | last) & (F.count_if(first) == 1) & (F.count_if(last) == 1)
+    whole = places.groupBy("project_id").agg(gapless.alias("gapless"), F.sum("members").alias("members"))
     return whole.join(members.groupBy("project_id").agg(F.sum("size").alias("bytes")), "project_id").select("project_id", "members", "bytes", "gapless")
 
 

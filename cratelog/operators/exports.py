@@ -99,6 +99,8 @@ def equalized_kit(files: DataFrame, rate: int = 44_100) -> DataFrame:
 #: A zip file's own numbers: versions, the method deflate, the flag for UTF-8 names, the first day of 1980.
 _NEEDS, _DEFLATE, _UTF8, _DAY = 20, 8, 0x800, 33
 _WIDE = 0xFFFFFFFF
+#: Bytes of members that are handed on together.
+_HELD = 4 << 20
 
 
 def _deflated(path: str, body: bytes) -> tuple[bytes, int, int]:
@@ -127,31 +129,40 @@ def zip_members(files: DataFrame, key: str = "project_id") -> DataFrame:
     rows = files.where(F.col("content").isNotNull() & F.col("path").isNotNull() & F.col(key).isNotNull()).select(key, "path", F.col("content").cast("binary").alias("content"))
     schema = f"{key} {files.schema[key].dataType.simpleString()}, path string, body binary, check long, packed long, size long"
 
+    def made(part: list[tuple], keys: pa.Array, paths: pa.Array) -> pa.RecordBatch:
+        numbers = [pa.array([m[k] for m in part], pa.int64()) for k in (1, 2, 3)]
+        return pa.RecordBatch.from_arrays([keys, paths, pa.array([m[0] for m in part], pa.binary()), *numbers], names=[key, "path", "body", "check", "packed", "size"])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            part, first, held = [], 0, 0
             for i in range(b.num_rows):
-                path, content = b.column(1)[i].as_py(), b.column(2)[i].as_py()
-                body, check, packed = _deflated(path, content)
-                numbers = [pa.array([x], pa.int64()) for x in (check, packed, len(content))]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([body], pa.binary()), *numbers], names=[key, "path", "body", "check", "packed", "size"])
+                content = b.column(2)[i].as_py()
+                part.append((*_deflated(b.column(1)[i].as_py(), content), len(content)))
+                held += len(part[-1][0])
+                if held > _HELD or i == b.num_rows - 1:
+                    yield made(part, b.column(0).slice(first, len(part)), b.column(1).slice(first, len(part)))
+                    part, first, held = [], i + 1, 0
 
     return rows.mapInArrow(run, schema)
 
 
-def zip_parts(members: DataFrame, key: str = "project_id") -> DataFrame:
+def zip_parts(members: DataFrame, key: str = "project_id", folder: str | None = None) -> DataFrame:
     """(key, at, body): the parts of each key's zip file and where each belongs, the directory behind the members, in the order of paths.
 
-    The members are read twice, so give a written table. Only their paths and sizes meet by key; places are running sums.
+    The members are read twice, so give a written table. Only their paths and sizes are dealt by key and path; places are
+    running sums over ranges of paths, so a zip of any number of members is placed by many tasks. Sizes and places are written to ``folder``, else to the shared one.
     """
-    w, own = Window.partitionBy(key).orderBy("path"), Window.partitionBy(key)
     length, entry = F.octet_length("body").cast("bigint"), (F.lit(46) + F.octet_length("path")).cast("bigint")
-    before = lambda c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = members.select(key, "path", "check", "packed", "size", length.alias("length"))
-    placed = sizes.withColumns({"at": before("length"), "end": F.sum("length").over(own)})
+    sizes = ordered.runs(members.select(key, "path", "check", "packed", "size", length.alias("length")), key, "path", folder=folder)
+    ends_at = sizes.groupBy(key).agg(F.sum("length").alias("end"))
+    placed = ordered.running(sizes, (key, "path"), (key,), at=F.col("length"))
     placed = placed.withColumn("entry", entry + F.when(F.col("at") >= _WIDE, 12).otherwise(0))
-    placed = placed.withColumn("listed_at", F.col("end") + before("entry"))
+    placed = ordered.written(placed, "placed", folder)
+    listed = ordered.running(placed, (key, "path"), (key,), listed_at=F.col("entry")).join(ends_at, key).withColumn("listed_at", F.col("listed_at") + F.col("end"))
+    placed = placed.join(ends_at, key)
     bodies = members.select(key, "path", "body").join(placed.select(key, "path", "at"), [key, "path"]).select(key, "at", "body")
-    listed = chunks.mapped(placed, {"body": "binary"}, lambda *x: (_listed(*x),), "path", "check", "packed", "size", "at").select(key, F.col("listed_at").alias("at"), "body")
+    listed = chunks.mapped(listed, {"body": "binary"}, lambda *x: (_listed(*x),), "path", "check", "packed", "size", "at").select(key, F.col("listed_at").alias("at"), "body")
     whole = placed.groupBy(key).agg(F.count(F.lit(1)).alias("count"), F.sum("entry").alias("size"), F.max("end").alias("end"))
     ends = chunks.mapped(whole, {"body": "binary"}, lambda *x: (_closing(*x),), "count", "size", "end").select(key, (F.col("end") + F.col("size")).alias("at"), "body")
     return bodies.unionByName(listed).unionByName(ends)
@@ -191,7 +202,7 @@ def save_kits(kits: DataFrame, folder: str, key: str = "project_id") -> int:
         members = spark.read.schema(members.schema).parquet(f"{staging}/members")
         if twice := members.groupBy(key, "path").count().where("count > 1").limit(5).collect():
             raise ValueError(f"several files of one path: {', '.join(r['path'] for r in twice)}")
-        parts = zip_parts(members, key).select(F.col(key).cast("string").alias("name"), "at", "body")
+        parts = zip_parts(members, key, staging).select(F.col(key).cast("string").alias("name"), "at", "body")
         parts.mapInArrow(put, "name string").distinct().write.parquet(f"{staging}/names")
         names = spark.read.schema("name string").parquet(f"{staging}/names")
         return names.mapInArrow(place, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

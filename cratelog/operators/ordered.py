@@ -14,16 +14,16 @@ from pyspark.sql import functions as F
 from ..session import shared_folder
 
 
-def written(rows: DataFrame, name: str) -> DataFrame:
-    """rows, written once to the shared folder."""
-    path = f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+def written(rows: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """rows, written once to a folder, the shared one unless another is given."""
+    path = f"{folder or shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def runs(rows: DataFrame, *order: str) -> DataFrame:
+def runs(rows: DataFrame, *order: str, folder: str | None = None) -> DataFrame:
     """rows with run_; all rows of a run come before those of the next. Written once."""
-    return written(rows.repartitionByRange(*order).withColumn("run_", F.spark_partition_id()), "runs")
+    return written(rows.repartitionByRange(*order).withColumn("run_", F.spark_partition_id()), "runs", folder)
 
 
 def running(rows: DataFrame, order: tuple[str, ...], by: tuple[str, ...] = (), **values: Column) -> DataFrame:

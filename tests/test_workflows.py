@@ -138,6 +138,16 @@ def test_mapping_items_of_one_id(spark):
     assert {(r.sample_id, r.velocity_group_id, r.root_note) for r in catalogue.key_zones(samples, items).collect()} == {(1, 2, 61), (2, 2, 61)}
 
 
+def test_one_large_zip_is_placed_by_many_tasks(spark, tmp_path):
+    """No window has all members of a project, and the zip is whole."""
+    files = spark.range(0, 3000, 1, 5).select(F.lit(1).alias("project_id"), F.concat(F.lit("Song/Verse/"), "id", F.lit(".txt")).alias("path"), F.encode(F.repeat(F.col("id").cast("string"), F.lit(9)), "UTF-8").alias("content"))
+    parts = exports.zip_parts(exports.zip_members(files), folder=str(tmp_path))
+    plan = parts._jdf.queryExecution().optimizedPlan().toString()
+    assert all("run_" in line for line in plan.splitlines() if "Window [" in line and "path#" in line)
+    z = zipfile.ZipFile(io.BytesIO(b"".join(p.body for p in parts.orderBy("at").collect())))
+    assert z.testzip() is None and {n: z.read(n) for n in z.namelist()} == {f"Song/Verse/{k}.txt": str(k).encode() * 9 for k in range(3000)}
+
+
 def test_presets_and_folders(spark):
     rows = spark.createDataFrame([(7, "soft", 0, 63, 60, "a.wav", 60, 62), (7, "loud", 64, 127, 60, "b.wav", 60, 62)], "project_id int, group string, lo_vel int, hi_vel int, root_note int, path string, lo_key int, hi_key int")
     xml = exports.preset_files(rows).first().xml
