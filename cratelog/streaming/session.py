@@ -10,9 +10,10 @@ failure replaces what it wrote before, and no more.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
@@ -25,6 +26,8 @@ EVENTS = "session_id long, kind string, at timestamp, seq long, ports int, devic
 #: Rows of a batch: what a session has become (status), or one of its messages.
 OUT = "session_id long, status string, at timestamp, seq long, device_id long, device string, channel int, message string"
 _HELD = ("seq", "device_id", "device", "channel", "message")
+#: The same with the time in microseconds, which no time zone changes on the way through Python.
+_OUT_ROW = Row("session_id", "status", "us", *_HELD)
 
 
 class Session(StatefulProcessor):
@@ -38,65 +41,49 @@ class Session(StatefulProcessor):
         self.status = handle.getValueState("status", "status string, last long")
         self.held = handle.getListState("messages", "seq long, device_id long, device string, channel int, message string")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        status = self.status.get()[0] if self.status.exists() else "pending"
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
+        was = status = self.status.get()[0] if self.status.exists() else "pending"
         new, last = [], None
-        for r in pd.concat(list(rows)).sort_values("seq", kind="stable").itertuples(index=False):
-            last = r.at
+        for r in sorted(rows, key=lambda r: (r.seq is None, r.seq)):
+            last = r.us
             if r.kind == "start" and status == "pending":
                 status = "failed" if r.ports == 0 else "recording"
-                yield self._told(key, status, r.at)
+                yield self._told(key, status, r.us)
             elif r.kind == "message" and status == "recording":
-                new.append(tuple(None if pd.isna(getattr(r, c)) else getattr(r, c) for c in _HELD))
+                new.append(tuple(r[c] for c in _HELD))
             elif r.kind == "stop" and status == "recording":
-                self._keep(new)
+                status = yield from self._ended(key, r.us, was == "recording", new)
                 new = []
-                status = yield from self._ended(key, r.at)
-        self._keep(new)
-        self.status.update((status, int(last.timestamp() * 1000)))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
+        if new:
+            self.held.appendList(new)
+        self.status.update((status, last // 1000))
+        if was == "recording":  # else nothing is held or awaited
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
         if status == "recording":
-            self.handle.registerTimer(int(last.timestamp() * 1000) + self.idle_ms)
+            self.handle.registerTimer(last // 1000 + self.idle_ms)
 
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         if self.status.exists() and self.status.get()[0] == "recording":
             last = self.status.get()[1]
-            status = yield from self._ended(key, pd.Timestamp(last, unit="ms"))
+            status = yield from self._ended(key, last * 1000, True, [])
             self.status.update((status, last))
 
-    def _keep(self, rows: list[tuple]) -> None:
-        if rows:
-            self.held.appendList([(int(r[0]), None if r[1] is None else int(r[1]), r[2], None if r[3] is None else int(r[3]), r[4]) for r in rows])
-
-    def _ended(self, key: tuple, at) -> Iterator[pd.DataFrame]:
-        """Hand the messages on, a few thousand at a time, each seq once; the session's new status."""
+    def _ended(self, key: tuple, us: int, stored: bool, new: list[tuple]) -> Iterator[Row]:
+        """Hand the messages on, those held and the new ones, each seq once; the session's new status."""
         seen: set[int] = set()
-        part: list[tuple] = []
-        for row in self.held.get() if self.held.exists() else ():
+        for row in chain(self.held.get() if stored and self.held.exists() else (), new):
             if row[0] not in seen and row[1] is not None:
                 seen.add(row[0])
-                part.append(tuple(row))
-            if len(part) == 4096:
-                yield self._rows(key, part)
-                part = []
-        if part:
-            yield self._rows(key, part)
-        self.held.clear()
+                yield _OUT_ROW(key[0], None, None, *row)
+        if stored:
+            self.held.clear()
         status = "completed" if seen else "completed_empty"
-        yield self._told(key, status, at)
+        yield self._told(key, status, us)
         return status
 
-    def _told(self, key: tuple, status: str, at) -> pd.DataFrame:
-        return self._frame({"session_id": [key[0]], "status": [status], "at": [at]})
-
-    def _rows(self, key: tuple, part: list[tuple]) -> pd.DataFrame:
-        return self._frame({"session_id": [key[0]] * len(part)} | {c: [r[k] for r in part] for k, c in enumerate(_HELD)})
-
-    def _frame(self, columns: dict[str, list]) -> pd.DataFrame:
-        n, kinds = len(columns["session_id"]), {"status": "object", "at": "datetime64[ns]", "seq": "Int64", "device_id": "Int64", "device": "object", "channel": "Int32", "message": "object", "session_id": "int64"}
-        names = [c.split()[0] for c in OUT.split(", ")]
-        return pd.DataFrame({c: pd.Series(columns.get(c, [None] * n), dtype=kinds[c]) for c in names})
+    def _told(self, key: tuple, status: str, us: int) -> Row:
+        return _OUT_ROW(key[0], status, us, None, None, None, None, None)
 
     def close(self) -> None:
         pass
@@ -108,7 +95,9 @@ def capture_sessions(events: DataFrame, folder: str, checkpoint: str, idle: str
     A restart with the same checkpoint goes on where the last batch ended.
     """
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-    made = events.select(*[c.split()[0] for c in EVENTS.split(", ")]).withWatermark("at", late).groupBy("session_id").transformWithStateInPandas(Session(idle_ms), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
+    rows = events.select(*[c.split()[0] for c in EVENTS.split(", ")]).withWatermark("at", late).withColumn("us", F.unix_micros("at"))
+    told = rows.groupBy("session_id").transformWithState(Session(idle_ms), outputStructType=OUT.replace("at timestamp", "us long"), outputMode="Append", timeMode="EventTime")
+    made = told.withColumn("us", F.timestamp_micros("us")).withColumnRenamed("us", "at")
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
