@@ -24,18 +24,26 @@ def canonical(value: Column) -> Column:
 
     Numbers and booleans compare by value, strings without regard to case, all else by its JSON.
     """
-    kind = F.schema_of_variant(value)
-    number = kind.isin("BIGINT", "DOUBLE", "FLOAT", "BOOLEAN") | kind.startswith("DECIMAL")
-    as_double = F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("double")).otherwise(F.try_variant_get(value, "$", "double"))
-    text = F.lower(F.try_variant_get(value, "$", "string"))
-    return F.when(number, F.concat(F.lit("n:"), as_double.cast("string"))).when(kind == "STRING", F.concat(F.lit("s:"), text)).otherwise(F.concat(F.lit("j:"), F.to_json(value)))
+
+    def told(kind: Column) -> Column:
+        number = kind.isin("BIGINT", "DOUBLE", "FLOAT", "BOOLEAN") | kind.startswith("DECIMAL")
+        as_double = F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("double")).otherwise(F.try_variant_get(value, "$", "double"))
+        text = F.lower(F.try_variant_get(value, "$", "string"))
+        return F.when(kind == "STRING", F.concat(F.lit("s:"), text)).when(number, F.concat(F.lit("n:"), as_double.cast("string"))).otherwise(F.concat(F.lit("j:"), F.to_json(value)))
+
+    return _let(F.schema_of_variant(value), told)
+
+
+def listed(json: Column) -> Column:
+    """The top-level tags as an array of (tag, value), the value canonical; null for what ``parse`` makes empty because it is no object. The text is parsed once."""
+    entries = F.map_entries(F.try_variant_get(F.try_parse_json(json), "$", "map<string,variant>"))
+    return F.transform(entries, lambda e: F.struct(e["key"].alias("tag"), canonical(e["value"]).alias("value")))
 
 
 def explode(rows: DataFrame, json: str, *keep: str) -> DataFrame:
     """(keep, tag, value): a row for each top-level tag, the value canonical."""
-    view = rows.select(*keep, parse(F.col(json)).alias("__v"))
-    each = view.lateralJoin(view.sparkSession.tvf.variant_explode(F.col("__v").outer()))
-    return each.select(*keep, F.col("key").alias("tag"), canonical(F.col("value")).alias("value"))
+    each = rows.select(*keep, F.explode(listed(F.col(json))).alias("__t"))
+    return each.select(*keep, F.col("__t.tag").alias("tag"), F.col("__t.value").alias("value"))
 
 
 def _let(value: Column, body) -> Column:

@@ -28,19 +28,22 @@ def kit_paths(rules: DataFrame, matches: DataFrame, assets: DataFrame, existing:
     The folder comes from the tags of the rule's first sample match. n counts samples, then MIDI, also
     those whose file is missing from ``existing`` (kind, asset_id) and which are then left out.
     """
-    known = matches.join(assets, ["project_id", "kind", "asset_id"])
-    w = Window.partitionBy("project_id", "rule_id").orderBy(F.col("kind") == "midi", "asset_id")
-    numbered = known.withColumn("n", F.row_number().over(w))
-    lead = numbered.where("kind = 'sample' AND n = 1").select("project_id", "rule_id", F.col("tags_json").alias("lead"))
-    named = numbered.join(lead, ["project_id", "rule_id"], "left").join(rules, ["project_id", "rule_id"])
-    song = sanitize(F.when(F.col("lead").isNull(), "General").otherwise(tags.get(F.col("lead"), "song", "General")))
+    key, lone = ["project_id", "kind", "asset_id"], F.col("rule_id").isNull()
+    each = assets.join(matches.select(*key, "rule_id").distinct(), key, "left").where(~lone | (F.col("kind") == "sample"))
+    # A loose file is a group of its own, as all of a project's would be one large group for nothing.
+    parts = each.select(
+        *key, "rule_id", "ext", F.when(lone, F.col("asset_id")).alias("alone"), (F.col("kind") == "midi").alias("late"),
+        F.when(~lone, F.col("tags_json")).alias("tags_json"), F.when(lone, base_name(F.col("file_path"))).alias("file"),
+    )
+    w = Window.partitionBy("project_id", "rule_id", "alone").orderBy("late", "asset_id")
+    numbered = parts.withColumn("n", F.row_number().over(w))
+    song, section = sanitize(tags.get(F.col("tags_json"), "song", "General")), F.when(tags.has_key(F.col("tags_json"), "section"), sanitize(tags.get(F.col("tags_json"), "section")))
+    lead = F.when(~lone & ~F.col("late") & (F.col("n") == 1), F.struct(song.alias("song"), section.alias("section")))  # read from one row of a rule
+    led = numbered.withColumn("lead", lead).withColumn("lead", F.first("lead").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     spare = F.when(F.coalesce("category", F.lit("")) == "", "Other").otherwise(F.col("category"))
-    section = sanitize(F.when(F.col("lead").isNull() | ~tags.has_key(F.col("lead"), "section"), spare).otherwise(tags.get(F.col("lead"), "section")))
-    path = F.concat(song, F.lit("/"), section, F.lit("/"), sanitize(F.col("name")), F.lit("_"), F.col("n"), F.col("ext"))
-    placed = named.select("project_id", "rule_id", "kind", "asset_id", path.alias("path"))
-    loose = assets.where("kind = 'sample'").join(matches, ["project_id", "kind", "asset_id"], "left_anti")
-    loose = loose.select("project_id", F.lit(None).cast("bigint").alias("rule_id"), "kind", "asset_id", F.concat(F.lit("Unassigned/"), base_name(F.col("file_path"))).alias("path"))
-    out = placed.withColumn("rule_id", F.col("rule_id").cast("bigint")).unionByName(loose)
+    named = led.join(rules.select("project_id", "rule_id", sanitize(F.col("name")).alias("title"), sanitize(spare).alias("spare")), ["project_id", "rule_id"], "left").where(lone | F.col("title").isNotNull())
+    path = F.concat(F.coalesce("lead.song", F.lit("General")), F.lit("/"), F.coalesce("lead.section", "spare"), F.lit("/"), "title", F.lit("_"), "n", "ext")
+    out = named.select("project_id", F.col("rule_id").cast("bigint").alias("rule_id"), "kind", "asset_id", F.when(lone, F.concat(F.lit("Unassigned/"), "file")).otherwise(path).alias("path"))
     return out if existing is None else out.join(existing, ["kind", "asset_id"], "left_semi")
 
 

@@ -24,19 +24,25 @@ def project_assets(samples: DataFrame, recordings: DataFrame, midi_files: DataFr
 
 
 def meetings(rules: DataFrame, assets: DataFrame) -> DataFrame:
-    """(project_id, rule_id, kind, asset_id, wanted, own): pairs that share the rule's rarest tag, with the tags of both. See ``match``."""
-    need = tags.explode(rules, "required_tags_json", "project_id", "rule_id").where(F.col("tag").isNotNull())
-    have = tags.explode(assets, "tags_json", "project_id", "kind", "asset_id").where(F.col("tag").isNotNull())
-    known = ["project_id", "tag", "value"]
-    asked = need.select(*known).distinct()
-    counts = have.join(asked, known, "left_semi").groupBy(*known).agg(F.count(F.lit(1)).alias("held"))
+    """(project_id, rule_id, kind, asset_id, wanted, own): pairs that share the rule's rarest tag, with the tags of both. See ``match``.
+
+    An asset's tags are listed once and dealt by asset; the counts and the pairs both start from there. For that both need the same
+    rows, so assets without id, which nothing can refer to, are left out first. A rule's rarest tag is kept by a semi-join, after which
+    rules are estimated as small as they are: few ones are sent to all assets, and only many are met by a shuffle.
+    """
+    each, known = F.struct("tag", "value"), ["project_id", "tag", "value"]
+    need = tags.explode(rules, "required_tags_json", "project_id", "rule_id")
+    there = F.col("project_id").isNotNull() & F.col("kind").isNotNull() & F.col("asset_id").isNotNull()
+    own = assets.where(there).select("project_id", "kind", "asset_id", tags.listed(F.col("tags_json")).alias("own")).repartition("project_id", "asset_id")
+    # The outer form, as the other's test of the list for being empty would be moved to where the list is made, and make it twice.
+    have = own.select("*", F.explode_outer("own").alias("x")).select("project_id", F.col("x.tag").alias("tag"), F.col("x.value").alias("value"), "kind", "asset_id", "own")
+    counts = have.join(need.select(*known).distinct(), known, "left_semi").groupBy(*known).agg(F.count(F.lit(1)).alias("held"))
     told = need.join(counts, known, "left").withColumn("held", F.coalesce("held", F.lit(0).cast("bigint")))
-    each = F.struct("tag", "value")
-    rarest = told.groupBy("project_id", "rule_id").agg(F.min_by(each, F.struct("held", "tag", "value")).alias("rarest"), F.min("held").alias("held"), F.collect_set(each).alias("wanted"))
-    rarest = rarest.where("held > 0").select("project_id", "rule_id", "rarest.tag", "rarest.value", "wanted")
-    own = have.groupBy("project_id", "kind", "asset_id").agg(F.collect_set(each).alias("own"))
-    hit = own.select("*", F.explode("own").alias("x")).select("project_id", F.col("x.tag").alias("tag"), F.col("x.value").alias("value"), "kind", "asset_id", "own")
-    return hit.join(rarest, known).select("project_id", "rule_id", "kind", "asset_id", "wanted", "own")
+    least = told.groupBy("project_id", "rule_id").agg(F.min_by(each, F.struct("held", "tag", "value")).alias("rarest"), F.min("held").alias("held")).where("held > 0")
+    wants = need.groupBy("project_id", "rule_id").agg(F.collect_set(each).alias("wanted")).select("*", F.explode("wanted").alias("x"))
+    same = (F.col("w.project_id") == F.col("l.project_id")) & F.col("w.rule_id").eqNullSafe(F.col("l.rule_id")) & (F.col("w.x") == F.col("l.rarest"))
+    rarest = wants.alias("w").join(least.alias("l"), same, "left_semi").select("project_id", "rule_id", F.col("x.tag").alias("tag"), F.col("x.value").alias("value"), "wanted")
+    return have.join(rarest, known).select("project_id", "rule_id", "kind", "asset_id", "wanted", "own")
 
 
 def match(rules: DataFrame, assets: DataFrame) -> DataFrame:
@@ -44,7 +50,7 @@ def match(rules: DataFrame, assets: DataFrame) -> DataFrame:
 
     rules: project_id, rule_id, required_tags_json. A rule without tags matches nothing.
     """
-    there = F.size(F.array_except("wanted", "own")) == 0
+    there = (F.size("wanted") == 1) | (F.size(F.array_except("wanted", "own")) == 0)  # they share one
     return meetings(rules, assets).where(there).select("project_id", "rule_id", "kind", "asset_id")
 
 

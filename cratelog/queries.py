@@ -51,8 +51,9 @@ RULES = [
 
 
 def _rules(spark: SparkSession, d: str) -> DataFrame:
-    rules = spark.createDataFrame(RULES, "rule_id int, required_tags_json string, target_count int, name string, category string")
-    return table(spark, d, "nation").select(F.col("n_nationkey").alias("project_id")).crossJoin(F.broadcast(rules))
+    names = ("rule_id", "required_tags_json", "target_count", "name", "category")
+    rules = F.array(*[F.struct(*[F.lit(v).cast("int" if n in ("rule_id", "target_count") else "string").alias(n) for n, v in zip(names, rule)]) for rule in RULES])
+    return table(spark, d, "nation").select(F.col("n_nationkey").alias("project_id"), F.inline(rules))
 
 
 def _assets(spark: SparkSession, d: str) -> DataFrame:

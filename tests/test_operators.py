@@ -256,3 +256,24 @@ def test_features_are_made_in_small_pieces(spark, monkeypatch):
         assert len(made) > 1 and max(b.num_rows for b in made) <= 256 and [i for b in made for i in b.column(0).to_pylist()] == list(range(600))
     want = [dsp.mean_spectrum(v) for v in y]
     assert np.allclose([v for b in kept[0]([batch]) for v in b.column(6).to_pylist()], want)
+
+
+def test_kit_reads_tags_once_for_matching(spark):
+    """Planning a kit makes each asset's tags twice, to match them and to have those of a rule's first sample, and few rules are sent to the assets."""
+    made, n = spark.sparkContext.accumulator(0), 300
+
+    def tagged(i):
+        made.add(1)
+        return '{"a":"x","song":"S/1"}' if i % 3 else '{"b":1}'
+
+    asset_id = F.col("id").alias("asset_id")
+    assets = spark.range(n).select(F.lit(1).alias("project_id"), F.lit("sample").alias("kind"), asset_id, F.udf(tagged, "string")("id").alias("tags_json"), F.lit(".wav").alias("ext"), F.format_string("/in/%s.wav", "id").alias("file_path"))
+    ids = spark.range(1).select(F.lit(1).alias("project_id"), F.lit(7).alias("rule_id"))
+    rules = ids.select("*", F.lit("Hits").alias("name"), F.lit(None).cast("string").alias("category"), F.lit('{"a":"X"}').alias("required_tags_json"))
+    paths = exports.kit_paths(rules, manifest.match(rules, assets), assets)
+    lines = paths._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert any("BroadcastHashJoin" in line and line.count("tag#") == 2 and "Inner" in line for line in lines)
+    got = {r.asset_id: (r.rule_id, r.path) for r in paths.collect()}
+    hits = [i for i in range(n) if i % 3]
+    assert got == {i: (None, f"Unassigned/{i}.wav") for i in range(0, n, 3)} | {i: (7, f"S_1/Other/Hits_{k}.wav") for k, i in enumerate(hits, 1)}
+    assert made.value <= 2 * n
