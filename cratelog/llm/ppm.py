@@ -154,6 +154,10 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 GRAM, WORD, ROWS = 0, 1, 2
 
+#: Keys that a counting task holds of each kind before it hands their sums on; rows of a batch that it hands on;
+#: bytes of text that a pass looks at together.
+_HELD, _BATCH, _SLICE = 1 << 20, 1 << 16, 1 << 19
+
 
 def _paired(keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
     """Numbers that are equal for equal pairs, and different for different ones of a task but for a chance of 2**-64 each two."""
@@ -178,37 +182,42 @@ class _Counter:
         self.kind, self.held, self.size = kind, [], 0
 
     def add(self, keys: np.ndarray, checks: np.ndarray, learns: np.ndarray) -> None:
-        """Grams are counted by sorting, those that teach apart from the others; words by their pairs."""
+        """Grams are counted by sorting, those that teach apart from the others; words by their pairs. A slice's counts fit in 32 bits."""
         if self.kind == GRAM:
-            parts = [(_counted(np.sort(keys[on])), teach) for on, teach in ((learns, 1), (~learns, 0))]
-            new = [(k, np.zeros(len(k), np.int32), n, n * teach) for (k, n), teach in parts if len(k)]
+            for on, teach in ((learns, 1), (~learns, 0)):
+                k, n = _counted(np.sort(keys[on]))
+                n = n.astype(np.int32)
+                self._hold(k, np.zeros(0, np.int32), n, n if teach else np.zeros(len(n), np.int32))
         else:
-            new = [self._added(keys, checks, np.ones(len(keys)), learns)]
-        self.held += new
-        self.size += sum(len(x[0]) for x in new)
-        if self.size > 4_000_000:
-            self.held = [self.merged()]
-            self.size = len(self.held[0][0])
+            keys, checks, m, n = self._added(keys, checks, np.ones(len(keys), np.int32), learns.astype(np.int32))
+            self._hold(keys, checks, m.astype(np.int32), n.astype(np.int32))
+
+    def _hold(self, keys: np.ndarray, *rest: np.ndarray) -> None:
+        if len(keys):
+            self.held.append((keys, *rest))
+            self.size += len(keys)
 
     def _added(self, keys: np.ndarray, checks: np.ndarray, m: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.argsort(keys if self.kind == GRAM else _paired(keys, checks), kind="stable")
+        keys = keys[order]
         if self.kind == GRAM:
-            order = np.argsort(keys)
-            first = _starts(keys[order])
-            return keys[order][first], checks[: len(first)], np.add.reduceat(m[order], first), np.add.reduceat(n[order], first)
-        codes, distinct = pd.factorize(_paired(keys, checks))
-        add = lambda w: np.bincount(codes, weights=w, minlength=len(distinct)).astype(np.int64)
-        first = np.zeros(len(distinct), np.int64)
-        first[codes[::-1]] = np.arange(len(keys))[::-1]
-        return keys[first], checks[first], add(m), add(n)
-
-    def merged(self) -> tuple[np.ndarray, ...]:
-        return self._added(*(np.concatenate(x) for x in zip(*self.held, strict=True)))
+            first = _starts(keys)
+            checks = np.zeros(len(first), np.int32)
+        else:
+            checks = checks[order]
+            first = _starts(_paired(keys, checks))
+            checks = checks[first]
+        sums = (np.add.reduceat(x[order], first, dtype=np.int64) if len(first) else np.zeros(0, np.int64) for x in (m, n))
+        return keys[first], checks, *sums
 
     def take(self, least: int) -> Iterator[pa.RecordBatch]:
+        """The sums, in batches, if more keys than ``least`` are held. What is held is let go before."""
         if self.size > least:
-            keys, checks, m, n = self.merged()
-            yield _count_rows(self.kind, keys, checks, m, n)
+            columns = [np.concatenate(x) for x in zip(*self.held, strict=True)]
             self.held, self.size = [], 0
+            columns = self._added(*columns)
+            for at in range(0, len(columns[0]), _BATCH):
+                yield _count_rows(self.kind, *(x[at : at + _BATCH] for x in columns))
 
 
 def _count_rows(kind: int, keys, checks, m, n) -> pa.RecordBatch:
@@ -224,15 +233,15 @@ def count(docs: DataFrame, learn: str, order: int) -> DataFrame:
         for b in batches:
             learns = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
             rows, taught = rows + b.num_rows, taught + int(learns.sum())
-            for first, end, data, offsets in text_slices(b.column(0)):
+            for first, end, data, offsets in text_slices(b.column(0), _SLICE):
                 own = learns[first:end]
                 key, _ = position_grams(data, offsets, order)
                 grams.add(key, np.zeros(0, np.int32), np.repeat(own, np.diff(offsets) + 1))
                 key, check, size = _words(data, offsets)
                 on = np.repeat(own, size)
                 words.add(key[on], check[on], np.ones(int(on.sum())))
-                yield from grams.take(2_000_000)
-                yield from words.take(2_000_000)
+                yield from grams.take(_HELD)
+                yield from words.take(_HELD)
         yield from grams.take(0)
         yield from words.take(0)
         yield _count_rows(ROWS, [0], [0], [rows], [taught])
@@ -338,7 +347,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
             if not rows:
                 continue
             total, base, size, known, parts = np.zeros(rows), np.zeros(rows), np.zeros(rows, np.int64), np.zeros(rows, np.int64), []
-            for first, end, data, offsets in text_slices(b.column(b.num_columns - 1)):
+            for first, end, data, offsets in text_slices(b.column(b.num_columns - 1), _SLICE):
                 keys, begin = position_grams(data, offsets, order)
                 codes, distinct = pd.factorize(keys)
                 at, by = np.empty(len(distinct), np.int64), np.argsort(distinct)  # sorted questions find their place faster

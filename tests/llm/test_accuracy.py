@@ -1,5 +1,6 @@
 """Held-out accuracy, and kernels against plain code."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -48,6 +49,34 @@ def test_ppm_is_a_distribution():
         assert abs(p.sum() - 1) < 1e-5
 
 
+def test_grams_are_counted_in_bounded_memory(spark):
+    """A counting task holds a bounded number of keys and hands them on in small batches, and their sums are whole."""
+
+    class Docs:
+        def __getattr__(self, _):
+            return lambda *a: self
+
+        def mapInArrow(self, run, _):
+            self.run = run
+            return self
+
+    docs, rng = Docs(), np.random.default_rng(0)
+    ppm.count(docs, "learn", 5)
+    texts = [rng.integers(97, 123, 1 << 16, dtype=np.uint8).tobytes().decode() for _ in range(64)]
+    learns = [k % 7 != 2 for k in range(len(texts))]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(learns)], names=["text", "learn"])
+    sums, rows = np.zeros((3, 2), np.int64), []
+    tracemalloc.start()
+    for b in docs.run(iter([batch])):
+        rows.append(b.num_rows)
+        sums[b.column(0)[0].as_py()] += b.column(3).to_numpy().sum(), b.column(4).to_numpy().sum()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sums.tolist() == [[64 * 65537, sum(learns) * 65537], [sum(learns)] * 2, [64, sum(learns)]]
+    assert max(rows) <= 1 << 16 and sum(rows) > 3_000_000
+    assert most < 250e6
+
+
 def test_trees_fit():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 5))
