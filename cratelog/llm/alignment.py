@@ -1,9 +1,10 @@
 """Cross-tokenizer alignment: where the tokens of two tokenizers end at the same byte, and which ids go together.
 
-Each byte of a text gets a label: no token ends there, one of A, one of B, or one of each. A regular
-expression scans the labels for spans up to the next byte at which both end; such a span is a group,
-and the labels counted in it say how many tokens of A and of B it holds. The last A token and the
-last B token of a group end together: a link.
+Each byte of a text gets a label: no token ends there, one of A, one of B, or one of each. A span up to
+the next byte at which both end is a group, and the labels counted in it say how many tokens of A and
+of B it holds. A regular expression scans the labels, those of no token left out, for the spans that
+have further tokens; each other group is one token of A and one of B. The last A token and the last B
+token of a group end together: a link. Groups' texts are put together from eight bytes a token.
 
 1. One map-only pass tokenizes every text once and writes its counts, its groups' digest or text and
    its distinct linked id pairs.
@@ -38,7 +39,7 @@ from .packing import byte_alphabet
 
 NONE, A_END, B_END, BOTH = b".abx"
 _LABELS = np.frombuffer(b".abx", np.uint8)
-_SPAN = re.compile(rb"[^x]*x")
+_SPAN = re.compile(rb"[ab]+x")
 
 
 @dataclass(frozen=True)
@@ -57,7 +58,9 @@ class Vocabulary:
         self.encode = encode
         self.bytes = np.array([*pieces, None], object)[:-1]
         self.size = np.array([len(x) for x in pieces], np.int64)
-        self.inner, self.last = ([b"%d%c" % (k, sign) for k in range(len(pieces))] for sign in (b",", b"|"))
+        if len(pieces) > 10**7:
+            raise ValueError("an id and its sign must fit in eight bytes")
+        self.inner, self.a_last, self.b_last = (np.array([b"%d%c" % (k, sign) for k in range(len(pieces))], "S8").view(np.uint64) for sign in (b",", b"|", b";"))
 
     def __len__(self) -> int:
         return len(self.size)
@@ -122,23 +125,23 @@ def labels(a_ends: np.ndarray, b_ends: np.ndarray, size: int) -> bytes:
 
 def token_groups(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How many tokens of A and of B each group has; both cover the same bytes."""
-    size = int(a_ends[-1]) if len(a_ends) else 0
-    found = np.fromiter(map(_counts.__getitem__, _SPAN.findall(labels(a_ends, b_ends, size))), np.int64)
+    ends = labels(a_ends, b_ends, int(a_ends[-1]) if len(a_ends) else 0).translate(None, b".")
+    kind = np.frombuffer(ends, np.uint8)
+    both = np.flatnonzero(kind == BOTH)
+    found = np.ones(len(both), np.int64) << 32 | 1
+    found[(both > 0) & (kind[both - 1] != BOTH)] = np.fromiter(map(_counts.__getitem__, _SPAN.findall(ends)), np.int64)
     return found >> 32, found & 0xFFFFFFFF
 
 
 def group_text(a: Vocabulary, b: Vocabulary, a_ids: np.ndarray, b_ids: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> bytes:
     """``a1,a2|b1;a3|b2,b3``: the ids of each group."""
     a_stop, b_stop = np.cumsum(n_a) - 1, np.cumsum(n_b) - 1
-    parts = np.empty(len(a_ids) + len(b_ids), object)
-    a_at = np.arange(len(a_ids)) + np.repeat(b_stop + 1 - n_b, n_a)
-    b_at = np.arange(len(b_ids)) + np.repeat(a_stop + 1, n_b)
-    ends = np.zeros(len(a_ids), bool)
-    ends[a_stop] = True
-    parts[a_at] = [a.last[i] if e else a.inner[i] for i, e in zip(a_ids.tolist(), ends.tolist(), strict=True)]
-    parts[b_at] = [b.inner[i] for i in b_ids.tolist()]
-    parts[b_at[b_stop]] = [b.inner[i][:-1] + b";" for i in b_ids[b_stop].tolist()]
-    return b"".join(parts.tolist())[:-1]
+    a_parts, b_parts = a.inner[a_ids], b.inner[b_ids]
+    a_parts[a_stop], b_parts[b_stop] = a.a_last[a_ids[a_stop]], b.b_last[b_ids[b_stop]]
+    parts = np.empty(len(a_ids) + len(b_ids), np.uint64)
+    parts[np.arange(len(a_ids)) + np.repeat(b_stop + 1 - n_b, n_a)] = a_parts
+    parts[np.arange(len(b_ids)) + np.repeat(a_stop + 1, n_b)] = b_parts
+    return parts.tobytes().translate(None, b"\0")[:-1]
 
 
 def align(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), p: AlignParams = AlignParams()) -> DataFrame:
@@ -154,7 +157,7 @@ def align(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), p: AlignParams =
         none = 0, 0, 0, "", [], []
         if not raw:
             return none
-        a_ids, b_ids = np.array(a.encode(text), np.int64), np.array(b.encode(text), np.int64)
+        a_ids, b_ids = (np.fromiter(found, np.int64, len(found)) for found in (a.encode(text), b.encode(text)))
         if not all(b"".join(v.bytes[i].tolist()) == b" " + raw for v, i in ((a, a_ids), (b, b_ids))):
             return none
         n_a, n_b = token_groups(np.cumsum(a.size[a_ids]), np.cumsum(b.size[b_ids]))

@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import time
 import zlib
 from collections import Counter
 
@@ -117,6 +118,23 @@ def test_labels():
     assert alignment.labels(np.array([2, 3, 6]), np.array([1, 3, 4, 6]), 6) == b"baxb.x"
 
 
+def test_groups_cost_less_than_tokens():
+    """Telling groups and writing their text takes less than half the time of tokenizing."""
+    import numpy as np
+    import pyarrow.parquet as pq
+
+    a, b = alignment.byte_level("byte_bpe_50k.json"), alignment.pieces_of("piece_bpe_32k.model")
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist() if t and "▁" not in t]
+    at = time.process_time()
+    ids = [(np.array(a.encode(t)), np.array(b.encode(t))) for t in texts]
+    tokenized = time.process_time() - at
+    ids = [(x, y) for x, y in ids if a.size[x].sum() == b.size[y].sum()]
+    at = time.process_time()
+    for x, y in ids:
+        alignment.group_text(a, b, x, y, *alignment.token_groups(np.cumsum(a.size[x]), np.cumsum(b.size[y])))
+    assert len(ids) > 0.9 * len(texts) and time.process_time() - at < tokenized / 2
+
+
 def plain_tree(nodes):
     """(the node that remains, for each node its steps: place and the others)."""
     steps = [[] for _ in nodes]
